@@ -91,8 +91,41 @@ def clip(c, lo: float | None = None, hi: float | None = None) -> Column:
 
 
 def round_even(c, digits: int) -> Column:
-    """Round half to even."""
-    return F.bround(col(c), digits)
+    """H10, numpy rule: rint(x * 10^n) / 10^n (half-even on the scaled double)."""
+    x = col(c)
+    if digits == 0:
+        return F.rint(x)
+    p = float(10 ** digits)
+    return F.rint(x * F.lit(p)) / F.lit(p)
+
+
+_SPLIT = 134217729.0   # 2^27 + 1: Veltkamp split constant for an error-free product
+
+
+def _split(v: float) -> tuple[float, float]:
+    t = v * _SPLIT
+    hi = t - (t - v)
+    return hi, v - hi
+
+
+def py_round(c, digits: int) -> Column:
+    """H10, Python ``round(x, n)`` rule: half-even on the exact binary value of x.
+
+    y = fl(x * 10^n) is rounded with rint, except when y lands exactly on .5: then the
+    sign of the exact product's rounding error (Dekker two-product) decides the side.
+    """
+    x = col(c)
+    p = float(10 ** digits)
+    y = x * F.lit(p)
+    t = x * F.lit(_SPLIT)
+    xh = t - (t - x)
+    xl = x - xh
+    ph, pl = _split(p)
+    err = ((xh * F.lit(ph) - y) + xh * F.lit(pl) + xl * F.lit(ph)) + xl * F.lit(pl)
+    fl = F.floor(y).cast("double")
+    tie = (y - fl) == F.lit(0.5)
+    r = (F.when(tie & (err > 0), fl + F.lit(1.0)).when(tie & (err < 0), fl).otherwise(F.rint(y)))
+    return r if digits == 0 else r / F.lit(p)
 
 
 def py_max(a, b) -> Column:

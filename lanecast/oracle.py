@@ -34,6 +34,27 @@ def clip01(x: str) -> str:
     return f"(CASE WHEN ({x}) < {d(0)} THEN {d(0)} WHEN ({x}) > {d(1)} THEN {d(1)} ELSE ({x}) END)"
 
 
+def pyr(x: str, n: int) -> str:
+    """Python round(x, n) (exact binary half-even), the same steps as ``expr.py_round``."""
+    p = float(10 ** n)
+    t = 134217729.0 * p
+    ph = t - (t - p)
+    pl = p - ph
+    y = f"(({x}) * {d(p)})"
+    xt = f"(({x}) * {d(134217729.0)})"
+    xh = f"({xt} - ({xt} - ({x})))"
+    xl = f"(({x}) - {xh})"
+    err = f"((({xh} * {d(ph)} - {y}) + {xh} * {d(pl)} + {xl} * {d(ph)}) + {xl} * {d(pl)})"
+    fl = f"CAST(floor({y}) AS DOUBLE)"
+    r = (f"(CASE WHEN ({y} - {fl}) = {d(0.5)} AND {err} > 0 THEN {fl} + {d(1)} "
+         f"WHEN ({y} - {fl}) = {d(0.5)} AND {err} < 0 THEN {fl} ELSE round_even({y}, 0) END)")
+    return r if n == 0 else f"({r} / {d(p)})"
+
+
+def clip(x: str, lo: float, hi: float) -> str:
+    return f"(CASE WHEN ({x}) < {d(lo)} THEN {d(lo)} WHEN ({x}) > {d(hi)} THEN {d(hi)} ELSE ({x}) END)"
+
+
 def gmax(a: str, b: str) -> str:
     """Python max(a, b) with constant a: NULL b -> a."""
     return f"(CASE WHEN ({b}) > ({a}) THEN ({b}) ELSE ({a}) END)"
@@ -247,3 +268,258 @@ features AS (
     CAST(coalesce({strip('"Market/Regular"')} = 'Regular', false) AS INTEGER) AS is_market
   FROM f_eff2 f, f_edges
 )"""
+
+
+# ---------------------------------------------------------------------------------------------
+# requests and quotes
+# ---------------------------------------------------------------------------------------------
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def requests_sql() -> str:
+    return f"""
+req_raw AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS request_id,
+    CASE o_orderkey % 4 WHEN 0 THEN ' ' || r_name || ' ' WHEN 1 THEN substr(r_name, 1, 4)
+      WHEN 2 THEN {_list(['Delhi', 'Mumbai', 'Pune', 'Bengaluru', 'Kochi'])}[o_custkey % 5 + 1] ELSE 'Nowhere' END AS origin,
+    CASE o_orderkey % 4 WHEN 0 THEN {_list(['ASIA', 'EUROPE', 'AFRICA'])}[o_custkey % 3 + 1] WHEN 1 THEN 'EUR'
+      WHEN 2 THEN {_list(['Jaipur', 'Surat', 'Salem'])}[o_custkey % 3 + 1] ELSE 'Elsewhere' END AS destination,
+    strftime(o_orderdate, '%Y-%m-%d') AS trip_date,
+    CAST(o_orderkey % 52 AS DOUBLE) AS weight_tonnes,
+    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'lcv' WHEN '2' THEN ' MCV ' WHEN '3' THEN 'FTL'
+      WHEN '5' THEN 'CARTING' END AS vehicle_type,
+    CASE WHEN o_orderstatus = 'F' THEN o_totalprice / {d(5)} END AS competitor_price,
+    CASE WHEN o_orderstatus = 'P' THEN {d(95.5)} END AS diesel_price,
+    CASE o_orderkey % 3 WHEN 1 THEN ['extra_rope', 'extra_rope', 'unknown']
+      WHEN 2 THEN ['helper_required', 'express_delivery'] END AS addons,
+    CAST(NULL AS DOUBLE) AS origin_lat, CAST(NULL AS DOUBLE) AS origin_lon,
+    CAST(NULL AS DOUBLE) AS dest_lat, CAST(NULL AS DOUBLE) AS dest_lon,
+    CAST(o_orderkey % 101 AS DOUBLE) / {d(100)} AS p_delay,
+    CAST(o_custkey % 101 AS DOUBLE) / {d(100)} AS eff
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)"""
+
+
+DATE_RE = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])$"
+
+
+def trip_day(x: str) -> str:
+    norm = (f"regexp_extract({x}, '{DATE_RE}', 1) || '-' || lpad(trim(regexp_extract({x}, '{DATE_RE}', 2)), 2, '0')"
+            f" || '-' || lpad(trim(regexp_extract({x}, '{DATE_RE}', 3)), 2, '0')")
+    return f"(CASE WHEN regexp_full_match({x}, '{DATE_RE}') THEN CAST(try_strptime({norm}, '%Y-%m-%d') AS DATE) END)"
+
+
+def reasons_sql() -> str:
+    def ln(f):
+        return [f"CASE WHEN {f} IS NULL THEN '{f}: Field required' END",
+                f"CASE WHEN length({f}) < 2 THEN '{f}: String should have at least 2 characters' END",
+                f"CASE WHEN length({f}) > 120 THEN '{f}: String should have at most 120 characters' END",
+                f"CASE WHEN {f} IS NOT NULL AND length({f}) >= 2 AND length({strip(f)}) = 0 THEN '{f}: blank' END"]
+
+    def rng(f, gt=None, ge=None, le=None, required=False):
+        out = []
+        if required:
+            out.append(f"CASE WHEN {f} IS NULL THEN '{f}: Field required' END")
+        if gt is not None:
+            out.append(f"CASE WHEN {f} <= {gt} THEN '{f}: Input should be greater than {gt}' END")
+        if ge is not None:
+            out.append(f"CASE WHEN {f} < {ge} THEN '{f}: Input should be greater than or equal to {ge}' END")
+        if le is not None:
+            out.append(f"CASE WHEN {f} > {le} THEN '{f}: Input should be less than or equal to {le}' END")
+        return out
+    checks = (ln("origin") + ln("destination")
+              + ["CASE WHEN trip_date IS NULL THEN 'trip_date: Field required' END",
+                 f"CASE WHEN trip_date IS NOT NULL AND {trip_day('trip_date')} IS NULL THEN "
+                 "'trip_date: Value error, trip_date must be in YYYY-MM-DD format' END"]
+              + rng("weight_tonnes", gt=0, le=50, required=True) + rng("competitor_price", gt=0)
+              + rng("diesel_price", gt=0, le=200) + rng("origin_lat", ge=-90, le=90) + rng("origin_lon", ge=-180, le=180)
+              + rng("dest_lat", ge=-90, le=90) + rng("dest_lon", ge=-180, le=180))
+    return f"list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL)"
+
+
+def _gaz_values() -> str:
+    return ", ".join(f"('{c}', {d(lat)}, {d(lon)})" for c, (lat, lon) in K.CITY_COORDS.items())
+
+
+def _veh_case(vt: str, attr: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {d(v[attr])}" for k, v in K.VEHICLE_CONFIG.items())
+    return f"(CASE {vt} {whens} END)"
+
+
+def _mileage_sql(curves, adjust, w, vt, km) -> str:
+    def curve(name):
+        floor, icpt, slope = curves[name]
+        return gmax(d(floor), f"{d(icpt)} - {d(slope)} * {w}")
+    base = (f"(CASE WHEN {vt} = 'LCV' THEN {curve('LCV')} WHEN {vt} = 'MCV' THEN {curve('MCV')} "
+            f"WHEN {vt} = 'CARTING' THEN {curve('CARTING')} ELSE {curve('OTHER')} END)")
+    bonus, pen, floor = adjust
+    adj = (f"(CASE WHEN {km} > {d(K.LONG_HAUL_KM)} THEN {base} + {d(bonus)} "
+           f"WHEN {km} < {d(K.SHORT_HAUL_KM)} THEN {base} - {d(pen)} ELSE {base} END)")
+    return pyr(gmax(d(floor), adj), 2)
+
+
+def quotes_sql() -> str:
+    """CTE chain: req_raw -> q_valid -> q_lane -> q_dist -> q_ret -> q_price -> quotes."""
+    seasons = " ".join(f"WHEN {m} THEN '{s}'" for m, s in K.SEASON_MAP.items())
+    hav = (f"({d(6371)} * 2 * asin(sqrt(pow(sin(radians(g2.lat - g1.lat) / 2), 2) + cos(radians(g1.lat)) * "
+           f"cos(radians(g2.lat)) * pow(sin(radians(g2.lon - g1.lon) / 2), 2))) * {d(K.ROAD_FACTOR)})")
+    h = "(CAST(hour(arrival) AS DOUBLE) + CAST(minute(arrival) AS DOUBLE) / 60.0::DOUBLE)"
+    eff_ = (f"(CASE WHEN {h} < 8.0::DOUBLE THEN {gmax(d(0), f'expected_dwell_h - (8.0::DOUBLE - {h})')}"
+            f" WHEN {h} >= 20.0::DOUBLE THEN {gmax(d(0), f'expected_dwell_h - ((24.0::DOUBLE - {h}) + 8.0::DOUBLE)')}"
+            f" ELSE expected_dwell_h END)")
+    rem = f"(CASE WHEN {h} < 8.0::DOUBLE OR {h} >= 20.0::DOUBLE THEN 12.0::DOUBLE ELSE 20.0::DOUBLE - {h} END)"
+    t_active = f"(CASE WHEN {eff_} <= {rem} THEN {eff_} ELSE {rem} + ({eff_} - {rem}) * {d(0.5)} END)"
+    known = _list(K.ADDON_CONFIG)
+    amount = ("(CASE k " + " ".join(f"WHEN '{a}' THEN CAST({cost} AS BIGINT)" for a, (_, cost, _) in K.ADDON_CONFIG.items()
+                                    if cost is not None)
+              + " " + " ".join(f"WHEN '{a}' THEN CAST({pyr(f'rp * {d(pct)}', 0)} AS BIGINT)"
+                               for a, (_, _, pct) in K.ADDON_CONFIG.items() if pct is not None) + " END)")
+    vt = "vehicle_type"
+    return f"""{features_sql(PROFILE_81)},
+kb AS (SELECT {city_key('Origin_Location')} AS ok, {city_key('Destination_Location')} AS dk,
+         avg(lane_popularity) AS lane_popularity, avg(route_risk) AS route_risk,
+         avg(driver_delay_rate) AS driver_delay_rate, count(*) AS trip_count,
+         avg(TRANSPORTATION_DISTANCE_IN_KM) AS avg_dist_km
+       FROM features GROUP BY 1, 2),
+kb_global AS (SELECT avg(lane_popularity) AS lane_popularity, avg(route_risk) AS route_risk,
+         avg(driver_delay_rate) AS driver_delay_rate, CAST(0 AS BIGINT) AS trip_count,
+         avg(TRANSPORTATION_DISTANCE_IN_KM) AS avg_dist_km FROM features),
+gaz(city, lat, lon) AS (VALUES {_gaz_values()}),
+{requests_sql().strip()},
+q_checked AS (SELECT *, {reasons_sql()} AS reasons FROM req_raw),
+q_valid AS (
+  SELECT request_id, {strip('origin')} AS origin, {strip('destination')} AS destination, trip_date,
+    {trip_day('trip_date')} AS trip_day, weight_tonnes,
+    CASE WHEN upper({strip(f"CASE WHEN {vt} IS NULL OR {vt} = '' THEN 'FTL' ELSE {vt} END")}) IN {tuple(K.VEHICLE_CONFIG)}
+         THEN upper({strip(f"CASE WHEN {vt} IS NULL OR {vt} = '' THEN 'FTL' ELSE {vt} END")}) ELSE 'FTL' END AS vehicle_type,
+    competitor_price,
+    CASE WHEN diesel_price IS NOT NULL AND diesel_price <> 0 THEN diesel_price ELSE {d(K.DEFAULT_DIESEL)} END AS diesel_price,
+    CASE WHEN diesel_price IS NOT NULL AND diesel_price <> 0 THEN 'vision' ELSE 'default' END AS diesel_source,
+    list_filter(coalesce(addons, CAST([] AS VARCHAR[])), lambda x: list_contains({known}, x)) AS addons,
+    origin_lat, origin_lon, dest_lat, dest_lon, p_delay, eff
+  FROM q_checked WHERE len(reasons) = 0
+),
+q_keys AS (SELECT *, lower({strip('origin')}) AS q_ok, lower({strip('destination')}) AS q_dk FROM q_valid),
+q_miss AS (
+  SELECT DISTINCT q.q_ok, q.q_dk FROM q_keys q LEFT JOIN kb ON q.q_ok = kb.ok AND q.q_dk = kb.dk WHERE kb.ok IS NULL
+),
+q_contains AS (
+  SELECT q_ok, q_dk, lane_popularity, route_risk, driver_delay_rate, trip_count, avg_dist_km FROM (
+    SELECT m.q_ok, m.q_dk, kb.*, row_number() OVER (PARTITION BY m.q_ok, m.q_dk ORDER BY kb.ok, kb.dk) AS rn
+    FROM q_miss m JOIN kb ON contains(kb.ok, m.q_ok) AND contains(kb.dk, m.q_dk)) WHERE rn = 1
+),
+q_lane AS (
+  SELECT q.*,
+    CASE WHEN x.ok IS NOT NULL THEN 'exact' WHEN c.q_ok IS NOT NULL THEN 'contains' ELSE 'global' END AS lane_match,
+    CASE WHEN x.ok IS NOT NULL THEN x.lane_popularity WHEN c.q_ok IS NOT NULL THEN c.lane_popularity ELSE g.lane_popularity END AS lane_popularity,
+    CASE WHEN x.ok IS NOT NULL THEN x.route_risk WHEN c.q_ok IS NOT NULL THEN c.route_risk ELSE g.route_risk END AS route_risk,
+    CASE WHEN x.ok IS NOT NULL THEN x.driver_delay_rate WHEN c.q_ok IS NOT NULL THEN c.driver_delay_rate ELSE g.driver_delay_rate END AS driver_delay_rate,
+    CASE WHEN x.ok IS NOT NULL THEN x.trip_count WHEN c.q_ok IS NOT NULL THEN c.trip_count ELSE g.trip_count END AS trip_count,
+    CASE WHEN x.ok IS NOT NULL THEN x.avg_dist_km WHEN c.q_ok IS NOT NULL THEN c.avg_dist_km ELSE g.avg_dist_km END AS avg_dist_km
+  FROM q_keys q LEFT JOIN kb x ON q.q_ok = x.ok AND q.q_dk = x.dk
+  LEFT JOIN q_contains c ON q.q_ok = c.q_ok AND q.q_dk = c.q_dk
+  CROSS JOIN kb_global g
+),
+q_dist AS (
+  SELECT q.*,
+    isodow(trip_day) - 1 AS day_of_week, month(trip_day) AS month,
+    CASE month(trip_day) {seasons} END AS season,
+    CAST(month(trip_day) IN (10, 11, 12) AS INTEGER) AS is_peak_month,
+    strftime(trip_day, '%A') AS day_name, strftime(trip_day, '%d %b %Y') AS formatted_date,
+    CASE WHEN g1.lat IS NOT NULL AND g2.lat IS NOT NULL THEN {pyr(hav, 1)}
+         WHEN avg_dist_km > 0 THEN {pyr("avg_dist_km", 1)} ELSE {d(K.DEFAULT_DISTANCE_KM)} END AS distance_km,
+    CASE WHEN g1.lat IS NOT NULL AND g2.lat IS NOT NULL THEN 'haversine'
+         WHEN avg_dist_km > 0 THEN 'historical_avg' ELSE 'default_fallback' END AS distance_method,
+    p_delay AS delay_probability, {clip01('eff')} AS efficiency_score
+  FROM q_lane q LEFT JOIN gaz g1 ON lower({strip('q.origin')}) = g1.city
+  LEFT JOIN gaz g2 ON lower({strip('q.destination')}) = g2.city
+),
+q_ret0 AS (
+  SELECT *,
+    CAST(trip_day AS TIMESTAMP) + INTERVAL 6 HOUR
+      + to_microseconds(CAST(round_even(distance_km / {d(K.AVG_SPEED_KMPH)} * {d(3.6e9)}, 0) AS BIGINT)) AS arrival,
+    {d(K.T_GRACE)} + ({d(1)} - lane_popularity) * {d(20)} AS expected_dwell_h,
+    {_veh_case(vt, 'lam')} AS lam,
+    {_mileage_sql(K.LOADED_MILEAGE, K.LOADED_ADJUST, 'weight_tonnes', vt, 'distance_km')} AS m_loaded,
+    {_mileage_sql(K.EMPTY_MILEAGE, K.EMPTY_ADJUST, 'weight_tonnes', vt, 'distance_km')} AS m_empty
+  FROM q_dist
+),
+q_ret AS (
+  SELECT *, {t_active} AS T_active_raw, strftime(arrival, '%H:%M, %a') AS arrival_time FROM q_ret0
+),
+q_ret2 AS (
+  SELECT *,
+    {clip(f"exp(-lam * {gmax(d(0), f'T_active_raw - {d(K.T_GRACE)}')})", 0.05, 0.99)} AS p_return,
+    {pyr("T_active_raw", 1)} AS T_active_h,
+    (CASE WHEN trip_count / {d(50)} < {d(1)} THEN trip_count / {d(50)} ELSE {d(1)} END) * {d(0.55)}
+      + ({d(0.5)} + abs(efficiency_score - {d(0.5)}) * {d(0.8)}) * {d(0.35)}
+      - CASE WHEN distance_method IN ('historical_avg', 'osrm') THEN {d(0)} ELSE {d(0.08)} END AS conf_raw0
+  FROM q_ret
+),
+q_conf AS (
+  SELECT *,
+    CASE WHEN conf_raw0 < {d(0.10)} THEN {d(0.10)} WHEN conf_raw0 > {d(0.97)} THEN {d(0.97)} ELSE conf_raw0 END AS conf_raw
+  FROM q_ret2
+),
+q_p1 AS (
+  SELECT *,
+    {pyr("conf_raw", 3)} AS confidence_score,
+    CASE WHEN conf_raw >= {d(0.82)} THEN 'Elite' WHEN conf_raw >= {d(0.62)} THEN 'High' WHEN conf_raw >= {d(0.42)} THEN 'Moderate' ELSE 'Low' END
+      AS confidence_label,
+    CASE WHEN efficiency_score >= {d(0.85)} THEN 'Elite' WHEN efficiency_score >= {d(0.65)} THEN 'High'
+         WHEN efficiency_score >= {d(0.35)} THEN 'Medium' ELSE 'Low' END AS efficiency_label,
+    distance_km / m_loaded * diesel_price AS fuel_loaded_cost,
+    distance_km / m_empty * diesel_price AS fuel_empty_cost,
+    {d(2)} * distance_km * {_veh_case(vt, 'toll')} AS tolls,
+    distance_km * {d(2)} / {d(K.AVG_SPEED_KMPH)} / {d(24)} * {_veh_case(vt, 'wage')} AS wages,
+    distance_km * {d(2)} / {d(K.AVG_SPEED_KMPH)} / {d(24)} * {_veh_case(vt, 'maint')} AS maintenance,
+    {_veh_case(vt, 'mob')} AS mobilization,
+    {_veh_case(vt, 'toll')} AS toll
+  FROM q_conf
+),
+q_p2 AS (
+  SELECT *,
+    fuel_loaded_cost + tolls + wages + maintenance + mobilization AS c_base,
+    ({d(1)} - p_return) * fuel_empty_cost AS c_risk,
+    {d(1)} + delay_probability * {d(0.10)} + ({d(0.5)} - efficiency_score) * {d(0.08)} AS mult0
+  FROM q_p1
+),
+q_p3 AS (
+  SELECT *, {pyr(f"(c_base + c_risk) * {clip('mult0', 0.95, 1.15)}", 2)} AS p_min
+  FROM q_p2
+),
+q_p4 AS (SELECT *, {pyr(f"p_min * {d(1.15)}", 2)} AS p_max FROM q_p3),
+q_p5 AS (
+  SELECT *,
+    CASE WHEN competitor_price IS NOT NULL AND competitor_price > 0
+         THEN greatest(p_min, competitor_price * {d(1.0 - K.EPSILON_LOW)}) ELSE p_min END AS floor,
+    CASE WHEN competitor_price IS NOT NULL AND competitor_price > 0
+         THEN least(p_max, competitor_price * {d(1.0 + K.EPSILON_HIGH)}) ELSE p_max END AS ceil0,
+    fuel_loaded_cost + distance_km * toll + {d(0.80)} * wages AS c_survival
+  FROM q_p4
+),
+q_p6 AS (
+  SELECT *, CASE WHEN floor > ceil0 THEN floor ELSE ceil0 END AS ceiling, floor >= c_survival AS is_feasible,
+    CASE WHEN floor >= c_survival THEN floor ELSE c_survival END AS recommended
+  FROM q_p5
+),
+q_p7 AS (
+  SELECT *,
+    CASE WHEN recommended < c_survival THEN 'Infeasible'
+         WHEN (CASE WHEN c_base > 0 THEN (recommended - c_survival) / c_base ELSE {d(0)} END) >= {d(0.10)} THEN 'Healthy'
+         ELSE 'Low Margin' END AS status,
+    {pyr("recommended", 2)} AS rp
+  FROM q_p6
+),
+quotes AS (
+  SELECT *,
+    coalesce(list_sum(list_transform(addons, lambda k: {amount})), 0) AS addon_total,
+    rp AS recommended_price
+  FROM q_p7
+),
+quotes2 AS (
+  SELECT *, CAST({pyr("rp + CAST(addon_total AS DOUBLE)", 0)} AS BIGINT) AS final_price FROM quotes
+)"""

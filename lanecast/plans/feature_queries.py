@@ -13,6 +13,7 @@ from lanecast.operators import lifecycle as V
 from lanecast.operators import scaling as S
 from lanecast.operators import scores as SC
 from lanecast.plans.features import PROFILE_81, PROFILE_725, build_features
+from lanecast.plans.cache import memo
 from lanecast.registry import register
 from lanecast.sources import trips as TR
 
@@ -22,7 +23,8 @@ EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def _feat(spark: SparkSession, sf_dir: str, profile=PROFILE_81):
-    return build_features(TR.load_trips(spark, sf_dir), profile)
+    return memo(spark, ("features", sf_dir, profile.name),
+                lambda: build_features(TR.load_trips(spark, sf_dir), profile))
 
 
 def _from_features(select: str, where: str = "", src: str = "features", sql=S81) -> str:

@@ -1,6 +1,6 @@
 """Registered queries: one Spark callable and (where SQL can say it) one DuckDB oracle per ID.
 
-Both sides project the same output spec: doubles rounded to 6 decimals, integers as
+Both sides project the same output spec: doubles rounded half-even to 6 decimals, integers as
 BIGINT, timestamps as 'yyyy-MM-dd HH:mm:ss' text, so the value hashes are comparable.
 """
 
@@ -21,7 +21,7 @@ def spark_out(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
     for name, kind in spec:
         c = F.col(f"`{name}`")
         if kind == "d":
-            c = F.round(c.cast("double"), 6)
+            c = F.rint(c.cast("double") * F.lit(1e6)) / F.lit(1e6)
         elif kind == "i":
             c = c.cast("long")
         elif kind == "s":
@@ -38,7 +38,7 @@ def sql_out(spec: list[tuple[str, str]], prefix: str = "") -> str:
     parts = []
     for name, kind in spec:
         q = f'{prefix}"{name}"'
-        e = {"d": f"round(CAST({q} AS DOUBLE), 6)", "i": f"CAST({q} AS BIGINT)",
+        e = {"d": f"round_even(CAST({q} AS DOUBLE), 6)", "i": f"CAST({q} AS BIGINT)",
              "s": f"CAST({q} AS VARCHAR)", "b": f"CAST({q} AS BOOLEAN)",
              "t": f"strftime({q}, '%Y-%m-%d %H:%M:%S')"}[kind]
         parts.append(f'{e} AS "{name}"')
