@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lanecast.session import materialize, shuffle_partitions
 
+SMALL_DISTINCT = 1_000_000   # distinct values one task may order (a few MB)
 _SEP = "\u0001"              # sorts below every printable character
 _NULL_KEY = "\U0010FFFF"     # sorts above every other code point: NULL keys go last
 
@@ -39,7 +40,8 @@ def _key_column(keys: list[str]) -> Column:
 def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
                  counts: dict[str, str] | None = None, sums: dict[str, str] | None = None,
                  leads: list[str] | None = None, global_position: bool = False,
-                 chunks: int | None = None, skew_safe: bool = True) -> DataFrame:
+                 chunks: int | None = None, skew_safe: bool = True,
+                 keep: list | None = None) -> DataFrame:
     """Add running 'earlier rows' aggregates per key.
 
     Output columns: ``_pos`` (0-based position within key), one column per entry of
@@ -47,6 +49,12 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
     0 when there are none), ``_next`` (struct of ``leads`` from the next row of the key,
     NULL for the last row) and, if asked, ``_gpos`` (0-based position in the global
     (key, order) sort).  ``order`` must be a total order within the key.
+
+    The chunked frame is read twice (chunk summary and the final join), so it is kept:
+    persisted and appended to ``keep`` when the caller passes a list (the caller releases
+    it after its own stage barrier), otherwise cut with a reliable checkpoint.  A
+    persisted block that is lost is recomputed through the same shuffle dependency, so
+    chunk ids do not change.
     """
     counts = counts or {}
     sums = sums or {}
@@ -76,7 +84,13 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
         sel.append(F.lead(F.struct(*leads)).over(w).alias("_l_next"))
     # The chunk id comes from the range shuffle, whose bounds are sampled per execution:
     # materialize once so the summary below and the join read the same chunk ids.
-    local = materialize(ranged.select(*sel))
+    local = ranged.select(*sel)
+    if keep is None:
+        local = materialize(local)
+    else:
+        local = local.persist()
+        local.count()
+        keep.append(local)
 
     # one row per (key, chunk): sizes, totals and the first row of the chunk
     aggs = [F.count(F.lit(1)).alias("_cn")]
@@ -132,12 +146,14 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float |
     """Linear-interpolated quantiles of the non-NULL values (the 'linear' rule).
 
     value(q) = v[i] + (v[j] - v[i]) * (h - i) with h = (n - 1) q, i = floor(h), j = ceil(h).
-    Work is one aggregation to distinct values plus a chunked scan; only the two
-    values around each requested rank reach the driver.
+    Work is one aggregation to distinct values, then an ordered prefix count over them:
+    a single window when the distinct table is at most ``SMALL_DISTINCT`` rows (checked),
+    otherwise the chunked scan.  Only the values around each requested rank reach the driver.
     """
     vals = df.select(F.col(column).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan(F.col("v")))
     counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")).persist()
+    kept: list = []
     try:
         total = counts.agg(F.sum("c")).first()[0]
         if not total:
@@ -149,12 +165,20 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float |
             i, j = math.floor(h), math.ceil(h)
             ranks.update((i, j))
             plan.append((h, i, j))
-        scanned = chunked_scan(counts, [], [F.col("v").asc()], sums={"below": "c"})
+        n_distinct = counts.count()
+        if n_distinct <= SMALL_DISTINCT:
+            # bounded table (checked above): one ordered window over the distinct values
+            w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+            scanned = counts.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        else:
+            scanned = chunked_scan(counts, [], [F.col("v").asc()], sums={"below": "c"}, keep=kept)
         wanted = F.array(*[F.lit(r) for r in sorted(ranks)])
         hits = scanned.where(F.exists(wanted, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))) \
             .select("v", "below", "c").collect()
     finally:
         counts.unpersist()
+        for k in kept:
+            k.unpersist()
     at = {}
     for r in ranks:
         for row in hits:

@@ -73,9 +73,15 @@ class FeatureBuild:
         return self.frame.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def prepare(trips: DataFrame, profile: Profile = PROFILE_81) -> tuple[DataFrame, dict]:
-    """Row-level features and the first scalar pass (D1, D3): delay flag, calendar, distance."""
+def prepare(trips: DataFrame, profile: Profile = PROFILE_81, keep: list | None = None) -> tuple[DataFrame, dict]:
+    """Row-level features and the first scalar pass (D1, D3): delay flag, calendar, distance.
+
+    The input is kept (persisted) for the two scalar passes and the scans when ``keep`` is given.
+    """
     base = V.add_delay_hours(trips)
+    if keep is not None:
+        base = base.persist()
+        keep.append(base)
     thr = V.delay_threshold(base, profile.delay_quantile)
     median = V.distance_median(base)
     df = V.add_delay_flag(base, thr)
@@ -85,20 +91,26 @@ def prepare(trips: DataFrame, profile: Profile = PROFILE_81) -> tuple[DataFrame,
     return df, {"delay_threshold": thr, "distance_median": median}
 
 
-def scans(df: DataFrame, profile: Profile = PROFILE_81, skew_safe: bool = True) -> DataFrame:
+def scans(df: DataFrame, profile: Profile = PROFILE_81, skew_safe: bool = True, keep: list | None = None) -> DataFrame:
     """Vehicle scan (E1, E2 inputs, sort position) then lane scan (E3-E5) and the trip links."""
-    veh = V.vehicle_scan(df, skew_safe=skew_safe)
+    veh = V.vehicle_scan(df, skew_safe=skew_safe, keep=keep)
     veh = V.add_trip_links(veh)
-    lane = L.lane_scan(veh, mode=profile.lane_order, skew_safe=skew_safe)
+    if keep is not None:
+        veh = veh.persist()
+        keep.append(veh)
+    lane = L.lane_scan(veh, mode=profile.lane_order, skew_safe=skew_safe, keep=keep)
     return L.add_lane_features(lane, profile.popularity, profile.popularity_rate, profile.risk_k)
 
 
 def build_features(trips: DataFrame, profile: Profile = PROFILE_81, *, skew_safe: bool = True,
                    checkpoint: bool = True) -> FeatureBuild:
     """I22 (profile 8.1) / I19 (profile 7.2.5): raw trips -> feature table."""
-    df, scalars = prepare(trips, profile)
-    staged = scans(df, profile, skew_safe)
+    kept: list = []
+    df, scalars = prepare(trips, profile, kept)
+    staged = scans(df, profile, skew_safe, kept)
     staged = materialize(staged) if checkpoint else staged.persist()
+    for k in kept:          # everything upstream of the checkpoint is no longer needed
+        k.unpersist()
 
     agg = staged.agg(F.count(F.lit(1)).alias("n"), F.avg("delay_flag").alias("flag_mean")).first()
     n, flag_mean = agg["n"], agg["flag_mean"]

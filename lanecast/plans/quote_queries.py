@@ -293,13 +293,16 @@ FLAT = [("origin", "s"), ("destination", "s"), ("trip_date", "s"), ("weight_tonn
        [(k, "d") for k in Q.FLAT_2DP] + [("is_feasible", "b"), ("status", "s"), ("addon_total", "i"), ("final_price", "i")]
 
 
-@register("J18_quote_requests", [RID] + FLAT, lambda s: (
+_ORACLE_J18 = lambda s: (
     f"WITH {QSQL}, c AS (SELECT request_id, origin, destination, formatted_date AS trip_date, weight_tonnes, vehicle_type, "
     f"lane_match, distance_km, distance_method, season, day_name, {O.pyr('efficiency_score', 4)} AS efficiency_score, "
     f"efficiency_label, {O.pyr('delay_probability', 4)} AS delay_probability, {O.pyr('p_return', 4)} AS p_return, "
     f"confidence_score, confidence_label, arrival_time, {O.pyr('T_active_raw', 1)} AS T_active_1dp, "
     + ", ".join(f"{O.pyr(k if k != 'recommended_price' else 'rp', 2)} AS {k}" for k in Q.FLAT_2DP)
-    + f", is_feasible, status, addon_total, final_price FROM quotes2) SELECT {s} FROM c"))
+    + f", is_feasible, status, addon_total, final_price FROM quotes2) SELECT {s} FROM c")
+
+
+@register("J18_quote_requests", [RID] + FLAT, _ORACLE_J18)
 def q_j18(spark, sf_dir):
     """Requests -> priced quotes (scores given as columns), flattened."""
     return Q.flat_quotes(_quotes(spark, sf_dir)).withColumnRenamed("T_active_h", "T_active_1dp")
@@ -320,3 +323,17 @@ J19 = [("delay_risk_label", "s"), ("decay_hours", "d"), ("corridor_position_pct"
 def q_j19(spark, sf_dir):
     """Dashboard-derived values (risk label, decay hours, corridor position, colour band)."""
     return P.display_derivations(_quotes(spark, sf_dir))
+
+
+@register("L1_quote_stream", [RID] + FLAT, _ORACLE_J18)
+def q_l1(spark, sf_dir):
+    """L1: the orders file read as a stream (availableNow), priced per micro-batch, read back from the sink."""
+    from lanecast.sources.requests import requests_from_orders
+    from lanecast.streaming.quotes import read_quotes, scratch_dir, start_quote_stream
+    kb, g = _kb(spark, sf_dir)
+    static = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parque[t]")
+    sink = scratch_dir(spark, "quote-sink")
+    query = start_quote_stream(requests_from_orders(spark, sf_dir, orders), kb, g, sink, f"{sink}/_checkpoint")
+    query.awaitTermination()
+    return read_quotes(spark, sink).withColumnRenamed("T_active_h", "T_active_1dp")

@@ -55,8 +55,12 @@ def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     competitor and diesel prices, add-on lists with repeats and unknown ids.  The
     ``p_delay`` and ``eff`` columns stand in for model outputs.
     """
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                              "o_orderdate", "o_orderpriority")
+    return requests_from_orders(spark, sf_dir, _table(spark, sf_dir, "orders"))
+
+
+def requests_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Same shaping over any orders DataFrame (batch or streaming); dimensions are static joins."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")

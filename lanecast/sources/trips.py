@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from lanecast.session import broadcast_if_small
 
 DATE_COLUMNS = ["trip_start_date", "trip_end_date", "actual_eta", "Planned_ETA", "BookingIDDate"]
-# Accepted text layouts: date, optionally followed by ' ' or 'T' and HH:mm, HH:mm:ss or HH:mm:ss.fraction.
-TS_PATTERN = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?)?\s*$"
 
 RAW_TRIP_SCHEMA = T.StructType([
     T.StructField("BookingID", T.StringType()),
@@ -47,16 +45,13 @@ def scan_trips(spark: SparkSession, path: str, fmt: str = "csv",
 
 
 def parse_timestamp(text) -> "F.Column":
-    """Text -> TIMESTAMP_NTZ (wall-clock, independent of the session time zone); bad text -> NULL."""
-    t = F.col(text) if isinstance(text, str) else text
-
-    def part(i, typ="int"):
-        return F.regexp_extract(t, TS_PATTERN, i).try_cast(typ)
+    """Text -> TIMESTAMP_NTZ (wall-clock, independent of the session time zone); bad text -> NULL.
 
-    ts = F.call_function("try_make_timestamp_ntz", part(1), part(2), part(3),
-                         F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0)),
-                         F.coalesce(part(6, "decimal(8,6)"), F.lit(0).cast("decimal(8,6)")))
-    return F.when(t.rlike(TS_PATTERN), ts)
+    Accepts ISO layouts: yyyy[-[m]m[-[d]d]] optionally followed by ' ' or 'T' and a time
+    [h]h:[m]m[:[s]s[.fraction]].  Anything else becomes NULL.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    return F.trim(t).try_cast("timestamp_ntz")
 
 
 def coerce_timestamps(df: DataFrame, columns=DATE_COLUMNS) -> DataFrame:
