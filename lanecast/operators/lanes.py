@@ -118,39 +118,45 @@ def _contains_matches_indexed(pairs: DataFrame, kb: DataFrame) -> DataFrame:
     return cand.join(kbk, "k_ok").where(F.col("k_dk").contains(F.col("dk")))
 
 
-def lookup_lane(requests: DataFrame, kb: DataFrame, global_row: DataFrame, *,
-                origin: str = "origin", destination: str = "destination",
-                broadcast_rows: int = 200_000) -> DataFrame:
-    """C1 exact key, C2 first KB lane (key order) containing both names, C3 global averages.
-
-    Adds ``lane_match`` (exact / contains / global) and the five lane-context columns.
-    C2 runs only on the distinct missed (origin, destination) pairs.  The KB side is
-    broadcast after a row-count check; above the bound an exact substring index is used.
-    """
-    req = requests.withColumn("_ok", E.place_key(origin)).withColumn("_dk", E.place_key(destination))
+def resolve_pairs(pairs: DataFrame, kb: DataFrame, global_row: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """C1-C3 on distinct (ok, dk) keys: exact KB key, else the first KB lane in key order whose keys
+    contain both names, else the global averages.  Returns ok, dk, lane_match and the lane context."""
     kb_small = broadcast_if_small(kb, broadcast_rows)
-    exact = kb_small.select(F.col("ok").alias("_ok"), F.col("dk").alias("_dk"),
-                            *[F.col(c).alias(f"_x_{c}") for c in LANE_CTX], F.lit(True).alias("_x_hit"))
-    step1 = req.join(exact, ["_ok", "_dk"], "left")
-
-    misses = step1.where(F.col("_x_hit").isNull()).select(F.col("_ok").alias("ok"), F.col("_dk").alias("dk")).distinct()
+    exact = kb_small.select("ok", "dk", *[F.col(c).alias(f"_x_{c}") for c in LANE_CTX], F.lit(True).alias("_x_hit"))
+    step1 = pairs.join(exact, ["ok", "dk"], "left")
+    misses = step1.where(F.col("_x_hit").isNull()).select("ok", "dk")
     kb_rows = kb.limit(broadcast_rows + 1).count()
     matches = (_contains_matches_broadcast(misses, kb) if kb_rows <= broadcast_rows
                else _contains_matches_indexed(misses, kb))
     first = matches.groupBy("ok", "dk").agg(F.min(F.struct("k_ok", "k_dk")).alias("_first"))
     sub = first.join(kb.select(F.struct(F.col("ok").alias("k_ok"), F.col("dk").alias("k_dk")).alias("_first"),
                                *[F.col(c).alias(f"_c_{c}") for c in LANE_CTX]), "_first") \
-        .select(F.col("ok").alias("_ok"), F.col("dk").alias("_dk"), *[f"_c_{c}" for c in LANE_CTX],
-                F.lit(True).alias("_c_hit"))
-    step2 = step1.join(sub, ["_ok", "_dk"], "left")
-
-    g = global_row.select(*[F.col(c).alias(f"_g_{c}") for c in LANE_CTX]).first()
-    out = step2
+        .select("ok", "dk", *[f"_c_{c}" for c in LANE_CTX], F.lit(True).alias("_c_hit"))
+    out = step1.join(sub, ["ok", "dk"], "left")
+    g = global_row.select(*LANE_CTX).first()
     for c in LANE_CTX:
         out = out.withColumn(c, F.when(F.col("_x_hit"), F.col(f"_x_{c}"))
                              .when(F.col("_c_hit"), F.col(f"_c_{c}"))
-                             .otherwise(F.lit(g[f"_g_{c}"])))
+                             .otherwise(F.lit(g[c])))
     out = out.withColumn("lane_match", F.when(F.col("_x_hit"), F.lit("exact"))
                          .when(F.col("_c_hit"), F.lit("contains")).otherwise(F.lit("global")))
-    drop = [c for c in out.columns if c.startswith(("_x_", "_c_", "_g_"))] + ["_ok", "_dk"]
-    return out.drop(*drop)
+    return out.select("ok", "dk", "lane_match", *LANE_CTX)
+
+
+def lookup_lane(requests: DataFrame, kb: DataFrame, global_row: DataFrame, *,
+                origin: str = "origin", destination: str = "destination",
+                broadcast_rows: int = 200_000) -> DataFrame:
+    """C1 exact key, C2 first KB lane (key order) containing both names, C3 global averages.
+
+    Adds ``lane_match`` (exact / contains / global) and the five lane-context columns.  The
+    three tiers are resolved once per distinct (origin key, destination key) pair, and the
+    resolved pairs are joined back to the requests in one equi-join, broadcast when the
+    pair table passes a row-count check (else a shuffle join).  The KB is broadcast only
+    after a row-count check; above the bound C2 uses an exact substring index instead of
+    a nested loop.
+    """
+    req = requests.withColumn("_ok", E.place_key(origin)).withColumn("_dk", E.place_key(destination))
+    pairs = req.select(F.col("_ok").alias("ok"), F.col("_dk").alias("dk")).distinct()
+    ctx = resolve_pairs(pairs, kb, global_row, broadcast_rows).withColumnRenamed("ok", "_ok") \
+        .withColumnRenamed("dk", "_dk")
+    return req.join(broadcast_if_small(ctx, broadcast_rows), ["_ok", "_dk"], "left").drop("_ok", "_dk")

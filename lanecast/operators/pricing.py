@@ -25,11 +25,10 @@ def c(name: str) -> Column:
 def add_temporal(df: DataFrame, date_col: str = "trip_day") -> DataFrame:
     """H4-H6: weekday, month, season, peak flag, day name and formatted date of the trip day."""
     d = c(date_col)
-    return (df.withColumn("day_of_week", F.weekday(d)).withColumn("month", F.month(d))
-            .withColumn("season", E.season("month"))
-            .withColumn("is_peak_month", E.is_peak_month("month").cast("int"))
-            .withColumn("day_name", F.date_format(d, "EEEE"))
-            .withColumn("formatted_date", F.date_format(d, "dd MMM yyyy")))
+    m = F.month(d)
+    return df.withColumns({"day_of_week": F.weekday(d), "month": m, "season": E.season(m),
+                           "is_peak_month": E.is_peak_month(m).cast("int"), "day_name": F.date_format(d, "EEEE"),
+                           "formatted_date": F.date_format(d, "dd MMM yyyy")})
 
 
 # --- C4 / C7 / H8 / J1 distance ----------------------------------------------------------------
@@ -125,9 +124,9 @@ def add_p_return(df: DataFrame) -> DataFrame:
         hours=F.lit(K.DEPARTURE_HOUR))
     travel_us = F.rint(c("distance_km") / F.lit(K.AVG_SPEED_KMPH) * F.lit(3_600_000_000.0)).cast("long")
     arrival = F.timestamp_add("MICROSECOND", travel_us, departure)
-    out = (df.withColumn("_lam", lam).withColumn("arrival", arrival)
-           .withColumn("_h", F.hour("arrival") + F.minute("arrival") / F.lit(60.0))
-           .withColumn("expected_dwell_h", F.lit(K.T_GRACE) + (F.lit(1.0) - c("lane_popularity")) * F.lit(20.0)))
+    out = df.withColumns({"_lam": lam, "arrival": arrival,
+                          "expected_dwell_h": F.lit(K.T_GRACE) + (F.lit(1.0) - c("lane_popularity")) * F.lit(20.0)})
+    out = out.withColumn("_h", F.hour("arrival") + F.minute("arrival") / F.lit(60.0))
     out = out.withColumn("T_active_h", active_hours(c("_h"), c("expected_dwell_h")))
     p = F.exp(-c("_lam") * F.greatest(F.lit(0.0), c("T_active_h") - F.lit(K.T_GRACE)))
     out = out.withColumn("p_return", E.clip(p, 0.05, 0.99))
@@ -158,41 +157,43 @@ def add_confidence(df: DataFrame) -> DataFrame:
 # --- J7 - J12 pricing layers ---------------------------------------------------------------------
 
 def add_pricing(df: DataFrame) -> DataFrame:
-    """J7 operational base, J8 return risk, J9 corridor, J10 competitive snap, J11 gate, J12 status."""
+    """J7 operational base, J8 return risk, J9 corridor, J10 competitive snap, J11 gate, J12 status.
+
+    Columns are added in dependency layers (one ``withColumns`` per layer) to keep the plan short.
+    """
     km, w, vt, diesel = c("distance_km"), c("weight_tonnes"), c("vehicle_type"), c("diesel_price")
     toll, wage = vehicle_attr(vt, "toll"), vehicle_attr(vt, "wage")
     maint, mob = vehicle_attr(vt, "maint"), vehicle_attr(vt, "mob")
-    out = (df.withColumn("m_loaded", loaded_mileage(w, vt, km)).withColumn("m_empty", empty_mileage(w, vt, km))
-           .withColumn("_round_h", km * F.lit(2.0) / F.lit(K.AVG_SPEED_KMPH)))
-    out = (out.withColumn("fuel_loaded_L", km / c("m_loaded")).withColumn("fuel_empty_L", km / c("m_empty"))
-           .withColumn("fuel_loaded_cost", c("fuel_loaded_L") * diesel)
-           .withColumn("fuel_empty_cost", c("fuel_empty_L") * diesel)
-           .withColumn("tolls", F.lit(2.0) * km * toll)
-           .withColumn("wages", c("_round_h") / F.lit(24.0) * wage)
-           .withColumn("maintenance", c("_round_h") / F.lit(24.0) * maint)
-           .withColumn("mobilization", mob))
-    out = out.withColumn("c_base", c("fuel_loaded_cost") + c("tolls") + c("wages") + c("maintenance") + c("mobilization"))
-    out = out.withColumn("c_risk", (F.lit(1.0) - c("p_return")) * c("fuel_empty_cost"))
+    round_h = km * F.lit(2.0) / F.lit(K.AVG_SPEED_KMPH)
+    out = df.withColumns({"m_loaded": loaded_mileage(w, vt, km), "m_empty": empty_mileage(w, vt, km),
+                          "_toll": toll, "tolls": F.lit(2.0) * km * toll,
+                          "wages": round_h / F.lit(24.0) * wage, "maintenance": round_h / F.lit(24.0) * maint,
+                          "mobilization": mob})
+    out = out.withColumns({"fuel_loaded_L": km / c("m_loaded"), "fuel_empty_L": km / c("m_empty")})
+    out = out.withColumns({"fuel_loaded_cost": c("fuel_loaded_L") * diesel,
+                           "fuel_empty_cost": c("fuel_empty_L") * diesel})
     delay_prem = c("delay_probability") * F.lit(0.10)
     eff_adj = (F.lit(0.5) - c("efficiency_score")) * F.lit(0.08)
-    out = (out.withColumn("ml_delay_premium", delay_prem).withColumn("ml_eff_adjustment", eff_adj)
-           .withColumn("ml_multiplier", E.clip(F.lit(1.0) + delay_prem + eff_adj, 0.95, 1.15)))
+    out = out.withColumns({
+        "c_base": c("fuel_loaded_cost") + c("tolls") + c("wages") + c("maintenance") + c("mobilization"),
+        "c_risk": (F.lit(1.0) - c("p_return")) * c("fuel_empty_cost"),
+        "ml_delay_premium": delay_prem, "ml_eff_adjustment": eff_adj,
+        "ml_multiplier": E.clip(F.lit(1.0) + delay_prem + eff_adj, 0.95, 1.15),
+        "c_survival": c("fuel_loaded_cost") + km * c("_toll") + F.lit(0.80) * c("wages")})
     out = out.withColumn("p_min", E.py_round((c("c_base") + c("c_risk")) * c("ml_multiplier"), 2))
     out = out.withColumn("p_max", E.py_round(c("p_min") * F.lit(1.15), 2))
-    out = out.withColumn("premium", c("p_max") - c("p_min"))
     comp = c("competitor_price")
     snapped = comp.isNotNull() & (comp > 0)
     floor = F.when(snapped, F.greatest(c("p_min"), comp * F.lit(1.0 - K.EPSILON_LOW))).otherwise(c("p_min"))
     ceil0 = F.when(snapped, F.least(c("p_max"), comp * F.lit(1.0 + K.EPSILON_HIGH))).otherwise(c("p_max"))
-    out = (out.withColumn("floor", floor).withColumn("ceiling", F.when(floor > ceil0, floor).otherwise(ceil0))
-           .withColumn("was_snapped", snapped))
-    out = out.withColumn("c_survival", c("fuel_loaded_cost") + km * toll + F.lit(0.80) * c("wages"))
-    out = (out.withColumn("is_feasible", c("floor") >= c("c_survival"))
-           .withColumn("recommended", F.when(c("is_feasible"), c("floor")).otherwise(c("c_survival"))))
+    out = out.withColumns({"premium": c("p_max") - c("p_min"), "floor": floor, "_ceil0": ceil0, "was_snapped": snapped})
+    out = out.withColumns({"ceiling": F.when(c("floor") > c("_ceil0"), c("floor")).otherwise(c("_ceil0")),
+                           "is_feasible": c("floor") >= c("c_survival"),
+                           "recommended": F.when(c("floor") >= c("c_survival"), c("floor")).otherwise(c("c_survival"))})
     margin = F.when(c("c_base") > 0, (c("recommended") - c("c_survival")) / c("c_base")).otherwise(F.lit(0.0))
     status = (F.when(c("recommended") < c("c_survival"), F.lit("Infeasible"))
               .when(margin >= 0.10, F.lit("Healthy")).otherwise(F.lit("Low Margin")))
-    return out.withColumn("status", status).drop("_round_h")
+    return out.withColumn("status", status).drop("_toll", "_ceil0")
 
 
 # --- J13 / J14 / D13 / H13 add-ons ------------------------------------------------------------------

@@ -79,12 +79,12 @@ def normalize_requests(df: DataFrame) -> DataFrame:
     dp = F.col("diesel_price")
     has_diesel = dp.isNotNull() & (dp != 0)
     known = F.array(*[F.lit(a) for a in K.ADDON_CONFIG])
-    return (df.withColumn("origin", E.strip("origin"))
-            .withColumn("destination", E.strip("destination"))
-            .withColumn("vehicle_type", F.when(vt0.isin(*known_vehicles), vt0).otherwise(F.lit(K.DEFAULT_VEHICLE)))
-            .withColumn("diesel_source", F.when(has_diesel, F.lit("vision")).otherwise(F.lit("default")))
-            .withColumn("diesel_price", F.when(has_diesel, dp).otherwise(F.lit(K.DEFAULT_DIESEL)))
-            .withColumn("addons", filter_known(F.coalesce(F.col("addons"), F.array().cast("array<string>")), known)))
+    return df.withColumns({
+        "origin": E.strip("origin"), "destination": E.strip("destination"),
+        "vehicle_type": F.when(vt0.isin(*known_vehicles), vt0).otherwise(F.lit(K.DEFAULT_VEHICLE)),
+        "diesel_source": F.when(has_diesel, F.lit("vision")).otherwise(F.lit("default")),
+        "diesel_price": F.when(has_diesel, dp).otherwise(F.lit(K.DEFAULT_DIESEL)),
+        "addons": filter_known(F.coalesce(F.col("addons"), F.array().cast("array<string>")), known)})
 
 
 def filter_known(arr: Column, known: Column) -> Column:
