@@ -55,12 +55,17 @@ def add_lane_features(df: DataFrame, popularity: str = "exp", rate: float = 0.02
     cnt = F.coalesce(F.col("lane_prior_bookings").cast("double"), F.lit(0.0))
     boost = F.exp(F.lit(rate) * rc) if popularity == "exp" else (F.lit(1.0) + F.lit(rate) * rc)
     std = F.coalesce(prior_flag_std(F.col("route_count"), F.col("lane_prior_flags")), F.lit(0.0))
-    return (df.withColumn("lane_maturity", F.log1p(rc))
-            .withColumn("lane_popularity_raw", cnt * boost + F.lit(1.0))
-            .withColumn("route_risk_raw", std)
-            .withColumn("route_risk_smoothed", std * (rc / (rc + F.lit(risk_k))))
-            .withColumn("lane_popularity_log", F.log1p("lane_popularity_raw"))
-            .withColumn("cost_weight_raw", F.lit(1.0) / (F.lit(1.0) + F.log1p(F.col("est_fuel_cost") / 1000))))
+    raw = cnt * boost + F.lit(1.0)
+    log_pop = F.log1p(raw)
+    if popularity == "exp":
+        # count * exp(a) + 1 overflows to +inf once a = rate * index passes ~709 (a lane with ~35,000
+        # earlier trips at rate 0.02); log1p of it is then a + log(count + 2 exp(-a)), which is finite.
+        a = F.lit(rate) * rc
+        log_pop = F.when(raw < F.lit(float("inf")), log_pop).otherwise(a + F.log(cnt + F.lit(2.0) * F.exp(-a)))
+    return df.withColumns({
+        "lane_maturity": F.log1p(rc), "lane_popularity_raw": raw, "route_risk_raw": std,
+        "route_risk_smoothed": std * (rc / (rc + F.lit(risk_k))), "lane_popularity_log": log_pop,
+        "cost_weight_raw": F.lit(1.0) / (F.lit(1.0) + F.log1p(F.col("est_fuel_cost") / 1000))})
 
 
 # --- D5 / D6 --------------------------------------------------------------------------------

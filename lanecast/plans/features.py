@@ -1,11 +1,12 @@
 """Feature table build (I22 for the 8.1 rules, I19 for the older 7.2.5 rules).
 
-Plan: two lazy passes for the global scalars that need only a few columns (delay
-quantile, distance median; column pruning keeps them cheap), then one job with the two
-ordered scans (vehicle, lane), cut by a reliable checkpoint.  The remaining scalars
-(dwell quantile, flag mean, scaler states, risk range, tercile edges) are small
-aggregations over that checkpoint, and the export is a projection of it with the
-scalars as literals.
+Plan: the raw input is persisted once; two small aggregation passes give the global
+scalars that the scans need (delay quantile, distance median); the vehicle scan and the
+lane scan (chunked, see ``operators/scan.py``) follow, and their output is cut by a
+reliable checkpoint, after which the intermediate persisted frames are released.  The
+remaining scalars (dwell quantile, flag mean, scaler states, risk range, tercile edges)
+are small aggregations over that checkpoint, and the export is a projection of it with
+the scalars as literals.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Feature pipeline: edge rows, null keys, properties (past-only, scaling range, order independence)."""
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,14 @@ def test_profile_725_exports_its_columns(spark, small):
     cols = b.export().columns
     assert "cost_weight" not in cols and "is_market" not in cols and cols[-1] == "Market/Regular"
     assert PROFILE_81.export[-1] == "is_market"
+
+
+def test_popularity_log_stays_finite_past_overflow(spark):
+    from lanecast.operators.lanes import add_lane_features
+    df = spark.createDataFrame([(40000, 39999, 0, 100.0), (10, 10, 0, 100.0)],
+                               "route_count long, lane_prior_bookings long, lane_prior_flags long, est_fuel_cost double")
+    out = add_lane_features(df).collect()
+    big, small = out[0], out[1]
+    assert big.lane_popularity_raw == float("inf")
+    assert big.lane_popularity_log == pytest.approx(0.02 * 40000 + math.log(39999), rel=1e-12)
+    assert small.lane_popularity_log == pytest.approx(math.log1p(10 * math.exp(0.2) + 1), rel=1e-12)
