@@ -59,9 +59,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a computed side only after checking its row count."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast a computed side only after checking its row count.
+
+    The candidate is persisted while it is counted, so a broadcast reuses the counted rows
+    instead of recomputing them; a side over the bound is released and joined normally.
+    """
+    kept = df.persist()
+    n = kept.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
