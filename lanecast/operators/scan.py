@@ -143,50 +143,68 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
-    """Linear-interpolated quantiles of the non-NULL values (the 'linear' rule).
+    """Linear-interpolated quantiles of the non-NULL values of one column (see ``exact_quantiles_multi``)."""
+    return exact_quantiles_multi(df, {column: qs})[column]
 
-    value(q) = v[i] + (v[j] - v[i]) * (h - i) with h = (n - 1) q, i = floor(h), j = ceil(h).
-    Work is one aggregation to distinct values, then an ordered prefix count over them:
-    a single window when the distinct table is at most ``SMALL_DISTINCT`` rows (checked),
+
+def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles (the 'linear' rule) of several columns in one pass.
+
+    value(q) = v[i] + (v[j] - v[i]) * (h - i) with h = (n - 1) q, i = floor(h), j = ceil(h),
+    over the non-NULL, non-NaN values of each column.  Work: one aggregation to
+    (column, value, count), then an ordered prefix count per column: a single window
+    per column when every distinct table has at most ``SMALL_DISTINCT`` rows (checked),
     otherwise the chunked scan.  Only the values around each requested rank reach the driver.
     """
-    vals = df.select(F.col(column).cast("double").alias("v")).where(
+    cols = list(spec)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    vals = df.select(F.explode(pairs).alias("x")).select("x.i", "x.v").where(
         F.col("v").isNotNull() & ~F.isnan(F.col("v")))
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")).persist()
+    counts = vals.groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).persist()
     kept: list = []
     try:
-        total = counts.agg(F.sum("c")).first()[0]
-        if not total:
-            return [None for _ in qs]
-        ranks = set()
-        plan = []
-        for q in qs:
-            h = (total - 1) * q
-            i, j = math.floor(h), math.ceil(h)
-            ranks.update((i, j))
-            plan.append((h, i, j))
-        n_distinct = counts.count()
-        if n_distinct <= SMALL_DISTINCT:
-            # bounded table (checked above): one ordered window over the distinct values
-            w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-            scanned = counts.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        stats = {r["i"]: (r["n"], r["d"]) for r in
+                 counts.groupBy("i").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
+        plans, ranks = {}, {}
+        for i, c in enumerate(cols):
+            total = stats.get(i, (0, 0))[0]
+            if not total:
+                continue
+            plans[i] = []
+            for q in spec[c]:
+                h = (total - 1) * q
+                lo, hi = math.floor(h), math.ceil(h)
+                ranks.setdefault(i, set()).update((lo, hi))
+                plans[i].append((h, lo, hi))
+        if ranks:
+            if max(d for _, d in stats.values()) <= SMALL_DISTINCT:
+                # bounded per column (checked above): one ordered window per column
+                w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+                scanned = counts.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
+            else:
+                scanned = chunked_scan(counts, ["i"], [F.col("v").asc()], sums={"below": "c"}, keep=kept)
+            wanted = F.create_map(*[x for i, rs in ranks.items()
+                                    for x in (F.lit(i), F.array(*[F.lit(r) for r in sorted(rs)]))])
+            hits = scanned.where(F.exists(F.coalesce(wanted[F.col("i")], F.array().cast("array<long>")),
+                                          lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))) \
+                .select("i", "v", "below", "c").collect()
         else:
-            scanned = chunked_scan(counts, [], [F.col("v").asc()], sums={"below": "c"}, keep=kept)
-        wanted = F.array(*[F.lit(r) for r in sorted(ranks)])
-        hits = scanned.where(F.exists(wanted, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))) \
-            .select("v", "below", "c").collect()
+            hits = []
     finally:
         counts.unpersist()
         for k in kept:
             k.unpersist()
-    at = {}
-    for r in ranks:
-        for row in hits:
-            if row["below"] <= r < row["below"] + row["c"]:
-                at[r] = row["v"]
-                break
-    out = []
-    for h, i, j in plan:
-        lo, hi = at[i], at[j]
-        out.append(lo if i == j else lo + (hi - lo) * (h - i))
+    out = {}
+    for i, c in enumerate(cols):
+        if i not in plans:
+            out[c] = [None for _ in spec[c]]
+            continue
+        rows = [r for r in hits if r["i"] == i]
+        at = {}
+        for r_ in ranks[i]:
+            for row in rows:
+                if row["below"] <= r_ < row["below"] + row["c"]:
+                    at[r_] = row["v"]
+                    break
+        out[c] = [at[lo] if lo == hi else at[lo] + (at[hi] - at[lo]) * (h - lo) for h, lo, hi in plans[i]]
     return out

@@ -20,6 +20,7 @@ from lanecast.operators import lanes as L
 from lanecast.operators import lifecycle as V
 from lanecast.operators import scaling as S
 from lanecast.operators import scores as SC
+from lanecast.operators.scan import exact_quantiles_multi
 from lanecast.session import materialize
 
 EXPORT_81 = (
@@ -83,8 +84,10 @@ def prepare(trips: DataFrame, profile: Profile = PROFILE_81, keep: list | None =
     if keep is not None:
         base = base.persist()
         keep.append(base)
-    thr = V.delay_threshold(base, profile.delay_quantile)
-    median = V.distance_median(base)
+    # D1 and D3 in one pass over the input
+    qs = exact_quantiles_multi(base, {"delay_hours": [profile.delay_quantile],
+                                      "TRANSPORTATION_DISTANCE_IN_KM": [0.5]})
+    thr, median = qs["delay_hours"][0], qs["TRANSPORTATION_DISTANCE_IN_KM"][0]
     df = V.add_delay_flag(base, thr)
     df = V.add_calendar(df)
     df = V.impute_distance(df, median)
