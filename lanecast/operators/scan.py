@@ -4,15 +4,17 @@
 (``ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING``), its 0-based position and the
 next row's values (``lead``).  A plain ``Window.partitionBy(key)`` sends a hot key to a
 single task; here the rows are first range-partitioned on (key, order), so a hot key is
-spread over consecutive range chunks (the chunked frame is checkpointed once so
-every reader sees the same chunk ids).  Each chunk runs an ordinary window, and the
+spread over consecutive range chunks (the chunked frame is persisted or checkpointed
+once, so every reader sees the same chunk ids).  Each chunk runs an ordinary window, and the
 carry-in of a chunk (totals of the earlier chunks of the same key, first row of the
 next chunk) comes from a table with one row per (key, chunk) for keys that span
 several chunks.  Range chunks are contiguous, so at most one key crosses each chunk
 boundary and that table never exceeds 2 x chunks rows: it is broadcast on that bound.
 
-``exact_quantiles`` uses the same scan over the distinct values (with their counts) to
-find the values at the interpolation ranks, without sending all values to one task.
+``exact_quantiles_multi`` aggregates to (column, value, count) and finds the values at the
+interpolation ranks with an ordered prefix count over the distinct values (one bounded
+window, or this chunked scan when the distinct table is large), so no task or driver ever
+holds all values.
 """
 
 from __future__ import annotations

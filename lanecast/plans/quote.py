@@ -1,10 +1,11 @@
 """J18 quote_requests: requests -> priced quotes (and a rejected table).
 
-Plan: validation and normalisation are row-local; the lane lookup is a broadcast hash
-join (size-checked) plus a nested-loop join over the *distinct missed pairs* only; the
-gazetteer join is broadcast (fixed size); everything after that is per-row column
-expressions inside one codegen stage.  The request table itself is never shuffled
-except for the distinct-misses aggregation.
+Plan: validation and normalisation are row-local; the lane context is resolved once per
+distinct (origin, destination) pair (exact key via a size-checked broadcast of the KB,
+then a nested-loop join over the missed pairs only, then the global row) and joined back
+with a size-checked broadcast; the gazetteer join is broadcast (fixed size); everything
+after that is per-row column expressions.  The request table itself is not shuffled
+(only its distinct pairs are aggregated) while the pair table passes the broadcast bound.
 """
 
 from __future__ import annotations
