@@ -19,6 +19,15 @@ def add_train_mask(df: DataFrame, n_rows: int, share: float = 0.8) -> DataFrame:
     return df.withColumn("is_train", F.col("sort_position") < F.lit(cut))
 
 
+def time_sort_position(df: DataFrame) -> DataFrame:
+    """Replace ``sort_position`` by the position in (start, vehicle, BookingID) order (NULL starts last),
+    computed with the chunked scan (no single-partition sort)."""
+    from lanecast.operators.scan import chunked_scan
+    order = [F.col("trip_start_date").asc_nulls_last(), F.col("vehicle_no").asc_nulls_last(),
+             F.col("BookingID").asc_nulls_last()]
+    return chunked_scan(df.drop("sort_position"), [], order).withColumnRenamed("_pos", "sort_position")
+
+
 def minmax_fit(df: DataFrame, columns: list[str], where=None) -> dict[str, tuple[float | None, float | None]]:
     """Min and max per column (NULLs skipped), on the rows selected by ``where``."""
     src = df.where(where) if where is not None else df

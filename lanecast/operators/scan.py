@@ -9,7 +9,8 @@ once, so every reader sees the same chunk ids).  Each chunk runs an ordinary win
 carry-in of a chunk (totals of the earlier chunks of the same key, first row of the
 next chunk) comes from a table with one row per (key, chunk) for keys that span
 several chunks.  Range chunks are contiguous, so at most one key crosses each chunk
-boundary and that table never exceeds 2 x chunks rows: it is broadcast on that bound.
+boundary and that table never exceeds 2 x chunks rows (chunks <= shuffle partitions): it is
+broadcast on that bound.
 
 ``exact_quantiles_multi`` aggregates to (column, value, count) and finds the values at the
 interpolation ranks with an ordered prefix count over the distinct values (one bounded
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanecast.session import materialize, shuffle_partitions
+from lanecast.session import materialize
 
 SMALL_DISTINCT = 1_000_000   # distinct values one task may order (a few MB)
 _SEP = "\u0001"              # sorts below every printable character
@@ -61,8 +62,6 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
     counts = counts or {}
     sums = sums or {}
     leads = leads or []
-    spark = df.sparkSession
-    n = chunks or shuffle_partitions(spark)
     base = df.withColumn("_key", _key_column(keys))
 
     if not skew_safe and not global_position:
@@ -75,8 +74,11 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
             sel.append(F.lead(F.struct(*leads)).over(w).alias("_next"))
         return base.select(*sel).drop("_key")
 
-    ranged = (base.repartitionByRange(n, F.col("_key").asc(), *order)
-              .withColumn("_chunk", F.spark_partition_id()))
+    # Without an explicit count the range shuffle is sized by the planner and AQE may merge
+    # adjacent ranges; merged ranges stay contiguous, so partition ids remain valid chunk ids.
+    sort = [F.col("_key").asc(), *order]
+    ranged = base.repartitionByRange(chunks, *sort) if chunks else base.repartitionByRange(*sort)
+    ranged = ranged.withColumn("_chunk", F.spark_partition_id())
     w = Window.partitionBy("_key", "_chunk").orderBy(*order)
     wp = w.rowsBetween(Window.unboundedPreceding, -1)
     sel = [F.col("*"), (F.row_number().over(w) - 1).alias("_lpos")]

@@ -51,7 +51,8 @@ class Profile:
     weights: SC.ScoreWeights
     export: tuple = field(default=EXPORT_81)
     train_share: float = 0.8
-    lane_order: str = "vehicle"
+    lane_order: str = "vehicle"     # "time": earlier = earlier start (the sound alternative)
+    split_order: str = "vehicle"    # "time": the train rows are the earliest 80 % by start time
 
 
 PROFILE_81 = Profile("8.1", 0.80, "exp", 0.02, 15.0, "train",
@@ -124,6 +125,8 @@ def build_features(trips: DataFrame, profile: Profile = PROFILE_81, *, skew_safe
     out = V.add_driver_delay_rate(staged, flag_mean)
     out = V.add_continuity(out, dwell_thr)
     if profile.scale_on == "train":
+        if profile.split_order == "time":
+            out = S.time_sort_position(out)
         out = S.add_train_mask(out, n, profile.train_share)
         fit_rows = F.col("is_train")
     else:

@@ -109,3 +109,14 @@ def test_popularity_log_stays_finite_past_overflow(spark):
     assert big.lane_popularity_raw == float("inf")
     assert big.lane_popularity_log == pytest.approx(0.02 * 40000 + math.log(39999), rel=1e-12)
     assert small.lane_popularity_log == pytest.approx(math.log1p(10 * math.exp(0.2) + 1), rel=1e-12)
+
+
+def test_time_split_order(spark, small):
+    from dataclasses import replace
+    from lanecast.plans.features import PROFILE_81
+    b = build_features(_trips(spark, small), replace(PROFILE_81, split_order="time"))
+    rows = b.frame.select("trip_start_date", "BookingID", "vehicle_no", "is_train").collect()
+    key = lambda r: (r.trip_start_date is None, r.trip_start_date or 0, r.vehicle_no is None, r.vehicle_no or "", r.BookingID)
+    ordered = sorted(rows, key=key)
+    cut = int(len(rows) * 0.8)
+    assert [r.is_train for r in ordered] == [True] * cut + [False] * (len(rows) - cut)
