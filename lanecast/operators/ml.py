@@ -131,9 +131,14 @@ def p_positive(model: PipelineModel, df: DataFrame, out: str = K.DELAY_PROB_COL)
 # --- K5 / K6 / C8 out-of-fold stacking ---------------------------------------------------------------------
 
 def oof_probability(df: DataFrame, features: list[str], k: int = 5, params: GBTParams = RISK_FAST,
-                    label: str = "delay_flag", id_col: str = "BookingID") -> tuple[DataFrame, list[float]]:
-    """K5 + C8: each row scored by the model not trained on its fold; also the per-fold AUCs (K6)."""
-    folded = stratified_folds(df, label, k, id_col)
+                    label: str = "delay_flag", id_col: str = "BookingID",
+                    folded: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+    """K5 + C8: each row scored by the model not trained on its fold; also the per-fold AUCs (K6).
+
+    ``folded`` may carry a precomputed ``fold`` column (E7) so the folds are assigned once.
+    """
+    if folded is None:
+        folded = stratified_folds(df, label, k, id_col)
     parts, aucs = [], []
     for i in range(k):
         model = fit_pipeline("clf", folded.where(F.col("fold") != i), features, label, replace(params, early_stop=False))

@@ -151,6 +151,7 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float |
     return exact_quantiles_multi(df, {column: qs})[column]
 
 
+
 def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles (the 'linear' rule) of several columns in one pass.
 
@@ -159,6 +160,7 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[s
     (column, value, count), then an ordered prefix count per column: a single window
     per column when every distinct table has at most ``SMALL_DISTINCT`` rows (checked),
     otherwise the chunked scan.  Only the values around each requested rank reach the driver.
+    The result also holds ``"_counts"``: the number of non-NULL values per column.
     """
     cols = list(spec)
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
@@ -198,7 +200,7 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[s
         counts.unpersist()
         for k in kept:
             k.unpersist()
-    out = {}
+    out = {"_counts": {c: stats.get(i, (0, 0))[0] for i, c in enumerate(cols)}}
     for i, c in enumerate(cols):
         if i not in plans:
             out[c] = [None for _ in spec[c]]

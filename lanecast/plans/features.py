@@ -89,11 +89,12 @@ def prepare(trips: DataFrame, profile: Profile = PROFILE_81, keep: list | None =
     qs = exact_quantiles_multi(base, {"delay_hours": [profile.delay_quantile],
                                       "TRANSPORTATION_DISTANCE_IN_KM": [0.5]})
     thr, median = qs["delay_hours"][0], qs["TRANSPORTATION_DISTANCE_IN_KM"][0]
+    n_rows = qs["_counts"]["delay_hours"]          # delay_hours is never NULL: this is the row count
     df = V.add_delay_flag(base, thr)
     df = V.add_calendar(df)
     df = V.impute_distance(df, median)
     df = V.add_distance_features(df)
-    return df, {"delay_threshold": thr, "distance_median": median}
+    return df, {"delay_threshold": thr, "distance_median": median, "n_rows": n_rows}
 
 
 def scans(df: DataFrame, profile: Profile = PROFILE_81, skew_safe: bool = True, keep: list | None = None) -> DataFrame:
@@ -117,10 +118,10 @@ def build_features(trips: DataFrame, profile: Profile = PROFILE_81, *, skew_safe
     for k in kept:          # everything upstream of the checkpoint is no longer needed
         k.unpersist()
 
-    agg = staged.agg(F.count(F.lit(1)).alias("n"), F.avg("delay_flag").alias("flag_mean")).first()
-    n, flag_mean = agg["n"], agg["flag_mean"]
+    n = scalars["n_rows"]
+    flag_mean = staged.agg(F.avg("delay_flag")).first()[0]
     dwell_thr = V.dwell_threshold(staged)
-    scalars.update(n_rows=n, flag_mean=flag_mean, dwell_threshold=dwell_thr)
+    scalars.update(flag_mean=flag_mean, dwell_threshold=dwell_thr)
 
     out = V.add_driver_delay_rate(staged, flag_mean)
     out = V.add_continuity(out, dwell_thr)
