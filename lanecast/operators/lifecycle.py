@@ -67,7 +67,8 @@ def add_market_flag(df: DataFrame, name: str = "is_market", absent_value: int =
     return df.withColumn(name, F.lit(absent_value))
 
 
-def vehicle_scan(df: DataFrame, *, skew_safe: bool = True, keep: list | None = None) -> DataFrame:
+def vehicle_scan(df: DataFrame, *, skew_safe: bool = True, keep: list | None = None,
+                 chunks: int | None = None) -> DataFrame:
     """E1 / E2 inputs and the global sort position (F1, E6) in one chunked scan per vehicle.
 
     Order within a vehicle: trip start (NULLs last), then BookingID as tie-break.
@@ -77,7 +78,7 @@ def vehicle_scan(df: DataFrame, *, skew_safe: bool = True, keep: list | None = N
         df, ["vehicle_no"], vehicle_order(),
         sums={"_veh_prior_flags": "delay_flag"},
         leads=["Origin_Location", "Destination_Location", "trip_start_date"],
-        global_position=True, skew_safe=skew_safe, keep=keep)
+        global_position=True, skew_safe=skew_safe, keep=keep, chunks=chunks)
     has_vehicle = F.col("vehicle_no").isNotNull()
     nxt = F.col("_next")
     return (scanned

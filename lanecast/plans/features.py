@@ -21,7 +21,7 @@ from lanecast.operators import lifecycle as V
 from lanecast.operators import scaling as S
 from lanecast.operators import scores as SC
 from lanecast.operators.scan import exact_quantiles_multi
-from lanecast.session import materialize
+from lanecast.session import materialize, shuffle_partitions
 
 EXPORT_81 = (
     "BookingID", "vehicle_no", "Origin_Location", "Destination_Location",
@@ -97,14 +97,25 @@ def prepare(trips: DataFrame, profile: Profile = PROFILE_81, keep: list | None =
     return df, {"delay_threshold": thr, "distance_median": median, "n_rows": n_rows}
 
 
-def scans(df: DataFrame, profile: Profile = PROFILE_81, skew_safe: bool = True, keep: list | None = None) -> DataFrame:
+ROWS_PER_CHUNK = 250_000   # a key is split across tasks only once it outgrows this many rows
+
+
+def scan_chunks(spark, n_rows: int | None) -> int | None:
+    """Range chunks for the ordered scans: about ``ROWS_PER_CHUNK`` rows each, at most the shuffle partitions."""
+    if not n_rows:
+        return None
+    return max(1, min(shuffle_partitions(spark), -(-n_rows // ROWS_PER_CHUNK)))
+
+
+def scans(df: DataFrame, profile: Profile = PROFILE_81, skew_safe: bool = True, keep: list | None = None,
+          chunks: int | None = None) -> DataFrame:
     """Vehicle scan (E1, E2 inputs, sort position) then lane scan (E3-E5) and the trip links."""
-    veh = V.vehicle_scan(df, skew_safe=skew_safe, keep=keep)
+    veh = V.vehicle_scan(df, skew_safe=skew_safe, keep=keep, chunks=chunks)
     veh = V.add_trip_links(veh)
     if keep is not None:
         veh = veh.persist()
         keep.append(veh)
-    lane = L.lane_scan(veh, mode=profile.lane_order, skew_safe=skew_safe, keep=keep)
+    lane = L.lane_scan(veh, mode=profile.lane_order, skew_safe=skew_safe, keep=keep, chunks=chunks)
     return L.add_lane_features(lane, profile.popularity, profile.popularity_rate, profile.risk_k)
 
 
@@ -113,7 +124,7 @@ def build_features(trips: DataFrame, profile: Profile = PROFILE_81, *, skew_safe
     """I22 (profile 8.1) / I19 (profile 7.2.5): raw trips -> feature table."""
     kept: list = []
     df, scalars = prepare(trips, profile, kept)
-    staged = scans(df, profile, skew_safe, kept)
+    staged = scans(df, profile, skew_safe, kept, scan_chunks(trips.sparkSession, scalars["n_rows"]))
     staged = materialize(staged) if checkpoint else staged.persist()
     for k in kept:          # everything upstream of the checkpoint is no longer needed
         k.unpersist()
