@@ -18,8 +18,12 @@ def col(c) -> Column:
 # --- H2 / strings -----------------------------------------------------------------
 
 def strip(c) -> Column:
-    """Python-style ``str.strip()``: removes leading/trailing white space of any kind."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Python-style ``str.strip()``: removes leading/trailing white space of any kind.
+
+    ``(?U)`` makes the white-space class Unicode-aware (no-break space, ideographic space,
+    ...), as Python's ``str.strip()`` does; Spark's ``trim`` removes blanks only.
+    """
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
 def place_key(c) -> Column:

@@ -65,3 +65,9 @@ def test_calendar_and_season(spark):
 def test_distance_category_bounds(spark):
     df = spark.createDataFrame([(199.99,), (200.0,), (499.9,), (500.0,), (None,)], "k double")
     assert [r[0] for r in df.select(E.distance_category("k")).collect()] == [0, 1, 1, 2, 2]
+
+
+def test_strip_unicode_white_space(spark):
+    text = " 　 Pune\t "
+    got = spark.createDataFrame([(text,)], "a string").select(E.strip("a")).first()[0]
+    assert got == text.strip() == "Pune"
