@@ -69,3 +69,16 @@ def test_lookup_lane_exact_contains_global(spark, broadcast_rows):
     # 'asi'/'eur' is contained in (asia, europe) and (east asia, eur): key order picks (asia, europe)
     assert out == {"1": ("exact", 10, 0.5), "2": ("contains", 10, 0.5), "3": ("global", 0, 0.3),
                    "4": ("contains", 7, 0.9)}
+
+
+def test_indexed_contains_path_equals_broadcast_on_requests_view(spark):
+    from lanecast.plans.quote_queries import _kb
+    from lanecast.sources.requests import requests_view
+    from tests.conftest import SF_SMALL
+    kb, g = _kb(spark, SF_SMALL)
+    req = R.normalize_requests(R.validate_requests(requests_view(spark, SF_SMALL))[0])
+    cols = ["request_id", "lane_match", "trip_count", "lane_popularity", "avg_dist_km"]
+    a = sorted(L.lookup_lane(req, kb, g).select(*cols).collect())
+    b = sorted(L.lookup_lane(req, kb, g, broadcast_rows=0).select(*cols).collect())
+    assert a == b and len(a) > 0
+    assert {r.lane_match for r in a} == {"exact", "contains", "global"}
