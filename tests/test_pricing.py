@@ -96,3 +96,36 @@ def test_road_table_takes_precedence(spark):
     out = {r.request_id: (r.distance_km, r.distance_method) for r in P.add_distance(df, spark, road).collect()}
     # a zero road distance counts as missing, so Z falls through to the gazetteer pair
     assert out == {"R": (1400.0, "osrm"), "Z": (1420.0, "osrm")}
+
+
+def test_quote_document_contract(spark):
+    """The nested quote document keeps the service's response layout (field names and nesting)."""
+    df = P.add_temporal(spark.createDataFrame(GOLDEN, SCHEMA))
+    df = df.withColumn("origin", F.lit("Delhi")).withColumn("destination", F.lit("Mumbai")) \
+        .withColumn("diesel_source", F.lit("default"))
+    schema = Q.quote_document(Q.price(df)).schema
+
+    def names(st):
+        return [f.name for f in st.fields]
+
+    assert names(schema) == ["request_id", "origin", "destination", "trip_date", "weight_tonnes", "vehicle_type",
+                             "abstraction", "efficiency_score", "efficiency_label", "delay_probability", "p_return",
+                             "p_return_model", "confidence_score", "confidence_label", "pricing", "addons",
+                             "final_price", "status"]
+    assert names(schema["abstraction"].dataType) == [
+        "distance_km", "distance_method", "day_name", "season", "is_peak_season", "m_loaded_kmpl", "m_empty_kmpl",
+        "lane_popularity", "route_risk", "lane_trip_count", "vehicle_type", "diesel_price", "diesel_source"]
+    assert names(schema["p_return_model"].dataType) == [
+        "arrival_time", "expected_dwell_h", "T_active_h", "T_grace_h", "lambda", "vehicle_type", "within_grace"]
+    pricing = schema["pricing"].dataType
+    assert names(pricing) == ["operational", "risk", "corridor", "feasibility", "recommended_price", "status"]
+    assert names(pricing["operational"].dataType) == [
+        "fuel_loaded_L", "fuel_empty_L", "fuel_loaded_cost", "fuel_empty_cost", "tolls_roundtrip", "driver_wage",
+        "maintenance", "mobilization", "c_base", "m_loaded_kmpl", "m_empty_kmpl", "diesel_price"]
+    assert names(pricing["risk"].dataType) == ["p_return", "p_no_return", "empty_fuel_val", "c_risk"]
+    assert names(pricing["corridor"].dataType) == [
+        "p_min", "p_max", "premium", "floor", "ceiling", "was_snapped", "competitor_price", "epsilon_high_pct",
+        "epsilon_low_pct", "ml_multiplier", "ml_delay_prem_pct", "ml_eff_adj_pct"]
+    assert names(pricing["feasibility"].dataType) == ["c_survival", "is_feasible", "recommended", "status", "note"]
+    assert names(schema["addons"].dataType) == ["selected", "breakdown", "total"]
+    assert schema["final_price"].dataType.typeName() == "long"
