@@ -102,14 +102,14 @@ def q_k9(spark, sf_dir):
     return model.transform(split.where(F.col("is_test")))
 
 
-@register("K8_random_search", [("rank", "i"), ("r2_cv", "d")])
+@register("K8_random_search", [("setting", "i"), ("r2_cv", "d")])
 def q_k8(spark, sf_dir):
-    """K8: 15 sampled settings x 3-fold CV by R^2 on the v7 features (tree counts scaled by 1/100)."""
+    """K8: 15 sampled settings x 3-fold CV by R^2 on the v7 features (tree counts scaled by 1/100); one row per setting."""
     from lanecast.operators.lifecycle import add_market_flag
     feats = add_market_flag(_feat(spark, sf_dir).export(), "is_regular", 1)
     train = M.split_random(feats).where(~F.col("is_test"))
     _, best, metrics = M.random_search(train, K.V7_FEATURES, "efficiency_score", tree_scale=0.01)
-    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(metrics)], "rank int, r2_cv double")
+    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(metrics)], "setting int, r2_cv double")
 
 
 K10 = [("accuracy", "d"), ("brier", "d"), ("auc", "d"), ("brier_warning", "b")]
