@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lanecast.session import ensure_checkpoint_dir
 
@@ -34,19 +35,37 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that an Arrow map hands back at a time.
+SLICE_ROWS = 1024
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, fn: Callable, out: str) -> DataFrame:
-    """Arrow map: ``fn(*column values) -> tuple`` per row; ``out`` is the DDL of the returned columns."""
-    names = [x.split()[0] for x in out.split(",")]
+    """Arrow map: ``fn(*column values) -> tuple`` per row; ``out`` is the DDL of the returned columns.
+
+    Batches come as Spark cuts them and go back in slices of ``SLICE_ROWS`` rows; a null value arrives as None.
+    """
+    schema = StructType.fromDDL(out)
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        kinds = to_arrow_schema(schema)
         for b in batches:
-            rows = [fn(*(None if v is None or v != v else v for v in r)) for r in zip(*(b[c] for c in b.columns))]
-            cols = list(zip(*rows)) if rows else [()] * len(names)
-            yield pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, cols)})
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                rows = [fn(*r) for r in zip(*(c.to_pylist() for c in b.slice(at, SLICE_ROWS).columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)],
+                                                 schema=kinds)
 
-    return df.mapInPandas(run, out)
+    return df.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanecast.llm import simhash
+from lanecast.llm import decontaminate, quality, simhash
 from lanecast.llm.common import table
 
 
@@ -13,5 +13,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
-ORACLES: dict[str, str] = {}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from its text, learnt from the labels of the other folds."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in documents, one row per document and item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES = {"op10_decontaminate": decontaminate.ORACLE}

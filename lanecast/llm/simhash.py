@@ -18,12 +18,12 @@ whole component has none; an empty table gives an empty result. Only the id and
 
 from __future__ import annotations
 
-from itertools import chain, combinations
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import ASCII_LOWER, map_rows, stored, word_pieces
+from lanecast.llm.common import ASCII_LOWER, free_name, map_rows, stored, word_pieces
 from lanecast.llm.components import connected_components
 from lanecast.session import materialize
 
@@ -123,8 +123,7 @@ def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 3) -> Data
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """``df`` with one row of each component: the smallest doc_id (nulls last; among repeated ids, one of them)."""
-    names = {c.lower() for c in df.columns}
-    uid = next(c for c in chain(["row_uid"], (f"row_uid_{i}" for i in range(10**6))) if c not in names)
+    uid = free_name(df, "row_uid")
     base = stored(df.withColumn(uid, F.monotonically_increasing_id()))
     rows = stored(fingerprints(base, text, shingle, ["doc_id", uid]).withColumnRenamed(uid, "uid"))
     comp = components(rows, "uid")
