@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanecast.llm import decontaminate, quality, simhash
+from lanecast.llm import bpe, decontaminate, quality, secrets, simhash
 from lanecast.llm.common import table
 
 
@@ -13,11 +13,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every text and their decoding, as counts and digests."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from its text, learnt from the labels of the other folds."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: fixed patterns, and formats learnt from them."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents, one row per document and item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -25,7 +35,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_secret_scans": op8_secret_scans,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {"op10_decontaminate": decontaminate.ORACLE}
