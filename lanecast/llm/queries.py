@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanecast.llm import bpe, decontaminate, quality, secrets, simhash
+from lanecast.llm import bpe, decontaminate, quality, quality_rules, secrets, sharding, simhash
 from lanecast.llm.common import table
 
 
+def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and zstandard bands of every text, and whether it is kept."""
+    return quality_rules.apply(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of documents: fingerprints of 3-word shingles, linked at two or fewer bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, groups of equal texts kept whole."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text and their decoding, as counts and digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -34,7 +44,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compression_bands": op1_compression_bands,
     "op2_simhash": op2_simhash,
+    "op3_differencing": op3_differencing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_secret_scans": op8_secret_scans,
