@@ -13,34 +13,22 @@ null. Extra columns are not read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanecast.llm.common import free_name
-from lanecast.llm.shingle_search import BINS, CONTAINMENT, row_keys, search, target_shingles
+from lanecast.llm.shingle_search import CONTAINMENT, row_keys, search, sketches, target_shingles
 from lanecast.session import materialize
 
 #: Ratio of the largest to the smallest item of a size class.
 GROWTH = 1.5
 
 
-def sketches(shingles: DataFrame) -> DataFrame:
-    """``(target, h, length, step)``: each item's smallest hash per bin, and the windows of its size class."""
-    size = shingles.groupBy("target").agg(F.count("*").alias("q"))
-    top = F.ceil(F.pow(F.lit(GROWTH), F.floor(F.log(F.col("q") + 0.0) / math.log(GROWTH) + 1e-9) + 1)).cast("int")
-    step = F.greatest(F.lit(1), F.floor(F.col("hi") / 4)).cast("int")
-    classes = size.select("target", top.alias("hi")).select("target", (F.col("hi") + step).alias("length"),
-                                                            step.alias("step"))
-    low = shingles.groupBy("target", F.pmod("h", F.lit(BINS)).alias("bin")).agg(F.min("h").alias("h"))
-    return low.join(classes, "target").select("target", "h", "length", "step")
-
-
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """Leaked items with the row keys of the documents that hold them."""
     shingles = materialize(target_shingles(items, "item_id"))
-    return search(docs, shingles, materialize(sketches(shingles)), text, containment)
+    pieces = materialize(sketches(shingles.withColumn("piece", F.lit(0)), GROWTH))
+    return search(docs, shingles, pieces, text, containment)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

@@ -7,13 +7,18 @@ if a bin has the same smallest hash in both (bands of one row), so the collision
 ``1 - (1 - J) ** b`` for the Jaccard similarity J and the b filled bins of the piece.
 
 The window sketches are never written out in full. A window can only collide through a hash that is in some piece's
-sketch, so the shingles are first joined with those hashes; the window minimum is then checked for the hits alone.
-The result is that of the full sketch join. Candidates are verified by exact containment of shingle texts in the
-whole document.
+sketch, so the shingles of a document are first joined with the targets' shingles; the window minimum is then checked
+for the hits alone. The result is that of the full sketch join, from one scan of the texts, which are not shuffled.
+Candidates are verified by exact containment of shingle texts in the whole document.
+
+The targets' side of that join is broadcast in blocks of ``BLOCK_SHINGLES`` shingles at most (a target stays in one
+block), so more targets mean more scans, never a larger broadcast.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ from lanecast.session import materialize
 SHINGLE = 5
 BINS = 64
 CONTAINMENT = 0.8
+#: Shingles of the targets that are broadcast at a time (about 20 MB).
+BLOCK_SHINGLES = 200_000
 #: Fixed: what counts as between words, in the lower-cased text.
 BETWEEN = "[^\\p{L}\\p{N}]+"
 
@@ -58,38 +65,74 @@ def target_shingles(targets: DataFrame, target_id: str, text: str = "text") -> D
             .groupBy("target", "gram", "h").agg(F.min("at").alias("first")))
 
 
+def sketches(shingles: DataFrame, growth: float) -> DataFrame:
+    """``(target, piece, h, length, step)``: smallest hash per bin of each piece, and its size class's windows.
+
+    ``shingles`` has ``target, piece, h``. Class c holds pieces of ``growth ** c <= q < growth ** (c + 1)`` shingles;
+    its windows are ``hi + step`` shingles long, for hi the largest q of the class and a step of ``hi / 4``.
+    """
+    size = shingles.groupBy("target", "piece").agg(F.count("*").alias("q"))
+    top = F.ceil(F.pow(F.lit(growth), F.floor(F.log(F.col("q") + 0.0) / math.log(growth) + 1e-9) + 1)).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.col("hi") / 4)).cast("int")
+    classes = size.select("target", "piece", top.alias("hi")).select(
+        "target", "piece", (F.col("hi") + step).alias("length"), step.alias("step"))
+    low = shingles.groupBy("target", "piece", F.pmod("h", F.lit(BINS)).alias("bin")).agg(F.min("h").alias("h"))
+    return low.join(classes, ["target", "piece"]).select("target", "piece", "h", "length", "step")
+
+
+def _collisions(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """``(doc_id, k1, k2, gram, h, length)``: document shingles that targets have, and the window lengths at which
+    one is the smallest of its bin in some window (null: at none)."""
+    at, h = F.col("at"), F.col("h")
+    hits = (_positions(rows).withColumn("h", _hash(F.col("words"), at)).join(F.broadcast(grams), "h")
+            .where(F.col("gram") == _gram(F.col("words"), at)))
+
+    def smaller(p):
+        other = _hash(F.col("words"), p)
+        return (F.pmod(other, F.lit(BINS)) == F.pmod(h, F.lit(BINS))) & (other < h)
+
+    reach = F.array_max(F.col("windows.length"))
+    last = F.size("words") - SHINGLE
+    left = F.coalesce(F.array_max(F.filter(F.sequence(F.greatest(F.lit(0), at - reach), at), smaller)), F.lit(-1))
+    right = F.coalesce(F.array_min(F.filter(F.sequence(at, F.least(last, at + reach)), smaller)), last + 1 + reach)
+
+    def collides(w):  # a window [s * step, s * step + length) that holds ``at`` and no smaller hash of its bin
+        low = F.greatest(F.floor((at - w.length) / w.step) + 1, F.floor(F.col("left") / w.step) + 1, F.lit(0))
+        high = F.least(F.floor(at / w.step), F.floor((F.col("right") - w.length) / w.step))
+        return low <= high
+
+    clear = (hits.where(F.size("windows") > 0).withColumns({"left": left, "right": right})
+             .select("doc_id", "k1", "k2", "gram", "h", F.filter("windows", collides).alias("w")))
+    none = hits.where(F.size("windows") == 0).select("doc_id", "k1", "k2", "gram", "h",
+                                                     F.lit(None).cast("int").alias("length"))
+    return clear.select("doc_id", "k1", "k2", "gram", "h",
+                        F.explode_outer(F.col("w.length")).alias("length")).union(none)
+
+
 def search(docs: DataFrame, shingles: DataFrame, pieces: DataFrame, text: str = "text",
            containment: float = CONTAINMENT) -> DataFrame:
     """Targets contained in documents: ``(doc_id, k1, k2, target, shingles, shared)``, one row per document and target.
 
-    ``shingles`` comes from ``target_shingles``; ``pieces(target, h, length, step)`` holds the hashes of each piece's
-    sketch with the length and step, in shingles, of the windows it is compared with.
+    ``shingles(target, gram, h)`` comes from ``target_shingles`` and ``pieces`` from ``sketches``; both are stored.
     """
     rows = docs.select("doc_id", *row_keys(F.col(text), F.col("doc_id")), words_of(F.col(text)).alias("words"))
-    sketch = pieces.select("length", "step", "h").distinct()
-    hits = (_positions(rows).select("doc_id", "k1", "k2", "at", _hash(F.col("words"), F.col("at")).alias("h"))
-            .join(sketch, "h").groupBy("doc_id", "k1", "k2")
-            .agg(F.collect_set(F.struct("at", "h", "length", "step")).alias("hits")))
-    hits = stored(hits)
-    found = stored(rows.join(hits.select("k1", "k2", "hits"), ["k1", "k2"]))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: _hash(F.col("words"), i))
-    hit = F.col("hit")
-    start = F.col("start")
-    lowest = F.sequence(F.greatest(F.lit(0), F.floor((hit.at - hit.length) / hit.step).cast("int") + 1),
-                        F.floor(hit.at / hit.step).cast("int"))
-    windows = (found.select("doc_id", "k1", "k2", hashes.alias("hs"), F.explode("hits").alias("hit"))
-               .select("doc_id", "k1", "k2", "hs", "hit", F.explode(lowest).alias("start"))
-               .where(~F.exists(F.slice("hs", start * hit.step + 1, hit.length),
-                                lambda x: (F.pmod(x, F.lit(BINS)) == F.pmod(hit.h, F.lit(BINS))) & (x < hit.h)))
-               .select("doc_id", "k1", "k2", hit.h.alias("h"), hit.length.alias("length")).distinct())
-    pairs = materialize(windows.join(pieces.select("target", "h", "length"), ["h", "length"])
-                        .select("doc_id", "k1", "k2", "target").distinct())
-    in_docs = (_positions(found.select("k1", "k2", "words"))
-               .select("k1", "k2", _gram(F.col("words"), F.col("at")).alias("gram"))
-               .join(shingles.select("gram").distinct(), "gram", "left_semi").distinct())
-    shared = (pairs.join(shingles.select("target", "gram"), "target")
-              .join(in_docs, ["k1", "k2", "gram"], "left_semi")
-              .groupBy("doc_id", "k1", "k2", "target").agg(F.count("*").alias("shared")))
-    sizes = shingles.groupBy("target").agg(F.count("*").alias("shingles"))
-    return (shared.join(sizes, "target").where(F.col("shared") >= F.lit(containment) * F.col("shingles"))
-            .select("doc_id", "k1", "k2", "target", "shingles", "shared"))
+    blocks = max(1, math.ceil(shingles.count() / BLOCK_SHINGLES))
+    block = F.pmod(F.xxhash64("target"), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        own, own_pieces = shingles.where(block == i), pieces.where(block == i)
+        windows = own_pieces.groupBy("h").agg(F.collect_set(F.struct("length", "step")).alias("w"))
+        grams = (own.select("gram", "h").distinct().join(windows, "h", "left")
+                 .select("gram", "h", F.coalesce("w", F.array().cast("array<struct<length:int,step:int>>"))
+                         .alias("windows")))
+        hits = stored(_collisions(rows, materialize(grams)).distinct())
+        pairs = (hits.where("length IS NOT NULL").join(own_pieces.select("target", "h", "length"), ["h", "length"])
+                 .select("doc_id", "k1", "k2", "target").distinct())
+        shared = (pairs.join(own.select("target", "gram"), "target")
+                  .join(hits.select("k1", "k2", "gram"), ["k1", "k2", "gram"], "left_semi")
+                  .groupBy("doc_id", "k1", "k2", "target").agg(F.count("*").alias("shared")))
+        sizes = own.groupBy("target").agg(F.count("*").alias("shingles"))
+        found = (shared.join(sizes, "target").where(F.col("shared") >= F.lit(containment) * F.col("shingles"))
+                 .select("doc_id", "k1", "k2", "target", "shingles", "shared"))
+        out = found if out is None else out.union(found)
+    return out
