@@ -96,15 +96,12 @@ class Codec:
             return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         return self.pattern.findall(text)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each pre-token."""
         import numpy as np
 
-        if not text:
-            return b""
-        pieces = self.pieces(text)
         try:
-            return b"".join(map(self.cache.__getitem__, pieces))
+            return list(map(self.cache.__getitem__, pieces))
         except KeyError:
             pass
         if len(self.cache) > CACHE:
@@ -114,7 +111,15 @@ class Codec:
             part = new[at:at + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[piece] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, pieces))
+        return list(map(self.cache.__getitem__, pieces))
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        return b"".join(self._known(self.pieces(text))) if text else b""
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of each pre-token."""
+        return [len(x) // 4 for x in self._known(pieces)]
 
     def decode(self, ids: bytes | None) -> bytes:
         import numpy as np

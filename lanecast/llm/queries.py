@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanecast.llm import bpe, decontaminate, quality, quality_rules, secrets, sharding, simhash
+from lanecast.llm import (bpe, decontaminate, language, licenses, quality, quality_rules, secrets, sharding, simhash,
+                          token_counts)
 from lanecast.llm.common import table
 
 
@@ -23,6 +25,11 @@ def op3_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by a bidirectional GRU over its bytes, learnt from the other folds."""
+    return language.detect(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text and their decoding, as counts and digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -33,11 +40,22 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text before and after edits, which are drawn as the tables hold none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs.withColumn("edits", token_counts.drawn_edits(F.col("doc_id"), F.col("text"))))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: fixed patterns, and formats learnt from them."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices contained in documents, one row per document and licence."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents, one row per document and item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,9 +65,12 @@ QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_simhash": op2_simhash,
     "op3_differencing": op3_differencing,
+    "op4_byte_gru": op4_byte_gru,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_token_counts": op7_token_counts,
     "op8_secret_scans": op8_secret_scans,
+    "op9_license_scans": op9_license_scans,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op10_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op9_license_scans": licenses.oracle(), "op10_decontaminate": decontaminate.ORACLE}
