@@ -101,12 +101,10 @@ def _collisions(rows: DataFrame, grams: DataFrame) -> DataFrame:
         high = F.least(F.floor(at / w.step), F.floor((F.col("right") - w.length) / w.step))
         return low <= high
 
-    clear = (hits.where(F.size("windows") > 0).withColumns({"left": left, "right": right})
-             .select("doc_id", "k1", "k2", "gram", "h", F.filter("windows", collides).alias("w")))
-    none = hits.where(F.size("windows") == 0).select("doc_id", "k1", "k2", "gram", "h",
-                                                     F.lit(None).cast("int").alias("length"))
-    return clear.select("doc_id", "k1", "k2", "gram", "h",
-                        F.explode_outer(F.col("w.length")).alias("length")).union(none)
+    some = F.size("windows") > 0
+    return (hits.withColumns({"left": F.when(some, left), "right": F.when(some, right)})
+            .select("doc_id", "k1", "k2", "gram", "h",
+                    F.explode_outer(F.when(some, F.filter("windows", collides)).getField("length")).alias("length")))
 
 
 def search(docs: DataFrame, shingles: DataFrame, pieces: DataFrame, text: str = "text",
