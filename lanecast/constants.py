@@ -62,6 +62,21 @@ EMPTY_ADJUST = (0.5, 0.3, 2.5)
 LONG_HAUL_KM = 500.0
 SHORT_HAUL_KM = 150.0
 
+# decision confidence: trips for full data confidence, weights, spread of the model part, distance penalty, range
+CONFIDENCE_TRIPS = 50.0
+CONFIDENCE_DATA = 0.55
+CONFIDENCE_MODEL = 0.35
+CONFIDENCE_SPREAD = 0.8
+CONFIDENCE_PENALTY = 0.08
+CONFIDENCE_RANGE = (0.10, 0.97)
+# price corridor: model premium and adjustment, range of the multiplier, width, survival share of wages, margin
+DELAY_PREMIUM = 0.10
+EFFICIENCY_ADJUST = 0.08
+MULTIPLIER_RANGE = (0.95, 1.15)
+CORRIDOR_WIDTH = 1.15
+SURVIVAL_WAGE_SHARE = 0.80
+HEALTHY_MARGIN = 0.10
+
 # add-on id -> (label, fixed cost or None, share of the recommended price or None)
 ADDON_CONFIG = {
     "helper_required":  ("Helpers (load + unload)", 1200, None),

@@ -82,18 +82,22 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
 # --- H9 / H10 numeric ----------------------------------------------------------------
 
 def clip(c, lo: float | None = None, hi: float | None = None) -> Column:
-    """np.clip semantics: NULL stays NULL (unlike greatest/least, which skip NULL)."""
+    """np.clip semantics: NULL stays NULL (unlike greatest/least, which skip NULL) and NaN stays NaN."""
     x = col(c)
     out = x
-    if lo is not None and hi is not None:
-        out = F.when(x < lo, F.lit(float(lo))).when(x > hi, F.lit(float(hi))).otherwise(x)
-    elif lo is not None:
-        out = F.when(x < lo, F.lit(float(lo))).otherwise(x)
-    elif hi is not None:
-        out = F.when(x > hi, F.lit(float(hi))).otherwise(x)
+    if hi is not None:
+        out = F.when((x > hi) & ~F.isnan(x), F.lit(float(hi))).otherwise(out)
+    if lo is not None:
+        out = F.when(x < lo, F.lit(float(lo))).otherwise(out)
     return out
 
 
+def not_nan(c) -> Column:
+    """NaN -> NULL: a missing number is NULL everywhere in this library."""
+    x = col(c)
+    return F.when(~F.isnan(x), x)
+
+
 def round_even(c, digits: int) -> Column:
     """H10, numpy rule: rint(x * 10^n) / 10^n (half-even on the scaled double)."""
     x = col(c)
@@ -132,15 +136,6 @@ def py_round(c, digits: int) -> Column:
     return r if digits == 0 else r / F.lit(p)
 
 
-def py_max(a, b) -> Column:
-    """Python ``max(a, b)`` for a non-NULL constant ``a`` and a possibly missing ``b``."""
-    return F.greatest(col(a), col(b))
-
-
-def py_min(a, b) -> Column:
-    return F.least(col(a), col(b))
-
-
 # --- H14 bands -----------------------------------------------------------------------
 
 def distance_category(km) -> Column:

@@ -46,11 +46,11 @@ def distance_median(df: DataFrame) -> float | None:
 
 
 def impute_distance(df: DataFrame, median: float | None) -> DataFrame:
-    """D3: NULL distance -> median."""
+    """D3: missing (NULL or NaN) distance -> median."""
     if median is None:
         return df
     c = "TRANSPORTATION_DISTANCE_IN_KM"
-    return df.withColumn(c, F.coalesce(F.col(c), F.lit(median)))
+    return df.withColumn(c, F.coalesce(E.not_nan(c), F.lit(median)))
 
 
 def add_distance_features(df: DataFrame) -> DataFrame:

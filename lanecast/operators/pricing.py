@@ -43,17 +43,25 @@ def add_city_coords(df: DataFrame, spark) -> DataFrame:
 
 
 def _road(df: DataFrame, road: DataFrame | None, prefix: str, lat1, lon1, lat2, lon2) -> DataFrame:
-    """Optional road km for a coordinate pair (rounded to 4 decimals); 0 counts as missing."""
+    """Optional road km for a coordinate pair (rounded to 4 decimals).
+
+    A km of 0, NULL or NaN counts as missing; of several known values for one pair the smallest is taken.
+    """
     name = f"{prefix}_road_km"
     if road is None:
         return df.withColumn(name, F.lit(None).cast("double"))
-    r = road.select(*[F.round(c(x), 4).alias(f"_{prefix}{i}") for i, x in enumerate(("lat1", "lon1", "lat2", "lon2"))],
-                    F.nullif(c("km"), F.lit(0.0)).alias(name))
-    r = r.groupBy(*[f"_{prefix}{i}" for i in range(4)]).agg(F.first(name).alias(name))
-    keyed = df
-    for i, x in enumerate((lat1, lon1, lat2, lon2)):
-        keyed = keyed.withColumn(f"_{prefix}{i}", F.round(c(x), 4))
-    return keyed.join(r, [f"_{prefix}{i}" for i in range(4)], "left").drop(*[f"_{prefix}{i}" for i in range(4)])
+    keys = [f"_{prefix}{i}" for i in range(4)]
+    r = road.select(*[F.round(c(x), 4).alias(k) for k, x in zip(keys, ("lat1", "lon1", "lat2", "lon2"))],
+                    F.nullif(E.not_nan(c("km")), F.lit(0.0)).alias(name))
+    r = r.where(c(name).isNotNull()).groupBy(*keys).agg(F.min(name).alias(name))
+    keyed = df.withColumns({k: F.round(c(x), 4) for k, x in zip(keys, (lat1, lon1, lat2, lon2))})
+    known = c(keys[0]).isNotNull() & c(keys[1]).isNotNull() & c(keys[2]).isNotNull() & c(keys[3]).isNotNull()
+    # rows without coordinates would all meet in one join key: they get a spread key that matches nothing
+    salt = F.when(~known, F.concat(F.lit("none-"), F.pmod(F.xxhash64("request_id"), F.lit(1024)).cast("string")))
+    keyed = keyed.withColumn("_salt", F.coalesce(salt, F.lit(""))).withColumns(
+        {k: F.coalesce(c(k), F.lit(0.0)) for k in keys})
+    r = r.withColumn("_salt", F.lit(""))
+    return keyed.join(r, ["_salt", *keys], "left").drop("_salt", *keys)
 
 
 def add_distance(df: DataFrame, spark, road: DataFrame | None = None) -> DataFrame:
@@ -67,17 +75,17 @@ def add_distance(df: DataFrame, spark, road: DataFrame | None = None) -> DataFra
     has_gaz = c("o_city_lat").isNotNull() & c("d_city_lat").isNotNull()
     hav = E.haversine_km("o_city_lat", "o_city_lon", "d_city_lat", "d_city_lon") * F.lit(K.ROAD_FACTOR)
     avg = c("avg_dist_km")
-    km = (F.when(has_req & c("req_road_km").isNotNull(), E.py_round(c("req_road_km"), 1))
-          .when(has_gaz & c("gaz_road_km").isNotNull(), E.py_round(c("gaz_road_km"), 1))
-          .when(has_gaz, E.py_round(hav, 1))
-          .when(avg > 0, E.py_round(avg, 1))
-          .otherwise(F.lit(K.DEFAULT_DISTANCE_KM)))
+    raw = (F.when(has_req & c("req_road_km").isNotNull(), c("req_road_km"))
+           .when(has_gaz & c("gaz_road_km").isNotNull(), c("gaz_road_km"))
+           .when(has_gaz, hav).when(avg > 0, avg).otherwise(F.lit(K.DEFAULT_DISTANCE_KM)))
     method = (F.when(has_req & c("req_road_km").isNotNull(), F.lit("osrm"))
               .when(has_gaz & c("gaz_road_km").isNotNull(), F.lit("osrm"))
               .when(has_gaz, F.lit("haversine"))
               .when(avg > 0, F.lit("historical_avg"))
               .otherwise(F.lit("default_fallback")))
-    return out.withColumn("distance_km", km).withColumn("distance_method", method)
+    # rounding repeats its argument, so that is a column of its own
+    return (out.withColumns({"_km": raw, "distance_method": method})
+            .withColumn("distance_km", E.py_round("_km", 1)).drop("_km"))
 
 
 # --- J2 / J3 mileage -------------------------------------------------------------------------------
@@ -89,18 +97,17 @@ def _mileage(curves: dict, adjust: tuple, w: Column, vt: Column, km: Column) ->
     base = (F.when(vt == "LCV", curve("LCV")).when(vt == "MCV", curve("MCV"))
             .when(vt == "CARTING", curve("CARTING")).otherwise(curve("OTHER")))
     bonus, penalty, floor = adjust
-    base = (F.when(km > K.LONG_HAUL_KM, base + F.lit(bonus))
-            .when(km < K.SHORT_HAUL_KM, base - F.lit(penalty)).otherwise(base))
-    return E.py_round(F.greatest(F.lit(floor), base), 2)
+    shift = F.when(km > K.LONG_HAUL_KM, F.lit(bonus)).when(km < K.SHORT_HAUL_KM, F.lit(-penalty)).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(floor), base + shift)
 
 
 def loaded_mileage(w, vt, km) -> Column:
-    """Km per litre loaded."""
+    """Km per litre loaded, before its rounding to 2 digits."""
     return _mileage(K.LOADED_MILEAGE, K.LOADED_ADJUST, E.col(w), E.col(vt), E.col(km))
 
 
 def empty_mileage(w, vt, km) -> Column:
-    """Km per litre empty."""
+    """Km per litre empty, before its rounding to 2 digits."""
     return _mileage(K.EMPTY_MILEAGE, K.EMPTY_ADJUST, E.col(w), E.col(vt), E.col(km))
 
 
@@ -146,12 +153,15 @@ def add_p_return(df: DataFrame) -> DataFrame:
 
 def add_confidence(df: DataFrame) -> DataFrame:
     """Decision confidence from lane trips, model certainty and the distance method."""
-    data_conf = F.least(F.lit(1.0), c("trip_count").cast("double") / F.lit(50.0))
-    model_conf = F.lit(0.5) + F.abs(c("efficiency_score") - F.lit(0.5)) * F.lit(0.8)
-    pen = F.when(c("distance_method").isin("historical_avg", "osrm"), F.lit(0.0)).otherwise(F.lit(0.08))
-    raw = E.clip((data_conf * F.lit(0.55) + model_conf * F.lit(0.35)) - pen, 0.10, 0.97)
-    return (df.withColumn("confidence_label", E.confidence_band(raw))
-            .withColumn("confidence_score", E.py_round(raw, 3)))
+    data_conf = F.least(F.lit(1.0), c("trip_count").cast("double") / F.lit(K.CONFIDENCE_TRIPS))
+    model_conf = F.lit(0.5) + F.abs(c("efficiency_score") - F.lit(0.5)) * F.lit(K.CONFIDENCE_SPREAD)
+    pen = F.when(c("distance_method").isin("historical_avg", "osrm"), F.lit(0.0)).otherwise(
+        F.lit(K.CONFIDENCE_PENALTY))
+    raw = E.clip((data_conf * F.lit(K.CONFIDENCE_DATA) + model_conf * F.lit(K.CONFIDENCE_MODEL)) - pen,
+                 *K.CONFIDENCE_RANGE)
+    return (df.withColumn("_confidence", raw)
+            .withColumns({"confidence_label": E.confidence_band("_confidence"),
+                          "confidence_score": E.py_round("_confidence", 3)}).drop("_confidence"))
 
 
 # --- J7 - J12 pricing layers ---------------------------------------------------------------------
@@ -165,23 +175,25 @@ def add_pricing(df: DataFrame) -> DataFrame:
     toll, wage = vehicle_attr(vt, "toll"), vehicle_attr(vt, "wage")
     maint, mob = vehicle_attr(vt, "maint"), vehicle_attr(vt, "mob")
     round_h = km * F.lit(2.0) / F.lit(K.AVG_SPEED_KMPH)
-    out = df.withColumns({"m_loaded": loaded_mileage(w, vt, km), "m_empty": empty_mileage(w, vt, km),
+    out = df.withColumns({"_m_loaded": loaded_mileage(w, vt, km), "_m_empty": empty_mileage(w, vt, km),
                           "_toll": toll, "tolls": F.lit(2.0) * km * toll,
                           "wages": round_h / F.lit(24.0) * wage, "maintenance": round_h / F.lit(24.0) * maint,
                           "mobilization": mob})
+    out = out.withColumns({"m_loaded": E.py_round("_m_loaded", 2), "m_empty": E.py_round("_m_empty", 2)})
     out = out.withColumns({"fuel_loaded_L": km / c("m_loaded"), "fuel_empty_L": km / c("m_empty")})
     out = out.withColumns({"fuel_loaded_cost": c("fuel_loaded_L") * diesel,
                            "fuel_empty_cost": c("fuel_empty_L") * diesel})
-    delay_prem = c("delay_probability") * F.lit(0.10)
-    eff_adj = (F.lit(0.5) - c("efficiency_score")) * F.lit(0.08)
+    delay_prem = c("delay_probability") * F.lit(K.DELAY_PREMIUM)
+    eff_adj = (F.lit(0.5) - c("efficiency_score")) * F.lit(K.EFFICIENCY_ADJUST)
     out = out.withColumns({
         "c_base": c("fuel_loaded_cost") + c("tolls") + c("wages") + c("maintenance") + c("mobilization"),
         "c_risk": (F.lit(1.0) - c("p_return")) * c("fuel_empty_cost"),
         "ml_delay_premium": delay_prem, "ml_eff_adjustment": eff_adj,
-        "ml_multiplier": E.clip(F.lit(1.0) + delay_prem + eff_adj, 0.95, 1.15),
-        "c_survival": c("fuel_loaded_cost") + km * c("_toll") + F.lit(0.80) * c("wages")})
-    out = out.withColumn("p_min", E.py_round((c("c_base") + c("c_risk")) * c("ml_multiplier"), 2))
-    out = out.withColumn("p_max", E.py_round(c("p_min") * F.lit(1.15), 2))
+        "ml_multiplier": E.clip(F.lit(1.0) + delay_prem + eff_adj, *K.MULTIPLIER_RANGE),
+        "c_survival": c("fuel_loaded_cost") + km * c("_toll") + F.lit(K.SURVIVAL_WAGE_SHARE) * c("wages")})
+    out = out.withColumn("_p_min", (c("c_base") + c("c_risk")) * c("ml_multiplier"))
+    out = out.withColumn("p_min", E.py_round("_p_min", 2)).withColumn("_p_max", c("p_min") * F.lit(K.CORRIDOR_WIDTH))
+    out = out.withColumn("p_max", E.py_round("_p_max", 2))
     comp = c("competitor_price")
     snapped = comp.isNotNull() & (comp > 0)
     floor = F.when(snapped, F.greatest(c("p_min"), comp * F.lit(1.0 - K.EPSILON_LOW))).otherwise(c("p_min"))
@@ -192,8 +204,8 @@ def add_pricing(df: DataFrame) -> DataFrame:
                            "recommended": F.when(c("floor") >= c("c_survival"), c("floor")).otherwise(c("c_survival"))})
     margin = F.when(c("c_base") > 0, (c("recommended") - c("c_survival")) / c("c_base")).otherwise(F.lit(0.0))
     status = (F.when(c("recommended") < c("c_survival"), F.lit("Infeasible"))
-              .when(margin >= 0.10, F.lit("Healthy")).otherwise(F.lit("Low Margin")))
-    return out.withColumn("status", status).drop("_toll", "_ceil0")
+              .when(margin >= K.HEALTHY_MARGIN, F.lit("Healthy")).otherwise(F.lit("Low Margin")))
+    return out.withColumn("status", status).drop("_toll", "_ceil0", "_m_loaded", "_m_empty", "_p_min", "_p_max")
 
 
 # --- J13 / J14 / D13 / H13 add-ons ------------------------------------------------------------------
@@ -201,24 +213,21 @@ def add_pricing(df: DataFrame) -> DataFrame:
 def add_addons(df: DataFrame) -> DataFrame:
     """Per selected add-on a fixed cost or round(base x share); D13 total counts repeats;
     H13 breakdown map keeps one entry per id; J14 final price = round(base + total)."""
-    base = E.py_round(c("recommended"), 2)
     labels = F.create_map(*[x for k, (label, _, _) in K.ADDON_CONFIG.items() for x in (F.lit(k), F.lit(label))])
-    costs = F.create_map(*[x for k, (_, cost, _) in K.ADDON_CONFIG.items() if cost is not None
-                           for x in (F.lit(k), F.lit(cost).cast("long"))])
-    pcts = F.create_map(*[x for k, (_, _, pct) in K.ADDON_CONFIG.items() if pct is not None
-                          for x in (F.lit(k), F.lit(pct))])
-
-    def amount(k):
-        return F.coalesce(costs[k], E.py_round(c("_base_price") * pcts[k], 0).cast("long"))
-
-    out = df.withColumn("_base_price", base)
-    out = out.withColumn("addon_amounts", F.transform(c("addons"), amount))
-    out = out.withColumn("addon_total", F.aggregate(c("addon_amounts"), F.lit(0).cast("long"), lambda a, x: a + x))
-    out = out.withColumn("addon_breakdown", F.map_from_entries(F.transform(
-        F.array_distinct(c("addons")),
-        lambda k: F.struct(k.alias("key"), F.struct(labels[k].alias("label"), amount(k).alias("amount")).alias("value")))))
-    out = out.withColumn("final_price", E.py_round(c("_base_price") + c("addon_total").cast("double"), 0).cast("long"))
-    return out.withColumnRenamed("_base_price", "recommended_price")
+    shares = {k: pct for k, (_, _, pct) in K.ADDON_CONFIG.items() if pct is not None}
+    out = df.withColumn("recommended_price", E.py_round("recommended", 2))
+    out = out.withColumns({f"_raw_{k}": c("recommended_price") * F.lit(pct) for k, pct in shares.items()})
+    amounts = F.create_map(*[x for k, (_, cost, _) in K.ADDON_CONFIG.items() for x in (
+        F.lit(k), E.py_round(f"_raw_{k}", 0).cast("long") if k in shares else F.lit(cost).cast("long"))])
+    out = out.withColumn("_amounts", amounts)
+    out = out.withColumns({
+        "addon_amounts": F.transform("addons", lambda k: c("_amounts")[k]),
+        "addon_breakdown": F.map_from_entries(F.transform(F.array_distinct("addons"), lambda k: F.struct(
+            k.alias("key"), F.struct(labels[k].alias("label"), c("_amounts")[k].alias("amount")).alias("value"))))})
+    out = out.withColumn("addon_total", F.aggregate("addon_amounts", F.lit(0).cast("long"), lambda a, x: a + x))
+    out = out.withColumn("_final", c("recommended_price") + c("addon_total").cast("double"))
+    return out.withColumn("final_price", E.py_round("_final", 0).cast("long")).drop(
+        "_final", "_amounts", *[f"_raw_{k}" for k in shares])
 
 
 # --- J16 / J17 / J19 -----------------------------------------------------------------------------------

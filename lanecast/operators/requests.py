@@ -9,7 +9,7 @@ from lanecast import constants as K
 from lanecast.functions import expr as E
 
 # strict YYYY-MM-DD as a "%Y-%m-%d" parser accepts it (month and day may have one digit)
-DATE_RE = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])$"
+DATE_RE = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])\z"
 
 
 def parse_trip_date(c) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +86,3 @@ def risk_raw(df: DataFrame) -> DataFrame:
     raw = (F.lit(0.15) * F.col("delay_flag") + F.lit(0.20) * F.col("dist_norm")
            + F.lit(0.30) * (F.lit(1.0) - F.col("lane_popularity")) + F.lit(0.35) * F.col("route_risk"))
     return df.withColumn("risk_score_raw", raw)
-
-
-def state_json(state: dict) -> str:
-    return json.dumps({k: list(v) for k, v in state.items()}, sort_keys=True)
-
-
-def is_finite(x) -> bool:
-    return x is not None and not (isinstance(x, float) and math.isnan(x))

@@ -39,12 +39,15 @@ def geocode_candidates(df: DataFrame, query: str = "query", body: str = "body",
         F.coalesce(f["properties"]["state"], F.lit("")).alias("state"),
         f["properties"]["osm_id"].alias("osm_id"),
         f["geometry"]["coordinates"].alias("coords")))
-    valid = F.filter(cand, lambda c: (c["country"] == "India") & c["name"].isNotNull() & (c["name"] != ""))
-    first = F.filter(valid, lambda c, i: ~F.exists(F.slice(valid, 1, i),
-                                                    lambda p: F.lower(p["name"]) == F.lower(c["name"])))
-    top = F.slice(first, 1, MAX_CANDIDATES)
     ok_query = F.length(E.strip(F.col(query))) >= 2
-    rows = df.select(key, query, F.posexplode(F.when(ok_query, top).otherwise(F.array())).alias("rank", "c"))
+    # one column per step, so the body is parsed once per row and not once per compared pair
+    staged = df.select(key, query, F.when(ok_query, cand).alias("_cand"))
+    staged = staged.select(key, query, F.filter(
+        "_cand", lambda c: (c["country"] == "India") & c["name"].isNotNull() & (c["name"] != "")).alias("_valid"))
+    staged = staged.withColumn("_names", F.transform("_valid", lambda c: F.lower(c["name"])))
+    top = F.slice(F.filter("_valid", lambda c, i: F.array_position(F.col("_names"), F.lower(c["name"])) == i + 1),
+                  1, MAX_CANDIDATES)
+    rows = staged.select(key, query, F.posexplode(top).alias("rank", "c"))
     has_xy = F.size(F.col("c.coords")) >= 2
     return rows.select(
         key, query, "rank",

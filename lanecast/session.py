@@ -1,16 +1,13 @@
-"""Session helpers: building a session, reliable lineage cuts and size-checked broadcasts."""
+"""Session helpers: building a session, reliable lineage cuts, Parquet stage boundaries."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Row bound under which a computed dimension may be broadcast.  Anything larger is
-# joined with a shuffle and AQE decides at run time.
-BROADCAST_MAX_ROWS = 200_000
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "lanecast",
@@ -45,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster is a cluster, too
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="lanecast-ckpt-", dir=os.environ.get("LANECAST_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
@@ -58,18 +55,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a computed side only after checking its row count.
-
-    The candidate is persisted while it is counted, so a broadcast reuses the counted rows
-    instead of recomputing them; a side over the bound is released and joined normally.
-    """
-    kept = df.persist()
-    n = kept.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Stage boundary as Parquet in the shared checkpoint folder: later passes read only the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

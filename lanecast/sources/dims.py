@@ -14,23 +14,6 @@ def gazetteer(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "city string, lat double, lon double")
 
 
-def vehicle_dim(spark: SparkSession) -> DataFrame:
-    """Vehicle class costs and decay rate (4 rows)."""
-    rows = [(k, v["toll"], v["wage"], v["maint"], v["mob"], v["lam"]) for k, v in K.VEHICLE_CONFIG.items()]
-    return spark.createDataFrame(rows, "class string, toll double, wage double, maint double, mob double, lam double")
-
-
-def addon_dim(spark: SparkSession) -> DataFrame:
-    """Add-on id -> label, fixed cost or share of the price (5 rows)."""
-    rows = [(k, label, cost, pct) for k, (label, cost, pct) in K.ADDON_CONFIG.items()]
-    return spark.createDataFrame(rows, "id string, label string, cost long, pct double")
-
-
-def season_dim(spark: SparkSession) -> DataFrame:
-    """Month -> season (12 rows)."""
-    return spark.createDataFrame(list(K.SEASON_MAP.items()), "month int, season string")
-
-
 def city_list(spark: SparkSession) -> DataFrame:
     """sorted distinct title-cased city names."""
     return gazetteer(spark).select(F.initcap("city").alias("city")).distinct().orderBy("city")

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanecast.session import broadcast_if_small
-
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
     T.StructField("origin", T.StringType()),
@@ -64,7 +62,7 @@ def requests_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) ->
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nr = broadcast_if_small(n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"))
+    nr = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
     cr = c.join(nr, c.c_nationkey == nr.n_nationkey).select("c_custkey", "r_name")
     df = o.join(cr, o.o_custkey == cr.c_custkey)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanecast.session import broadcast_if_small
+from lanecast.functions import expr as E
 
 DATE_COLUMNS = ["trip_start_date", "trip_end_date", "actual_eta", "Planned_ETA", "BookingIDDate"]
 
@@ -108,10 +108,8 @@ def trips_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    # nation x region is a fixed-size dimension (25 rows by spec); checked before broadcast
-    place = broadcast_if_small(nation.join(region, nation.n_regionkey == region.r_regionkey)
-                               .select("n_nationkey", F.concat_ws(", ", "n_name", "r_name",
-                                                                  F.lit("India")).alias("place")))
+    place = (nation.join(region, nation.n_regionkey == region.r_regionkey)
+             .select("n_nationkey", F.concat_ws(", ", "n_name", "r_name", F.lit("India")).alias("place")))
     sp = supp.join(place.withColumnRenamed("place", "o_place"), supp.s_nationkey == F.col("n_nationkey")) \
         .select("s_suppkey", "o_place")
     cp = cust.join(place.withColumnRenamed("place", "d_place"), cust.c_nationkey == F.col("n_nationkey")) \
