@@ -7,8 +7,40 @@ switch to DECIMAL arithmetic.
 
 from __future__ import annotations
 
-from lanecast import constants as K
-from lanecast.plans.features import PROFILE_81, Profile
+from types import SimpleNamespace
+
+from lanecast.constants import CITY_COORDS
+
+# ---------------------------------------------------------------------------------------------
+# FIXED VALUES, stated here apart from constants.py and plans/features.py: a wrong value on one
+# side makes the comparison fail.  Only the city table (81 rows) is shared.
+# ---------------------------------------------------------------------------------------------
+V = SimpleNamespace(
+    fuel_rate=87.67, hist_mileage=3.5, lam=0.062, grace=4.0, dwell_floor=48.0,
+    diesel=87.67, speed=50.0, road_factor=1.32, snap_low=0.9, snap_high=1.12, t_grace=4.0, default_km=500.0,
+    default_vehicle="FTL",
+    vehicle={
+        "LCV": {"toll": 0.8, "wage": 800, "maint": 150, "mob": 1500, "lam": 0.15},
+        "MCV": {"toll": 1.6, "wage": 1000, "maint": 280, "mob": 2500, "lam": 0.1},
+        "FTL": {"toll": 2.5, "wage": 1200, "maint": 400, "mob": 4500, "lam": 0.062},
+        "CARTING": {"toll": 0.5, "wage": 700, "maint": 100, "mob": 800, "lam": 0.15}},
+    loaded={"LCV": (12, 20, 2.5), "MCV": (6, 13, 1), "CARTING": (4, 10, 0.35), "OTHER": (2.5, 4.5, 0.06)},
+    empty={"LCV": (15, 24, 2), "MCV": (8, 16, 1), "CARTING": (6, 13, 0.4), "OTHER": (3, 5.5, 0.08)},
+    loaded_adjust=(0.5, 0.2, 1.5), empty_adjust=(0.5, 0.3, 2.5), long_km=500.0, short_km=150.0,
+    addons={"helper_required": ("Helpers (load + unload)", 1200, None),
+            "extra_tarpaulin": ("Extra Tarpaulin (Tirpal)", 500, None),
+            "extra_rope": ("Extra Rope", 150, None),
+            "owner_escort": ("Owner's Escort (person)", 900, None),
+            "express_delivery": ("Express Delivery", None, 0.3)},
+    weight_limits={"LCV": (3, 1.5), "MCV": (12, 5), "FTL": (30, 10), "CARTING": (5, 1)},
+    seasons={1: "Winter", 2: "Winter", 3: "Pre-Summer", 4: "Summer", 5: "Summer", 6: "Summer", 7: "Monsoon",
+             8: "Monsoon", 9: "Monsoon", 10: "Peak", 11: "Peak", 12: "Peak"})
+
+# score weights: operations, popularity, cost, risk, driver, peak bonus, maturity cap and rate
+P81 = SimpleNamespace(delay_quantile=0.8, popularity="exp", popularity_rate=0.02, risk_k=15.0, scale_on="train",
+                      train_share=0.8, weights=(0.38, 0.20, 0.14, 0.14, 0.09, 0.025), maturity=(0.05, 0.005))
+P725 = SimpleNamespace(delay_quantile=0.75, popularity="linear", popularity_rate=0.05, risk_k=10.0, scale_on="all",
+                       train_share=0.8, weights=(0.40, 0.20, 0.15, 0.15, 0.10, 0.02), maturity=None)
 
 
 def d(x) -> str:
@@ -35,20 +67,8 @@ def clip01(x: str) -> str:
 
 
 def pyr(x: str, n: int) -> str:
-    """Python round(x, n) (exact binary half-even), the same steps as ``expr.py_round``."""
-    p = float(10 ** n)
-    t = 134217729.0 * p
-    ph = t - (t - p)
-    pl = p - ph
-    y = f"(({x}) * {d(p)})"
-    xt = f"(({x}) * {d(134217729.0)})"
-    xh = f"({xt} - ({xt} - ({x})))"
-    xl = f"(({x}) - {xh})"
-    err = f"((({xh} * {d(ph)} - {y}) + {xh} * {d(pl)} + {xl} * {d(ph)}) + {xl} * {d(pl)})"
-    fl = f"CAST(floor({y}) AS DOUBLE)"
-    r = (f"(CASE WHEN ({y} - {fl}) = {d(0.5)} AND {err} > 0 THEN {fl} + {d(1)} "
-         f"WHEN ({y} - {fl}) = {d(0.5)} AND {err} < 0 THEN {fl} ELSE round_even({y}, 0) END)")
-    return r if n == 0 else f"({r} / {d(p)})"
+    """Python round(x, n): the exact decimal expansion cut at n digits, half to even (format does that)."""
+    return f"CAST(format('{{:.{n}f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
 
 
 def clip(x: str, lo: float, hi: float) -> str:
@@ -70,7 +90,7 @@ def trips_sql() -> str:
     veh = "CAST(l_partkey // 10 AS VARCHAR)"
     return f"""
 place AS (
-  SELECT n_nationkey, n_name || ', ' || r_name || ', India' AS place
+  SELECT n_nationkey, n_name || ', ' || r_name || ', India' AS place, r_name
   FROM nation JOIN region ON n_regionkey = r_regionkey
 ),
 trips_raw AS (
@@ -78,8 +98,8 @@ trips_raw AS (
     concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS BookingID,
     'V' || lpad({veh}, CAST(greatest(6, length({veh})) AS INTEGER), '0') AS vehicle_no,
     sp.place AS Origin_Location,
-    cp.place AS Destination_Location,
-    CASE WHEN l_linenumber = 7 AND l_quantity <= 5 THEN NULL ELSE l_extendedprice / {d(100)} END
+    CASE WHEN l_orderkey % 499 = 0 THEN 'HARBOUR, HARBOUR, India' ELSE cp.place END AS Destination_Location,
+    CASE WHEN sp.r_name = 'AFRICA' AND cp.r_name = 'EUROPE' THEN {d(0)} WHEN l_linenumber = 7 AND l_quantity <= 5 THEN NULL ELSE l_extendedprice / {d(100)} END
       AS TRANSPORTATION_DISTANCE_IN_KM,
     l_shipdate + to_hours(3 * l_linenumber) AS trip_start_date,
     {end} AS trip_end_date,
@@ -96,14 +116,11 @@ trips_raw AS (
 )"""
 
 
-def features_sql(p: Profile = PROFILE_81) -> str:
+def features_sql(p=P81) -> str:
     """CTE chain: trips_raw -> f_prep -> f_veh -> f_lane -> f_scaled -> f_eff -> features."""
     w = p.weights
     veh_w = "PARTITION BY vehicle_no ORDER BY trip_start_date ASC NULLS LAST, BookingID ASC NULLS LAST"
-    if p.lane_order == "time":
-        lane_o = "trip_start_date ASC NULLS LAST, vehicle_no ASC NULLS LAST, BookingID ASC NULLS LAST"
-    else:
-        lane_o = "vehicle_no ASC NULLS LAST, trip_start_date ASC NULLS LAST, BookingID ASC NULLS LAST"
+    lane_o = "vehicle_no ASC NULLS LAST, trip_start_date ASC NULLS LAST, BookingID ASC NULLS LAST"
     lane_w = f"PARTITION BY Origin_Location, Destination_Location ORDER BY {lane_o}"
     prior = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     rc = "CAST(route_count AS DOUBLE)"
@@ -111,8 +128,7 @@ def features_sql(p: Profile = PROFILE_81) -> str:
         boost = f"exp({d(p.popularity_rate)} * {rc})"
     else:
         boost = f"({d(1)} + {d(p.popularity_rate)} * {rc})"
-    n_, k_ = "CAST(route_count AS DOUBLE)", "CAST(lp_flags AS DOUBLE)"
-    std = f"coalesce(CASE WHEN route_count >= 2 THEN sqrt({k_} * ({n_} - {k_}) / {n_} / ({n_} - {d(1)})) END, {d(0)})"
+    std = "coalesce(lp_std, 0)"
     fit = "WHERE is_train" if p.scale_on == "train" else ""
     train = (f"sort_position < CAST(floor(CAST(n AS DOUBLE) * {d(p.train_share)}) AS BIGINT)"
              if p.scale_on == "train" else "true")
@@ -125,16 +141,16 @@ def features_sql(p: Profile = PROFILE_81) -> str:
 
     fallback = (f"({d(0.30)} + {d(0.30)} * lane_popularity + {d(0.20)} * cost_weight"
                 f" + {d(0.20)} * ({d(1)} - risk_score))")
-    adj = f"({d(K.LAMBDA_BASE)} / {gmax(d(1), f'ln(1 + TRANSPORTATION_DISTANCE_IN_KM / {d(100)})')})"
-    t_adj = gmax(d(0), f"dwell_time_hrs - {d(K.GRACE_PERIOD)}")
+    adj = f"({d(V.lam)} / {gmax(d(1), f'ln(1 + TRANSPORTATION_DISTANCE_IN_KM / {d(100)})')})"
+    t_adj = gmax(d(0), f"dwell_time_hrs - {d(V.grace)}")
     ops0 = f"(exp(-{adj} * {t_adj}) * ({d(0.7)} + {d(0.3)} * dist_norm))"
     ops = (f"(CASE WHEN is_return_trip = 1 THEN {gmin(d(1), f'{ops0} * {d(1.5)}')}"
            f" WHEN is_deadhead = 1 THEN {ops0} * {d(0.35)} ELSE {ops0} END)")
-    score = (f"({ops} * {d(w.ops)} + lane_popularity * {d(w.popularity)} + cost_weight * {d(w.cost)}"
-             f" + ({d(1)} - risk_score) * {d(w.risk)} + ({d(1)} - driver_delay_rate) * {d(w.driver)})")
-    if w.maturity_cap is not None:
-        score = f"({score} + {gmin(d(w.maturity_cap), f'lane_maturity * {d(w.maturity_rate)}')})"
-    score = f"(CASE WHEN is_peak_month = 1 THEN {score} + {d(w.peak_bonus)} ELSE {score} END)"
+    score = (f"({ops} * {d(w[0])} + lane_popularity * {d(w[1])} + cost_weight * {d(w[2])}"
+             f" + ({d(1)} - risk_score) * {d(w[3])} + ({d(1)} - driver_delay_rate) * {d(w[4])})")
+    if p.maturity:
+        score = f"({score} + {gmin(d(p.maturity[0]), f'lane_maturity * {d(p.maturity[1])}')})"
+    score = f"(CASE WHEN is_peak_month = 1 THEN {score} + {d(w[5])} ELSE {score} END)"
     eff = (f"round_even({clip01(f'CASE WHEN next_start_time IS NULL OR NOT is_continuous THEN {fallback} ELSE {score} END')}, 4)")
     dwell_raw = hours("trip_end_date", "next_start_time")
     return f"""{trips_sql()},
@@ -158,7 +174,7 @@ f_prep2 AS (
   SELECT *,
     CASE WHEN TRANSPORTATION_DISTANCE_IN_KM < 200 THEN 0 WHEN TRANSPORTATION_DISTANCE_IN_KM < 500 THEN 1 ELSE 2 END
       AS distance_category,
-    TRANSPORTATION_DISTANCE_IN_KM / {d(K.HIST_MILEAGE)} * {d(K.FUEL_RATE)} AS est_fuel_cost
+    TRANSPORTATION_DISTANCE_IN_KM / {d(V.hist_mileage)} * {d(V.fuel_rate)} AS est_fuel_cost
   FROM f_prep
 ),
 f_veh AS (
@@ -193,7 +209,7 @@ f_lane0 AS (
     CASE WHEN Origin_Location IS NOT NULL AND Destination_Location IS NOT NULL
          THEN count(BookingID) OVER ({lane_w} {prior}) END AS lp_bookings,
     CASE WHEN Origin_Location IS NOT NULL AND Destination_Location IS NOT NULL
-         THEN coalesce(sum(delay_flag) OVER ({lane_w} {prior}), 0) END AS lp_flags
+         THEN stddev_samp(delay_flag) OVER ({lane_w} {prior}) END AS lp_std
   FROM f_links2
 ),
 f_lane AS (
@@ -212,7 +228,7 @@ f_lane2 AS (
 ),
 f_s2 AS (
   SELECT count(*) AS n, avg(delay_flag) AS flag_mean,
-         greatest({d(K.DWELL_FLOOR_HOURS)}, quantile_cont(dwell_time_hrs, {d(0.9)})) AS dwell_thr
+         greatest({d(V.dwell_floor)}, quantile_cont(dwell_time_hrs, {d(0.9)})) AS dwell_thr
   FROM f_lane2
 ),
 f_split AS (
@@ -282,27 +298,52 @@ def requests_sql() -> str:
     return f"""
 req_raw AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS request_id,
-    CASE o_orderkey % 4 WHEN 0 THEN ' ' || r_name || ' ' WHEN 1 THEN substr(r_name, 1, 4)
-      WHEN 2 THEN {_list(['Delhi', 'Mumbai', 'Pune', 'Bengaluru', 'Kochi'])}[o_custkey % 5 + 1] ELSE 'Nowhere' END AS origin,
-    CASE o_orderkey % 4 WHEN 0 THEN {_list(['ASIA', 'EUROPE', 'AFRICA'])}[o_custkey % 3 + 1] WHEN 1 THEN 'EUR'
+    CASE WHEN o_orderkey % 83 = 0 THEN 'X' WHEN o_orderkey % 79 = 0 THEN repeat('Long', 31) ELSE
+      CASE o_orderkey % 4 WHEN 0 THEN ' ' || r_name || ' ' WHEN 1 THEN substr(r_name, 1, 4)
+      WHEN 2 THEN {_list(['Delhi', 'Mumbai', 'Pune', 'Bengaluru', 'Kochi'])}[o_custkey % 5 + 1] ELSE 'Nowhere' END END AS origin,
+    CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_custkey % 7 = 0 THEN 'HARBOUR' ELSE {_list(['ASIA', 'EUROPE', 'AFRICA'])}[o_custkey % 3 + 1] END WHEN 1 THEN 'EUR'
       WHEN 2 THEN {_list(['Jaipur', 'Surat', 'Salem'])}[o_custkey % 3 + 1] ELSE 'Elsewhere' END AS destination,
-    strftime(o_orderdate, '%Y-%m-%d') AS trip_date,
+    CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN strftime(o_orderdate, '%d-%m-%Y')
+      ELSE strftime(o_orderdate, '%Y-%m-%d') END AS trip_date,
     CAST(o_orderkey % 52 AS DOUBLE) AS weight_tonnes,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'lcv' WHEN '2' THEN ' MCV ' WHEN '3' THEN 'FTL'
       WHEN '5' THEN 'CARTING' END AS vehicle_type,
-    CASE WHEN o_orderstatus = 'F' THEN o_totalprice / {d(5)} END AS competitor_price,
-    CASE WHEN o_orderstatus = 'P' THEN {d(95.5)} END AS diesel_price,
+    CASE WHEN o_orderkey % 103 = 0 THEN {d(0)} WHEN o_orderstatus = 'F' THEN o_totalprice / {d(5)} END AS competitor_price,
+    CASE WHEN o_orderkey % 17 = 0 THEN {d(250)} WHEN o_orderkey % 13 = 0 THEN {d(200)}
+      WHEN o_orderstatus = 'P' THEN {d(95.5)} END AS diesel_price,
     CASE o_orderkey % 3 WHEN 1 THEN ['extra_rope', 'extra_rope', 'unknown']
       WHEN 2 THEN ['helper_required', 'express_delivery'] END AS addons,
-    CAST(NULL AS DOUBLE) AS origin_lat, CAST(NULL AS DOUBLE) AS origin_lon,
-    CAST(NULL AS DOUBLE) AS dest_lat, CAST(NULL AS DOUBLE) AS dest_lon,
-    CAST(o_orderkey % 101 AS DOUBLE) / {d(100)} AS p_delay,
-    CAST(o_custkey % 101 AS DOUBLE) / {d(100)} AS eff
+    CASE WHEN o_orderkey % 101 = 0 THEN {d(95)} WHEN o_orderkey % 5 = 1
+      THEN {d(8)} + CAST(o_custkey % 2900 AS DOUBLE) / {d(100)} END AS origin_lat,
+    CASE WHEN o_orderkey % 5 = 1 THEN {d(68)} + CAST(o_orderkey % 2900 AS DOUBLE) / {d(100)} END AS origin_lon,
+    CASE WHEN o_orderkey % 5 = 1 THEN {d(8)} + CAST(o_orderkey % 2800 AS DOUBLE) / {d(100)} END AS dest_lat,
+    CASE WHEN o_orderkey % 5 = 1 THEN {d(68)} + CAST(o_custkey % 2800 AS DOUBLE) / {d(100)} END AS dest_lon,
+    CASE WHEN o_orderkey % 13 = 0 THEN {d(0)} ELSE CAST(o_orderkey % 101 AS DOUBLE) / {d(100)} END AS p_delay,
+    CASE WHEN o_orderkey % 13 = 0 THEN {d(1)} ELSE CAST(o_custkey % 101 AS DOUBLE) / {d(100)} END AS eff,
+    o_orderkey, o_custkey, o_totalprice
   FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 )"""
 
 
+def road_sql() -> str:
+    """Road distances: request coordinates of a third of the orders (some twice, some 0), and one pair of cities."""
+    xy = "origin_lat AS lat1, origin_lon AS lon1, dest_lat AS lat2, dest_lon AS lon2"
+    (a, b), (c, e) = CITY_COORDS["delhi"], CITY_COORDS["jaipur"]
+    return f"""
+road AS (
+  SELECT {xy}, CASE WHEN o_orderkey % 7 = 0 THEN {d(0)} ELSE o_totalprice / {d(100)} END AS km
+    FROM req_raw WHERE o_orderkey % 5 = 1 AND o_orderkey % 3 = 0
+  UNION ALL SELECT {xy}, {d(0)} FROM req_raw WHERE o_orderkey % 5 = 1 AND o_orderkey % 6 = 0
+  UNION ALL SELECT {d(a)}, {d(b)}, {d(c)}, {d(e)}, {d(100)} + o_totalprice / {d(1000)} FROM req_raw
+    WHERE o_orderkey % 4 = 2 AND o_custkey % 15 = 0
+),
+road_km AS (
+  SELECT round(lat1, 4) AS r1, round(lon1, 4) AS r2, round(lat2, 4) AS r3, round(lon2, 4) AS r4, min(km) AS km
+  FROM road WHERE km <> 0 GROUP BY 1, 2, 3, 4
+)"""
+
+
 DATE_RE = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])$"
 
 
@@ -341,11 +382,11 @@ def reasons_sql() -> str:
 
 
 def _gaz_values() -> str:
-    return ", ".join(f"('{c}', {d(lat)}, {d(lon)})" for c, (lat, lon) in K.CITY_COORDS.items())
+    return ", ".join(f"('{c}', {d(lat)}, {d(lon)})" for c, (lat, lon) in CITY_COORDS.items())
 
 
 def _veh_case(vt: str, attr: str) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN {d(v[attr])}" for k, v in K.VEHICLE_CONFIG.items())
+    whens = " ".join(f"WHEN '{k}' THEN {d(v[attr])}" for k, v in V.vehicle.items())
     return f"(CASE {vt} {whens} END)"
 
 
@@ -356,29 +397,29 @@ def _mileage_sql(curves, adjust, w, vt, km) -> str:
     base = (f"(CASE WHEN {vt} = 'LCV' THEN {curve('LCV')} WHEN {vt} = 'MCV' THEN {curve('MCV')} "
             f"WHEN {vt} = 'CARTING' THEN {curve('CARTING')} ELSE {curve('OTHER')} END)")
     bonus, pen, floor = adjust
-    adj = (f"(CASE WHEN {km} > {d(K.LONG_HAUL_KM)} THEN {base} + {d(bonus)} "
-           f"WHEN {km} < {d(K.SHORT_HAUL_KM)} THEN {base} - {d(pen)} ELSE {base} END)")
+    adj = (f"(CASE WHEN {km} > {d(V.long_km)} THEN {base} + {d(bonus)} "
+           f"WHEN {km} < {d(V.short_km)} THEN {base} - {d(pen)} ELSE {base} END)")
     return pyr(gmax(d(floor), adj), 2)
 
 
 def quotes_sql() -> str:
     """CTE chain: req_raw -> q_valid -> q_lane -> q_dist -> q_ret -> q_price -> quotes."""
-    seasons = " ".join(f"WHEN {m} THEN '{s}'" for m, s in K.SEASON_MAP.items())
+    seasons = " ".join(f"WHEN {m} THEN '{s}'" for m, s in V.seasons.items())
     hav = (f"({d(6371)} * 2 * asin(sqrt(pow(sin(radians(g2.lat - g1.lat) / 2), 2) + cos(radians(g1.lat)) * "
-           f"cos(radians(g2.lat)) * pow(sin(radians(g2.lon - g1.lon) / 2), 2))) * {d(K.ROAD_FACTOR)})")
+           f"cos(radians(g2.lat)) * pow(sin(radians(g2.lon - g1.lon) / 2), 2))) * {d(V.road_factor)})")
     h = "(CAST(hour(arrival) AS DOUBLE) + CAST(minute(arrival) AS DOUBLE) / 60.0::DOUBLE)"
     eff_ = (f"(CASE WHEN {h} < 8.0::DOUBLE THEN {gmax(d(0), f'expected_dwell_h - (8.0::DOUBLE - {h})')}"
             f" WHEN {h} >= 20.0::DOUBLE THEN {gmax(d(0), f'expected_dwell_h - ((24.0::DOUBLE - {h}) + 8.0::DOUBLE)')}"
             f" ELSE expected_dwell_h END)")
     rem = f"(CASE WHEN {h} < 8.0::DOUBLE OR {h} >= 20.0::DOUBLE THEN 12.0::DOUBLE ELSE 20.0::DOUBLE - {h} END)"
     t_active = f"(CASE WHEN {eff_} <= {rem} THEN {eff_} ELSE {rem} + ({eff_} - {rem}) * {d(0.5)} END)"
-    known = _list(K.ADDON_CONFIG)
-    amount = ("(CASE k " + " ".join(f"WHEN '{a}' THEN CAST({cost} AS BIGINT)" for a, (_, cost, _) in K.ADDON_CONFIG.items()
+    known = _list(V.addons)
+    amount = ("(CASE k " + " ".join(f"WHEN '{a}' THEN CAST({cost} AS BIGINT)" for a, (_, cost, _) in V.addons.items()
                                     if cost is not None)
               + " " + " ".join(f"WHEN '{a}' THEN CAST({pyr(f'rp * {d(pct)}', 0)} AS BIGINT)"
-                               for a, (_, _, pct) in K.ADDON_CONFIG.items() if pct is not None) + " END)")
+                               for a, (_, _, pct) in V.addons.items() if pct is not None) + " END)")
     vt = "vehicle_type"
-    return f"""{features_sql(PROFILE_81)},
+    return f"""{features_sql(P81)},
 kb AS (SELECT {city_key('Origin_Location')} AS ok, {city_key('Destination_Location')} AS dk,
          avg(lane_popularity) AS lane_popularity, avg(route_risk) AS route_risk,
          avg(driver_delay_rate) AS driver_delay_rate, count(*) AS trip_count,
@@ -389,14 +430,15 @@ kb_global AS (SELECT avg(lane_popularity) AS lane_popularity, avg(route_risk) AS
          avg(TRANSPORTATION_DISTANCE_IN_KM) AS avg_dist_km FROM features),
 gaz(city, lat, lon) AS (VALUES {_gaz_values()}),
 {requests_sql().strip()},
+{road_sql().strip()},
 q_checked AS (SELECT *, {reasons_sql()} AS reasons FROM req_raw),
 q_valid AS (
   SELECT request_id, {strip('origin')} AS origin, {strip('destination')} AS destination, trip_date,
     {trip_day('trip_date')} AS trip_day, weight_tonnes,
-    CASE WHEN upper({strip(f"CASE WHEN {vt} IS NULL OR {vt} = '' THEN 'FTL' ELSE {vt} END")}) IN {tuple(K.VEHICLE_CONFIG)}
+    CASE WHEN upper({strip(f"CASE WHEN {vt} IS NULL OR {vt} = '' THEN 'FTL' ELSE {vt} END")}) IN {tuple(V.vehicle)}
          THEN upper({strip(f"CASE WHEN {vt} IS NULL OR {vt} = '' THEN 'FTL' ELSE {vt} END")}) ELSE 'FTL' END AS vehicle_type,
     competitor_price,
-    CASE WHEN diesel_price IS NOT NULL AND diesel_price <> 0 THEN diesel_price ELSE {d(K.DEFAULT_DIESEL)} END AS diesel_price,
+    CASE WHEN diesel_price IS NOT NULL AND diesel_price <> 0 THEN diesel_price ELSE {d(V.diesel)} END AS diesel_price,
     CASE WHEN diesel_price IS NOT NULL AND diesel_price <> 0 THEN 'vision' ELSE 'default' END AS diesel_source,
     list_filter(coalesce(addons, CAST([] AS VARCHAR[])), lambda x: list_contains({known}, x)) AS addons,
     origin_lat, origin_lon, dest_lat, dest_lon, p_delay, eff
@@ -429,22 +471,28 @@ q_dist AS (
     CASE month(trip_day) {seasons} END AS season,
     CAST(month(trip_day) IN (10, 11, 12) AS INTEGER) AS is_peak_month,
     strftime(trip_day, '%A') AS day_name, strftime(trip_day, '%d %b %Y') AS formatted_date,
-    CASE WHEN g1.lat IS NOT NULL AND g2.lat IS NOT NULL THEN {pyr(hav, 1)}
-         WHEN avg_dist_km > 0 THEN {pyr("avg_dist_km", 1)} ELSE {d(K.DEFAULT_DISTANCE_KM)} END AS distance_km,
-    CASE WHEN g1.lat IS NOT NULL AND g2.lat IS NOT NULL THEN 'haversine'
+    CASE WHEN rq.km IS NOT NULL THEN {pyr("rq.km", 1)} WHEN rg.km IS NOT NULL THEN {pyr("rg.km", 1)}
+         WHEN g1.lat IS NOT NULL AND g2.lat IS NOT NULL THEN {pyr(hav, 1)}
+         WHEN avg_dist_km > 0 THEN {pyr("avg_dist_km", 1)} ELSE {d(V.default_km)} END AS distance_km,
+    CASE WHEN rq.km IS NOT NULL OR rg.km IS NOT NULL THEN 'osrm'
+         WHEN g1.lat IS NOT NULL AND g2.lat IS NOT NULL THEN 'haversine'
          WHEN avg_dist_km > 0 THEN 'historical_avg' ELSE 'default_fallback' END AS distance_method,
     p_delay AS delay_probability, {clip01('eff')} AS efficiency_score
   FROM q_lane q LEFT JOIN gaz g1 ON lower({strip('q.origin')}) = g1.city
   LEFT JOIN gaz g2 ON lower({strip('q.destination')}) = g2.city
+  LEFT JOIN road_km rq ON round(q.origin_lat, 4) = rq.r1 AND round(q.origin_lon, 4) = rq.r2
+    AND round(q.dest_lat, 4) = rq.r3 AND round(q.dest_lon, 4) = rq.r4
+  LEFT JOIN road_km rg ON round(g1.lat, 4) = rg.r1 AND round(g1.lon, 4) = rg.r2
+    AND round(g2.lat, 4) = rg.r3 AND round(g2.lon, 4) = rg.r4
 ),
 q_ret0 AS (
   SELECT *,
     CAST(trip_day AS TIMESTAMP) + INTERVAL 6 HOUR
-      + to_microseconds(CAST(round_even(distance_km / {d(K.AVG_SPEED_KMPH)} * {d(3.6e9)}, 0) AS BIGINT)) AS arrival,
-    {d(K.T_GRACE)} + ({d(1)} - lane_popularity) * {d(20)} AS expected_dwell_h,
+      + to_microseconds(CAST(round_even(distance_km / {d(V.speed)} * {d(3.6e9)}, 0) AS BIGINT)) AS arrival,
+    {d(V.t_grace)} + ({d(1)} - lane_popularity) * {d(20)} AS expected_dwell_h,
     {_veh_case(vt, 'lam')} AS lam,
-    {_mileage_sql(K.LOADED_MILEAGE, K.LOADED_ADJUST, 'weight_tonnes', vt, 'distance_km')} AS m_loaded,
-    {_mileage_sql(K.EMPTY_MILEAGE, K.EMPTY_ADJUST, 'weight_tonnes', vt, 'distance_km')} AS m_empty
+    {_mileage_sql(V.loaded, V.loaded_adjust, 'weight_tonnes', vt, 'distance_km')} AS m_loaded,
+    {_mileage_sql(V.empty, V.empty_adjust, 'weight_tonnes', vt, 'distance_km')} AS m_empty
   FROM q_dist
 ),
 q_ret AS (
@@ -452,7 +500,7 @@ q_ret AS (
 ),
 q_ret2 AS (
   SELECT *,
-    {clip(f"exp(-lam * {gmax(d(0), f'T_active_raw - {d(K.T_GRACE)}')})", 0.05, 0.99)} AS p_return,
+    {clip(f"exp(-lam * {gmax(d(0), f'T_active_raw - {d(V.t_grace)}')})", 0.05, 0.99)} AS p_return,
     {pyr("T_active_raw", 1)} AS T_active_h,
     (CASE WHEN trip_count / {d(50)} < {d(1)} THEN trip_count / {d(50)} ELSE {d(1)} END) * {d(0.55)}
       + ({d(0.5)} + abs(efficiency_score - {d(0.5)}) * {d(0.8)}) * {d(0.35)}
@@ -474,8 +522,8 @@ q_p1 AS (
     distance_km / m_loaded * diesel_price AS fuel_loaded_cost,
     distance_km / m_empty * diesel_price AS fuel_empty_cost,
     {d(2)} * distance_km * {_veh_case(vt, 'toll')} AS tolls,
-    distance_km * {d(2)} / {d(K.AVG_SPEED_KMPH)} / {d(24)} * {_veh_case(vt, 'wage')} AS wages,
-    distance_km * {d(2)} / {d(K.AVG_SPEED_KMPH)} / {d(24)} * {_veh_case(vt, 'maint')} AS maintenance,
+    distance_km * {d(2)} / {d(V.speed)} / {d(24)} * {_veh_case(vt, 'wage')} AS wages,
+    distance_km * {d(2)} / {d(V.speed)} / {d(24)} * {_veh_case(vt, 'maint')} AS maintenance,
     {_veh_case(vt, 'mob')} AS mobilization,
     {_veh_case(vt, 'toll')} AS toll
   FROM q_conf
@@ -495,9 +543,9 @@ q_p4 AS (SELECT *, {pyr(f"p_min * {d(1.15)}", 2)} AS p_max FROM q_p3),
 q_p5 AS (
   SELECT *,
     CASE WHEN competitor_price IS NOT NULL AND competitor_price > 0
-         THEN greatest(p_min, competitor_price * {d(1.0 - K.EPSILON_LOW)}) ELSE p_min END AS floor,
+         THEN greatest(p_min, competitor_price * {d(V.snap_low)}) ELSE p_min END AS floor,
     CASE WHEN competitor_price IS NOT NULL AND competitor_price > 0
-         THEN least(p_max, competitor_price * {d(1.0 + K.EPSILON_HIGH)}) ELSE p_max END AS ceil0,
+         THEN least(p_max, competitor_price * {d(V.snap_high)}) ELSE p_max END AS ceil0,
     fuel_loaded_cost + distance_km * toll + {d(0.80)} * wages AS c_survival
   FROM q_p4
 ),

@@ -17,8 +17,8 @@ from lanecast.plans.cache import memo
 from lanecast.registry import register
 from lanecast.sources import trips as TR
 
-S81 = O.features_sql(PROFILE_81)
-S725 = O.features_sql(PROFILE_725)
+S81 = O.features_sql(O.P81)
+S725 = O.features_sql(O.P725)
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 

@@ -15,7 +15,7 @@ from lanecast.plans.training import train_stack
 from lanecast.operators import pricing as P
 from lanecast.operators import scores as SC
 from lanecast.registry import register
-from lanecast.sources.requests import requests_view
+from lanecast.sources.requests import requests_view, road_view
 
 
 def _trained(spark: SparkSession, sf_dir: str):
@@ -88,7 +88,7 @@ def q_k7(spark, sf_dir):
 
     def scorer(df):
         return M.score_two_stage(stack, P.add_request_features(df, stack.base_features))
-    quotes, _ = Q.quote_requests(requests_view(spark, sf_dir), kb, g, scorer)
+    quotes, _ = Q.quote_requests(requests_view(spark, sf_dir), kb, g, scorer, road_view(spark, sf_dir))
     return Q.flat_quotes(quotes).withColumnRenamed("T_active_h", "T_active_1dp")
 
 

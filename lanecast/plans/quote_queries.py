@@ -17,7 +17,7 @@ from lanecast.plans.feature_queries import _feat
 from lanecast.registry import register
 from lanecast.session import materialize
 from lanecast.sources.dims import vehicle_attr
-from lanecast.sources.requests import requests_view
+from lanecast.sources.requests import requests_view, road_view
 
 QSQL = O.quotes_sql()
 RID = ("request_id", "s")
@@ -32,13 +32,13 @@ def _kb(spark: SparkSession, sf_dir: str):
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb, g = _kb(spark, sf_dir)
-    quotes, _ = Q.quote_requests(requests_view(spark, sf_dir), kb, g, Q.given_scores())
+    quotes, _ = Q.quote_requests(requests_view(spark, sf_dir), kb, g, Q.given_scores(), road_view(spark, sf_dir))
     return quotes
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb, g = _kb(spark, sf_dir)
-    req, _ = Q.prepare_requests(requests_view(spark, sf_dir), kb, g)
+    req, _ = Q.prepare_requests(requests_view(spark, sf_dir), kb, g, road_view(spark, sf_dir))
     return req
 
 
@@ -81,7 +81,7 @@ def q_b5(spark, sf_dir):
 @register("B6_clamp_weight", [RID, ("vehicle_type", "s"), ("weight_tonnes", "d")], lambda s: (
     f"WITH {QSQL}, b AS (SELECT request_id, vehicle_type, CASE "
     + " ".join(f"WHEN vehicle_type = '{k}' AND weight_tonnes > {O.d(m)} THEN {O.d(dft)}"
-               for k, (m, dft) in K.WEIGHT_LIMITS.items())
+               for k, (m, dft) in O.V.weight_limits.items())
     + f" ELSE weight_tonnes END AS weight_tonnes FROM q_valid) SELECT {s} FROM b"))
 def q_b6(spark, sf_dir):
     """Weight above the class maximum replaced by the class default (UI rule, opt-in)."""
@@ -148,9 +148,9 @@ C6 = [RID, ("pos", "i"), ("addon", "s"), ("label", "s"), ("amount", "i")]
 @register("C6_addon_join", C6, lambda s: (
     f"WITH {QSQL}, e AS (SELECT request_id, rp, unnest(addons) AS addon, "
     f"unnest(generate_series(0, len(addons) - 1)) AS pos FROM quotes2), c AS (SELECT request_id, pos, addon, "
-    f"CASE addon " + " ".join(f"WHEN '{k}' THEN '{lab.replace(chr(39), chr(39) * 2)}'" for k, (lab, _, _) in K.ADDON_CONFIG.items())
-    + " END AS label, CASE addon " + " ".join(f"WHEN '{k}' THEN CAST({c} AS BIGINT)" for k, (_, c, _) in K.ADDON_CONFIG.items() if c)
-    + " " + " ".join(f"WHEN '{k}' THEN CAST({O.pyr(f'rp * {O.d(p)}', 0)} AS BIGINT)" for k, (_, _, p) in K.ADDON_CONFIG.items() if p)
+    f"CASE addon " + " ".join(f"WHEN '{k}' THEN '{lab.replace(chr(39), chr(39) * 2)}'" for k, (lab, _, _) in O.V.addons.items())
+    + " END AS label, CASE addon " + " ".join(f"WHEN '{k}' THEN CAST({c} AS BIGINT)" for k, (_, c, _) in O.V.addons.items() if c)
+    + " " + " ".join(f"WHEN '{k}' THEN CAST({O.pyr(f'rp * {O.d(p)}', 0)} AS BIGINT)" for k, (_, _, p) in O.V.addons.items() if p)
     + f" END AS amount FROM e) SELECT {s} FROM c"))
 def q_c6(spark, sf_dir):
     """One row per selected add-on (position kept) joined to its label and amount."""
@@ -334,6 +334,7 @@ def q_l1(spark, sf_dir):
     static = spark.read.parquet(f"{sf_dir}/orders.parquet")
     orders = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parque[t]")
     sink = scratch_dir(spark, "quote-sink")
-    query = start_quote_stream(requests_from_orders(spark, sf_dir, orders), kb, g, sink, f"{sink}/_checkpoint")
+    query = start_quote_stream(requests_from_orders(spark, sf_dir, orders), kb, g, sink, f"{sink}/_checkpoint",
+                               road=road_view(spark, sf_dir))
     query.awaitTermination()
     return read_quotes(spark, sink).withColumnRenamed("T_active_h", "T_active_1dp")

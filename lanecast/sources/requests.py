@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanecast.constants import CITY_COORDS
+
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
     T.StructField("origin", T.StringType()),
@@ -48,9 +50,10 @@ def _pick(index, values):
 def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote requests shaped from orders and the customer's region (input shaping only).
 
-    Four kinds of place names (exact lane key, lane substring, gazetteer city, unknown),
-    weights 0-51 tonnes (0 and 51 invalid), mixed-case vehicle classes, optional
-    competitor and diesel prices, add-on lists with repeats and unknown ids.  The
+    Four kinds of place names (exact lane key, lane substring, gazetteer city, unknown) and some that
+    are too short or too long, weights 0-51 tonnes (0 and 51 invalid), mixed-case vehicle classes,
+    optional competitor and diesel prices (some extreme, some invalid), dates with other layouts or
+    missing, coordinates (some out of range), add-on lists with repeats and unknown ids.  The
     ``p_delay`` and ``eff`` columns stand in for model outputs.
     """
     return requests_from_orders(spark, sf_dir, _table(spark, sf_dir, "orders"))
@@ -66,33 +69,64 @@ def requests_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) ->
     cr = c.join(nr, c.c_nationkey == nr.n_nationkey).select("c_custkey", "r_name")
     df = o.join(cr, o.o_custkey == cr.c_custkey)
 
-    k4 = F.col("o_orderkey") % 4
-    ck = F.col("o_custkey")
-    origin = (F.when(k4 == 0, F.concat(F.lit(" "), F.col("r_name"), F.lit(" ")))
+    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+    k4 = k % 4
+    origin = (F.when(k % 83 == 0, F.lit("X")).when(k % 79 == 0, F.lit("Long" * 31))
+              .when(k4 == 0, F.concat(F.lit(" "), F.col("r_name"), F.lit(" ")))
               .when(k4 == 1, F.substring("r_name", 1, 4))
               .when(k4 == 2, _pick(ck % 5, ["Delhi", "Mumbai", "Pune", "Bengaluru", "Kochi"]))
               .otherwise(F.lit("Nowhere")))
-    dest = (F.when(k4 == 0, _pick(ck % 3, ["ASIA", "EUROPE", "AFRICA"]))
+    dest = (F.when((k4 == 0) & (ck % 7 == 0), F.lit("HARBOUR"))
+            .when(k4 == 0, _pick(ck % 3, ["ASIA", "EUROPE", "AFRICA"]))
             .when(k4 == 1, F.lit("EUR"))
             .when(k4 == 2, _pick(ck % 3, ["Jaipur", "Surat", "Salem"]))
             .otherwise(F.lit("Elsewhere")))
     prio = F.substring("o_orderpriority", 1, 1)
     vehicle = (F.when(prio == "1", F.lit("lcv")).when(prio == "2", F.lit(" MCV ")).when(prio == "3", F.lit("FTL"))
                .when(prio == "5", F.lit("CARTING")).otherwise(F.lit(None).cast("string")))
-    k3 = F.col("o_orderkey") % 3
+    k3 = k % 3
     addons = (F.when(k3 == 1, F.array(F.lit("extra_rope"), F.lit("extra_rope"), F.lit("unknown")))
               .when(k3 == 2, F.array(F.lit("helper_required"), F.lit("express_delivery")))
               .otherwise(F.lit(None).cast("array<string>")))
     return df.select(
         F.col("o_orderkey").cast("string").alias("request_id"),
         origin.alias("origin"), dest.alias("destination"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("trip_date"),
-        (F.col("o_orderkey") % 52).cast("double").alias("weight_tonnes"),
+        F.when(k % 89 == 0, F.lit(None)).when(k % 97 == 0, F.date_format("o_orderdate", "dd-MM-yyyy"))
+         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("trip_date"),
+        (k % 52).cast("double").alias("weight_tonnes"),
         vehicle.alias("vehicle_type"),
-        F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") / 5).alias("competitor_price"),
-        F.when(F.col("o_orderstatus") == "P", F.lit(95.5)).alias("diesel_price"),
+        F.when(k % 103 == 0, F.lit(0.0)).when(F.col("o_orderstatus") == "F", F.col("o_totalprice") / 5)
+         .alias("competitor_price"),
+        F.when(k % 17 == 0, F.lit(250.0)).when(k % 13 == 0, F.lit(200.0))
+         .when(F.col("o_orderstatus") == "P", F.lit(95.5)).alias("diesel_price"),
         addons.alias("addons"),
-        *[F.lit(None).cast("double").alias(x) for x in ("origin_lat", "origin_lon", "dest_lat", "dest_lon")],
-        ((F.col("o_orderkey") % 101).cast("double") / 100).alias("p_delay"),
-        ((ck % 101).cast("double") / 100).alias("eff"),
+        F.when(k % 101 == 0, F.lit(95.0)).otherwise(_coordinates()[0]).alias("origin_lat"),
+        *[x.alias(n) for x, n in zip(_coordinates()[1:], ("origin_lon", "dest_lat", "dest_lon"))],
+        F.when(k % 13 == 0, F.lit(0.0)).otherwise((k % 101).cast("double") / 100).alias("p_delay"),
+        F.when(k % 13 == 0, F.lit(1.0)).otherwise((ck % 101).cast("double") / 100).alias("eff"),
     )
+
+
+def _coordinates() -> list:
+    """Request coordinates of a fifth of the orders (input shaping only)."""
+    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda base, x, n: F.when(k % 5 == 1, F.lit(base) + (x % n).cast("double") / 100)
+    return [at(8.0, ck, 2900), at(68.0, k, 2900), at(8.0, k, 2800), at(68.0, ck, 2800)]
+
+
+def road_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road distances ``(lat1, lon1, lat2, lon2, km)`` shaped from orders (input shaping only).
+
+    Request coordinates of some orders (some pairs twice, some with 0 for unknown) and one pair of cities.
+    """
+    k, ck, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    xy = [F.when((k % 101 == 0) & F.lit(i == 0), F.lit(95.0)).otherwise(x).alias(n)
+          for i, (x, n) in enumerate(zip(_coordinates(), ("lat1", "lon1", "lat2", "lon2")))]
+    own = o.where((k % 5 == 1) & (k % 3 == 0)).select(*xy, F.when(k % 7 == 0, F.lit(0.0)).otherwise(price / 100).alias("km"))
+    zero = o.where((k % 5 == 1) & (k % 6 == 0)).select(*xy, F.lit(0.0).alias("km"))
+    ends = [*CITY_COORDS["delhi"], *CITY_COORDS["jaipur"]]
+    city = o.where((k % 4 == 2) & (ck % 15 == 0)).select(
+        *[F.lit(v).alias(n) for v, n in zip(ends, ("lat1", "lon1", "lat2", "lon2"))],
+        (F.lit(100.0) + price / 1000).alias("km"))
+    return own.unionByName(zero).unionByName(city)

@@ -98,7 +98,8 @@ def trips_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trips in the reference's column layout, shaped from lineitem and its dimensions.
 
     Only input shaping: every feature is computed later by the library.  Dates are
-    rendered as text, as they would be in the raw file.
+    rendered as text, as they would be in the raw file.  One lane has no recorded distance (0) and one
+    destination is rare, so that lanes of every kind occur.
     """
     li = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -109,11 +110,11 @@ def trips_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     place = (nation.join(region, nation.n_regionkey == region.r_regionkey)
-             .select("n_nationkey", F.concat_ws(", ", "n_name", "r_name", F.lit("India")).alias("place")))
-    sp = supp.join(place.withColumnRenamed("place", "o_place"), supp.s_nationkey == F.col("n_nationkey")) \
-        .select("s_suppkey", "o_place")
-    cp = cust.join(place.withColumnRenamed("place", "d_place"), cust.c_nationkey == F.col("n_nationkey")) \
-        .select("c_custkey", "d_place")
+             .select("n_nationkey", "r_name", F.concat_ws(", ", "n_name", "r_name", F.lit("India")).alias("place")))
+    sp = supp.join(place, supp.s_nationkey == F.col("n_nationkey")) \
+        .select("s_suppkey", F.col("place").alias("o_place"), F.col("r_name").alias("o_region"))
+    cp = cust.join(place, cust.c_nationkey == F.col("n_nationkey")) \
+        .select("c_custkey", F.col("place").alias("d_place"), F.col("r_name").alias("d_region"))
 
     df = (li.join(orders, li.l_orderkey == orders.o_orderkey)
           .join(sp, li.l_suppkey == sp.s_suppkey)
@@ -132,8 +133,10 @@ def trips_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.date_format("l_shipdate", "yyyyMMdd")).alias("BookingID"),
         F.concat(F.lit("V"), F.lpad(veh, F.greatest(F.lit(6), F.length(veh)), F.lit("0"))).alias("vehicle_no"),
         F.col("o_place").alias("Origin_Location"),
-        F.col("d_place").alias("Destination_Location"),
-        F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") <= 5), F.lit(None).cast("double"))
+        F.when(F.col("l_orderkey") % 499 == 0, F.lit("HARBOUR, HARBOUR, India")).otherwise(F.col("d_place"))
+         .alias("Destination_Location"),
+        F.when((F.col("o_region") == "AFRICA") & (F.col("d_region") == "EUROPE"), F.lit(0.0))
+         .when((F.col("l_linenumber") == 7) & (F.col("l_quantity") <= 5), F.lit(None).cast("double"))
          .otherwise(F.col("l_extendedprice") / 100).alias("TRANSPORTATION_DISTANCE_IN_KM"),
         F.date_format(start, fmt).alias("trip_start_date"),
         F.date_format(end, fmt).alias("trip_end_date"),
