@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanecast import constants as K
 from lanecast.functions import expr as E
-from lanecast.operators.scan import chunked_scan
+from lanecast.operators.scan import ordered_scan
 
 LANE_KEYS = ["Origin_Location", "Destination_Location"]
 
@@ -23,16 +23,13 @@ def lane_order(mode: str = "vehicle"):
     return [s, v, b] if mode == "time" else [v, s, b]
 
 
-def lane_scan(df: DataFrame, *, mode: str = "vehicle", skew_safe: bool = True,
-              keep: list | None = None, chunks: int | None = None) -> DataFrame:
+def lane_scan(df: DataFrame, *, mode: str = "vehicle", **options) -> DataFrame:
     """E3 position in lane, E4 earlier BookingID count, E5 inputs (earlier flag count/sum).
 
     Rows with a NULL origin or destination belong to no lane: their lane statistics are NULL.
     """
-    scanned = chunked_scan(df, LANE_KEYS, lane_order(mode),
-                           counts={"lane_prior_bookings": "BookingID"},
-                           sums={"lane_prior_flags": "delay_flag"}, skew_safe=skew_safe, keep=keep,
-                           chunks=chunks)
+    scanned = ordered_scan(df, LANE_KEYS, lane_order(mode), counts={"lane_prior_bookings": "BookingID"},
+                           sums={"lane_prior_flags": "delay_flag"}, **options)
     in_lane = F.col("Origin_Location").isNotNull() & F.col("Destination_Location").isNotNull()
     return (scanned.withColumn("route_count", F.when(in_lane, F.col("_pos")))
             .withColumn("lane_prior_bookings", F.when(in_lane, F.col("lane_prior_bookings")))

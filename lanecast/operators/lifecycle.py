@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanecast import constants as K
 from lanecast.functions import expr as E
-from lanecast.operators.scan import chunked_scan, exact_quantiles
+from lanecast.operators.scan import exact_quantiles, ordered_scan
 
 def vehicle_order():
     """Order within a vehicle: trip start (NULLs last), then BookingID as tie-break."""
@@ -67,18 +67,17 @@ def add_market_flag(df: DataFrame, name: str = "is_market", absent_value: int =
     return df.withColumn(name, F.lit(absent_value))
 
 
-def vehicle_scan(df: DataFrame, *, skew_safe: bool = True, keep: list | None = None,
-                 chunks: int | None = None) -> DataFrame:
-    """E1 / E2 inputs and the global sort position (F1, E6) in one chunked scan per vehicle.
+def vehicle_scan(df: DataFrame, **options) -> DataFrame:
+    """E1 / E2 inputs and the global sort position (F1, E6) in one ordered scan per vehicle.
 
     Order within a vehicle: trip start (NULLs last), then BookingID as tie-break.
     Rows with a NULL vehicle get no next trip and no history (a grouped shift drops them).
     """
-    scanned = chunked_scan(
+    scanned = ordered_scan(
         df, ["vehicle_no"], vehicle_order(),
         sums={"_veh_prior_flags": "delay_flag"},
         leads=["Origin_Location", "Destination_Location", "trip_start_date"],
-        global_position=True, skew_safe=skew_safe, keep=keep, chunks=chunks)
+        global_position=True, **options)
     has_vehicle = F.col("vehicle_no").isNotNull()
     nxt = F.col("_next")
     return (scanned

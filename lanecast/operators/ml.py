@@ -49,9 +49,14 @@ PRICING_FAST = GBTParams(30, 5, 0.3, 0.85, "0.8", 2, 0.0, True)
 
 # --- K1 / K2 / E7 splits and folds ----------------------------------------------------------------
 
+def hash_text(id_col: str, seed: int = 42):
+    """md5 of the row id and the seed, as hex text; a NULL id counts as empty."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+
+
 def hash_unit(id_col: str, seed: int = 42):
-    """Deterministic uniform value in [0, 1) from a row id and a seed."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)).cast("double") / F.lit(1_000_003.0)
+    """Deterministic uniform value in [0, 1) from a row id and a seed: the first 32 bits of ``hash_text``."""
+    return F.conv(F.substring(hash_text(id_col, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def split_random(df: DataFrame, id_col: str = "BookingID", test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -59,15 +64,14 @@ def split_random(df: DataFrame, id_col: str = "BookingID", test_share: float = 0
     return df.withColumn("is_test", hash_unit(id_col, seed) < F.lit(test_share))
 
 
-def stratified_folds(df: DataFrame, label: str, k: int = 5, id_col: str = "BookingID", seed: int = 42,
-                     skew_safe: bool = True) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, k: int = 5, id_col: str = "BookingID", seed: int = 42) -> DataFrame:
     """fold = (position within the label in hash order) mod k, so every fold holds the label ratio.
 
     The label has two values, so a plain window per label would be two tasks; the chunked
     scan spreads each label over range chunks.
     """
-    keyed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    scanned = chunked_scan(keyed, [label], [F.col("_h").asc(), F.col(id_col).asc_nulls_last()], skew_safe=skew_safe)
+    keyed = df.withColumn("_h", hash_text(id_col, seed))
+    scanned = chunked_scan(keyed, [label], [F.col("_h").asc(), F.col(id_col).asc_nulls_last()])
     return scanned.withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_pos", "_h")
 
 

@@ -1,5 +1,9 @@
 """Ordered running scans that stay parallel when one key holds a large share of the rows.
 
+``ordered_scan`` is the entry point: keys of up to ``HOT_ROWS`` rows run as one ordinary window
+after one hash exchange; only keys beyond that (found by one count per key) go through
+``chunked_scan``.
+
 ``chunked_scan`` computes, for every row, aggregates over the *earlier* rows of its key
 (``ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING``), its 0-based position and the
 next row's values (``lead``).  A plain ``Window.partitionBy(key)`` sends a hot key to a
@@ -25,91 +29,95 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanecast.session import materialize
+from lanecast.session import materialize, stage_table
 
 SMALL_DISTINCT = 1_000_000   # distinct values one task may order (a few MB)
-_SEP = "\u0001"              # sorts below every printable character
-_NULL_KEY = "\U0010FFFF"     # sorts above every other code point: NULL keys go last
+HOT_ROWS = 250_000           # rows of one key that one task may order
+ROWS_PER_CHUNK = 250_000     # rows of a range chunk in the scan of the keys beyond that
 
 
 def _key_column(keys: list[str]) -> Column:
-    """One string key whose byte order equals the tuple order of ``keys`` (NULLs last)."""
+    """One key whose order is the tuple order of ``keys`` as text (NULLs last); NULL is a key of its own."""
     if not keys:
         return F.lit("")
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit(_NULL_KEY)) for k in keys]
-    return parts[0] if len(parts) == 1 else F.concat_ws(_SEP, *parts)
+    return F.struct(*[x for k in keys for x in (F.col(k).isNull(), F.coalesce(F.col(k).cast("string"), F.lit("")))])
+
+
+def _running(df: DataFrame, w, counts: dict, sums: dict, leads: list, prefix: str = "") -> DataFrame:
+    """``df`` with position, running counts and sums and the next row over the window ``w``."""
+    wp = w.rowsBetween(Window.unboundedPreceding, -1)
+    sel = [F.col("*"), (F.row_number().over(w) - 1).alias(f"{prefix or '_'}pos")]
+    sel += [F.count(c).over(wp).alias(f"{prefix}{name}") for name, c in counts.items()]
+    sel += [F.coalesce(F.sum(c).over(wp), F.lit(0)).alias(f"{prefix}{name}") for name, c in sums.items()]
+    if leads:
+        sel.append(F.lead(F.struct(*leads)).over(w).alias(f"{prefix or '_'}next"))
+    return df.select(*sel)
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: list[Column], *, counts: dict[str, str] | None = None,
+                 sums: dict[str, str] | None = None, leads: list[str] | None = None, global_position: bool = False,
+                 hot_rows: int = HOT_ROWS, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """The columns of ``chunked_scan`` (which see), splitting only keys of more than ``hot_rows`` rows.
+
+    ``df`` is read twice, so it should be stored: once to count the rows per key, once for the scan.
+    """
+    counts, sums, leads = counts or {}, sums or {}, leads or []
+    base = df.withColumn("_key", _key_column(keys))
+    sizes = materialize(base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
+    hot = sizes.where(F.col("_n") > hot_rows)
+    n_hot = hot.agg(F.sum("_n")).first()[0] or 0
+    cold = base.join(hot.select("_key"), "_key", "left_anti") if n_hot else base
+    names = [*df.columns, "_key", "_pos", *counts, *sums, *(["_next"] if leads else [])]
+    out = _running(cold, Window.partitionBy("_key").orderBy(*order), counts, sums, leads).select(*names)
+    if n_hot:
+        rows = base.join(hot.select("_key"), "_key", "left_semi")
+        split = chunked_scan(rows, keys, order, counts=counts, sums=sums, leads=leads,
+                             chunks=max(1, -(-n_hot // rows_per_chunk)), key="_key")
+        out = out.unionByName(split.select(*names))
+    if not global_position:
+        return out.drop("_key")
+    # rows of all earlier keys: one prefix sum over the table of keys
+    before = chunked_scan(sizes, [], [F.col("_key").asc()], sums={"_before": "_n"}).select("_key", "_before")
+    return (out.join(before, "_key").withColumn("_gpos", F.col("_before") + F.col("_pos")).drop("_key", "_before"))
 
 
 def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
                  counts: dict[str, str] | None = None, sums: dict[str, str] | None = None,
-                 leads: list[str] | None = None, global_position: bool = False,
-                 chunks: int | None = None, skew_safe: bool = True,
-                 keep: list | None = None) -> DataFrame:
+                 leads: list[str] | None = None, chunks: int | None = None, key: str | None = None) -> DataFrame:
     """Add running 'earlier rows' aggregates per key.
 
     Output columns: ``_pos`` (0-based position within key), one column per entry of
     ``counts`` (non-NULL count over earlier rows) and ``sums`` (sum over earlier rows,
-    0 when there are none), ``_next`` (struct of ``leads`` from the next row of the key,
-    NULL for the last row) and, if asked, ``_gpos`` (0-based position in the global
-    (key, order) sort).  ``order`` must be a total order within the key.
-
-    The chunked frame is read twice (chunk summary and the final join), so it is kept:
-    persisted and appended to ``keep`` when the caller passes a list (the caller releases
-    it after its own stage barrier), otherwise cut with a reliable checkpoint.  A
-    persisted block that is lost is recomputed through the same shuffle dependency, so
-    chunk ids do not change.
-    """
-    counts = counts or {}
-    sums = sums or {}
-    leads = leads or []
-    base = df.withColumn("_key", _key_column(keys))
-
-    if not skew_safe and not global_position:
-        w = Window.partitionBy("_key").orderBy(*order)
-        wp = w.rowsBetween(Window.unboundedPreceding, -1)
-        sel = [F.col("*"), (F.row_number().over(w) - 1).alias("_pos")]
-        sel += [F.count(c).over(wp).alias(name) for name, c in counts.items()]
-        sel += [F.coalesce(F.sum(c).over(wp), F.lit(0)).alias(name) for name, c in sums.items()]
-        if leads:
-            sel.append(F.lead(F.struct(*leads)).over(w).alias("_next"))
-        return base.select(*sel).drop("_key")
+    0 when there are none) and ``_next`` (struct of ``leads`` from the next row of the key,
+    NULL for the last row).  ``order`` must be a total order within the key.  ``key`` names a
+    column that holds the key already; it is kept.
 
+    The chunked frame is stored once, as the chunk summary and the final join both read it and
+    the range bounds are sampled per execution.
+    """
+    counts, sums, leads = counts or {}, sums or {}, leads or []
+    base = df.withColumn("_k", F.col(key) if key else _key_column(keys))
     # Without an explicit count the range shuffle is sized by the planner and AQE may merge
     # adjacent ranges; merged ranges stay contiguous, so partition ids remain valid chunk ids.
-    sort = [F.col("_key").asc(), *order]
+    sort = [F.col("_k").asc(), *order]
     ranged = base.repartitionByRange(chunks, *sort) if chunks else base.repartitionByRange(*sort)
     ranged = ranged.withColumn("_chunk", F.spark_partition_id())
-    w = Window.partitionBy("_key", "_chunk").orderBy(*order)
-    wp = w.rowsBetween(Window.unboundedPreceding, -1)
-    sel = [F.col("*"), (F.row_number().over(w) - 1).alias("_lpos")]
-    sel += [F.count(c).over(wp).alias(f"_l_{name}") for name, c in counts.items()]
-    sel += [F.coalesce(F.sum(c).over(wp), F.lit(0)).alias(f"_l_{name}") for name, c in sums.items()]
-    if leads:
-        sel.append(F.lead(F.struct(*leads)).over(w).alias("_l_next"))
-    # The chunk id comes from the range shuffle, whose bounds are sampled per execution:
-    # materialize once so the summary below and the join read the same chunk ids.
-    local = ranged.select(*sel)
-    if keep is None:
-        local = materialize(local)
-    else:
-        local = local.persist()
-        local.count()
-        keep.append(local)
+    w = Window.partitionBy("_k", "_chunk").orderBy(*order)
+    local = stage_table(_running(ranged, w, counts, sums, leads, "_l_"), "chunked")
 
     # one row per (key, chunk): sizes, totals and the first row of the chunk
     aggs = [F.count(F.lit(1)).alias("_cn")]
     aggs += [F.count(c).alias(f"_ct_{name}") for name, c in counts.items()]
     aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(f"_ct_{name}") for name, c in sums.items()]
     if leads:
-        aggs.append(F.min_by(F.struct(*leads), F.col("_lpos")).alias("_cfirst"))
-    summ = local.groupBy("_key", "_chunk").agg(*aggs)
+        aggs.append(F.min_by(F.struct(*leads), F.col("_l_pos")).alias("_cfirst"))
+    summ = local.groupBy("_k", "_chunk").agg(*aggs)
 
-    wk = Window.partitionBy("_key").orderBy("_chunk")
+    wk = Window.partitionBy("_k").orderBy("_chunk")
     wkp = wk.rowsBetween(Window.unboundedPreceding, -1)
-    spanning = (summ.withColumn("_nch", F.count(F.lit(1)).over(Window.partitionBy("_key")))
+    spanning = (summ.withColumn("_nch", F.count(F.lit(1)).over(Window.partitionBy("_k")))
                 .where(F.col("_nch") > 1))
-    osel = [F.col("_key"), F.col("_chunk"),
-            F.coalesce(F.sum("_cn").over(wkp), F.lit(0)).alias("_o_pos")]
+    osel = [F.col("_k"), F.col("_chunk"), F.coalesce(F.sum("_cn").over(wkp), F.lit(0)).alias("_o_pos")]
     osel += [F.coalesce(F.sum(f"_ct_{name}").over(wkp), F.lit(0)).alias(f"_o_{name}")
              for name in list(counts) + list(sums)]
     if leads:
@@ -117,33 +125,14 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
     # bounded by 2 x chunks rows (see module docstring)
     offsets = F.broadcast(spanning.select(*osel))
 
-    out = local.join(offsets, ["_key", "_chunk"], "left")
-    fin = [F.col(c) for c in df.columns]
-    fin.append((F.col("_lpos") + F.coalesce(F.col("_o_pos"), F.lit(0))).alias("_pos"))
+    out = local.join(offsets, ["_k", "_chunk"], "left")
+    fin = [F.col(f"`{c}`") for c in df.columns]
+    fin.append((F.col("_l_pos") + F.coalesce(F.col("_o_pos"), F.lit(0))).alias("_pos"))
     for name in list(counts) + list(sums):
         fin.append((F.col(f"_l_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0))).alias(name))
     if leads:
-        fin.append(F.when(F.col("_l_next").isNull(), F.col("_o_next")).otherwise(F.col("_l_next"))
-                   .alias("_next"))
-    if global_position:
-        fin += [F.col("_key"), F.col("_chunk"), F.col("_lpos")]
-    result = out.select(*fin)
-    if not global_position:
-        return result
-
-    # global position = rows in earlier chunks + rows of earlier keys in the same chunk + local position
-    ctot = summ.groupBy("_chunk").agg(F.sum("_cn").alias("_ctot"))            # <= chunks rows
-    coff = ctot.select("_chunk", F.coalesce(
-        F.sum("_ctot").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_coff"))
-    koff = summ.select("_key", "_chunk", F.coalesce(
-        F.sum("_cn").over(Window.partitionBy("_chunk").orderBy("_key")
-                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_koff"))
-    gbase = koff.join(F.broadcast(coff), "_chunk").select(
-        "_key", "_chunk", (F.col("_koff") + F.col("_coff")).alias("_gbase"))
-    result = result.join(gbase, ["_key", "_chunk"], "left")
-    return result.select(*[F.col(c) for c in result.columns if c not in ("_key", "_chunk", "_lpos", "_gbase")],
-                         (F.col("_gbase") + F.col("_lpos")).alias("_gpos"))
+        fin.append(F.coalesce("_l_next", "_o_next").alias("_next"))
+    return out.select(*fin)
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
@@ -151,7 +140,6 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float |
     return exact_quantiles_multi(df, {column: qs})[column]
 
 
-
 def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles (the 'linear' rule) of several columns in one pass.
 
@@ -167,7 +155,6 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[s
     vals = df.select(F.explode(pairs).alias("x")).select("x.i", "x.v").where(
         F.col("v").isNotNull() & ~F.isnan(F.col("v")))
     counts = vals.groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).persist()
-    kept: list = []
     try:
         stats = {r["i"]: (r["n"], r["d"]) for r in
                  counts.groupBy("i").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
@@ -188,7 +175,7 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[s
                 w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
                 scanned = counts.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
             else:
-                scanned = chunked_scan(counts, ["i"], [F.col("v").asc()], sums={"below": "c"}, keep=kept)
+                scanned = chunked_scan(counts, ["i"], [F.col("v").asc()], sums={"below": "c"})
             wanted = F.create_map(*[x for i, rs in ranks.items()
                                     for x in (F.lit(i), F.array(*[F.lit(r) for r in sorted(rs)]))])
             hits = scanned.where(F.exists(F.coalesce(wanted[F.col("i")], F.array().cast("array<long>")),
@@ -198,8 +185,6 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[s
             hits = []
     finally:
         counts.unpersist()
-        for k in kept:
-            k.unpersist()
     out = {"_counts": {c: stats.get(i, (0, 0))[0] for i, c in enumerate(cols)}}
     for i, c in enumerate(cols):
         if i not in plans:

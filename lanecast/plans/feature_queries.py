@@ -12,10 +12,12 @@ from lanecast.operators import lanes as L
 from lanecast.operators import lifecycle as V
 from lanecast.operators import scaling as S
 from lanecast.operators import scores as SC
-from lanecast.plans.features import PROFILE_81, PROFILE_725, build_features
+from lanecast.plans.features import PROFILE_81, PROFILE_725, build_features, prepare
 from lanecast.plans.cache import memo
 from lanecast.registry import register
+from lanecast.session import stage_table
 from lanecast.sources import trips as TR
+from lanecast.streaming.quotes import scratch_dir
 
 S81 = O.features_sql(O.P81)
 S725 = O.features_sql(O.P725)
@@ -46,8 +48,19 @@ A1 = [BK, ("vehicle_no", "s"), ("Origin_Location", "s"), ("Destination_Location"
 
 @register("A1_scan_trips", A1, lambda s: f"WITH {O.trips_sql()} SELECT {s} FROM trips_raw")
 def q_a1(spark, sf_dir):
-    """A1/A2: raw trips scanned with a fixed schema and trimmed header names."""
-    return TR.trim_columns(TR.trips_view(spark, sf_dir))
+    """A1: the raw trips as CSV files with shuffled and extra columns, read back by header name."""
+    trips = TR.trips_view(spark, sf_dir)
+    cols = sorted(trips.columns, reverse=True)
+    path = scratch_dir(spark, "trips-csv")
+    TR.write_features(trips.select(F.lit("x").alias("extra"), *[f"`{c}`" for c in cols]), path, fmt="csv")
+    return TR.scan_trips(spark, path)
+
+
+@register("A2_trim_columns", A1, lambda s: f"WITH {O.trips_sql()} SELECT {s} FROM trips_raw")
+def q_a2(spark, sf_dir):
+    """A2: header names with white space around them, trimmed."""
+    trips = TR.trips_view(spark, sf_dir)
+    return TR.trim_columns(trips.toDF(*[f"  {c}\t" for c in trips.columns]))
 
 
 A3 = [BK] + [(f"{c}_us", "i") for c in ("trip_start_date", "trip_end_date", "Planned_ETA", "actual_eta")]
@@ -286,6 +299,25 @@ _feature_col_query("I16_risk_score", [("risk_score_raw", "d"), ("risk_score", "d
 _feature_col_query("I17_efficiency_score", [("efficiency_score", "d")], "f_eff2", doc="I17: rule-based efficiency score.")
 _feature_col_query("I18_efficiency_label", [("efficiency_label", "s")], "features", doc="I18: tercile label of the score.")
 
+
+
+@register("E1_next_trip_split_keys", [BK, ("next_origin", "s"), ("next_start_time", "t"), ("sort_position", "i"),
+                                      ("veh_prior_flags", "i")], lambda s: _from_features(s, src="f_veh"))
+def q_e1_split(spark, sf_dir):
+    """E1, E2 and F1 with every vehicle of over 100 trips split over chunks of 5,000 rows, as a hot key is."""
+    df, _ = prepare(stage_table(TR.load_trips(spark, sf_dir), "trips"))
+    return V.vehicle_scan(df, hot_rows=100, rows_per_chunk=5_000).withColumnRenamed("_veh_prior_flags", "veh_prior_flags")
+
+
+@register("E3_lane_scan_split_keys", [BK, ("route_count", "i"), ("lp_bookings", "i"), ("route_risk_raw", "d")],
+          lambda s: _from_features(s, src="f_lane"))
+def q_e3_split(spark, sf_dir):
+    """E3-E5 with every lane of over 1,000 trips split over chunks of 5,000 rows, as a hot key is."""
+    df, _ = prepare(stage_table(TR.load_trips(spark, sf_dir), "trips"))
+    lanes = L.add_lane_features(L.lane_scan(df, hot_rows=1_000, rows_per_chunk=5_000))
+    return lanes.withColumnRenamed("lane_prior_bookings", "lp_bookings")
+
+
 EXPORT_SPEC_81 = [BK, ("vehicle_no", "s"), ("Origin_Location", "s"), ("Destination_Location", "s"),
                   ("TRANSPORTATION_DISTANCE_IN_KM", "d"), ("day_of_week", "i"), ("month", "i"), ("delay_flag", "i"),
                   ("lane_popularity", "d"), ("cost_weight", "d"), ("risk_score", "d"), ("driver_delay_rate", "d"),
@@ -308,6 +340,95 @@ def q_i19(spark, sf_dir):
     return _feat(spark, sf_dir, PROFILE_725).export()
 
 
+@register("A4_feature_table", EXPORT_SPEC_81, lambda s: _from_features(s))
+def q_a4(spark, sf_dir):
+    """A4: the feature table written with its chosen columns and read back."""
+    build, path = _feat(spark, sf_dir), scratch_dir(spark, "features")
+    TR.write_features(build.frame, path, [f"`{c}`" for c in build.export().columns])
+    return TR.read_features(spark, path)
+
+
+@register("A5_scaler_state", D7, lambda s: _from_features(s, src="f_fit"))
+def q_a5(spark, sf_dir):
+    """A5: the fitted min-max state saved and loaded."""
+    path = scratch_dir(spark, "scaler")
+    S.save_scaler(spark, _feat(spark, sf_dir).scalars["feature_scaler"], path)
+    st = S.load_scaler(spark, path)
+    vals = {f"{m}_{c}": st[c][0 if m == "min" else 1] for c in S.PRE_SCALE for m in ("min", "max")}
+    return _one_row(spark, vals, {k: "double" for k in vals})
+
+
+@register("B2_project_export", EXPORT_SPEC_81, lambda s: _from_features(s))
+def q_b2(spark, sf_dir):
+    """B2: the export columns of the 8.1 rules, internal columns left out."""
+    out = _feat(spark, sf_dir).export()
+    if [c for c, _ in EXPORT_SPEC_81] != out.columns:
+        raise ValueError(f"unexpected export columns {out.columns}")
+    return out
+
+
+B3 = [BK] + [(c, "d") for c in ("TRANSPORTATION_DISTANCE_IN_KM", "day_of_week", "month", "lane_popularity", "route_risk",
+                                "driver_delay_rate", "is_return_trip", "is_deadhead", "is_peak_month",
+                                "distance_category", "lane_maturity", "is_market")]
+
+
+@register("B3_select_features", B3, lambda s: _from_features(s))
+def q_b3(spark, sf_dir):
+    """The model's feature columns that the table has."""
+    from lanecast.plans.training import select_features
+    out = _feat(spark, sf_dir).export()
+    return out.select("BookingID", *select_features(out))
+
+
+B7 = [BK, ("delay_hours", "d"), ("is_market", "i"), ("is_regular", "i"), ("distance_category", "i")]
+
+
+@register("B7_default_columns", B7, lambda s: (
+    f"WITH {O.trips_sql()}, t AS (SELECT BookingID, 0 AS delay_hours, 0 AS is_market, 1 AS is_regular, "
+    f"CASE WHEN TRANSPORTATION_DISTANCE_IN_KM < 200 THEN 0 WHEN TRANSPORTATION_DISTANCE_IN_KM < 500 THEN 1 ELSE 2 END "
+    f"AS distance_category FROM trips_raw) SELECT {s} FROM t"))
+def q_b7(spark, sf_dir):
+    """Trips without the optional columns: no delay, not market, regular."""
+    df = TR.load_trips(spark, sf_dir).drop("actual_eta", "Planned_ETA", "Market/Regular")
+    df = V.add_distance_features(V.add_delay_hours(df))
+    return V.add_market_flag(V.add_market_flag(df, "is_market", 0), "is_regular", 1)
+
+
+_KM = "TRANSPORTATION_DISTANCE_IN_KM"
+H9 = [BK, ("log1p_km", "d"), ("exp_km", "d"), ("clip_km", "d"), ("clip_low", "d"), ("clip_high", "d")]
+
+
+@register("H9_log1p_exp_clip", H9, lambda s: (
+    f"WITH {O.trips_sql()}, t AS (SELECT BookingID, ln(1 + {_KM}) AS log1p_km, exp(-{_KM} / 1000) AS exp_km, "
+    f"CASE WHEN {_KM} < 200 THEN 200 WHEN {_KM} > 500 THEN 500 ELSE {_KM} END AS clip_km, "
+    f"CASE WHEN {_KM} < 200 THEN 200 ELSE {_KM} END AS clip_low, "
+    f"CASE WHEN {_KM} > 500 THEN 500 ELSE {_KM} END AS clip_high FROM trips_raw) SELECT {s} FROM t"))
+def q_h9(spark, sf_dir):
+    """H9: log1p, exp and clipping on both sides or one, missing values kept."""
+    km = F.col(_KM)
+    return TR.load_trips(spark, sf_dir).select(
+        "BookingID", F.log1p(km).alias("log1p_km"), F.exp(-km / 1000).alias("exp_km"), E.clip(km, 200, 500).alias("clip_km"),
+        E.clip(km, lo=200).alias("clip_low"), E.clip(km, hi=500).alias("clip_high"))
+
+
+H10 = [BK] + [(f"{k}{n}", "d") for k in ("py", "np") for n in (0, 1, 2, 3)]
+
+
+@register("H10_rounding", H10, lambda s: (
+    "WITH t AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) "
+    "AS BookingID, l_extendedprice * l_discount / 8 AS x FROM lineitem), r AS (SELECT BookingID, "
+    + ", ".join(f"{O.pyr('x', n)} AS py{n}, round_even(x * {O.d(10 ** n)}, 0) / {O.d(10 ** n)} AS np{n}"
+                for n in (0, 1, 2, 3)) + f" FROM t) SELECT {s} FROM r"))
+def q_h10(spark, sf_dir):
+    """Half-even rounding of exact values (as Python) and of scaled values (as numpy), 0 to 3 digits."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                              F.date_format("l_shipdate", "yyyyMMdd")).alias("BookingID"),
+                  (F.col("l_extendedprice") * F.col("l_discount") / 8).alias("x"))
+    return x.select("BookingID", *[f("x", n).alias(f"{k}{n}") for k, f in (("py", E.py_round), ("np", E.round_even))
+                                   for n in (0, 1, 2, 3)])
+
+
 # stand-in model output for the stacked targets: a given probability column derived from the booking id
 P_STANDIN = "CAST(CAST(split_part(BookingID, '-', 1) AS BIGINT) % 101 AS DOUBLE) / CAST(100 AS DOUBLE)"
 

@@ -1,12 +1,11 @@
 """Feature table build (I22 for the 8.1 rules, I19 for the older 7.2.5 rules).
 
-Plan: the raw input is persisted once; two small aggregation passes give the global
+Plan: the raw input is stored once as Parquet; one small aggregation pass gives the global
 scalars that the scans need (delay quantile, distance median); the vehicle scan and the
-lane scan (chunked, see ``operators/scan.py``) follow, and their output is cut by a
-reliable checkpoint, after which the intermediate persisted frames are released.  The
-remaining scalars (dwell quantile, flag mean, scaler states, risk range, tercile edges)
-are small aggregations over that checkpoint, and the export is a projection of it with
-the scalars as literals.
+lane scan (``operators/scan.py``) follow, each stored as Parquet in the shared checkpoint
+folder.  The remaining scalars (dwell quantile, flag mean, scaler states, risk range, tercile
+edges) are aggregations that read only their columns of that table, and the export is a
+projection of it with the scalars as literals.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from lanecast.operators import lifecycle as V
 from lanecast.operators import scaling as S
 from lanecast.operators import scores as SC
 from lanecast.operators.scan import exact_quantiles_multi
-from lanecast.session import materialize, shuffle_partitions
+from lanecast.session import stage_table
 
 EXPORT_81 = (
     "BookingID", "vehicle_no", "Origin_Location", "Destination_Location",
@@ -76,15 +75,12 @@ class FeatureBuild:
         return self.frame.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def prepare(trips: DataFrame, profile: Profile = PROFILE_81, keep: list | None = None) -> tuple[DataFrame, dict]:
+def prepare(trips: DataFrame, profile: Profile = PROFILE_81) -> tuple[DataFrame, dict]:
     """Row-level features and the first scalar pass (D1, D3): delay flag, calendar, distance.
 
-    The input is kept (persisted) for the two scalar passes and the scans when ``keep`` is given.
+    ``trips`` is read twice, here and by the scans.
     """
     base = V.add_delay_hours(trips)
-    if keep is not None:
-        base = base.persist()
-        keep.append(base)
     # D1 and D3 in one pass over the input
     qs = exact_quantiles_multi(base, {"delay_hours": [profile.delay_quantile],
                                       "TRANSPORTATION_DISTANCE_IN_KM": [0.5]})
@@ -97,39 +93,23 @@ def prepare(trips: DataFrame, profile: Profile = PROFILE_81, keep: list | None =
     return df, {"delay_threshold": thr, "distance_median": median, "n_rows": n_rows}
 
 
-ROWS_PER_CHUNK = 250_000   # a key is split across tasks only once it outgrows this many rows
-
-
-def scan_chunks(spark, n_rows: int | None) -> int | None:
-    """Range chunks for the ordered scans: about ``ROWS_PER_CHUNK`` rows each, at most the shuffle partitions."""
-    if not n_rows:
-        return None
-    return max(1, min(shuffle_partitions(spark), -(-n_rows // ROWS_PER_CHUNK)))
-
-
-def scans(df: DataFrame, profile: Profile = PROFILE_81, skew_safe: bool = True, keep: list | None = None,
-          chunks: int | None = None) -> DataFrame:
+def scans(df: DataFrame, profile: Profile = PROFILE_81, **options) -> DataFrame:
     """Vehicle scan (E1, E2 inputs, sort position) then lane scan (E3-E5) and the trip links."""
-    veh = V.vehicle_scan(df, skew_safe=skew_safe, keep=keep, chunks=chunks)
-    veh = V.add_trip_links(veh)
-    if keep is not None:
-        veh = veh.persist()
-        keep.append(veh)
-    lane = L.lane_scan(veh, mode=profile.lane_order, skew_safe=skew_safe, keep=keep, chunks=chunks)
+    veh = stage_table(V.add_trip_links(V.vehicle_scan(df, **options)), "vehicle-scan")
+    lane = L.lane_scan(veh, mode=profile.lane_order, **options)
     return L.add_lane_features(lane, profile.popularity, profile.popularity_rate, profile.risk_k)
 
 
-def build_features(trips: DataFrame, profile: Profile = PROFILE_81, *, skew_safe: bool = True,
-                   checkpoint: bool = True) -> FeatureBuild:
-    """I22 (profile 8.1) / I19 (profile 7.2.5): raw trips -> feature table."""
-    kept: list = []
-    df, scalars = prepare(trips, profile, kept)
-    staged = scans(df, profile, skew_safe, kept, scan_chunks(trips.sparkSession, scalars["n_rows"]))
-    staged = materialize(staged) if checkpoint else staged.persist()
-    for k in kept:          # everything upstream of the checkpoint is no longer needed
-        k.unpersist()
+def build_features(trips: DataFrame, profile: Profile = PROFILE_81, **options) -> FeatureBuild:
+    """I22 (profile 8.1) / I19 (profile 7.2.5): raw trips -> feature table.
+
+    ``options`` go to ``ordered_scan`` (``hot_rows``, ``rows_per_chunk``).
+    """
+    df, scalars = prepare(stage_table(trips, "trips"), profile)
+    staged = stage_table(scans(df, profile, **options), "scanned-trips")
 
     n = scalars["n_rows"]
+    # One pass over one column each
     flag_mean = staged.agg(F.avg("delay_flag")).first()[0]
     dwell_thr = V.dwell_threshold(staged)
     scalars.update(flag_mean=flag_mean, dwell_threshold=dwell_thr)

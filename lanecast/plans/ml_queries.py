@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lanecast import constants as K
+from lanecast.operators import aggregates as AG
 from lanecast.operators import ml as M
 from lanecast.plans import quote as Q
 from lanecast.plans.cache import memo
@@ -22,19 +23,28 @@ def _trained(spark: SparkSession, sf_dir: str):
     return memo(spark, ("stack", sf_dir), lambda: train_stack(_feat(spark, sf_dir).export()))
 
 
-@register("K1_split_random", [BK, ("is_test", "b")])
+_SPLITS = (
+    f"{S81}, h AS (SELECT *, md5(BookingID || ':42') AS m FROM features), "
+    "u AS (SELECT *, CAST(('0x' || substr(m, 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) < CAST(0.2 AS DOUBLE) AS is_test FROM h), "
+    "s AS (SELECT *, (row_number() OVER (PARTITION BY delay_flag ORDER BY m, BookingID) - 1) % 5 AS fold FROM h), "
+    "s2 AS (SELECT *, fold = 0 AS is_test FROM s)")
+
+
+@register("K1_split_random", [BK, ("is_test", "b")], lambda s: f"WITH {_SPLITS} SELECT {s} FROM u")
 def q_k1(spark, sf_dir):
     """K1: 80/20 split from a hash of the booking id and seed 42."""
     return M.split_random(_feat(spark, sf_dir).export())
 
 
-@register("E7_stratified_folds", [BK, ("delay_flag", "i"), ("fold", "i")])
+@register("E7_stratified_folds", [BK, ("delay_flag", "i"), ("fold", "i")],
+          lambda s: f"WITH {_SPLITS} SELECT {s} FROM s")
 def q_e7(spark, sf_dir):
     """Five folds with the delay-flag ratio kept."""
     return M.stratified_folds(_feat(spark, sf_dir).export(), "delay_flag")
 
 
-@register("K2_split_stratified", [BK, ("delay_flag", "i"), ("is_test", "b")])
+@register("K2_split_stratified", [BK, ("delay_flag", "i"), ("is_test", "b")],
+          lambda s: f"WITH {_SPLITS} SELECT {s} FROM s2")
 def q_k2(spark, sf_dir):
     """K2: stratified 80/20 split (fold 0 of 5 is the test part)."""
     return M.split_stratified(_feat(spark, sf_dir).export(), "delay_flag")
@@ -96,7 +106,8 @@ def q_k7(spark, sf_dir):
 def q_k9(spark, sf_dir):
     """K9: single-stage regressor on the 11 v7 features (is_regular from the booking type)."""
     from lanecast.operators.lifecycle import add_market_flag
-    feats = add_market_flag(_feat(spark, sf_dir).export(), "is_regular", 1)
+    feats = AG.drop_missing(add_market_flag(_feat(spark, sf_dir).export(), "is_regular", 1),
+                            ["efficiency_score", "TRANSPORTATION_DISTANCE_IN_KM"])
     split = M.split_random(feats)
     model = M.fit_pipeline("reg", split.where(~F.col("is_test")), K.V7_FEATURES, "efficiency_score", M.PRICING_FAST)
     return model.transform(split.where(F.col("is_test")))
@@ -106,7 +117,8 @@ def q_k9(spark, sf_dir):
 def q_k8(spark, sf_dir):
     """K8: 15 sampled settings x 3-fold CV by R^2 on the v7 features (tree counts scaled by 1/100); one row per setting."""
     from lanecast.operators.lifecycle import add_market_flag
-    feats = add_market_flag(_feat(spark, sf_dir).export(), "is_regular", 1)
+    feats = AG.drop_missing(add_market_flag(_feat(spark, sf_dir).export(), "is_regular", 1),
+                            ["efficiency_score", "TRANSPORTATION_DISTANCE_IN_KM"])
     train = M.split_random(feats).where(~F.col("is_test"))
     _, best, metrics = M.random_search(train, K.V7_FEATURES, "efficiency_score", tree_scale=0.01)
     return spark.createDataFrame([(i, float(m)) for i, m in enumerate(metrics)], "setting int, r2_cv double")

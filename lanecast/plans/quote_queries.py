@@ -15,9 +15,10 @@ from lanecast.plans import quote as Q
 from lanecast.plans.cache import memo
 from lanecast.plans.feature_queries import _feat
 from lanecast.registry import register
-from lanecast.session import materialize
+from lanecast.session import materialize, stage_table
 from lanecast.sources.dims import vehicle_attr
-from lanecast.sources.requests import requests_view, road_view
+from lanecast.sources.requests import requests_view, road_view, scan_requests, write_quotes
+from lanecast.streaming.quotes import scratch_dir
 
 QSQL = O.quotes_sql()
 RID = ("request_id", "s")
@@ -31,9 +32,12 @@ def _kb(spark: SparkSession, sf_dir: str):
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kb, g = _kb(spark, sf_dir)
-    quotes, _ = Q.quote_requests(requests_view(spark, sf_dir), kb, g, Q.given_scores(), road_view(spark, sf_dir))
-    return quotes
+    """The priced requests, stored once for the queries that each show some of their columns."""
+    def build():
+        kb, g = _kb(spark, sf_dir)
+        return stage_table(Q.quote_requests(requests_view(spark, sf_dir), kb, g, Q.given_scores(),
+                                            road_view(spark, sf_dir))[0], "quotes")
+    return memo(spark, ("quotes", sf_dir), build)
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +165,79 @@ def q_c6(spark, sf_dir):
                      F.col("z.addon_amounts").alias("amount"))
 
 
+C7 = [RID, ("req_road_km", "d"), ("gaz_road_km", "d")]
+
+
+@register("C7_road_distance_join", C7, lambda s: (
+    f"WITH {QSQL}, c AS (SELECT q.request_id, rq.km AS req_road_km, rg.km AS gaz_road_km FROM q_valid q "
+    f"LEFT JOIN gaz g1 ON lower({O.strip('q.origin')}) = g1.city LEFT JOIN gaz g2 ON lower({O.strip('q.destination')}) = g2.city "
+    f"LEFT JOIN road_km rq ON round(q.origin_lat, 4) = rq.r1 AND round(q.origin_lon, 4) = rq.r2 AND round(q.dest_lat, 4) = rq.r3 AND round(q.dest_lon, 4) = rq.r4 "
+    f"LEFT JOIN road_km rg ON round(g1.lat, 4) = rg.r1 AND round(g1.lon, 4) = rg.r2 AND round(g2.lat, 4) = rg.r3 AND round(g2.lon, 4) = rg.r4) SELECT {s} FROM c"))
+def q_c7(spark, sf_dir):
+    """Road km of the request's own coordinates and of the gazetteer's (0 is missing, least of several)."""
+    return _prepared(spark, sf_dir)
+
+
+@register("A9_scan_requests", [RID, ("origin", "s"), ("destination", "s"), ("trip_date", "s"), ("weight_tonnes", "d"),
+                               ("vehicle_type", "s"), ("competitor_price", "d"), ("diesel_price", "d"), ("addon_list", "s"),
+                               ("origin_lat", "d"), ("origin_lon", "d"), ("dest_lat", "d"), ("dest_lon", "d"),
+                               ("corrupt", "b")],
+          lambda s: f"WITH {O.requests_sql()}, c AS (SELECT *, array_to_string(addons, ',') AS addon_list, "
+                    f"false AS corrupt FROM req_raw) SELECT {s} FROM c")
+def q_a9(spark, sf_dir):
+    """The requests as JSON lines, read back with the fixed schema."""
+    path = scratch_dir(spark, "requests-json")
+    requests_view(spark, sf_dir).drop("p_delay", "eff").write.json(path)
+    return scan_requests(spark, path).withColumns({"addon_list": F.array_join("addons", ","),
+                                                   "corrupt": F.col("_corrupt_record").isNotNull()})
+
+
+A10 = [RID, ("final_price", "i"), ("status", "s"), ("p_min", "d"), ("p_max", "d"), ("is_feasible", "b"), ("addon_total", "i"),
+       ("distance_km", "d"), ("n_addons", "i")]
+
+
+@register("A10_write_quotes", A10, lambda s: (
+    f"WITH {QSQL}, c AS (SELECT request_id, final_price, status, p_min, p_max, is_feasible, addon_total, distance_km, "
+    f"len(addons) AS n_addons FROM quotes2) SELECT {s} FROM c"))
+def q_a10(spark, sf_dir):
+    """A10: the nested quote documents written as JSON lines and read back."""
+    path = scratch_dir(spark, "quote-documents")
+    doc = Q.quote_document(_quotes(spark, sf_dir))
+    write_quotes(doc, path)
+    back = spark.read.schema(doc.schema).json(path)
+    return back.select("request_id", "final_price", "status", "pricing.corridor.p_min", "pricing.corridor.p_max",
+                       "pricing.feasibility.is_feasible", F.col("addons.total").alias("addon_total"),
+                       "abstraction.distance_km", F.size("addons.selected").alias("n_addons"))
+
+
+@register("H12_filter_known", [RID, ("known", "s"), ("n_dropped", "i")], lambda s: (
+    f"WITH {O.requests_sql()}, c AS (SELECT request_id, array_to_string(list_filter(coalesce(addons, []), "
+    f"lambda x: x IN {tuple(O.V.addons)}), ',') AS known, len(list_filter(coalesce(addons, []), "
+    f"lambda x: x NOT IN {tuple(O.V.addons)})) AS n_dropped FROM req_raw) SELECT {s} FROM c"))
+def q_h12(spark, sf_dir):
+    """Known add-on ids of each request (order and repeats kept), and how many are unknown."""
+    given = F.coalesce("addons", F.array().cast("array<string>"))
+    known = R.filter_known(given, F.array(*[F.lit(a) for a in K.ADDON_CONFIG]))
+    return requests_view(spark, sf_dir).select("request_id", F.array_join(known, ",").alias("known"),
+                                               (F.size(given) - F.size(known)).alias("n_dropped"))
+
+
+H14 = [RID, ("efficiency", "s"), ("confidence", "s"), ("distance", "i"), ("risk", "s")]
+
+
+@register("H14_bands", H14, lambda s: (
+    f"WITH {O.requests_sql()}, c AS (SELECT request_id, CASE WHEN eff >= 0.85 THEN 'Elite' WHEN eff >= 0.65 THEN 'High' "
+    f"WHEN eff >= 0.35 THEN 'Medium' ELSE 'Low' END AS efficiency, CASE WHEN eff >= 0.82 THEN 'Elite' WHEN eff >= 0.62 "
+    f"THEN 'High' WHEN eff >= 0.42 THEN 'Moderate' ELSE 'Low' END AS confidence, CASE WHEN weight_tonnes * 20 < 200 THEN 0 "
+    f"WHEN weight_tonnes * 20 < 500 THEN 1 ELSE 2 END AS distance, CASE WHEN p_delay < 0.3 THEN 'Low Risk' ELSE 'High Risk' "
+    f"END AS risk FROM req_raw) SELECT {s} FROM c"))
+def q_h14(spark, sf_dir):
+    """Efficiency, confidence, distance and risk bands of given values."""
+    return requests_view(spark, sf_dir).select(
+        "request_id", E.efficiency_band("eff").alias("efficiency"), E.confidence_band("eff").alias("confidence"),
+        E.distance_category(F.col("weight_tonnes") * 20).alias("distance"), E.delay_risk_label("p_delay").alias("risk"))
+
+
 # --- H over requests -------------------------------------------------------------------------------
 
 @register("H2_place_key", [RID, ("ok", "s"), ("dk", "s")], lambda s: (
@@ -329,7 +406,7 @@ def q_j19(spark, sf_dir):
 def q_l1(spark, sf_dir):
     """L1: the orders file read as a stream (availableNow), priced per micro-batch, read back from the sink."""
     from lanecast.sources.requests import requests_from_orders
-    from lanecast.streaming.quotes import read_quotes, scratch_dir, start_quote_stream
+    from lanecast.streaming.quotes import read_quotes, start_quote_stream
     kb, g = _kb(spark, sf_dir)
     static = spark.read.parquet(f"{sf_dir}/orders.parquet")
     orders = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parque[t]")

@@ -8,24 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lanecast.functions import expr as E
 
 DATE_COLUMNS = ["trip_start_date", "trip_end_date", "actual_eta", "Planned_ETA", "BookingIDDate"]
 
-RAW_TRIP_SCHEMA = T.StructType([
-    T.StructField("BookingID", T.StringType()),
-    T.StructField("vehicle_no", T.StringType()),
-    T.StructField("Origin_Location", T.StringType()),
-    T.StructField("Destination_Location", T.StringType()),
-    T.StructField("TRANSPORTATION_DISTANCE_IN_KM", T.DoubleType()),
-    T.StructField("trip_start_date", T.StringType()),
-    T.StructField("trip_end_date", T.StringType()),
-    T.StructField("Planned_ETA", T.StringType()),
-    T.StructField("actual_eta", T.StringType()),
-    T.StructField("Market/Regular", T.StringType()),
-])
+TRIP_COLUMNS = {
+    "BookingID": "string", "vehicle_no": "string", "Origin_Location": "string", "Destination_Location": "string",
+    "TRANSPORTATION_DISTANCE_IN_KM": "double", "trip_start_date": "string", "trip_end_date": "string",
+    "Planned_ETA": "string", "actual_eta": "string", "BookingIDDate": "string", "Market/Regular": "string",
+}
+OPTIONAL_COLUMNS = ("Planned_ETA", "actual_eta", "BookingIDDate", "Market/Regular")
+
+# Date layouts beside ISO, for the ``formats`` option (pattern letters of Spark's datetime patterns).
+MONTH_FIRST = ("M/d/yyyy H:mm[:ss]", "M/d/yyyy", "M-d-yyyy H:mm[:ss]", "M-d-yyyy")
+DAY_FIRST = ("d/M/yyyy H:mm[:ss]", "d/M/yyyy", "d-M-yyyy H:mm[:ss]", "d-M-yyyy")
 
 
 def trim_columns(df: DataFrame) -> DataFrame:
@@ -33,44 +30,63 @@ def trim_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[str(c).strip() for c in df.columns])
 
 
-def scan_trips(spark: SparkSession, path: str, fmt: str = "csv",
-               schema: T.StructType | None = RAW_TRIP_SCHEMA) -> DataFrame:
-    """A1: read raw trips from a folder (CSV with header by default, or parquet)."""
+def scan_trips(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A1: read raw trips from a folder (CSV with header by default, or parquet), columns found by name.
+
+    The columns of ``TRIP_COLUMNS`` come first, in that order and with those types; optional ones that are absent stay
+    absent, a missing required one is an error, further columns follow as they are.  NaN counts as missing (NULL).
+    Text that is no number gives NULL.  All CSV files must have the same header.
+    """
     if fmt == "parquet":
-        df = spark.read.parquet(path)
+        df = trim_columns(spark.read.parquet(path))
     else:
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    return trim_columns(df)
-
-
-def parse_timestamp(text) -> "F.Column":
+        df = trim_columns(spark.read.options(header=True, mode="PERMISSIVE", enforceSchema=False).csv(path))
+    missing = [c for c in TRIP_COLUMNS if c not in df.columns and c not in OPTIONAL_COLUMNS]
+    if missing:
+        raise ValueError(f"the trips under {path} lack the columns {missing}")
+    out = []
+    for name, kind in TRIP_COLUMNS.items():
+        if name in df.columns:
+            c = F.col(f"`{name}`")
+            if kind == "double":
+                c = E.not_nan(c.try_cast("double"))
+            elif dict(df.dtypes)[name] not in ("timestamp", "timestamp_ntz", "date"):
+                c = c.cast("string")
+            out.append(c.alias(name))
+    return df.select(*out, *[F.col(f"`{c}`") for c in df.columns if c not in TRIP_COLUMNS])
+
+
+def parse_timestamp(text, formats: tuple[str, ...] = ()) -> "F.Column":
     """Text -> TIMESTAMP_NTZ (wall-clock, independent of the session time zone); bad text -> NULL.
 
     Accepts ISO layouts: yyyy[-[m]m[-[d]d]] optionally followed by ' ' or 'T' and a time
-    [h]h:[m]m[:[s]s[.fraction]].  Anything else becomes NULL.
+    [h]h:[m]m[:[s]s[.fraction]]; then the first of ``formats`` that fits (see ``MONTH_FIRST``,
+    ``DAY_FIRST``).  Anything else becomes NULL.
     """
-    t = F.col(text) if isinstance(text, str) else text
-    return F.trim(t).try_cast("timestamp_ntz")
+    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+    def by(fmt):  # read as UTC and shown as wall-clock, so no time zone rule applies
+        instant = F.try_to_timestamp(F.concat(t, F.lit(" +00:00")), F.lit(f"{fmt} xxx"))
+        return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
+    return F.coalesce(t.try_cast("timestamp_ntz"), *[by(f) for f in formats])
 
 
-def coerce_timestamps(df: DataFrame, columns=DATE_COLUMNS) -> DataFrame:
+def coerce_timestamps(df: DataFrame, columns=DATE_COLUMNS, formats: tuple[str, ...] = ()) -> DataFrame:
     """A3: parse the date columns that exist; text in no accepted layout becomes NULL.
 
     Columns that already hold timestamps are converted to TIMESTAMP_NTZ unchanged.
     """
-    out = df
     types = dict(df.dtypes)
+    new = {}
     for c in columns:
-        if c not in types:
-            continue
-        if types[c] == "timestamp_ntz":
+        if c not in types or types[c] == "timestamp_ntz":
             continue
         if types[c] in ("timestamp", "date"):
-            out = out.withColumn(c, F.col(c).cast("timestamp_ntz"))
+            new[c] = F.col(c).cast("timestamp_ntz")
         else:
-            out = out.withColumn(c, parse_timestamp(F.col(c).cast("string")))
-    return out
+            new[c] = parse_timestamp(F.col(c).cast("string"), formats)
+    return df.withColumns(new) if new else df
 
 
 def write_features(df: DataFrame, path: str, columns: list[str] | None = None, fmt: str = "parquet") -> None:
@@ -78,7 +94,7 @@ def write_features(df: DataFrame, path: str, columns: list[str] | None = None, f
     out = df.select(*columns) if columns else df
     w = out.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         w.parquet(path)
 

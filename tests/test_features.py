@@ -78,8 +78,8 @@ def test_scaled_train_columns_in_unit_range(spark, small):
 
 def test_independent_of_input_order_and_chunks(spark, small):
     a = build_features(_trips(spark, small)).export()
-    b = build_features(_trips(spark, list(reversed(small))).repartition(5), skew_safe=True).export()
-    c = build_features(_trips(spark, small), skew_safe=False).export()
+    b = build_features(_trips(spark, list(reversed(small))).repartition(5), hot_rows=2, rows_per_chunk=3).export()
+    c = build_features(_trips(spark, small)).export()
     ra, rb, rc = (sorted(x.collect()) for x in (a, b, c))
     assert ra == rb == rc
     assert len(ra) == len(small)
@@ -122,11 +122,9 @@ def test_time_split_order(spark, small):
     assert [r.is_train for r in ordered] == [True] * cut + [False] * (len(rows) - cut)
 
 
-def test_many_small_chunks_equal_plain_windows(spark, small, monkeypatch):
-    import lanecast.plans.features as PFm
-    monkeypatch.setattr(PFm, "ROWS_PER_CHUNK", 7)      # ~8 chunks over 52 trips: keys span chunks
-    a = build_features(_trips(spark, small)).frame
-    b = build_features(_trips(spark, small), skew_safe=False).frame
+def test_many_small_chunks_equal_plain_windows(spark, small):
+    a = build_features(_trips(spark, small), hot_rows=3, rows_per_chunk=7).frame    # keys span chunks
+    b = build_features(_trips(spark, small)).frame
     cols = ["BookingID", "next_origin", "next_start_time", "driver_delay_rate", "route_count", "lane_prior_bookings",
             "route_risk_raw", "sort_position", "is_train", "efficiency_score"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanecast.operators import scaling as S
@@ -17,7 +18,7 @@ def test_scan_csv_trim_and_coerce(spark, tmpdir_path):
                  "trip_start_date,trip_end_date,Planned_ETA,actual_eta,Market/Regular\n")
         fh.write("B1,V1,\"A, N, India\",\"B, S, India\",12.5,2024-01-02 03:04:05,2024-01-02T08:00,2024-01-02,"
                  "not a date,Regular\n")
-    df = TR.coerce_timestamps(TR.scan_trips(spark, path, schema=None))
+    df = TR.coerce_timestamps(TR.scan_trips(spark, path))
     r = df.first()
     assert df.columns[0] == "BookingID"
     assert str(r.trip_start_date) == "2024-01-02 03:04:05"
@@ -27,6 +28,50 @@ def test_scan_csv_trim_and_coerce(spark, tmpdir_path):
     assert dict(df.dtypes)["trip_start_date"] == "timestamp_ntz"
 
 
+def _csv(folder, name, *lines):
+    path = os.path.join(folder, name)
+    os.makedirs(path)
+    with open(os.path.join(path, "part.csv"), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    return path
+
+
+def test_csv_columns_are_found_by_name(spark, tmpdir_path):
+    p = _csv(tmpdir_path, "shuffled", "extra, trip_start_date,TRANSPORTATION_DISTANCE_IN_KM , BookingID,vehicle_no,"
+             "trip_end_date,Destination_Location,Origin_Location",
+             'X,2024-01-02,NaN,B1,V1,2024-01-03,"B, S, India","A, N, India"',
+             "Y,2024-01-02,abc,B2,V1,2024-01-03,D,O", "Z,2024-01-02,12.5,B3,V1,2024-01-03,D,O")
+    df = TR.scan_trips(spark, p)
+    assert df.columns == ["BookingID", "vehicle_no", "Origin_Location", "Destination_Location",
+                          "TRANSPORTATION_DISTANCE_IN_KM", "trip_start_date", "trip_end_date", "extra"]
+    rows = sorted((r.BookingID, r.TRANSPORTATION_DISTANCE_IN_KM, r.Origin_Location, r.extra) for r in df.collect())
+    assert rows == [("B1", None, "A, N, India", "X"), ("B2", None, "O", "Y"), ("B3", 12.5, "O", "Z")]
+    short = _csv(tmpdir_path, "short", "BookingID,vehicle_no", "B1,V1")
+    with pytest.raises(ValueError, match="Origin_Location"):
+        TR.scan_trips(spark, short)
+
+
+def test_date_layouts_by_option(spark):
+    df = spark.createDataFrame([("8/17/2020 14:59", "17-08-2020 14:59"), ("2020-08-17 14:59:00", "17/8/2020"),
+                                ("13/1/2020", "x"), ("3/29/2020 2:30", "29-03-2020 02:30:07")], "a string, b string")
+    us = [str(r[0]) for r in df.select(TR.parse_timestamp("a", TR.MONTH_FIRST)).collect()]
+    eu = [str(r[0]) for r in df.select(TR.parse_timestamp("b", TR.DAY_FIRST)).collect()]
+    assert us == ["2020-08-17 14:59:00", "2020-08-17 14:59:00", "None", "2020-03-29 02:30:00"]
+    assert eu == ["2020-08-17 14:59:00", "2020-08-17 00:00:00", "None", "2020-03-29 02:30:07"]
+    assert df.select(TR.parse_timestamp("a")).first()[0] is None
+
+
+def test_one_nan_distance_does_not_spoil_the_build(spark):
+    from lanecast.plans.features import build_features
+    from tests.conftest import SF_SMALL
+    trips = TR.load_trips(spark, SF_SMALL).limit(400)
+    one = F.when(F.col("BookingID") == trips.agg(F.min("BookingID")).first()[0], F.lit(float("nan")))
+    spoilt = trips.withColumn("TRANSPORTATION_DISTANCE_IN_KM", F.coalesce(one, "TRANSPORTATION_DISTANCE_IN_KM"))
+    frame = build_features(spoilt).frame
+    assert frame.where("isnan(dist_norm) OR isnan(efficiency_score)").count() == 0
+    assert frame.select("dist_norm").distinct().count() > 10
+
+
 def test_feature_roundtrip(spark, tmpdir_path):
     df = spark.createDataFrame([("B1", 1.5, "High")], "BookingID string, x double, efficiency_label string")
     for fmt in ("parquet", "csv"):

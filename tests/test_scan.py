@@ -23,35 +23,40 @@ def _order():
     return [F.col("t").asc_nulls_last(), F.col("b").asc_nulls_last()]
 
 
+def _plain(df, keys=("k",)):
+    w = Window.partitionBy(*keys).orderBy(*_order())
+    wp = w.rowsBetween(Window.unboundedPreceding, -1)
+    return df.select("*", (F.row_number().over(w) - 1).alias("_pos"), F.count("b").over(wp).alias("nb"),
+                     F.coalesce(F.sum("f").over(wp), F.lit(0)).alias("sf"), F.lead(F.struct("t", "f")).over(w).alias("_next"))
+
+
+COLS = ["b", "_pos", "nb", "sf", "_next"]
+RUN = dict(counts={"nb": "b"}, sums={"sf": "f"}, leads=["t", "f"])
+
+
 def test_chunked_scan_equals_plain_window(spark):
     df = _hot_frame(spark)
-    kw = dict(counts={"nb": "b"}, sums={"sf": "f"}, leads=["t", "f"])
-    plain = SC.chunked_scan(df, ["k"], _order(), skew_safe=False, **kw)
+    want = sorted(_plain(df).select(*COLS).collect())
     for chunks in (3, 7, 16):
-        chunked = SC.chunked_scan(df, ["k"], _order(), chunks=chunks, **kw)
-        a = sorted(plain.select("b", "_pos", "nb", "sf", "_next").collect())
-        b = sorted(chunked.select("b", "_pos", "nb", "sf", "_next").collect())
-        assert a == b, chunks
+        assert sorted(SC.chunked_scan(df, ["k"], _order(), chunks=chunks, **RUN).select(*COLS).collect()) == want, chunks
 
 
-def test_global_position_is_the_sort_rank(spark):
+@pytest.mark.parametrize("hot_rows", [10**6, 500, 20])
+def test_ordered_scan_equals_plain_window_and_sort_rank(spark, hot_rows):
     df = _hot_frame(spark, 1200)
-    out = SC.chunked_scan(df, ["k"], _order(), global_position=True, chunks=5)
-    w = Window.orderBy(F.col("k").asc_nulls_last(), *_order())
-    ref = df.withColumn("r", F.row_number().over(w) - 1)
-    got = dict(out.select("b", "_gpos").collect())
-    want = dict(ref.select("b", "r").collect())
-    assert got == want
-
-
-def test_chunked_scan_with_kept_persist(spark):
-    df = _hot_frame(spark, 900)
-    keep = []
-    a = SC.chunked_scan(df, ["k"], _order(), sums={"sf": "f"}, chunks=4, keep=keep)
-    rows = sorted(a.select("b", "_pos", "sf").collect())
-    assert keep and len(rows) == 900
-    for k in keep:
-        k.unpersist()
+    out = SC.ordered_scan(df, ["k"], _order(), global_position=True, hot_rows=hot_rows, rows_per_chunk=90, **RUN)
+    assert sorted(out.select(*COLS).collect()) == sorted(_plain(df).select(*COLS).collect())
+    rank = df.withColumn("r", F.row_number().over(Window.orderBy(F.col("k").asc_nulls_last(), *_order())) - 1)
+    assert dict(out.select("b", "_gpos").collect()) == dict(rank.select("b", "r").collect())
+    assert out.columns == [*df.columns, "_pos", "nb", "sf", "_next", "_gpos"]
+
+
+def test_null_keys_and_separators_are_keys_of_their_own(spark):
+    rows = [(None, "a"), ("\U0010ffff", "a"), ("", "a"), ("x\x01y", "z"), ("x", "y\x01z"), ("x", None), (None, None)]
+    df = spark.createDataFrame([(a, b, i % 2, f"b{i}", 1) for i, (a, b) in enumerate(rows * 2)],
+                               "k string, k2 string, t int, b string, f int")
+    got = SC.ordered_scan(df, ["k", "k2"], _order(), hot_rows=1, rows_per_chunk=3, **RUN)
+    assert sorted(got.select(*COLS).collect()) == sorted(_plain(df, ("k", "k2")).select(*COLS).collect())
 
 
 @pytest.mark.parametrize("small", [True, False])

@@ -29,10 +29,9 @@ def main():
 
     from lanecast.operators import lanes as L
     from lanecast.operators import lifecycle as V
-    from lanecast.operators.scan import chunked_scan
     from lanecast.plans import quote as Q
     from lanecast.plans.quote_queries import _kb, _quotes
-    from lanecast.session import build_session
+    from lanecast.session import build_session, stage_table
     from lanecast.sources import trips as TR
 
     spark = build_session(shuffle_partitions=16)
@@ -40,9 +39,8 @@ def main():
     sections = []
     sections.append(("Trips view + A3 parse (column pruning at the parquet scans)", trips))
     base = V.add_delay_hours(trips)
-    sections.append(("Chunked vehicle scan (range chunks, window per (vehicle, chunk), broadcast offsets)",
-                     chunked_scan(base.withColumn("delay_flag", F.lit(0)), ["vehicle_no"], V.vehicle_order(),
-                                  sums={"s": "delay_flag"}, leads=["Origin_Location"], keep=[])))
+    scanned = V.vehicle_scan(stage_table(base.withColumn("delay_flag", F.lit(0)), "trips"))
+    sections.append(("Vehicle scan (one hash exchange and window per vehicle, key offsets joined on)", scanned))
     from lanecast.plans.feature_queries import _feat
     feats = _feat(spark, sf).export()
     sections.append(("D5 lane KB (partial + final hash aggregate over the checkpointed feature table)", L.lane_kb(feats)))
