@@ -173,9 +173,21 @@ def decode(df: DataFrame, ids: str = "ids", keep: list[str] | None = None, as_te
                     _kinds(df, keep) + "decoded binary" + ", decoded_text string" * as_text)
 
 
+def encode_and_decode(df: DataFrame, text: str = "text", keep: list[str] | None = None,
+                      vocabulary: str = VOCABULARY) -> DataFrame:
+    """``keep``, ``n_tokens``, ``ids`` and ``decoded``: ``encode`` and ``decode`` of its ids in one pass."""
+    keep = ["doc_id"] if keep is None else keep
+
+    def row(t, *k):
+        c = codec(vocabulary_path(vocabulary))
+        ids = c.encode(t)
+        return (*k, len(ids) // 4, ids, c.decode(ids))
+
+    return map_rows(df.select(F.col(text).alias("_text"), *keep), row,
+                    _kinds(df, keep) + "n_tokens bigint, ids binary, decoded binary")
+
+
 def round_trip(df: DataFrame, text: str = "text") -> DataFrame:
     """Digests of ids and decoded bytes: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    ids = encode(df, text, offsets=False)
-    out = decode(ids.withColumn("ids_sha256", F.sha2("ids", 256)), keep=["doc_id", "n_tokens", "ids_sha256"],
-                 as_text=False)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_and_decode(df, text).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                                              F.sha2("decoded", 256).alias("decoded_sha256"))

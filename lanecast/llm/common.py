@@ -20,7 +20,13 @@ ASCII_LOWER = bytes(range(256)).lower()
 PIECE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch between the JVM and Python; texts are long, so the default of 10,000 makes large batches.
+BATCH_ROWS = "1024"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; from now on the session's Arrow batches hold ``BATCH_ROWS`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,8 +41,8 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that an Arrow map hands back at a time.
-SLICE_ROWS = 1024
+#: Rows that an Arrow map takes and hands back at a time.
+SLICE_ROWS = 256
 
 
 def free_name(df: DataFrame, name: str) -> str:

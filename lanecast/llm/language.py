@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lanecast.llm.common import SLICE_ROWS, held_out, map_rows
+from lanecast.llm.common import held_out, map_rows
 
 UNKNOWN = "und"
 SEGMENT = 48
@@ -32,6 +32,8 @@ EPOCHS = 4
 BATCH = 256
 RATE = 0.01
 SEED = 20240602
+#: Documents whose equal segments are labelled together.
+POOL_ROWS = 1024
 #: Byte positions labelled at a time (bounds the memory of a batch).
 POSITIONS = 1 << 18
 
@@ -234,8 +236,8 @@ def identify(df: DataFrame, model: tuple[list[str], dict | None], text: str = "t
         import pyarrow as pa
 
         for b in batches:
-            for at in range(0, b.num_rows, SLICE_ROWS):
-                part = b.slice(at, SLICE_ROWS)
+            for at in range(0, b.num_rows, POOL_ROWS):
+                part = b.slice(at, POOL_ROWS)
                 texts = part.column("_text").to_pylist()
                 p = pooled(net, len(names), texts) if net else np.zeros((len(texts), 1))
                 best = p.argmax(axis=1)

@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import held_out, map_rows, stored
+from lanecast.llm.common import SLICE_ROWS, held_out, map_rows, stored
 
 FEATURES = 256
 WIDTH = 6.0
@@ -113,8 +113,16 @@ def _normal_equations(rows: DataFrame, mean: list, sd: list):
     return np.array([r.a for r in sorted(got, key=lambda r: r.i)])
 
 
-def _raw(rows: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``keep`` and the uncalibrated ridge score ``raw`` of rows with statistics ``x``."""
+def predict(x, model: dict, calibrated: bool = True):
+    """Scores of rows of statistics; uncalibrated ones are the plain ridge scores."""
+    import numpy as np
+
+    raw = features((np.asarray(x) - model["mean"]) / model["sd"]) @ np.array(model["beta"])
+    return np.clip(np.interp(raw, model["xs"], model["ys"]), 0.0, 1.0) if calibrated else raw
+
+
+def _scored(rows: DataFrame, model: dict, keep: list[str], calibrated: bool) -> DataFrame:
+    """``keep`` and the ``score`` of rows with statistics ``x``."""
     import numpy as np
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -122,10 +130,9 @@ def _raw(rows: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     def run(batches):
         for b in batches:
             if len(b):
-                z = features((np.stack(b.x.to_numpy()) - model["mean"]) / model["sd"])
-                yield b[keep].assign(raw=z @ np.array(model["beta"]))
+                yield b[keep].assign(score=predict(np.stack(b.x.to_numpy()), model, calibrated))
 
-    return rows.select(*keep, "x").mapInPandas(run, f"{kinds}, raw double")
+    return rows.select(*keep, "x").mapInPandas(run, f"{kinds}, score double")
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> dict:
@@ -152,8 +159,8 @@ def fit(rows: DataFrame, labels: DataFrame) -> dict:
     count = a[-1, -2]
     model = {"mean": mean, "sd": sd,
              "beta": np.linalg.solve(a[:, :-1] + RIDGE * count * np.eye(len(a)) / FEATURES, a[:, -1]).tolist()}
-    at = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), "raw")) * GRID).cast("int").alias("g")
-    counts = (_raw(train.where("calibrates") if split else train, model, ["y"]).groupBy(at)
+    at = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), "score")) * GRID).cast("int").alias("g")
+    counts = (_scored(train.where("calibrates") if split else train, model, ["y"], False).groupBy(at)
               .agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect())
     model["xs"], model["ys"] = pool([(r.g / GRID, r.n, r.s) for r in sorted(counts, key=lambda r: r.g)])
     return model
@@ -163,17 +170,7 @@ def score(rows: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """``keep`` and the calibrated ``score`` (0 to 1) of rows with statistics ``x``."""
     if model["beta"] is None:
         return rows.select(*keep, F.lit(float(model["level"])).alias("score"))
-    import numpy as np
-
-    xs, ys = np.array(model["xs"]), np.array(model["ys"])
-
-    def run(batches):
-        for b in batches:
-            yield b[keep].assign(score=np.clip(np.interp(b.raw.to_numpy(dtype=float), xs, ys), 0.0, 1.0))
-
-    raw = _raw(rows, model, keep)
-    return raw.mapInPandas(run, ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in keep)
-                           + ", score double")
+    return _scored(rows, model, keep, True)
 
 
 def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -195,18 +192,15 @@ def keep_good(df: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame
 
     The statistics are computed again from the text while it is filtered, so no text is stored or shuffled.
     """
-    import numpy as np
-
     model = fit(stored(with_statistics(df, ["doc_id"], text)), labels)
     if model["beta"] is None:
         return df if model["level"] >= THRESHOLD else df.limit(0)
-    xs, ys, beta = np.array(model["xs"]), np.array(model["ys"]), np.array(model["beta"])
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = np.array([statistics(t) for t in b.column(text).to_pylist()])
-                raw = features((x - model["mean"]) / model["sd"]) @ beta
-                yield b.filter(np.interp(raw, xs, ys) >= THRESHOLD)
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
+                x = [statistics(t) for t in part.column(text).to_pylist()]
+                yield part.filter(predict(x, model) >= THRESHOLD)
 
     return df.mapInArrow(run, df.schema)

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import map_rows, stored
+from lanecast.llm.common import SLICE_ROWS, map_rows, stored
 
 # Fixed by the contract: the base patterns, the least length of what they find, the order of the kinds.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -238,19 +238,23 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataF
             at = max(at, stop)
         return "".join([*out, t[at:]]) if out else t
 
-    def run(batches):
+    def rewritten(b):
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        i = names.index(text)
+        new = pa.array([clean(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
+        if "n_chars" in names and pa.types.is_integer(b.schema.field(names.index("n_chars")).type):
+            j = names.index("n_chars")
+            changed = pc.fill_null(pc.not_equal(new, b.column(i)), False)
+            size = pc.utf8_length(new).cast(b.schema.field(j).type)
+            b = b.set_column(j, b.schema.field(j), pc.if_else(changed, size, b.column(j)))
+        return b.set_column(i, b.schema.field(i), new)
+
+    def run(batches):
         for b in batches:
-            i = names.index(text)
-            new = pa.array([clean(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
-            if "n_chars" in names and pa.types.is_integer(b.schema.field(names.index("n_chars")).type):
-                j = names.index("n_chars")
-                changed = pc.fill_null(pc.not_equal(new, b.column(i)), False)
-                size = pc.utf8_length(new).cast(b.schema.field(j).type)
-                b = b.set_column(j, b.schema.field(j), pc.if_else(changed, size, b.column(j)))
-            yield b.set_column(i, b.schema.field(i), new)
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                yield rewritten(b.slice(at, SLICE_ROWS))
 
     return df.mapInArrow(run, df.schema)
 
