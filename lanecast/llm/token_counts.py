@@ -44,8 +44,9 @@ class TokenTree:
         self.counts = [counts[i:i + BLOCK] for i in range(0, len(counts), BLOCK)] or [[]]
         self.size = 1 << (len(self.pieces) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for b, (p, c) in enumerate(zip(self.pieces, self.counts)):
-            self.chars[self.size + b], self.tokens[self.size + b] = sum(map(len, p)), sum(c)
+        lengths = list(map(len, pieces))
+        for b, c in enumerate(self.counts):
+            self.chars[self.size + b], self.tokens[self.size + b] = sum(lengths[b * BLOCK:(b + 1) * BLOCK]), sum(c)
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
