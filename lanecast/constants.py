@@ -86,6 +86,23 @@ ADDON_CONFIG = {
     "express_delivery": ("Express Delivery", None, 0.30),
 }
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: models
+# ---------------------------------------------------------------------------
+# trees, depth, learning rate, row share per tree, column share per node, least rows of a child, least gain (summed
+# over the rows), early stopping
+RISK_MODEL = (800, 6, 0.04, 0.85, "0.8", 3, 0.1, True)
+PRICING_MODEL = (1200, 7, 0.025, 0.85, "0.8", 2, 0.05, True)
+# older single-stage settings
+PRICING_500 = (500, 6, 0.05, 0.85, "0.8", 2, 0.0, False)
+PRICING_1000 = (1000, 8, 0.03, 0.85, "0.8", 2, 0.0, False)
+EARLY_STOPPING_ROUNDS = 50
+V7_GRID = {
+    "n_estimators": [500, 1000, 1500], "max_depth": [5, 7, 9], "learning_rate": [0.01, 0.05, 0.1],
+    "subsample": [0.8, 0.9], "colsample_bytree": [0.8, 0.9], "gamma": [0.1, 0.2],
+    "reg_alpha": [0.1, 0.5], "reg_lambda": [1.5, 2.0],
+}
+
 # UI weight limits per class: (maximum tonnes, default tonnes when the maximum is exceeded)
 WEIGHT_LIMITS = {
     "LCV": (3.0, 1.5),

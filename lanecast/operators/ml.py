@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import os
 import random
-from dataclasses import dataclass, replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from lanecast import constants as K
 from lanecast.functions import expr as E
 from lanecast.operators.scan import chunked_scan
+from lanecast.session import stage_table
 
 
 @dataclass(frozen=True)
@@ -40,11 +43,15 @@ class GBTParams:
     max_bins: int = 32
 
 
-# Reference settings as named profiles; the default profile keeps the shapes but fewer trees.
-RISK_REFERENCE = GBTParams(800, 6, 0.04, 0.85, "0.8", 3, 0.1, True)
-PRICING_REFERENCE = GBTParams(1200, 7, 0.025, 0.85, "0.8", 2, 0.05, True)
-RISK_FAST = GBTParams(20, 5, 0.3, 0.85, "0.8", 3, 0.0, True)
-PRICING_FAST = GBTParams(30, 5, 0.3, 0.85, "0.8", 2, 0.0, True)
+# The fixed settings; the first two are the defaults everywhere.
+RISK_REFERENCE = GBTParams(*K.RISK_MODEL)
+PRICING_REFERENCE = GBTParams(*K.PRICING_MODEL)
+PRICING_500 = GBTParams(*K.PRICING_500)
+PRICING_1000 = GBTParams(*K.PRICING_1000)
+
+PATIENCE = K.EARLY_STOPPING_ROUNDS
+#: Rows of a training partition at most; smaller tables train on fewer partitions, as each tree is several short jobs.
+ROWS_PER_TASK = 25_000
 
 
 # --- K1 / K2 / E7 splits and folds ----------------------------------------------------------------
@@ -82,18 +89,24 @@ def split_stratified(df: DataFrame, label: str, id_col: str = "BookingID", seed:
 
 # --- K3 / K4 / K9 fits ----------------------------------------------------------------------------------
 
-def _gbt(kind: str, p: GBTParams, features_col: str, label: str, validation: str | None, seed: int):
+def _gbt(kind: str, p: GBTParams, label: str, n_rows: int, trees: int, seed: int):
+    """The estimator.  ``gamma`` bounds the gain summed over the rows of a node; Spark's gain is a mean over them."""
     cls = GBTClassifier if kind == "clf" else GBTRegressor
-    kw = dict(featuresCol=features_col, labelCol=label, maxIter=p.trees, maxDepth=p.depth, stepSize=p.lr,
-              subsamplingRate=p.subsample, featureSubsetStrategy=p.colsample, minInstancesPerNode=p.min_child,
-              minInfoGain=p.gamma, maxBins=p.max_bins, seed=seed)
-    if validation is not None:
-        kw["validationIndicatorCol"] = validation
-    if kind == "reg":
-        kw["lossType"] = "squared"
-    else:
-        kw["lossType"] = "logistic"
-    return cls(**kw)
+    return cls(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=p.depth, stepSize=p.lr,
+               subsamplingRate=p.subsample, featureSubsetStrategy=p.colsample, minInstancesPerNode=p.min_child,
+               minInfoGain=p.gamma / max(n_rows, 1), maxBins=p.max_bins, seed=seed, maxMemoryInMB=1024,
+               lossType="logistic" if kind == "clf" else "squared")
+
+
+def best_round(losses: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Round (from 1) of the least loss before ``patience`` rounds pass without a lower one; whether they did."""
+    low, at = float("inf"), 0
+    for i, loss in enumerate(losses, 1):
+        if loss < low:
+            low, at = loss, i
+        elif i - at >= patience:
+            return at, True
+    return at, False
 
 
 def with_validation(df: DataFrame, share: float = 0.1, id_col: str = "BookingID", seed: int = 7) -> DataFrame:
@@ -102,25 +115,45 @@ def with_validation(df: DataFrame, share: float = 0.1, id_col: str = "BookingID"
 
 
 def fit_pipeline(kind: str, train: DataFrame, features: list[str], label: str, params: GBTParams,
-                 seed: int = 42, id_col: str = "BookingID") -> PipelineModel:
-    """K3 (kind='clf') / K4, K9 (kind='reg'): assembler + GBT, early stopping on a validation slice."""
-    data = train.select(*features, F.col(label).cast("double").alias(label), id_col)
-    validation = None
-    if params.early_stop:
-        data = with_validation(data, id_col=id_col)
-        validation = "_is_val"
-    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-              _gbt(kind, params, "features", label, validation, seed)]
-    return Pipeline(stages=stages).fit(data)
-
+                 seed: int = 42, id_col: str = "BookingID", patience: int = PATIENCE) -> PipelineModel:
+    """K3 (kind='clf') / K4, K9 (kind='reg'): assembler + GBT.
 
-def fit_delay_classifier(train: DataFrame, features: list[str], params: GBTParams = RISK_FAST) -> PipelineModel:
+    With ``early_stop`` the model is the one of the best validation round: rounds are added, four times as many each
+    time, until ``patience`` of them bring no lower loss on the validation slice or the full count is reached; then
+    the trees after the best round go (the same seed grows the same first trees).  Without it all trees are kept.
+    """
+    data = train.select(*features, F.col(label).cast("double").alias(label), id_col)
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    data = assembler.transform(with_validation(data, id_col=id_col)).select("features", label, "_is_val").persist()
+    try:
+        n = data.count()
+        parts = max(1, min(data.rdd.getNumPartitions(), -(-n // ROWS_PER_TASK)))
+        fold = (data.where(~F.col("_is_val")) if params.early_stop else data).coalesce(parts)
+        check = data.where("_is_val").coalesce(parts)
+        trees = min(params.trees, 2 * patience) if params.early_stop else params.trees
+        while True:
+            model = _gbt(kind, params, label, n, trees, seed).fit(fold)
+            if not params.early_stop:
+                break
+            losses = model.evaluateEachIteration(check, *(["squared"] if kind == "reg" else []))
+            at, stopped = best_round(losses, patience)
+            if stopped or trees == params.trees:
+                if at < trees:
+                    model = _gbt(kind, params, label, n, max(at, 1), seed).fit(fold)
+                break
+            trees = min(params.trees, 4 * trees)
+    finally:
+        data.unpersist()
+    return PipelineModel([assembler, model])
+
+
+def fit_delay_classifier(train: DataFrame, features: list[str], params: GBTParams = RISK_REFERENCE) -> PipelineModel:
     """K3: binary delay classifier on the base features."""
     return fit_pipeline("clf", train, features, "delay_flag", params)
 
 
 def fit_efficiency_regressor(train: DataFrame, features: list[str], label: str = "probabilistic_efficiency",
-                             params: GBTParams = PRICING_FAST) -> PipelineModel:
+                             params: GBTParams = PRICING_REFERENCE) -> PipelineModel:
     """K4: efficiency regressor on base features + the delay probability."""
     return fit_pipeline("reg", train, features, label, params)
 
@@ -134,7 +167,7 @@ def p_positive(model: PipelineModel, df: DataFrame, out: str = K.DELAY_PROB_COL)
 
 # --- K5 / K6 / C8 out-of-fold stacking ---------------------------------------------------------------------
 
-def oof_probability(df: DataFrame, features: list[str], k: int = 5, params: GBTParams = RISK_FAST,
+def oof_probability(df: DataFrame, features: list[str], k: int = 5, params: GBTParams = RISK_REFERENCE,
                     label: str = "delay_flag", id_col: str = "BookingID",
                     folded: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
     """K5 + C8: each row scored by the model not trained on its fold; also the per-fold AUCs (K6).
@@ -143,16 +176,17 @@ def oof_probability(df: DataFrame, features: list[str], k: int = 5, params: GBTP
     """
     if folded is None:
         folded = stratified_folds(df, label, k, id_col)
-    parts, aucs = [], []
-    for i in range(k):
-        model = fit_pipeline("clf", folded.where(F.col("fold") != i), features, label, replace(params, early_stop=False))
-        scored = p_positive(model, folded.where(F.col("fold") == i))
-        aucs.append(exact_auc(scored, label, K.DELAY_PROB_COL))
-        parts.append(scored)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, aucs
+    def fold(i: int) -> tuple[DataFrame, float | None]:
+        model = fit_pipeline("clf", folded.where(F.col("fold") != i), features, label, params)
+        scored = stage_table(p_positive(model, folded.where(F.col("fold") == i)), f"fold-{i}")
+        return scored, exact_auc(scored, label, K.DELAY_PROB_COL)
+
+    with ThreadPoolExecutor(max_workers=k) as pool:     # the folds' fits are independent
+        done = list(pool.map(inheritable_thread_target(fold), range(k)))
+    out = done[0][0]
+    for scored, _ in done[1:]:
+        out = out.unionByName(scored)
+    return out, [auc for _, auc in done]
 
 
 def cv_auc(aucs: list[float]) -> tuple[float, float]:
@@ -185,13 +219,6 @@ def score_two_stage(stack: Stack, df: DataFrame) -> DataFrame:
 
 # --- K8 random search ----------------------------------------------------------------------------------------------
 
-V7_GRID = {
-    "n_estimators": [500, 1000, 1500], "max_depth": [5, 7, 9], "learning_rate": [0.01, 0.05, 0.1],
-    "subsample": [0.8, 0.9], "colsample_bytree": [0.8, 0.9], "gamma": [0.1, 0.2],
-    "reg_alpha": [0.1, 0.5], "reg_lambda": [1.5, 2.0],
-}
-
-
 def random_search(train: DataFrame, features: list[str], label: str, n_iter: int = 15, folds: int = 3,
                   seed: int = 42, tree_scale: float = 1.0, parallelism: int = 4):
     """K8: ``n_iter`` sampled settings x ``folds``-fold CV by R^2; the best is refit on all train rows.
@@ -200,14 +227,14 @@ def random_search(train: DataFrame, features: list[str], label: str, n_iter: int
     L1/L2 penalties have no pyspark.ml counterpart and are sampled but not applied.
     """
     rng = random.Random(seed)
-    settings = [{k: rng.choice(v) for k, v in V7_GRID.items()} for _ in range(n_iter)]
+    settings = [{k: rng.choice(v) for k, v in K.V7_GRID.items()} for _ in range(n_iter)]
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-    maps = []
+    maps, rows = [], max(train.count(), 1)
     for s in settings:
         maps.append({gbt.maxIter: max(1, int(s["n_estimators"] * tree_scale)), gbt.maxDepth: s["max_depth"],
                      gbt.stepSize: s["learning_rate"], gbt.subsamplingRate: s["subsample"],
-                     gbt.featureSubsetStrategy: str(s["colsample_bytree"]), gbt.minInfoGain: s["gamma"]})
+                     gbt.featureSubsetStrategy: str(s["colsample_bytree"]), gbt.minInfoGain: s["gamma"] / rows})
     cv = CrossValidator(estimator=Pipeline(stages=[asm, gbt]), estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
                         numFolds=folds, seed=seed, parallelism=parallelism)

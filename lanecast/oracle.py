@@ -306,18 +306,18 @@ req_raw AS (
     CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN strftime(o_orderdate, '%d-%m-%Y')
       ELSE strftime(o_orderdate, '%Y-%m-%d') END AS trip_date,
     CAST(o_orderkey % 52 AS DOUBLE) AS weight_tonnes,
-    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'lcv' WHEN '2' THEN ' MCV ' WHEN '3' THEN 'FTL'
-      WHEN '5' THEN 'CARTING' END AS vehicle_type,
+    CASE WHEN o_orderkey % 26 = 0 THEN 'Carting' ELSE CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'lcv' WHEN '2' THEN ' MCV ' WHEN '3' THEN 'FTL'
+      WHEN '5' THEN 'CARTING' END END AS vehicle_type,
     CASE WHEN o_orderkey % 103 = 0 THEN {d(0)} WHEN o_orderstatus = 'F' THEN o_totalprice / {d(5)} END AS competitor_price,
     CASE WHEN o_orderkey % 17 = 0 THEN {d(250)} WHEN o_orderkey % 13 = 0 THEN {d(200)}
       WHEN o_orderstatus = 'P' THEN {d(95.5)} END AS diesel_price,
     CASE o_orderkey % 3 WHEN 1 THEN ['extra_rope', 'extra_rope', 'unknown']
       WHEN 2 THEN ['helper_required', 'express_delivery'] END AS addons,
-    CASE WHEN o_orderkey % 101 = 0 THEN {d(95)} WHEN o_orderkey % 5 = 1
+    CASE WHEN o_orderkey % 101 = 0 THEN {d(95)} WHEN o_orderkey % 5 = 1 OR o_orderkey % 13 = 0
       THEN {d(8)} + CAST(o_custkey % 2900 AS DOUBLE) / {d(100)} END AS origin_lat,
-    CASE WHEN o_orderkey % 5 = 1 THEN {d(68)} + CAST(o_orderkey % 2900 AS DOUBLE) / {d(100)} END AS origin_lon,
-    CASE WHEN o_orderkey % 5 = 1 THEN {d(8)} + CAST(o_orderkey % 2800 AS DOUBLE) / {d(100)} END AS dest_lat,
-    CASE WHEN o_orderkey % 5 = 1 THEN {d(68)} + CAST(o_custkey % 2800 AS DOUBLE) / {d(100)} END AS dest_lon,
+    CASE WHEN o_orderkey % 5 = 1 OR o_orderkey % 13 = 0 THEN {d(68)} + CAST(o_orderkey % 2900 AS DOUBLE) / {d(100)} END AS origin_lon,
+    CASE WHEN o_orderkey % 5 = 1 OR o_orderkey % 13 = 0 THEN {d(8)} + CAST(o_orderkey % 2800 AS DOUBLE) / {d(100)} END AS dest_lat,
+    CASE WHEN o_orderkey % 5 = 1 OR o_orderkey % 13 = 0 THEN {d(68)} + CAST(o_custkey % 2800 AS DOUBLE) / {d(100)} END AS dest_lon,
     CASE WHEN o_orderkey % 13 = 0 THEN {d(0)} ELSE CAST(o_orderkey % 101 AS DOUBLE) / {d(100)} END AS p_delay,
     CASE WHEN o_orderkey % 13 = 0 THEN {d(1)} ELSE CAST(o_custkey % 101 AS DOUBLE) / {d(100)} END AS eff,
     o_orderkey, o_custkey, o_totalprice
@@ -332,8 +332,9 @@ def road_sql() -> str:
     (a, b), (c, e) = CITY_COORDS["delhi"], CITY_COORDS["jaipur"]
     return f"""
 road AS (
-  SELECT {xy}, CASE WHEN o_orderkey % 7 = 0 THEN {d(0)} ELSE o_totalprice / {d(100)} END AS km
-    FROM req_raw WHERE o_orderkey % 5 = 1 AND o_orderkey % 3 = 0
+  SELECT {xy}, CASE WHEN o_orderkey % 7 = 0 THEN {d(0)} WHEN o_orderkey % 13 = 0 THEN o_totalprice / {d(20)}
+      ELSE o_totalprice / {d(100)} END AS km
+    FROM req_raw WHERE o_orderkey % 5 = 1 AND o_orderkey % 3 = 0 OR o_orderkey % 13 = 0
   UNION ALL SELECT {xy}, {d(0)} FROM req_raw WHERE o_orderkey % 5 = 1 AND o_orderkey % 6 = 0
   UNION ALL SELECT {d(a)}, {d(b)}, {d(c)}, {d(e)}, {d(100)} + o_totalprice / {d(1000)} FROM req_raw
     WHERE o_orderkey % 4 = 2 AND o_custkey % 15 = 0

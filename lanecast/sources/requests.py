@@ -82,7 +82,7 @@ def requests_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) ->
             .when(k4 == 2, _pick(ck % 3, ["Jaipur", "Surat", "Salem"]))
             .otherwise(F.lit("Elsewhere")))
     prio = F.substring("o_orderpriority", 1, 1)
-    vehicle = (F.when(prio == "1", F.lit("lcv")).when(prio == "2", F.lit(" MCV ")).when(prio == "3", F.lit("FTL"))
+    vehicle = (F.when(k % 26 == 0, F.lit("Carting")).when(prio == "1", F.lit("lcv")).when(prio == "2", F.lit(" MCV ")).when(prio == "3", F.lit("FTL"))
                .when(prio == "5", F.lit("CARTING")).otherwise(F.lit(None).cast("string")))
     k3 = k % 3
     addons = (F.when(k3 == 1, F.array(F.lit("extra_rope"), F.lit("extra_rope"), F.lit("unknown")))
@@ -108,9 +108,9 @@ def requests_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) ->
 
 
 def _coordinates() -> list:
-    """Request coordinates of a fifth of the orders (input shaping only)."""
+    """Request coordinates of every fifth and every thirteenth order (input shaping only)."""
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
-    at = lambda base, x, n: F.when(k % 5 == 1, F.lit(base) + (x % n).cast("double") / 100)
+    at = lambda base, x, n: F.when((k % 5 == 1) | (k % 13 == 0), F.lit(base) + (x % n).cast("double") / 100)
     return [at(8.0, ck, 2900), at(68.0, k, 2900), at(8.0, k, 2800), at(68.0, ck, 2800)]
 
 
@@ -123,7 +123,8 @@ def road_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     xy = [F.when((k % 101 == 0) & F.lit(i == 0), F.lit(95.0)).otherwise(x).alias(n)
           for i, (x, n) in enumerate(zip(_coordinates(), ("lat1", "lon1", "lat2", "lon2")))]
-    own = o.where((k % 5 == 1) & (k % 3 == 0)).select(*xy, F.when(k % 7 == 0, F.lit(0.0)).otherwise(price / 100).alias("km"))
+    own = o.where((k % 5 == 1) & (k % 3 == 0) | (k % 13 == 0)).select(
+        *xy, F.when(k % 7 == 0, F.lit(0.0)).when(k % 13 == 0, price / 20).otherwise(price / 100).alias("km"))
     zero = o.where((k % 5 == 1) & (k % 6 == 0)).select(*xy, F.lit(0.0).alias("km"))
     ends = [*CITY_COORDS["delhi"], *CITY_COORDS["jaipur"]]
     city = o.where((k % 4 == 2) & (ck % 15 == 0)).select(

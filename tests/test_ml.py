@@ -1,9 +1,12 @@
 import itertools
 import os
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
+from lanecast import constants as K
 from lanecast.operators import ml as M
 from tests.conftest import SF_SMALL
 
@@ -60,11 +63,41 @@ def test_train_stack_oof_and_save_load(spark, feats, tmpdir_path):
 
 
 def test_random_search_small(spark, feats):
-    from lanecast import constants as K
     from lanecast.operators.lifecycle import add_market_flag
     f = add_market_flag(feats, "is_regular", 1)
     model, best, metrics = M.random_search(f, K.V7_FEATURES, "efficiency_score", n_iter=2, folds=2, tree_scale=0.004)
-    assert len(metrics) == 2 and set(best) == set(M.V7_GRID)
+    assert len(metrics) == 2 and set(best) == set(K.V7_GRID)
+
+
+def test_best_round_waits_for_patience():
+    assert M.best_round([3.0, 2.0, 2.5, 2.4, 1.0, 1.5], patience=3) == (5, False)
+    assert M.best_round([3.0, 2.0, 2.5, 2.4, 2.2, 1.0], patience=3) == (2, True)
+    assert M.best_round([]) == (0, False)
+
+
+def test_reference_settings_grow_their_trees(spark):
+    """The classifier's loss falls in every round, so all 800 trees stay; the regressor learns a noisy sum."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        a, b, c = rng.random(), rng.random(), rng.random()
+        rows.append((f"b{i}", i % 2, i // 2 % 2, a, b, c, float(i % 2 and i // 2 % 2),
+                     0.5 * a + 0.3 * b * b + 0.2 * a * c + rng.gauss(0, 0.01)))
+    df = spark.createDataFrame(rows, "BookingID string, p int, q int, a double, b double, c double, y double, t double")
+    df = df.coalesce(1)
+    jobs = [("clf", ["p", "q"], "y", M.RISK_REFERENCE), ("reg", ["a", "b", "c"], "t", M.PRICING_REFERENCE)]
+    with ThreadPoolExecutor(2) as pool:
+        clf, reg = pool.map(lambda j: M.fit_pipeline(j[0], df, *j[1:]), jobs)
+    assert clf.stages[-1].getNumTrees == 800 and reg.stages[-1].getNumTrees >= 30
+    assert M.exact_auc(M.p_positive(clf, df), "y", K.DELAY_PROB_COL) > 0.95
+    assert M.regression_metrics(reg.transform(df), "t", "prediction").first().r2 > 0.9
+
+
+def test_noise_stops_early_and_gamma_is_a_sum(spark, feats):
+    noise = feats.withColumn("delay_flag", (F.crc32(F.col("BookingID").cast("binary")) % 2).cast("int"))
+    model = M.fit_delay_classifier(noise, ["month", "day_of_week"], M.GBTParams(800, 3, 0.3, early_stop=True))
+    assert 1 <= model.stages[-1].getNumTrees < 100
+    assert M._gbt("reg", M.PRICING_REFERENCE, "y", 1000, 5, 1).getMinInfoGain() == pytest.approx(0.05 / 1000)
 
 
 def test_classifier_learns_constructed_signal(spark, feats):

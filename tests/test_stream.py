@@ -9,3 +9,41 @@ def test_stream_equals_batch(spark):
     batch = sorted(q["J18_quote_requests"](spark, SF_SMALL).collect())
     stream = sorted(q["L1_quote_stream"](spark, SF_SMALL).collect())
     assert batch == stream and len(batch) > 0
+
+
+def test_batches_leave_nothing_persisted(spark, tmpdir_path):
+    from lanecast.sources.requests import REQUEST_SCHEMA
+    from lanecast.streaming.quotes import read_quotes, start_quote_stream
+    from tests.test_requests import KB_SCHEMA, _global, base
+    kb = spark.createDataFrame([("asia", "europe", 0.5, 0.1, 0.2, 10, 100.0)], KB_SCHEMA)
+    source, sink = f"{tmpdir_path}/in", f"{tmpdir_path}/out"
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert read_quotes(spark, sink).count() == 0
+    before, counts = held(), []
+    for i in range(5):
+        row = base(request_id=str(i), origin=["asi", "Delhi", "x1", "asia", "zz"][i], destination="europe")
+        spark.createDataFrame([row], REQUEST_SCHEMA).selectExpr("*", "0.1 p_delay", "0.5 eff").write.mode(
+            "append").parquet(source)
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        start_quote_stream(stream, kb, _global(spark), sink, f"{sink}/_checkpoint").awaitTermination()
+        counts.append(held())
+    assert counts == [before] * 5
+    assert sorted(r.request_id for r in read_quotes(spark, sink).collect()) == list("01234")
+
+
+def test_every_label_occurs(spark):
+    import __spark_entry__ as entry
+    q = entry.queries()
+    values = lambda key, col: {r[0] for r in q[key](spark, "/root/testdata/sf0.01").select(col).distinct().collect()}
+    assert values("J1_distance_cascade", "distance_method") == {"osrm", "haversine", "historical_avg", "default_fallback"}
+    assert values("J11_layer5_gate", "is_feasible") == {True, False}
+    assert values("J12_trip_status", "status") == {"Healthy", "Low Margin"}     # Infeasible cannot occur (see J11)
+    assert values("J6_decision_confidence", "confidence_label") == {"Elite", "High", "Moderate", "Low"}
+    assert values("C3_lane_global_fallback", "lane_match") == {"exact", "contains", "global"}
+    notes = values("H11_survival_note", "note")
+    assert len(notes) > 5
+    errors = " ".join(e for e in values("B4_validate_requests", "error") if e)
+    for part in ("origin: String should have at least 2", "origin: String should have at most 120", "trip_date: Field required",
+                 "trip_date must be in YYYY-MM-DD", "weight_tonnes: Input should be greater than 0", "less than or equal to 50",
+                 "competitor_price: Input should be greater", "diesel_price: Input should be less", "origin_lat"):
+        assert part in errors, part
