@@ -118,9 +118,9 @@ def fit_pipeline(kind: str, train: DataFrame, features: list[str], label: str, p
                  seed: int = 42, id_col: str = "BookingID", patience: int = PATIENCE) -> PipelineModel:
     """K3 (kind='clf') / K4, K9 (kind='reg'): assembler + GBT.
 
-    With ``early_stop`` the model is the one of the best validation round: rounds are added, four times as many each
-    time, until ``patience`` of them bring no lower loss on the validation slice or the full count is reached; then
-    the trees after the best round go (the same seed grows the same first trees).  Without it all trees are kept.
+    With ``early_stop`` the model is the one of the best validation round: twice ``patience`` rounds are grown, then,
+    unless ``patience`` of them in a row brought no lower loss on the validation slice, all of them; the trees after
+    the best round go (the same seed grows the same first trees).  Without it all trees are kept.
     """
     data = train.select(*features, F.col(label).cast("double").alias(label), id_col)
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
@@ -141,7 +141,7 @@ def fit_pipeline(kind: str, train: DataFrame, features: list[str], label: str, p
                 if at < trees:
                     model = _gbt(kind, params, label, n, max(at, 1), seed).fit(fold)
                 break
-            trees = min(params.trees, 4 * trees)
+            trees = params.trees
     finally:
         data.unpersist()
     return PipelineModel([assembler, model])

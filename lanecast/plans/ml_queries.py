@@ -179,8 +179,8 @@ def q_k10(spark, sf_dir):
 
 @register("K11_regression_metrics", [("r2", "d"), ("rmse", "d")], lambda s: (
     f"WITH {S81}, t AS (SELECT CAST({_target_sql(P_STANDIN, (0.35, True))} AS DOUBLE) AS y, efficiency_score AS p FROM features), "
-    f"a AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS syy, sum((y - p) * (y - p)) AS sse FROM t), "
-    f"m AS (SELECT CAST(1 AS DOUBLE) - sse / (syy - sy * sy / n) AS r2, sqrt(sse / n) AS rmse FROM a) SELECT {s} FROM m"))
+    f"a AS (SELECT avg(y) AS mean FROM t), m AS (SELECT CAST(1 AS DOUBLE) - sum(power(y - p, 2)) / sum(power(y - mean, 2)) "
+    f"AS r2, sqrt(avg(power(y - p, 2))) AS rmse FROM t, a) SELECT {s} FROM m"))
 def q_k11(spark, sf_dir):
     """R^2 and RMSE of a given prediction (efficiency score vs the stacked target)."""
     t = SC.elite_target_81(_with_p(_feat(spark, sf_dir).export()))
