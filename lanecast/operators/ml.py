@@ -217,6 +217,13 @@ def score_two_stage(stack: Stack, df: DataFrame) -> DataFrame:
             .drop("features", "prediction"))
 
 
+def agreement(a: Stack, b: Stack, df: DataFrame) -> DataFrame:
+    """``df`` with ``same``: whether two stacks give a row equal scores (A6: a saved and loaded stack)."""
+    one = score_two_stage(a, df).withColumnsRenamed({"delay_probability": "_p", "efficiency_score": "_e"})
+    both = score_two_stage(b, one.drop(K.DELAY_PROB_COL))
+    return both.withColumn("same", (F.col("_p") == F.col("delay_probability")) & (F.col("_e") == F.col("efficiency_score")))
+
+
 # --- K8 random search ----------------------------------------------------------------------------------------------
 
 def random_search(train: DataFrame, features: list[str], label: str, n_iter: int = 15, folds: int = 3,

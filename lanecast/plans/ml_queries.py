@@ -17,6 +17,7 @@ from lanecast.operators import pricing as P
 from lanecast.operators import scores as SC
 from lanecast.registry import register
 from lanecast.sources.requests import requests_view, road_view
+from lanecast.streaming.quotes import scratch_dir
 
 
 def _folded(spark: SparkSession, sf_dir: str):
@@ -119,11 +120,23 @@ def q_f4(spark, sf_dir):
     return _regressor(spark, sf_dir).importances
 
 
+def _stack(spark: SparkSession, sf_dir: str) -> M.Stack:
+    return M.Stack(_classifier(spark, sf_dir).model, _regressor(spark, sf_dir).model,
+                   TP.select_features(_folded(spark, sf_dir)))
+
+
+@register("A6_saved_stack", [BK, ("same", "b")], lambda s: f"WITH {S81}, t AS (SELECT *, true AS same FROM features) SELECT {s} FROM t")
+def q_a6(spark, sf_dir):
+    """The trained stack saved and loaded; it scores every trip as the one in memory does."""
+    stack, path = _stack(spark, sf_dir), scratch_dir(spark, "stack")
+    M.save_stack(stack, path)
+    return M.agreement(stack, M.load_stack(path), _folded(spark, sf_dir))
+
+
 @register("K7_score_two_stage", [RID] + FLAT)
 def q_k7(spark, sf_dir):
     """K7 + J18: requests priced with the trained two-stage model instead of given scores."""
-    stack = M.Stack(_classifier(spark, sf_dir).model, _regressor(spark, sf_dir).model,
-                    TP.select_features(_folded(spark, sf_dir)))
+    stack = _stack(spark, sf_dir)
     kb, g = _kb(spark, sf_dir)
 
     def scorer(df):

@@ -56,6 +56,8 @@ def test_train_stack_oof_and_save_load(spark, feats, tmpdir_path):
     M.save_stack(r.stack, p)
     loaded = M.load_stack(p)
     assert loaded.base_features == r.stack.base_features
+    same = M.agreement(r.stack, loaded, feats)
+    assert same.count() == n and same.where("NOT same OR same IS NULL").count() == 0
     scored = M.score_two_stage(loaded, feats.limit(50))
     assert scored.where("efficiency_score < 0 OR efficiency_score > 1").count() == 0
     with pytest.raises(FileNotFoundError, match="risk_engine"):
