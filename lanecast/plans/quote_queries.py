@@ -312,7 +312,15 @@ _quote_query("J6_decision_confidence", [("confidence_score", "d"), ("confidence_
 _quote_query("J7_layer1_operational", [("fuel_loaded_cost", "d"), ("fuel_empty_cost", "d"), ("tolls", "d"), ("wages", "d"),
                                        ("maintenance", "d"), ("mobilization", "d"), ("c_base", "d")],
              "J7: operational base cost.")
-_quote_query("J8_layer2_return_risk", [("c_risk", "d")], "J8: (1 - p_return) x empty-run fuel cost.")
+
+
+@register("J8_layer2_return_risk", [RID, ("c_risk", "d")], lambda s: (
+    f"WITH {QSQL}, c AS (SELECT request_id, {O.pyr('c_risk', 2)} AS c_risk FROM quotes2) SELECT {s} FROM c"))
+def q_j8(spark, sf_dir):
+    """(1 - p_return) x empty-run fuel cost, with the document's rounding (2 digits)."""
+    return _quotes(spark, sf_dir).withColumn("c_risk", E.py_round("c_risk", 2))
+
+
 _quote_query("J9_layer3_corridor", [("p_min", "d"), ("p_max", "d")], "J9: corridor with the ML multiplier.")
 
 
