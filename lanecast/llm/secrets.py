@@ -4,9 +4,13 @@
    credential characters, ``CANDIDATE_MIN`` long or more, that no letter, digit or mark touches.
 2. The values of the base spans are labelled credentials. For each kind, up to ``LEARN_MAX`` distinct ones (smallest
    hash first) build a prefix tree over character classes, whose statistically compatible states merge
-   (Hoeffding bound at level ``ALPHA``, red-blue order) into a probabilistic automaton. Candidates outside base spans
-   give the automaton of ordinary tokens in the same way. Kinds with under ``LEARN_MIN`` values learn nothing.
-3. Every candidate outside the base spans is scored: the log likelihood under a kind's automaton over that under the
+   (Hoeffding bound at level ``ALPHA``, red-blue order) into a probabilistic automaton. Kinds with under ``LEARN_MIN``
+   values learn nothing.
+3. Candidates outside base spans that no learnt kind explains give the automaton of ordinary tokens in the same way.
+   At first a kind explains what it makes likelier than ``background`` does, a model of the single string that no other
+   candidate enters. Then it explains what it makes likelier than the last ordinary automaton does, ``ROUNDS`` times.
+   So unlabelled credentials do not enter that automaton, however large their share is.
+4. Every candidate outside the base spans is scored: the log likelihood under a kind's automaton over that under the
    ordinary one. From ``LOG_ODDS`` on it becomes a span ``format_<kind>`` of the most likely kind.
 
 ``LEARN_MAX`` bounds only the labelled sample; every text and every candidate is scanned and scored.
@@ -38,6 +42,9 @@ LEARN_MAX = 2000
 LEARN_MIN = 20
 ALPHA = 0.05
 LOG_ODDS = 12.0
+#: Refits of the ordinary automaton, and how far a kind may be below ``background`` and still explain a candidate.
+ROUNDS = 2
+MARGIN = 3.0
 #: Log probability of a step that no learnt string took.
 UNSEEN = math.log(1e-4)
 #: Classes of candidate characters and their sizes.
@@ -152,12 +159,36 @@ def log_likelihood(automaton: list, text: str) -> float:
     return out + (math.log(ends / seen) if ends else UNSEEN)
 
 
+def background(text: str) -> float:
+    """Log likelihood under class counts that start even and follow the string itself (Krichevsky-Trofimov)."""
+    counts, out = dict.fromkeys(CLASS_SIZE, 0.5), 0.0
+    total = 0.5 * len(counts)
+    for c in text:
+        k = CLASSES[c]
+        out += math.log(counts[k] / (total * CLASS_SIZE[k]))
+        counts[k] += 1
+        total += 1
+    return out
+
+
+def best_kind(model: dict, text: str) -> tuple[float, str]:
+    """The log likelihood under the most likely learnt kind, and the kind."""
+    return max((log_likelihood(a, text), k) for k, a in sorted(model["kinds"].items()))
+
+
+def ordinary(model: dict, text: str) -> bool:
+    """No learnt kind explains the string."""
+    if model["plain"]:
+        return best_kind(model, text)[0] <= log_likelihood(model["plain"], text)
+    return best_kind(model, text)[0] <= background(text) - MARGIN
+
+
 def verdict(model: dict, text: str) -> tuple[str | None, float]:
     """The most likely learnt kind and its log odds against ordinary tokens; None below ``LOG_ODDS``."""
     if not model["kinds"]:
         return None, 0.0
-    plain = log_likelihood(model["plain"], text) if model["plain"] else -len(text) * math.log(len(CLASSES))
-    odds, kind = max((log_likelihood(a, text) - plain, k) for k, a in sorted(model["kinds"].items()))
+    seen, kind = best_kind(model, text)
+    odds = seen - (log_likelihood(model["plain"], text) if model["plain"] else background(text))
     return (kind if odds >= LOG_ODDS else None), odds
 
 
@@ -180,17 +211,36 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
 def fit(scanned: DataFrame, learn_max: int = LEARN_MAX) -> dict:
     """Automata of the labelled kinds and of ordinary tokens, from a scan; ``learn_max`` strings of each at most."""
-    got = scanned.select(F.explode("labelled").alias("x")).select("x.kind", "x.text").union(
-        scanned.select(F.explode("candidates").alias("x")).select(F.lit("plain"), "x.text")).distinct()
+    got = scanned.select(F.explode("labelled").alias("x")).select("x.kind", "x.text").distinct()
     rows = None
-    for kind in (*KINDS, "plain"):
-        part = got.where(F.col("kind") == kind).orderBy(F.xxhash64("text"), "text").limit(learn_max)
+    for kind in KINDS:
+        part = sample(got.where(F.col("kind") == kind), learn_max)
         rows = part if rows is None else rows.union(part)
     strings: dict[str, list[str]] = {}
     for r in rows.collect():
         strings.setdefault(r.kind, []).append(r.text)
-    automata = {k: learn(v) for k, v in strings.items() if len(v) >= LEARN_MIN}
-    return {"plain": automata.pop("plain", None), "kinds": automata}
+    model = {"plain": None, "kinds": {k: learn(v) for k, v in strings.items() if len(v) >= LEARN_MIN}}
+    if not model["kinds"]:
+        return model
+    others = stored(scanned.select(F.explode("candidates.text").alias("text")).distinct())
+    for _ in range(1 + ROUNDS):
+        rest = [r.text for r in sample(unexplained(others, model), learn_max).collect()]
+        if len(rest) < LEARN_MIN:
+            break
+        model = model | {"plain": learn(rest)}
+    return model
+
+
+def sample(strings: DataFrame, n: int) -> DataFrame:
+    return strings.orderBy(F.xxhash64("text"), "text").limit(n)
+
+
+def unexplained(strings: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``text`` that no learnt kind explains."""
+    def row(t):
+        return t, ordinary(model, t)
+
+    return map_rows(strings, row, "text string, plain boolean").where("plain").select("text")
 
 
 def all_spans(model: dict, base: list, others: list) -> list[tuple[str, int, int]]:

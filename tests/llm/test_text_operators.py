@@ -250,6 +250,19 @@ def test_learnt_formats_find_unlabelled_credentials(spark, make_docs):
     assert sum(r.n_format for r in got.values()) == 1
 
 
+def test_many_unlabelled_credentials_are_not_learnt_as_ordinary(spark, make_docs):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choices(letters, k=40))
+    word = lambda: "".join(rng.choices(["tion", "ing", "ver", "lich", "ment", "ar", "es"], k=7))
+    texts = [(i, f"say token = {key()} and {word()} then") for i in range(60)]
+    texts += [(100 + i, f"only {word()} and {word()}") for i in range(120)]
+    hot = [(300 + i, f"lost {key()} here {word()}") for i in range(90)]
+    got = {r.doc_id: r for r in secrets.report(make_docs(texts + hot)).collect()}
+    assert all(got[i].spans == "format_assign:5:45" for i, _ in hot)
+    assert not any(got[i].n_format for i, _ in texts)
+
+
 def test_automaton_merges_compatible_states():
     rng = random.Random(7)
     strings = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
