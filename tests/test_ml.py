@@ -71,6 +71,31 @@ def test_random_search_small(spark, feats):
     assert len(metrics) == 2 and set(best) == set(K.V7_GRID)
 
 
+def test_registered_random_search_is_the_whole_grid(spark, monkeypatch):
+    """K8 hands the grid's own tree counts and every train row to the cross-validation (stubbed: it takes long)."""
+    from types import SimpleNamespace
+
+    from lanecast.plans import ml_queries as MQ
+    got = {}
+
+    class Validator:
+        def __init__(self, estimatorParamMaps, numFolds, **kw):
+            got.update(folds=numFolds, maps=[{p.name: v for p, v in m.items()} for m in estimatorParamMaps])
+
+        def fit(self, data):
+            got["rows"] = data.count()
+            return SimpleNamespace(avgMetrics=[0.5] * len(got["maps"]), bestModel=None)
+
+    monkeypatch.setattr(M, "CrossValidator", Validator)
+    assert MQ.q_k8(spark, SF_SMALL).count() == 15
+    trees = [m["maxIter"] for m in got["maps"]]
+    assert len(trees) == 15 and got["folds"] == 3 and set(trees) <= set(K.V7_GRID["n_estimators"])
+    feats = MQ._feat(spark, SF_SMALL).export()
+    train = M.split_random(feats.where("NOT isnan(efficiency_score)").dropna(
+        subset=["efficiency_score", "TRANSPORTATION_DISTANCE_IN_KM"])).where("NOT is_test")
+    assert got["rows"] == train.count() > 0
+
+
 def test_best_round_waits_for_patience():
     assert M.best_round([3.0, 2.0, 2.5, 2.4, 1.0, 1.5], patience=3) == (5, False)
     assert M.best_round([3.0, 2.0, 2.5, 2.4, 2.2, 1.0], patience=3) == (2, True)
