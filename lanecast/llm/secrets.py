@@ -1,7 +1,8 @@
 """Secret scans: fixed credential patterns, and formats learnt from them as probabilistic automata.
 
 1. One pass over the whole texts finds the base spans (``KINDS``) and the other candidates: maximal runs of
-   credential characters, ``CANDIDATE_MIN`` long or more, that no letter, digit or mark touches.
+   credential characters, which are all ASCII, whatever other letters touch them. The least length of a candidate is
+   that of the shortest value that a learning kind has, ``CANDIDATE_MIN`` at most.
 2. The values of the base spans are labelled credentials. For each kind, up to ``LEARN_MAX`` distinct ones (smallest
    hash first) build a prefix tree over character classes, whose statistically compatible states merge
    (Hoeffding bound at level ``ALPHA``, red-blue order) into a probabilistic automaton. Kinds with under ``LEARN_MIN``
@@ -9,10 +10,13 @@
 3. Candidates outside base spans that no learnt kind explains give the automaton of ordinary tokens in the same way.
    At first a kind explains what it makes likelier than ``background`` does, a model of the single string that no other
    candidate enters. Then it explains what it makes likelier than the last ordinary automaton does, ``ROUNDS`` times.
-   So unlabelled credentials do not enter that automaton, however large their share is.
+   So unlabelled credentials do not enter that automaton, however large their share is. Where under ``LEARN_MIN``
+   ordinary candidates remain, shorter runs are taken too.
 4. Every candidate outside the base spans is scored: the log likelihood under a kind's automaton over that under the
    ordinary one. From ``LOG_ODDS`` on it becomes a span ``format_<kind>`` of the most likely kind.
 
+The texts are scanned again for the scores: storing every run of six characters would copy most of each text.
+
 ``LEARN_MAX`` bounds only the labelled sample; every text and every candidate is scanned and scored.
 
 Defined results: a null text counts as empty; rows come one for one, repeated or null ids included; texts without a
@@ -36,8 +40,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
+#: No labelled value is shorter: assigned values have 6 characters, the others 20 and 24.
+VALUE_MIN = 6
 CANDIDATE_MIN = 16
-CANDIDATE = re.compile(rf"(?<![\w+/.=-])[A-Za-z0-9+/_.=-]{{{CANDIDATE_MIN},}}+(?!\w)")
+RUN = {n: re.compile(rf"[A-Za-z0-9+/_.=-]{{{n},}}+") for n in range(VALUE_MIN, CANDIDATE_MIN + 1)}
+#: Distinct strings that a task remembers, and their greatest length.
+SEEN_MAX = 100_000
+SEEN_LENGTH = 64
 LEARN_MAX = 2000
 LEARN_MIN = 20
 ALPHA = 0.05
@@ -66,10 +75,12 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str, spans: list) -> list[tuple[int, int, str]]:
-    """Candidates that no base span overlaps."""
+def candidates(text: str, spans: list, least: int) -> list[tuple[int, int, str]]:
+    """Candidates of ``least`` characters or more that no base span overlaps."""
+    if not spans:
+        return [(m.start(), m.end(), m.group()) for m in RUN[least].finditer(text)]
     out = []
-    for m in CANDIDATE.finditer(text):
+    for m in RUN[least].finditer(text):
         if not any(s[1] < m.end() and m.start() < s[2] for s in spans):
             out.append((m.start(), m.end(), m.group()))
     return out
@@ -192,21 +203,21 @@ def verdict(model: dict, text: str) -> tuple[str | None, float]:
     return (kind if odds >= LOG_ODDS else None), odds
 
 
-SPAN = "array<struct<kind:string,start:int,stop:int,value:int>>"
-CANDIDATES = "array<struct<start:int,stop:int,text:string>>"
-
-
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, the base spans ``base``, the labelled values ``labelled`` and the other ``candidates``."""
-    def row(t, doc_id):
+    """The labelled values ``labelled`` of each row, and the ``candidates`` of any length that its task has not seen."""
+    seen: set[str] = set()
+
+    def row(t):
         t = t or ""
         spans = base_spans(t)
-        return doc_id, spans, [(s[0], t[s[3]:s[2]]) for s in spans], candidates(t, spans)
+        new = {c[2] for c in candidates(t, spans, VALUE_MIN)} - seen
+        if len(seen) > SEEN_MAX:
+            seen.clear()
+        seen.update(x for x in new if len(x) <= SEEN_LENGTH)
+        return [(s[0], t[s[3]:s[2]]) for s in spans], list(new)
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return map_rows(df.select(F.col(text).alias("_text"), "doc_id"), row,
-                    f"doc_id {kind}, base {SPAN}, labelled array<struct<kind:string,text:string>>, "
-                    f"candidates {CANDIDATES}")
+    return map_rows(df.select(F.col(text).alias("_text")), row,
+                    "labelled array<struct<kind:string,text:string>>, candidates array<string>")
 
 
 def fit(scanned: DataFrame, learn_max: int = LEARN_MAX) -> dict:
@@ -219,12 +230,20 @@ def fit(scanned: DataFrame, learn_max: int = LEARN_MAX) -> dict:
     strings: dict[str, list[str]] = {}
     for r in rows.collect():
         strings.setdefault(r.kind, []).append(r.text)
-    model = {"plain": None, "kinds": {k: learn(v) for k, v in strings.items() if len(v) >= LEARN_MIN}}
+    model = {"plain": None, "kinds": {k: learn(v) for k, v in strings.items() if len(v) >= LEARN_MIN},
+             "least": CANDIDATE_MIN}
     if not model["kinds"]:
         return model
-    others = stored(scanned.select(F.explode("candidates.text").alias("text")).distinct())
+    shortest = got.where(F.col("kind").isin(list(model["kinds"]))).agg(F.min(F.length("text"))).first()[0]
+    model["least"] = min(CANDIDATE_MIN, shortest)
+    runs = scanned.select(F.explode("candidates").alias("text"))
+    others = stored(runs.where(F.length("text") >= model["least"]).distinct())
+    short = None
     for _ in range(1 + ROUNDS):
         rest = [r.text for r in sample(unexplained(others, model), learn_max).collect()]
+        if len(rest) < LEARN_MIN:      # too few ordinary strings are that long: the shorter ones too
+            short = short or stored(runs.where(F.length("text") < model["least"]).distinct())
+            rest += [r.text for r in sample(unexplained(short, model), learn_max - len(rest)).collect()]
         if len(rest) < LEARN_MIN:
             break
         model = model | {"plain": learn(rest)}
@@ -243,29 +262,40 @@ def unexplained(strings: DataFrame, model: dict) -> DataFrame:
     return map_rows(strings, row, "text string, plain boolean").where("plain").select("text")
 
 
-def all_spans(model: dict, base: list, others: list) -> list[tuple[str, int, int]]:
-    """Base spans and the learnt ones, in order of start, base kinds first."""
-    out = [(s[0], s[1], s[2]) for s in base]
-    for start, stop, text in others:
-        kind, _ = verdict(model, text)
+def all_spans(model: dict, text: str, known: dict) -> tuple[list, list[tuple[str, int, int]]]:
+    """Base spans of a text, and these with the learnt ones in order of start, base kinds first.
+
+    ``known`` keeps the kinds of the strings seen."""
+    spans = base_spans(text)
+    base = [(s[0], s[1], s[2]) for s in spans]
+    out = list(base)
+    if not model["kinds"]:
+        return base, out
+    for start, stop, x in candidates(text, spans, model["least"]):
+        if x in known:
+            kind = known[x]
+        else:
+            kind = verdict(model, x)[0]
+            if len(x) <= SEEN_LENGTH:
+                if len(known) > SEEN_MAX:
+                    known.clear()
+                known[x] = kind
         if kind:
             out.append((f"format_{kind}", start, stop))
-    return sorted(out, key=lambda s: (s[1], (KINDS.index(s[0]) if s[0] in KINDS else len(KINDS)), s[0], s[2]))
+    return base, sorted(out, key=lambda s: (s[1], (KINDS.index(s[0]) if s[0] in KINDS else len(KINDS)), s[0], s[2]))
 
 
 def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``found``: the base spans and all spans as ``(kind, start, stop)`` in code points."""
-    scanned = stored(scan(df, text))
-    model = fit(scanned)
+    model = fit(stored(scan(df, text)))
     kind = df.schema["doc_id"].dataType.simpleString()
+    known: dict[str, str | None] = {}
 
-    def row(doc_id, base, others):
-        base = [(s["kind"], s["start"], s["stop"]) for s in base]
-        return doc_id, base, all_spans(model, base, [(c["start"], c["stop"], c["text"]) for c in others])
+    def row(t, doc_id):
+        return doc_id, *all_spans(model, t or "", known)
 
     span = "array<struct<kind:string,start:int,stop:int>>"
-    return map_rows(scanned.select("doc_id", "base", "candidates"), row,
-                    f"doc_id {kind}, base {span}, found {span}")
+    return map_rows(df.select(F.col(text).alias("_text"), "doc_id"), row, f"doc_id {kind}, base {span}, found {span}")
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
@@ -276,13 +306,13 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataF
     """
     model = fit(stored(scan(df, text)))
     names = df.columns
+    known: dict[str, str | None] = {}
 
     def clean(t: str | None) -> str | None:
         if not t:
             return t
-        base = base_spans(t)
         out, at = [], 0
-        for _, start, stop in all_spans(model, base, candidates(t, base)):
+        for _, start, stop in all_spans(model, t, known)[1]:
             if start >= at:
                 out += [t[at:start], mark]
             at = max(at, stop)

@@ -263,6 +263,29 @@ def test_many_unlabelled_credentials_are_not_learnt_as_ordinary(spark, make_docs
     assert not any(got[i].n_format for i, _ in texts)
 
 
+def test_short_formats_are_scored(spark, make_docs):
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=12))
+    word = lambda: "".join(rng.choices(["tion", "ing", "ver", "lich", "ment", "ar", "es"], k=3))
+    texts = [(i, f"say token = {key()} and {word()} or {word()} then") for i in range(200)]
+    texts += [(300 + i, f"lost {key()} here {word()}") for i in range(100)]
+    got = {r.doc_id: r for r in secrets.report(make_docs(texts)).collect()}
+    assert all(got[i].spans == "format_assign:5:17" for i in range(300, 400))
+    assert not any(got[i].n_format for i in range(200))
+
+
+def test_credentials_beside_other_letters_are_scored(spark, make_docs):
+    rng = random.Random(13)
+    key = lambda: "tk_" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=28))
+    word = lambda: "".join(rng.choices(["tion", "ing", "ver", "lich", "ment", "ar", "es"], k=7))
+    texts = [(i, f"say token = {key()} and {word()} or {word()} then") for i in range(200)]
+    texts += [(900, f"密钥是{key()}请保存"), (901, f"é{key()}"), (902, f"{key()}キーです")]
+    docs = make_docs(texts)
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert [got[900], got[901], got[902]] == ["format_assign:3:34", "format_assign:1:32", "format_assign:0:31"]
+    assert secrets.redact(docs).where("doc_id = 900").first().text == "密钥是[REDACTED]请保存"
+
+
 def test_automaton_merges_compatible_states():
     rng = random.Random(7)
     strings = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
