@@ -210,3 +210,28 @@ def round_trip(df: DataFrame, text: str = "text") -> DataFrame:
     """Digests of ids and decoded bytes: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     return encode_and_decode(df, text).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                                               F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def report(df: DataFrame, text: str = "text") -> DataFrame:
+    """``round_trip`` with the offsets and the decoded text: ``doc_id, n_tokens, ids_sha256, decoded_sha256,
+    offsets_sha256, n_replaced``.
+
+    ``offsets_sha256`` is of the starts, then the ends of all tokens in characters (little-endian u32); ``n_replaced``
+    counts the replacement characters of the decoded text.
+    """
+    kind = df.schema["doc_id"].dataType.simpleString()
+
+    def row(t, doc_id):
+        import hashlib
+
+        import numpy as np
+
+        c = codec(vocabulary_path(VOCABULARY))
+        ids = c.encode(t)
+        data = c.decode(ids)
+        places = b"".join(np.asarray(x, "<u4").tobytes() for x in c.offsets(t, ids))
+        said = [hashlib.sha256(x).hexdigest() for x in (ids, data, places)]
+        return doc_id, len(ids) // 4, *said, data.decode("utf-8", "replace").count("\ufffd")
+
+    return map_rows(df.select(F.col(text).alias("_text"), "doc_id"), row, f"doc_id {kind}, n_tokens bigint, "
+                    "ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_replaced bigint")

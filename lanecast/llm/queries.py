@@ -31,8 +31,8 @@ def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text and their decoding, as counts and digests."""
-    return bpe.round_trip(table(spark, sf_dir, "documents"))
+    """Byte-level BPE ids of every text, their offsets and their decoding, as counts and digests."""
+    return bpe.report(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

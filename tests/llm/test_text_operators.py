@@ -162,6 +162,21 @@ def test_digests(spark, make_docs, reference_encoder):
                         hashlib.sha256("Zwei Wörter".encode()).hexdigest())
 
 
+def test_query_makes_offsets_and_decoded_text(spark, make_docs, edge_texts, tmp_path):
+    from lanecast.llm.queries import op5_byte_bpe
+
+    texts = [*edge_texts, (30, "ñandú \ufffd 😀\U0001f9ff ٣٤")]
+    make_docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_byte_bpe(spark, str(tmp_path))
+    assert got.columns[:4] == bpe.round_trip(make_docs([])).columns
+    want = []
+    for r in bpe.decode(bpe.encode(make_docs(texts)), keep=["doc_id", "n_tokens", "ids", "starts", "ends"]).collect():
+        places = np.array([*r.starts, *r.ends], "<u4").tobytes()
+        want.append((r.doc_id, r.n_tokens, *(hashlib.sha256(x).hexdigest() for x in (r.ids, r.decoded, places)),
+                     r.decoded_text.count("\ufffd")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 # ---- 7: token counts
 
 ALPHABET = ["a", "b", " ", "  ", "\n", "'s", "'", "'ll", "1", "!", "?! ", "é", "中", "😀", " the", "\t", "ing", "r", "e"]
