@@ -4,7 +4,8 @@ Words are runs of letters and digits of the lower-cased text; a shingle is ``SHI
 item, a licence text) is cut into pieces; a document is read in overlapping windows. Both have a one-permutation
 MinHash sketch: shingle hashes fall into ``BINS`` bins and each bin keeps its smallest. A piece and a window collide
 if a bin has the same smallest hash in both (bands of one row), so the collision probability is at least
-``1 - (1 - J) ** b`` for the Jaccard similarity J and the b filled bins of the piece.
+``1 - (1 - J) ** b`` for the Jaccard similarity J and the b filled bins of the piece. Pieces of up to ``SHORT`` shingles
+have windows of one shingle, so every document that holds a shingle of their sketch collides.
 
 The window sketches are never written out in full. A window can only collide through a hash that is in some piece's
 sketch, so the shingles of a document are first joined with the targets' shingles; the window minimum is then checked
@@ -28,6 +29,8 @@ from lanecast.session import materialize
 SHINGLE = 5
 BINS = 64
 CONTAINMENT = 0.8
+#: Up to so many shingles, ``CONTAINMENT`` asks for all of them: every sketch entry is in a document that has the piece.
+SHORT = 4
 #: Shingles of the targets that are broadcast at a time (about 20 MB).
 BLOCK_SHINGLES = 200_000
 #: Fixed: what counts as between words, in the lower-cased text.
@@ -69,13 +72,16 @@ def sketches(shingles: DataFrame, growth: float) -> DataFrame:
     """``(target, piece, h, length, step)``: smallest hash per bin of each piece, and its size class's windows.
 
     ``shingles`` has ``target, piece, h``. Class c holds pieces of ``growth ** c <= q < growth ** (c + 1)`` shingles;
-    its windows are ``hi + step`` shingles long, for hi the largest q of the class and a step of ``hi / 4``.
+    its windows are ``hi + step`` shingles long, for hi the largest q of the class and a step of ``hi / 4``. Pieces of
+    up to ``SHORT`` shingles have windows of one shingle.
     """
     size = shingles.groupBy("target", "piece").agg(F.count("*").alias("q"))
     top = F.ceil(F.pow(F.lit(growth), F.floor(F.log(F.col("q") + 0.0) / math.log(growth) + 1e-9) + 1)).cast("int")
     step = F.greatest(F.lit(1), F.floor(F.col("hi") / 4)).cast("int")
-    classes = size.select("target", "piece", top.alias("hi")).select(
-        "target", "piece", (F.col("hi") + step).alias("length"), step.alias("step"))
+    short = F.col("q") <= SHORT
+    classes = size.select("target", "piece", "q", top.alias("hi")).select(
+        "target", "piece", F.when(short, 1).otherwise(F.col("hi") + step).alias("length"),
+        F.when(short, 1).otherwise(step).alias("step"))
     low = shingles.groupBy("target", "piece", F.pmod("h", F.lit(BINS)).alias("bin")).agg(F.min("h").alias("h"))
     return low.join(classes, ["target", "piece"]).select("target", "piece", "h", "length", "step")
 

@@ -55,6 +55,24 @@ def test_items_in_documents(spark, make_docs, planted, monkeypatch, block):
     assert all(r.containment == r.shared / r.item_shingles for r in got)
 
 
+def test_one_shingle_between_smaller_hashes_is_found(spark, make_docs):
+    """Both neighbours of the notice have smaller hashes in its bin, so it is the least of no longer window."""
+    from pyspark.sql import functions as F
+
+    notice = "zeta yellow xenon wolf violet".split()
+    words = spark.range(6000).select(F.concat(F.lit("w"), "id").alias("w"))
+    h = lambda ws: F.xxhash64(*ws)
+    said = [F.lit(x) for x in notice]
+    own = h(said)
+    beside = lambda other: words.where((F.pmod(other, F.lit(shingle_search.BINS)) == F.pmod(
+        own, F.lit(shingle_search.BINS))) & (other < own)).first().w
+    before, after = beside(h([F.col("w"), *said[:4]])), beside(h([*said[1:], F.col("w")]))
+    docs = make_docs([(1, " ".join(["some", "more", before, *notice, after, "and", "others"]))])
+    known = spark.createDataFrame([(5, " ".join(notice))], "item_id long, text string")
+    got = decontaminate.contaminated(docs, known).collect()
+    assert [(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in got] == [(1, 5, 1, 1)]
+
+
 def test_rows_with_items_go(spark, make_docs, planted):
     docs, items = planted
     known = spark.createDataFrame(items, "item_id long, text string")
