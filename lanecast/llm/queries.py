@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanecast.llm import (bpe, decontaminate, language, licenses, quality, quality_rules, secrets, sharding, simhash,
-                          token_counts)
+from lanecast.llm import (bpe, chat, decontaminate, language, lexical_search, licenses, quality, quality_rules, secrets,
+                          sharding, simhash, spelling, token_counts)
 from lanecast.llm.common import table
 
 
@@ -61,6 +61,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item, by the Best Position Algorithm."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and the frequent form that each varies."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as ids with a loss mask, read back as digests."""
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_simhash": op2_simhash,
@@ -72,5 +87,9 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_license_scans": op9_license_scans,
     "op10_decontaminate": op10_decontaminate,
+    "op11_best_position": op11_best_position,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_chat_format": op13_chat_format,
 }
-ORACLES = {"op9_license_scans": licenses.oracle(), "op10_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op9_license_scans": licenses.oracle(), "op10_decontaminate": decontaminate.ORACLE,
+           "op11_best_position": lexical_search.ORACLE}
