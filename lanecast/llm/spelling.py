@@ -4,8 +4,8 @@
 2. A word is a point of letter counts. One replaced letter moves one count up and one down by one (L1 distance 2), one
    inserted letter moves one count up (L1 distance 1). So the near words of a word of length L lie among the points of
    lengths L and L + 1 whose counts are at most one up, and at most one (length L) or none (L + 1) down.
-3. Each length has its own k-d tree. Its upper levels are fitted on ``SAMPLE`` words at most (smallest hash first) and
-   cut the points into blocks; every word is then put into its block. A word is searched in each block whose box it can
+3. Each length has its own k-d tree. Its upper levels are fitted on about ``SAMPLE`` words (all, if there are fewer;
+   else those below a bound of their hash) and cut the points into blocks; every word is then put into its block. A word is searched in each block whose box it can
    reach. Within a block the tree goes on down to leaves of ``LEAF`` points, and boxes out of reach are pruned.
 4. Pairs with the right counts are verified in letter order. All near pairs are found; neither the sample nor the block
    sizes change the result.
@@ -171,11 +171,12 @@ def by_class(texts: list[str]) -> dict[int, list[int]]:
 
 
 def fit_blocks(vocabulary: DataFrame, sample: int = SAMPLE, block_words: int = BLOCK_WORDS) -> Blocks:
-    """The upper levels of the trees, from the ``sample`` words of the smallest hashes."""
+    """The upper levels of the trees, from about ``sample`` words, drawn by hash."""
     import numpy as np
 
     total = vocabulary.count()
-    drawn = [r.word for r in vocabulary.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < int((1 << 32) * min(1.0, sample / max(total, 1)))
+    drawn = [r.word for r in vocabulary.where(chosen).select("word").collect()]
     blocks = Blocks()
     target = max(block_words * len(drawn) / max(total, 1), SAMPLE_PER_BLOCK) if len(drawn) < total else block_words
     seen = by_class(drawn)
