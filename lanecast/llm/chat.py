@@ -70,6 +70,8 @@ class Template:
 
         ranks = read_ranks(vocabulary_path(name))
         self.base = max(ranks.values()) + 1
+        #: Packed ids take two bytes where the vocabulary allows it.
+        self.packed = "<u2" if self.base + len(CONTROLS) <= 1 << 16 else "<u4"
         self.encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = [b""] * self.base
         for token, i in ranks.items():
@@ -124,7 +126,7 @@ def encoded_turns(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 ids, sizes, kinds = [], [], []
                 for role, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     segments = t.segments(role or "", text or "")
-                    ids.append(b"".join(np.asarray(x, np.uint32).tobytes() for x, _ in segments))
+                    ids.append(b"".join(np.asarray(x, t.packed).tobytes() for x, _ in segments))
                     sizes.append([len(x) for x, _ in segments])
                     kinds.append([k for _, k in segments])
                 yield pa.RecordBatch.from_arrays(
@@ -149,7 +151,8 @@ def formatted(df: DataFrame, vocabulary: str = VOCABULARY, learn_end: bool = Fal
         import numpy as np
         import pyarrow as pa
 
-        start_id = np.array([template(vocabulary).base + START], np.uint32)
+        t = template(vocabulary)
+        start_id = np.array([t.base + START], t.packed)
         opened, now = False, None
         part, start, held, marks, size = 0, 0, [], [], 0
 
@@ -179,7 +182,7 @@ def formatted(df: DataFrame, vocabulary: str = VOCABULARY, learn_end: bool = Fal
                     part, start, held, marks, size = part + 1, start + size, [], [], 0
                 ends = size + np.cumsum(sizes)          # the segments' places
                 marks += [(int(e) - n, int(e)) for e, n, kind in zip(ends, sizes, kinds) if kind in learnt]
-                held.append(np.frombuffer(ids, np.uint32))
+                held.append(np.frombuffer(ids, t.packed))
                 size = int(ends[-1])
         if opened:
             yield row()
@@ -195,30 +198,31 @@ class Reader:
         self.n_turns = self.chars = self.loss_chars = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.role = ""
-        self.body: list[bytes] = []
-        self.learnt: list[bytes] = []
-
-    def feed(self, ids: list[int], mask: list[int]) -> Iterator[tuple[str, str]]:
-        """The turns that end within these ids, as ``(role, text)``."""
-        for i, m in zip(ids, mask):
-            if i < self.t.base:
-                self.body.append(self.t.bytes_of[i])
-                if m:
-                    self.learnt.append(self.t.bytes_of[i])
-                continue
-            control = i - self.t.base
-            raw, learnt = b"".join(self.body).decode(), unescape(b"".join(self.learnt).decode())
-            self.body, self.learnt = [], []
-            self.chars += len(CONTROLS[control]) + len(raw)
-            self.loss_chars += len(learnt)
-            self.loss.update(learnt.encode())
+
+    def feed(self, ids, mask) -> Iterator[tuple[str, str]]:
+        """The turns within an output row (arrays of ids and mask), as ``(role, text)``."""
+        import numpy as np
+
+        at = 0
+        for stop in np.flatnonzero(ids >= self.t.base).tolist():
+            control = int(ids[stop]) - self.t.base
+            body = self.t.encoding.decode_bytes(ids[at:stop].tolist()).decode()
+            text = unescape(body)
+            self.chars += len(CONTROLS[control]) + len(body)
+            learnt = mask[at:stop].astype(bool)
+            if learnt.any():
+                said = text if learnt.all() else unescape(
+                    self.t.encoding.decode_bytes(ids[at:stop][learnt].tolist()).decode())
+                self.loss_chars += len(said)
+                self.loss.update(said.encode())
             if control == ROLE_END:
-                self.role = unescape(raw)
+                self.role = text
             elif control in ENDS:
-                role, text = ENDS[control] or self.role, unescape(raw)
+                role = ENDS[control] or self.role
                 self.n_turns += 1
                 self.turns.update(f"{role}\n{text}\n".encode())
                 yield role, text
+            at = stop + 1
 
     def report(self) -> tuple:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
@@ -248,7 +252,8 @@ def _read(rows: DataFrame, vocabulary: str, out: str, each, last) -> DataFrame:
         for b in batches:
             held = []
             for i in range(b.num_rows):          # a row at a time: each has many ids
-                conv_id, part, ids, mask = (b.column(c)[i].as_py() for c in range(4))
+                conv_id, part = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                ids, mask = (b.column(c)[i].values.to_numpy() for c in (2, 3))
                 if part == 0:
                     if reader:
                         held += last(now, reader)
