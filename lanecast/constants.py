@@ -93,9 +93,9 @@ ADDON_CONFIG = {
 # over the rows), early stopping
 RISK_MODEL = (800, 6, 0.04, 0.85, "0.8", 3, 0.1, True)
 PRICING_MODEL = (1200, 7, 0.025, 0.85, "0.8", 2, 0.05, True)
-# older single-stage settings
-PRICING_500 = (500, 6, 0.05, 0.85, "0.8", 2, 0.0, False)
-PRICING_1000 = (1000, 8, 0.03, 0.85, "0.8", 2, 0.0, False)
+# settings of the older program: classifier, regressor
+RISK_500 = (500, 6, 0.05)
+PRICING_1000 = (1000, 8, 0.03)
 EARLY_STOPPING_ROUNDS = 50
 V7_GRID = {
     "n_estimators": [500, 1000, 1500], "max_depth": [5, 7, 9], "learning_rate": [0.01, 0.05, 0.1],

@@ -7,20 +7,19 @@ under repartitioning and recomputation (unlike ``randomSplit``).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +45,8 @@ class GBTParams:
 # The fixed settings; the first two are the defaults everywhere.
 RISK_REFERENCE = GBTParams(*K.RISK_MODEL)
 PRICING_REFERENCE = GBTParams(*K.PRICING_MODEL)
-PRICING_500 = GBTParams(*K.PRICING_500)
+# The variants of the older program: its classifier and its regressor.
+RISK_500 = GBTParams(*K.RISK_500)
 PRICING_1000 = GBTParams(*K.PRICING_1000)
 
 PATIENCE = K.EARLY_STOPPING_ROUNDS
@@ -114,34 +114,61 @@ def with_validation(df: DataFrame, share: float = 0.1, id_col: str = "BookingID"
     return df.withColumn("_is_val", hash_unit(id_col, seed) < F.lit(share))
 
 
+def truncated(model: GBTClassificationModel | GBTRegressionModel, n: int):
+    """The model of the first ``n`` trees, made of the fitted trees and weights: nothing is fitted again."""
+    if n >= model.getNumTrees:
+        return model
+    gateway = SparkSession.active().sparkContext._gateway
+    java, jvm = model._java_obj, gateway.jvm
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    if isinstance(model, GBTClassificationModel):
+        cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            java.uid(), trees, weights, java.numFeatures(), java.numClasses())
+    else:
+        cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    return type(model)(cut.copy(java.extractParamMap()))
+
+
+def _partitions(rows: int, given: int) -> int:
+    return max(1, min(given, -(-rows // ROWS_PER_TASK)))
+
+
+def training_set(df: DataFrame, features: list[str], label: str, *keep: str) -> tuple[VectorAssembler, DataFrame]:
+    """The assembler, and ``features``, the label and ``keep`` of the rows; persist them where several fits read them."""
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    data = df.select(*features, F.col(label).cast("double").alias(label), *[c for c in keep if c not in features])
+    return assembler, assembler.transform(data).select("features", label, *keep)
+
+
 def fit_pipeline(kind: str, train: DataFrame, features: list[str], label: str, params: GBTParams,
                  seed: int = 42, id_col: str = "BookingID", patience: int = PATIENCE) -> PipelineModel:
     """K3 (kind='clf') / K4, K9 (kind='reg'): assembler + GBT.
 
     With ``early_stop`` the model is the one of the best validation round: twice ``patience`` rounds are grown, then,
-    unless ``patience`` of them in a row brought no lower loss on the validation slice, all of them; the trees after
-    the best round go (the same seed grows the same first trees).  Without it all trees are kept.
+    unless ``patience`` of them in a row brought no lower loss on the validation slice, all of them, once; the trees
+    after the best round are cut off.  Without it all trees are kept.
     """
-    data = train.select(*features, F.col(label).cast("double").alias(label), id_col)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    data = assembler.transform(with_validation(data, id_col=id_col)).select("features", label, "_is_val").persist()
+    assembler, data = training_set(with_validation(train, id_col=id_col), features, label, "_is_val")
+    data = data.persist()
     try:
         n = data.count()
-        parts = max(1, min(data.rdd.getNumPartitions(), -(-n // ROWS_PER_TASK)))
+        parts = _partitions(n, data.rdd.getNumPartitions())
         fold = (data.where(~F.col("_is_val")) if params.early_stop else data).coalesce(parts)
         check = data.where("_is_val").coalesce(parts)
-        trees = min(params.trees, 2 * patience) if params.early_stop else params.trees
-        while True:
+        first = min(params.trees, 2 * patience) if params.early_stop else params.trees
+        for trees in sorted({first, params.trees}):
             model = _gbt(kind, params, label, n, trees, seed).fit(fold)
             if not params.early_stop:
                 break
             losses = model.evaluateEachIteration(check, *(["squared"] if kind == "reg" else []))
             at, stopped = best_round(losses, patience)
             if stopped or trees == params.trees:
-                if at < trees:
-                    model = _gbt(kind, params, label, n, max(at, 1), seed).fit(fold)
+                model = truncated(model, max(at, 1))
                 break
-            trees = params.trees
     finally:
         data.unpersist()
     return PipelineModel([assembler, model])
@@ -172,23 +199,44 @@ def oof_probability(df: DataFrame, features: list[str], k: int = 5, params: GBTP
                     folded: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
     """K5 + C8: each row scored by the model not trained on its fold; also the per-fold AUCs (K6).
 
-    ``folded`` may carry a precomputed ``fold`` column (E7) so the folds are assigned once.
+    The fold models are grown in full, one fit each, without early stopping.  All folds train on one assembled, cached
+    set that carries the fold number.  ``folded`` may carry a precomputed ``fold`` column (E7).
     """
     if folded is None:
         folded = stratified_folds(df, label, k, id_col)
-    def fold(i: int) -> tuple[DataFrame, float | None]:
-        model = fit_pipeline("clf", folded.where(F.col("fold") != i), features, label, params)
+    assembler, models = fold_models(folded, features, k, params, label)
+
+    def score(i: int) -> tuple[DataFrame, float | None]:
+        model = PipelineModel([assembler, models[i]])
         scored = stage_table(p_positive(model, folded.where(F.col("fold") == i)), f"fold-{i}")
         return scored, exact_auc(scored, label, K.DELAY_PROB_COL)
 
-    with ThreadPoolExecutor(max_workers=k) as pool:     # the folds' fits are independent
-        done = list(pool.map(inheritable_thread_target(fold), range(k)))
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        done = list(pool.map(inheritable_thread_target(score), range(k)))
     out = done[0][0]
     for scored, _ in done[1:]:
         out = out.unionByName(scored)
     return out, [auc for _, auc in done]
 
 
+def fold_models(folded: DataFrame, features: list[str], k: int, params: GBTParams, label: str = "delay_flag",
+                seed: int = 42) -> tuple[VectorAssembler, list[GBTClassificationModel]]:
+    """K5: the assembler and, per fold, the classifier of all trees grown on the other folds (side by side)."""
+    assembler, data = training_set(folded, features, label, "fold")
+    data = data.persist()
+    try:
+        n = data.count()
+        parts = _partitions(n, data.rdd.getNumPartitions())
+
+        def fit(i: int) -> GBTClassificationModel:
+            return _gbt("clf", params, label, n, params.trees, seed).fit(data.where(F.col("fold") != i).coalesce(parts))
+
+        with ThreadPoolExecutor(max_workers=k) as pool:     # the folds' fits are independent
+            return assembler, list(pool.map(inheritable_thread_target(fit), range(k)))
+    finally:
+        data.unpersist()
+
+
 def cv_auc(aucs: list[float]) -> tuple[float, float]:
     """K6: mean and population std of the fold AUCs."""
     m = sum(aucs) / len(aucs)
@@ -226,29 +274,101 @@ def agreement(a: Stack, b: Stack, df: DataFrame) -> DataFrame:
 
 # --- K8 random search ----------------------------------------------------------------------------------------------
 
-def random_search(train: DataFrame, features: list[str], label: str, n_iter: int = 15, folds: int = 3,
-                  seed: int = 42, tree_scale: float = 1.0, parallelism: int = 4):
-    """K8: ``n_iter`` sampled settings x ``folds``-fold CV by R^2; the best is refit on all train rows.
+def sampled_settings(n_iter: int = 15, seed: int = 42) -> list[dict]:
+    """K8: settings drawn from the grid by seed."""
+    rng = random.Random(seed)
+    return [{k: rng.choice(v) for k, v in K.V7_GRID.items()} for _ in range(n_iter)]
+
+
+def v7_params(setting: dict, tree_scale: float = 1.0) -> GBTParams:
+    """A grid setting as tree settings; L1/L2 penalties have no pyspark.ml counterpart and are not applied."""
+    return GBTParams(max(1, int(setting["n_estimators"] * tree_scale)), setting["max_depth"], setting["learning_rate"],
+                     setting["subsample"], str(setting["colsample_bytree"]), 1, setting["gamma"])
+
 
+SEARCH_ROW = "setting int, fold int, trees int, r2 double"
+
+
+class SearchTable:
+    """Durable results of a search in a shared folder: a folder ``setting-fold`` for each finished (setting, fold).
+
+    A result counts once its ``_SUCCESS`` file is there, so a broken write is done again on restart.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def done(self) -> dict[tuple[int, int], float]:
+        """R^2 by (setting, fold) of what is finished."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        files = [str(f.getPath().getParent()) for f in found] if found else []
+        if not files:
+            return {}
+        return {(r.setting, r.fold): r.r2 for r in self.spark.read.schema(SEARCH_ROW).json(files).collect()}
+
+    def add(self, rows: list[tuple[int, int, int, float]]) -> None:
+        for row in rows:
+            (self.spark.createDataFrame([row], SEARCH_ROW).coalesce(1)
+             .write.mode("overwrite").json(f"{self.path}/{row[0]}-{row[1]}"))
+
+
+def random_search(train: DataFrame, features: list[str], label: str, path: str, n_iter: int = 15, folds: int = 3,
+                  seed: int = 42, tree_scale: float = 1.0, parallelism: int = 8, id_col: str = "BookingID"
+                  ) -> list[tuple[dict, list[float]]]:
+    """K8: ``n_iter`` sampled settings x ``folds``-fold CV; the settings with their R^2 by fold.
+
+    Folds follow the hash of the row id.  The rows are assembled and cached once for all fits.  Settings that differ in
+    the number of trees alone share a fit: the R^2 of the smaller ensemble comes from the first trees of the larger.
+    Each result goes to a ``SearchTable`` below ``path``, of its own for each search on the same rows, as its fit ends;
+    a search that starts again skips what is there.
     ``tree_scale`` multiplies the tree counts of the grid (1.0 = the reference grid).
-    L1/L2 penalties have no pyspark.ml counterpart and are sampled but not applied.
     """
-    rng = random.Random(seed)
-    settings = [{k: rng.choice(v) for k, v in K.V7_GRID.items()} for _ in range(n_iter)]
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-    maps, rows = [], max(train.count(), 1)
-    for s in settings:
-        maps.append({gbt.maxIter: max(1, int(s["n_estimators"] * tree_scale)), gbt.maxDepth: s["max_depth"],
-                     gbt.stepSize: s["learning_rate"], gbt.subsamplingRate: s["subsample"],
-                     gbt.featureSubsetStrategy: str(s["colsample_bytree"]), gbt.minInfoGain: s["gamma"] / rows})
-    cv = CrossValidator(estimator=Pipeline(stages=[asm, gbt]), estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    data = train.select(*features, F.col(label).cast("double").alias(label))
-    model = cv.fit(data)
-    best = max(range(len(maps)), key=lambda i: model.avgMetrics[i])
-    return model.bestModel, settings[best], list(model.avgMetrics)
+    settings = sampled_settings(n_iter, seed)
+    asked = hashlib.md5(json.dumps([settings, folds, seed, tree_scale, features, label, id_col]).encode()).hexdigest()
+    table = SearchTable(train.sparkSession, f"{path.rstrip('/')}/{asked}")
+    params = [v7_params(s, tree_scale) for s in settings]
+    known = table.done()
+    open_fits: dict[tuple, list[int]] = {}          # (fold, settings but for the trees) -> settings
+    for i, p in enumerate(params):
+        for f in range(folds):
+            if (i, f) not in known:
+                open_fits.setdefault((f, replace(p, trees=0)), []).append(i)
+    if open_fits:
+        rows = train.withColumn("_fold", F.floor(hash_unit(id_col, seed) * folds).cast("int"))
+        _, data = training_set(rows, features, label, "_fold")
+        data = data.persist()
+        try:
+            n = data.count()
+            parts = _partitions(n, data.rdd.getNumPartitions())
+
+            def fit(job: tuple) -> None:
+                (f, p), which = job
+                model = _gbt("reg", replace(p, trees=max(params[i].trees for i in which)), label, n,
+                             max(params[i].trees for i in which), seed).fit(data.where(F.col("_fold") != f).coalesce(parts))
+                check = data.where(F.col("_fold") == f).coalesce(parts)
+                losses = model.evaluateEachIteration(check, "squared")
+                spread = check.agg(F.var_pop(label)).first()[0] or float("nan")
+                table.add([(i, f, params[i].trees, 1.0 - losses[min(params[i].trees, len(losses)) - 1] / spread) for i in which])
+
+            jobs = sorted(open_fits.items(), key=lambda j: -max(params[i].trees for i in j[1]))     # the longest first
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                list(pool.map(inheritable_thread_target(fit), jobs))
+        finally:
+            data.unpersist()
+        known = table.done()
+    return [(s, [known[i, f] for f in range(folds)]) for i, s in enumerate(settings)]
+
+
+def best_setting(results: list[tuple[dict, list[float]]]) -> dict:
+    """K8 -> K9: the setting with the highest mean R^2 (the first among equals)."""
+    return max(results, key=lambda r: sum(r[1]) / len(r[1]))[0]
+
+
+def fit_best(train: DataFrame, features: list[str], label: str, results: list[tuple[dict, list[float]]],
+             tree_scale: float = 1.0) -> PipelineModel:
+    """K9: the best setting of the search, fitted on all train rows without early stopping."""
+    return fit_pipeline("reg", train, features, label, v7_params(best_setting(results), tree_scale))
 
 
 # --- K10 / K11 metrics -------------------------------------------------------------------------------------------------

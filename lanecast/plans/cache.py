@@ -12,7 +12,7 @@ from collections.abc import Callable
 _MEMO: dict = {}
 
 
-def _state(spark, folder: str) -> tuple:
+def folder_state(spark, folder: str) -> tuple:
     """Name, size and modification time of the folder's entries, read through Spark's file systems."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -22,7 +22,7 @@ def _state(spark, folder: str) -> tuple:
 def memo(spark, key: tuple, build: Callable):
     """``build()`` once per (session, key); ``key[1]`` is the folder it reads."""
     k = (spark.sparkContext.applicationId, *key)
-    state = _state(spark, key[1])
+    state = folder_state(spark, key[1])
     if k not in _MEMO or _MEMO[k][0] != state:
         _MEMO[k] = (state, build())
     return _MEMO[k][1]

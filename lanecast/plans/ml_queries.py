@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lanecast import constants as K
-from lanecast.operators import aggregates as AG
 from lanecast.operators import ml as M
 from lanecast.plans import quote as Q
-from lanecast.plans.cache import memo
+from lanecast.plans.cache import folder_state, memo
 from lanecast.plans.feature_queries import BK, S81, _feat, _target_sql, _with_p, P_STANDIN
 from lanecast.plans.quote_queries import FLAT, RID, _kb
 from lanecast.plans import training as TP
 from lanecast.operators import pricing as P
 from lanecast.operators import scores as SC
 from lanecast.registry import register
+from lanecast.session import ensure_checkpoint_dir, stage_table
 from lanecast.sources.requests import requests_view, road_view
 from lanecast.streaming.quotes import scratch_dir
 
@@ -66,7 +68,7 @@ def q_k2(spark, sf_dir):
 
 @register("K3_fit_delay_classifier", [BK, ("delay_flag", "i"), (K.DELAY_PROB_COL, "d")])
 def q_k3(spark, sf_dir):
-    """K3: boosted-tree delay classifier (early stop on a validation slice); held-out probabilities."""
+    """K3: boosted-tree delay classifier (early stop on a validation slice, cut to its best round); held-out probabilities."""
     return _classifier(spark, sf_dir).test
 
 
@@ -145,26 +147,36 @@ def q_k7(spark, sf_dir):
     return Q.flat_quotes(quotes).withColumnRenamed("T_active_h", "T_active_1dp")
 
 
-@register("K9_fit_v7_regressor", [BK, ("efficiency_score", "d"), ("prediction", "d")])
-def q_k9(spark, sf_dir):
-    """K9: single-stage regressor on the 11 v7 features (is_regular from the booking type)."""
-    from lanecast.operators.lifecycle import add_market_flag
-    feats = AG.drop_missing(add_market_flag(_feat(spark, sf_dir).export(), "is_regular", 1),
-                            ["efficiency_score", "TRANSPORTATION_DISTANCE_IN_KM"])
-    split = M.split_random(feats)
-    model = M.fit_pipeline("reg", split.where(~F.col("is_test")), K.V7_FEATURES, "efficiency_score", M.PRICING_REFERENCE)
-    return model.transform(split.where(F.col("is_test")))
+def _v7_search(spark: SparkSession, sf_dir: str) -> list:
+    """K8's results; finished fits stay in the shared folder under the state of the input."""
+    def build():
+        state = hashlib.md5(repr(folder_state(spark, sf_dir)).encode()).hexdigest()
+        split = stage_table(TP.v7_split(_feat(spark, sf_dir).export()), "v7-rows")
+        return split, TP.search_v7(split, f"{ensure_checkpoint_dir(spark).rstrip('/')}/v7-search-{state}")
+    return memo(spark, ("v7-search", sf_dir), build)
+
+
+def _v7(spark: SparkSession, sf_dir: str) -> TP.V7Fit:
+    return memo(spark, ("v7", sf_dir), lambda: TP.fit_v7(*_v7_search(spark, sf_dir)))
 
 
 @register("K8_random_search", [("setting", "i"), ("r2_cv", "d")])
 def q_k8(spark, sf_dir):
     """K8: 15 sampled settings x 3-fold CV by R^2 on the v7 features, all train rows and the whole grid."""
-    from lanecast.operators.lifecycle import add_market_flag
-    feats = AG.drop_missing(add_market_flag(_feat(spark, sf_dir).export(), "is_regular", 1),
-                            ["efficiency_score", "TRANSPORTATION_DISTANCE_IN_KM"])
-    train = M.split_random(feats).where(~F.col("is_test"))
-    _, best, metrics = M.random_search(train, K.V7_FEATURES, "efficiency_score")
-    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(metrics)], "setting int, r2_cv double")
+    results = _v7_search(spark, sf_dir)[1]
+    return spark.createDataFrame([(i, sum(r) / len(r)) for i, (_, r) in enumerate(results)], "setting int, r2_cv double")
+
+
+@register("K9_fit_v7_regressor", [BK, ("efficiency_score", "d"), ("prediction", "d")])
+def q_k9(spark, sf_dir):
+    """K9: the best single-stage regressor of K8 on the 11 v7 features, on all train rows; held-out predictions."""
+    return _v7(spark, sf_dir).test
+
+
+@register("F4_v7_top_features", [("feature", "s"), ("importance", "d"), ("pct", "d")])
+def q_f4_v7(spark, sf_dir):
+    """the five strongest features of the v7 regressor."""
+    return _v7(spark, sf_dir).importances
 
 
 K10 = [("accuracy", "d"), ("brier", "d"), ("auc", "d"), ("brier_warning", "b")]
