@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanecast import constants as K
 from lanecast.functions import expr as E
+from lanecast.operators.lane_index import LANE_CTX, LaneIndex, contains_matches, global_context, stored_index
 from lanecast.operators.scan import ordered_scan
 
 LANE_KEYS = ["Origin_Location", "Destination_Location"]
@@ -89,98 +89,42 @@ def lane_kb_global(features: DataFrame) -> DataFrame:
 
 # --- C1 - C3 ---------------------------------------------------------------------------------
 
-LANE_CTX = ["lane_popularity", "route_risk", "driver_delay_rate", "trip_count", "avg_dist_km"]
-GRAM = 3              # lane keys are indexed by their substrings of up to this many characters
-
-
-def _grams(name: Column) -> Column:
-    """Distinct substrings of 1 to ``GRAM`` characters."""
-    n = F.length(name)
-
-    def of_length(k: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), n - F.lit(k - 1)), lambda i: F.substring(name, i, F.lit(k)))
-        return F.when(n >= k, cut).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of_length(k) for k in range(1, GRAM + 1)]))
-
-
-def _probe(names: DataFrame, index: DataFrame, name: str, probe: str) -> DataFrame:
-    """``(name, probe)``: the gram through which a name is looked up.
-
-    A name shorter than ``GRAM`` is its own gram; a longer one takes its rarest.  A name with a gram that no lane key
-    has is left out: no key contains it.
-    """
-    freq = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    own = F.when(F.length(name) < GRAM, F.array(F.col(name))).otherwise(
-        F.filter(_grams(F.col(name)), lambda g: F.length(g) == GRAM))
-    return (names.select(name, F.explode(own).alias("gram")).join(freq, "gram", "left")
-            .groupBy(name).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("p"))
-            .where("p.n > 0").select(name, F.col("p.gram").alias(probe)))
-
-
-def contains_matches(pairs: DataFrame, kb: DataFrame) -> DataFrame:
-    """C2 on distinct (ok, dk): ``_first``, the least lane key pair whose keys contain both names, where there is one.
-
-    Lanes are indexed by the grams of both keys, and a pair of names meets only the lanes that have the rarest gram of
-    each name, so no step pairs names with all lanes.  Names of fewer than three characters are looked up by
-    themselves.  An empty name is contained in nothing (blank names are rejected before, see B4).
-    """
-    wanted = pairs.where((F.length("ok") > 0) & (F.length("dk") > 0))
-    lanes = kb.select(F.col("ok").alias("k_ok"), F.col("dk").alias("k_dk"))
-    by_ok = lanes.select("k_ok").distinct().select("k_ok", F.explode(_grams(F.col("k_ok"))).alias("gram"))
-    by_dk = lanes.select("k_dk").distinct().select("k_dk", F.explode(_grams(F.col("k_dk"))).alias("gram"))
-    probes = (wanted.join(_probe(wanted.select("ok").distinct(), by_ok, "ok", "g_ok"), "ok")
-              .join(_probe(wanted.select("dk").distinct(), by_dk, "dk", "g_dk"), "dk"))
-    combos = probes.select("g_ok", "g_dk").distinct()
-    # lanes under every wanted combination of an origin gram and a destination gram
-    ok_keys = by_ok.withColumnRenamed("gram", "g_ok").join(combos.select("g_ok").distinct(), "g_ok", "left_semi")
-    dk_keys = by_dk.withColumnRenamed("gram", "g_dk").join(combos.select("g_dk").distinct(), "g_dk", "left_semi")
-    indexed = lanes.join(ok_keys, "k_ok").join(dk_keys, "k_dk").join(combos, ["g_ok", "g_dk"], "left_semi")
-    return (probes.join(indexed, ["g_ok", "g_dk"])
-            .where(F.col("k_ok").contains(F.col("ok")) & F.col("k_dk").contains(F.col("dk")))
-            .groupBy("ok", "dk").agg(F.min(F.struct("k_ok", "k_dk")).alias("_first")))
-
-
-def global_context(global_row: DataFrame) -> Column:
-    """The averages of ``lane_kb_global`` (one aggregate row) as a scalar subquery; without any trip, constants."""
-    return global_row.select(F.struct(*[F.coalesce(c, F.lit(K.NO_KB_GLOBAL[c])).alias(c) for c in LANE_CTX])
-                             .alias("g")).scalar()
-
-
-def resolve_pairs(pairs: DataFrame, kb: DataFrame, global_row: DataFrame) -> DataFrame:
+def resolve_pairs(pairs: DataFrame, index: LaneIndex) -> DataFrame:
     """C1-C3 on distinct (ok, dk) keys: exact KB key, else the first KB lane in key order whose keys
     contain both names, else the global averages.  Returns ok, dk, lane_match and the lane context.
 
-    One path at every size; the planner and AQE choose the joins, and nothing runs while the plan is built.
+    One path at every size over the stored index; the planner and AQE choose the joins, and no job runs while the plan
+    is built.
     """
-    exact = kb.select("ok", "dk", F.struct(*LANE_CTX).alias("_exact"))
+    exact = index.lanes.select("ok", "dk", F.struct(*LANE_CTX).alias("_exact"))
     step = pairs.join(exact, ["ok", "dk"], "left")
-    first = contains_matches(step.where(F.col("_exact").isNull()).select("ok", "dk"), kb)
-    lane = kb.select(F.struct(F.col("ok").alias("k_ok"), F.col("dk").alias("k_dk")).alias("_first"),
-                     F.struct(*LANE_CTX).alias("_contains"))
+    first = contains_matches(step.where(F.col("_exact").isNull()).select("ok", "dk"), index)
+    lane = index.lanes.select(F.struct(F.col("ok").alias("k_ok"), F.col("dk").alias("k_dk")).alias("_first"),
+                              F.struct(*LANE_CTX).alias("_contains"))
     found = first.join(lane, "_first").select("ok", "dk", "_contains")
-    fallback = global_context(global_row)
+    fallback = global_context(index.fallback)
     out = step.join(found, ["ok", "dk"], "left").withColumn("_ctx", F.coalesce("_exact", "_contains", fallback))
     match = (F.when(F.col("_exact").isNotNull(), F.lit("exact"))
              .when(F.col("_contains").isNotNull(), F.lit("contains")).otherwise(F.lit("global")))
     return out.select("ok", "dk", match.alias("lane_match"), *[F.col("_ctx")[c].alias(c) for c in LANE_CTX])
 
 
-def lookup_lane(requests: DataFrame, kb: DataFrame, global_row: DataFrame, *,
+def lookup_lane(requests: DataFrame, kb: DataFrame | LaneIndex, global_row: DataFrame | None = None, *,
                 origin: str = "origin", destination: str = "destination") -> DataFrame:
     """C1 exact key, C2 first KB lane (key order) containing both names, C3 global averages.
 
-    Adds ``lane_match`` (exact / contains / global) and the five lane-context columns.  The
-    three tiers are resolved once per distinct (origin key, destination key) pair, and the
-    resolved pairs are joined back to the requests in one equi-join.  ``kb`` has one row per
-    (ok, dk); a request without one of the names gets the global row.
+    Adds ``lane_match`` (exact / contains / global) and the five lane-context columns.  The three tiers are resolved
+    once per distinct (origin key, destination key) pair, and the resolved pairs are joined back to the requests in one
+    equi-join.  ``kb`` is a stored index, or the knowledge base (one row per (ok, dk)) with its ``global_row``, whose
+    index is then stored or found.  A request without one of the names gets the global row.
     """
+    index = kb if isinstance(kb, LaneIndex) else stored_index(kb, global_row)
     req = requests.withColumn("_ok", E.place_key(origin)).withColumn("_dk", E.place_key(destination))
     pairs = req.select(F.col("_ok").alias("ok"), F.col("_dk").alias("dk")).where(
         F.col("ok").isNotNull() & F.col("dk").isNotNull()).distinct()
-    ctx = resolve_pairs(pairs, kb, global_row).withColumnRenamed("ok", "_ok").withColumnRenamed("dk", "_dk")
+    ctx = resolve_pairs(pairs, index).withColumnRenamed("ok", "_ok").withColumnRenamed("dk", "_dk")
     out = req.join(ctx, ["_ok", "_dk"], "left").drop("_ok", "_dk")
-    fallback = global_context(global_row)
+    fallback = global_context(index.fallback)
     missing = F.col("lane_match").isNull()
     return out.withColumns({c: F.when(missing, fallback[c]).otherwise(F.col(c)) for c in LANE_CTX}
                            | {"lane_match": F.coalesce("lane_match", F.lit("global"))})

@@ -12,7 +12,7 @@ from lanecast.operators import ml as M
 from lanecast.plans import quote as Q
 from lanecast.plans.cache import folder_state, memo
 from lanecast.plans.feature_queries import BK, S81, _feat, _target_sql, _with_p, P_STANDIN
-from lanecast.plans.quote_queries import FLAT, RID, _kb
+from lanecast.plans.quote_queries import FLAT, RID, _index
 from lanecast.plans import training as TP
 from lanecast.operators import pricing as P
 from lanecast.operators import scores as SC
@@ -139,11 +139,9 @@ def q_a6(spark, sf_dir):
 def q_k7(spark, sf_dir):
     """K7 + J18: requests priced with the trained two-stage model instead of given scores."""
     stack = _stack(spark, sf_dir)
-    kb, g = _kb(spark, sf_dir)
-
     def scorer(df):
         return M.score_two_stage(stack, P.add_request_features(df, stack.base_features))
-    quotes, _ = Q.quote_requests(requests_view(spark, sf_dir), kb, g, scorer, road_view(spark, sf_dir))
+    quotes, _ = Q.quote_requests(requests_view(spark, sf_dir), _index(spark, sf_dir), None, scorer, road_view(spark, sf_dir))
     return Q.flat_quotes(quotes).withColumnRenamed("T_active_h", "T_active_1dp")
 
 

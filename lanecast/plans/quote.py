@@ -1,11 +1,9 @@
 """J18 quote_requests: requests -> priced quotes (and a rejected table).
 
-Plan: validation and normalisation are row-local; the lane context is resolved once per
-distinct (origin, destination) pair (exact key via a size-checked broadcast of the KB,
-then a nested-loop join over the missed pairs only, then the global row) and joined back
-with a size-checked broadcast; the gazetteer join is broadcast (fixed size); everything
-after that is per-row column expressions.  The request table itself is not shuffled
-(only its distinct pairs are aggregated) while the pair table passes the broadcast bound.
+Plan: validation and normalisation are row-local.  The lane context is resolved once per distinct (origin, destination)
+pair through the stored lane index (exact key; else the pair's shortest posting list, whose lanes are checked in place;
+else the global row) and joined back on the pair.  Where one pair has a large share of the requests, AQE splits that
+join's request side.  The gazetteer join is broadcast (fixed size); everything after that is per-row column expressions.
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ def given_scores(p_col: str = "p_delay", eff_col: str = "eff") -> Scorer:
     return score
 
 
-def prepare_requests(requests: DataFrame, kb: DataFrame, kb_global: DataFrame, road: DataFrame | None = None,
+def prepare_requests(requests: DataFrame, kb: DataFrame | L.LaneIndex, kb_global: DataFrame | None = None, road: DataFrame | None = None,
                      clamp: bool = False) -> tuple[DataFrame, DataFrame]:
     """B4, B5, (B6), temporal, lane context and distance: everything before the model."""
     valid, rejected = R.validate_requests(requests)
@@ -54,9 +52,12 @@ def price(scored: DataFrame) -> DataFrame:
     return P.add_addons(out)
 
 
-def quote_requests(requests: DataFrame, kb: DataFrame, kb_global: DataFrame, scorer: Scorer | None = None,
+def quote_requests(requests: DataFrame, kb: DataFrame | L.LaneIndex, kb_global: DataFrame | None = None,
+                   scorer: Scorer | None = None,
                    road: DataFrame | None = None, clamp: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(quotes with all intermediate columns, rejected requests with reasons)."""
+    """(quotes with all intermediate columns, rejected requests with reasons).
+
+    ``kb`` is a stored lane index, or the knowledge base with its global row."""
     req, rejected = prepare_requests(requests, kb, kb_global, road, clamp)
     scored = (scorer or given_scores())(req)
     return price(scored), rejected

@@ -11,6 +11,7 @@ from lanecast.functions import expr as E
 from lanecast.operators import lanes as L
 from lanecast.operators import pricing as P
 from lanecast.operators import requests as R
+from lanecast.operators.lane_index import stored_index
 from lanecast.plans import quote as Q
 from lanecast.plans.cache import memo
 from lanecast.plans.feature_queries import _feat
@@ -31,18 +32,21 @@ def _kb(spark: SparkSession, sf_dir: str):
     return memo(spark, ("kb", sf_dir), build)
 
 
+def _index(spark: SparkSession, sf_dir: str):
+    """The stored lane index, which batch and stream share."""
+    return memo(spark, ("lane-index", sf_dir), lambda: stored_index(*_kb(spark, sf_dir)))
+
+
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The priced requests, stored once for the queries that each show some of their columns."""
     def build():
-        kb, g = _kb(spark, sf_dir)
-        return stage_table(Q.quote_requests(requests_view(spark, sf_dir), kb, g, Q.given_scores(),
+        return stage_table(Q.quote_requests(requests_view(spark, sf_dir), _index(spark, sf_dir), None, Q.given_scores(),
                                             road_view(spark, sf_dir))[0], "quotes")
     return memo(spark, ("quotes", sf_dir), build)
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kb, g = _kb(spark, sf_dir)
-    req, _ = Q.prepare_requests(requests_view(spark, sf_dir), kb, g, road_view(spark, sf_dir))
+    req, _ = Q.prepare_requests(requests_view(spark, sf_dir), _index(spark, sf_dir), None, road_view(spark, sf_dir))
     return req
 
 
@@ -101,7 +105,7 @@ LANE = [("lane_match", "s"), ("lane_popularity", "d"), ("route_risk", "d"), ("dr
 
 @register("C1_lane_exact", [RID] + LANE, _qsql("WHERE lane_match = 'exact'", "q_lane"))
 def q_c1(spark, sf_dir):
-    """Requests whose (origin, destination) key is a KB lane (broadcast hash join)."""
+    """Requests whose (origin, destination) key is a KB lane (equi-join with the stored lanes)."""
     return _prepared(spark, sf_dir).where(F.col("lane_match") == "exact")
 
 
@@ -412,14 +416,23 @@ def q_j19(spark, sf_dir):
 
 @register("L1_quote_stream", [RID] + FLAT, _ORACLE_J18)
 def q_l1(spark, sf_dir):
-    """L1: the orders file read as a stream (availableNow), priced per micro-batch, read back from the sink."""
-    from lanecast.sources.requests import requests_from_orders
+    """L1: request documents (JSON lines, some broken) read as a stream, priced per micro-batch, read back by commits."""
+    from lanecast.sources.requests import stream_requests
     from lanecast.streaming.quotes import read_quotes, start_quote_stream
-    kb, g = _kb(spark, sf_dir)
-    static = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    orders = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parque[t]")
-    sink = scratch_dir(spark, "quote-sink")
-    query = start_quote_stream(requests_from_orders(spark, sf_dir, orders), kb, g, sink, f"{sink}/_checkpoint",
-                               road=road_view(spark, sf_dir))
+    source, sink = scratch_dir(spark, "request-files"), scratch_dir(spark, "quote-sink")
+    request_documents(requests_view(spark, sf_dir)).write.text(source)
+    query = start_quote_stream(stream_requests(spark, source, SCORES), _index(spark, sf_dir), None, sink,
+                               f"{sink}/_checkpoint", road=road_view(spark, sf_dir))
     query.awaitTermination()
     return read_quotes(spark, sink).withColumnRenamed("T_active_h", "T_active_1dp")
+
+
+#: The stand-in scores of the requests view, beside the request fields.
+SCORES = "p_delay double, eff double"
+
+
+def request_documents(requests: DataFrame) -> DataFrame:
+    """JSON lines of the requests, and after every 50th (by hash) the line once more with its end cut off."""
+    line = F.to_json(F.struct(*[F.col(c) for c in requests.columns]))
+    cut = F.when(F.crc32(F.col("request_id").cast("binary")) % 50 == 0, F.substring(line, 1, 40))
+    return requests.select(F.explode(F.array_compact(F.array(line, cut))).alias("value"))

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from lanecast.constants import CITY_COORDS
 
+#: Column with the text of an unreadable line.
+CORRUPT = "_corrupt_record"
+
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
     T.StructField("origin", T.StringType()),
@@ -25,11 +28,31 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 
+def request_schema(extra: str | None = None) -> T.StructType:
+    """The request fields, ``extra`` ones (DDL), and the text of lines that are no JSON object of these."""
+    more = T.StructType.fromDDL(extra).fields if extra else []
+    return T.StructType(REQUEST_SCHEMA.fields + more + [T.StructField(CORRUPT, T.StringType())])
+
+
 def scan_requests(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines requests with the fixed schema; malformed lines keep their text in ``_corrupt_record``."""
-    schema = T.StructType(REQUEST_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    return (spark.read.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    return (spark.read.schema(request_schema()).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def stream_requests(spark: SparkSession, path: str, extra: str | None = None, files: int | None = None) -> DataFrame:
+    """A9 as a stream: the JSON-lines files that arrive in ``path``, ``files`` of them a micro-batch at most."""
+    reader = (spark.readStream.schema(request_schema(extra)).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT))
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).json(path)
+
+
+def split_corrupt(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable requests, and the lines that are not, as rejected rows with an ``error``; read persisted rows twice."""
+    if CORRUPT not in requests.columns:
+        return requests, requests.limit(0).withColumn("error", F.lit(None).cast("string"))
+    broken = requests.where(F.col(CORRUPT).isNotNull())
+    return requests.where(F.col(CORRUPT).isNull()).drop(CORRUPT), broken.withColumn("error", F.lit("Malformed request: not a JSON object of the request fields"))
 
 
 def write_quotes(quotes: DataFrame, path: str, fmt: str = "json") -> None:

@@ -101,8 +101,9 @@ def test_contains_equals_all_pairs(spark):
 def test_lookup_plan_has_no_nested_loop_and_runs_no_job(spark):
     kb = spark.createDataFrame([("asia", "europe", 0.5, 0.1, 0.2, 10, 100.0)], KB_SCHEMA)
     req = spark.createDataFrame([("1", "asi", "eur")], "request_id string, origin string, destination string")
+    index = L.stored_index(kb, _global(spark))
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    plan = L.lookup_lane(req, kb, _global(spark))._jdf.queryExecution().toString()
+    plan = L.lookup_lane(req, index)._jdf.queryExecution().toString()
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
