@@ -1,19 +1,25 @@
 """Secret scans: fixed credential patterns, and formats learnt from them as probabilistic automata.
 
 1. One pass over the whole texts finds the base spans (``KINDS``) and the other candidates: maximal runs of
-   credential characters, which are all ASCII, whatever other letters touch them. The least length of a candidate is
+   credential characters, which are all ASCII, whatever other letters touch them, without full stops at the end. The
+   least length of a candidate is
    that of the shortest value that a learning kind has, ``CANDIDATE_MIN`` at most.
 2. The values of the base spans are labelled credentials. For each kind, up to ``LEARN_MAX`` distinct ones (smallest
-   hash first) build a prefix tree over character classes, whose statistically compatible states merge
-   (Hoeffding bound at level ``ALPHA``, red-blue order) into a probabilistic automaton. Kinds with under ``LEARN_MIN``
-   values learn nothing.
+   hash first, ``LEARN_LENGTH`` characters at most) build a prefix tree over character classes. Red-blue order merges it
+   into a probabilistic automaton: a new state with its compatible sisters, then with the nearest compatible state. Two states are compatible if all that follows them
+   is: the remaining lengths of the strings below them (Kolmogorov-Smirnov bound) and the classes at each distance
+   (Hoeffding bound, for all cells together), both pooled over every string that passes. So positions stay apart where
+   lengths or classes differ, although most nodes of the tree hold one string only.
 3. Candidates outside base spans that no learnt kind explains give the automaton of ordinary tokens in the same way.
    At first a kind explains what it makes likelier than ``background`` does, a model of the single string that no other
-   candidate enters. Then it explains what it makes likelier than the last ordinary automaton does, ``ROUNDS`` times.
-   So unlabelled credentials do not enter that automaton, however large their share is. Where under ``LEARN_MIN``
+   candidate enters. Then it explains what it makes likelier than the last ordinary model does, ``ROUNDS`` times.
+   So unlabelled credentials do not enter that automaton, however large their share is. Where under ``LEARN_MAX``
    ordinary candidates remain, shorter runs are taken too.
-4. Every candidate outside the base spans is scored: the log likelihood under a kind's automaton over that under the
-   ordinary one. From ``LOG_ODDS`` on it becomes a span ``format_<kind>`` of the most likely kind.
+4. Every candidate outside the base spans is scored: the log likelihood under a kind's automaton over that of ordinary
+   tokens, a mixture of their automaton and ``background`` by the number of strings learnt from. A string that ends
+   where no labelled string of its kind can end has no likelihood. From ``LOG_ODDS`` on, times ``1 + DOUBT / strings
+   learnt from``, the string becomes a span ``format_<kind>`` of the most likely kind. So a kind with few labelled
+   strings asks for more evidence, and none is left out.
 
 The texts are scanned again for the scores: storing every run of six characters would copy most of each text.
 
@@ -48,19 +54,25 @@ RUN = {n: re.compile(rf"[A-Za-z0-9+/_.=-]{{{n},}}+") for n in range(VALUE_MIN, C
 SEEN_MAX = 100_000
 SEEN_LENGTH = 64
 LEARN_MAX = 2000
-LEARN_MIN = 20
+LEARN_LENGTH = 256
 ALPHA = 0.05
-LOG_ODDS = 12.0
+LOG_ODDS = 8.0
+DOUBT = 4.0
+#: Distances from a state up to which what follows is compared; longer rests count as one.
+WINDOW = 64
+#: Weight, in strings, of the class shares of a whole automaton in each of its states; share of a class never seen.
+SHARED = 1.0
+NEVER = 1e-3
 #: Refits of the ordinary automaton, and how far a kind may be below ``background`` and still explain a candidate.
 ROUNDS = 2
 MARGIN = 3.0
-#: Log probability of a step that no learnt string took.
-UNSEEN = math.log(1e-4)
 #: Classes of candidate characters and their sizes.
 CLASSES = {c: k for k, group in {
     "0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ",
     "+": "+", "/": "/", "_": "_", ".": ".", "=": "=", "-": "-"}.items() for c in group}
-CLASS_SIZE = {k: sum(v == k for v in CLASSES.values()) for k in set(CLASSES.values())}
+CLASS_SIZE = {k: sum(v == k for v in CLASSES.values()) for k in sorted(set(CLASSES.values()))}
+KINDS_OF_CLASS = list(CLASS_SIZE)
+CLASS_NUMBER = {c: KINDS_OF_CLASS.index(k) for c, k in CLASSES.items()}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -77,102 +89,159 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
 
 def candidates(text: str, spans: list, least: int) -> list[tuple[int, int, str]]:
     """Candidates of ``least`` characters or more that no base span overlaps."""
-    if not spans:
-        return [(m.start(), m.end(), m.group()) for m in RUN[least].finditer(text)]
     out = []
     for m in RUN[least].finditer(text):
         if not any(s[1] < m.end() and m.start() < s[2] for s in spans):
-            out.append((m.start(), m.end(), m.group()))
+            run = m.group().rstrip(".")
+            if len(run) >= least:
+                out.append((m.start(), m.start() + len(run), run))
     return out
 
 
-def learn(strings: list[str], alpha: float = ALPHA) -> list[tuple[int, int, dict[str, tuple[int, int]]]]:
-    """Strings -> automaton: per state its visits, its ends and ``class -> (next state, count)``; state 0 starts."""
-    seen, ends, go = [0], [0], [{}]
-    for s in sorted(strings):
-        at = 0
-        seen[0] += 1
-        for c in s:
-            k = CLASSES[c]
-            if k not in go[at]:
-                go[at][k] = [len(go), 0]
-                seen.append(0)
-                ends.append(0)
-                go.append({})
-            go[at][k][1] += 1
-            at = go[at][k][0]
-            seen[at] += 1
-        ends[at] += 1
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def differ(x: float, n: int, y: float, m: int) -> bool:
-        return abs(x / n - y / m) > bound * (n ** -0.5 + m ** -0.5)
-
-    def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            n, m = seen[a], seen[b]
-            if differ(ends[a], n, ends[b], m):
-                return False
-            for k in go[a].keys() | go[b].keys():
-                x, y = go[a].get(k, (None, 0)), go[b].get(k, (None, 0))
-                if differ(x[1], n, y[1], m):
-                    return False
-                if x[1] and y[1]:
-                    todo.append((x[0], y[0]))
-        return True
-
-    def fold(a: int, b: int) -> None:
-        """Adds the tree below ``b`` to the automaton at ``a``."""
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            seen[a] += seen[b]
-            ends[a] += ends[b]
-            for k, (child, count) in go[b].items():
-                if k in go[a]:
-                    go[a][k][1] += count
-                    todo.append((go[a][k][0], child))
+class Learner:
+    """Merges the prefix tree of some strings; a state is the list of the ``(string, position)`` that pass it."""
+
+    def __init__(self, strings: list[str], alpha: float):
+        import numpy as np
+
+        self.n_classes = len(KINDS_OF_CLASS)
+        codes = [[CLASS_NUMBER[c] for c in s] for s in sorted(strings)]
+        # behind its end a string has the last class, which stands for nothing
+        self.codes = np.full((len(codes), max(map(len, codes), default=0) + WINDOW + 1), self.n_classes, np.int8)
+        self.sizes = np.array([len(c) for c in codes], np.int64)
+        self.passes: list[list[tuple[int, int]]] = [[]]
+        self.go: list[dict[int, int]] = [{}]
+        for i, code in enumerate(codes):
+            self.codes[i, :len(code)] = code
+            at = 0
+            self.passes[0].append((i, 0))
+            for j, k in enumerate(code, 1):
+                if k not in self.go[at]:
+                    self.go[at][k] = len(self.go)
+                    self.go.append({})
+                    self.passes.append([])
+                at = self.go[at][k]
+                self.passes[at].append((i, j))
+        self.alpha = alpha
+        self.length_bound = math.sqrt(0.5 * math.log(2 / alpha))
+
+    def profile(self, passes: list[tuple[int, int]]):
+        """Counts of what follows: strings by remaining length, and by class at each distance."""
+        import numpy as np
+
+        which, at = np.array(passes).T
+        rest = np.bincount(np.minimum(self.sizes[which] - at, WINDOW), minlength=WINDOW + 1)
+        ahead = self.codes[which[:, None], at[:, None] + np.arange(WINDOW)]
+        cell = np.arange(WINDOW) * (self.n_classes + 1) + ahead
+        classes = np.bincount(cell.ravel(), minlength=WINDOW * (self.n_classes + 1)).reshape(WINDOW, -1)[:, :-1]
+        return rest, classes.ravel()
+
+    def run(self) -> list[tuple[int, int, dict[str, tuple[int, int]]]]:
+        import numpy as np
+
+        red, place = [0], {0: 0}
+        rests, classes = ([x] for x in self.profile(self.passes[0]))
+
+        def fold(a: int, b: int) -> None:
+            """Adds the tree below ``b`` to the automaton at ``a``."""
+            todo = [(a, b)]
+            while todo:
+                a, b = todo.pop()
+                self.passes[a] += self.passes[b]
+                if a in place:
+                    rest, ahead = self.profile(self.passes[b])
+                    rests[place[a]] = rests[place[a]] + rest
+                    classes[place[a]] = classes[place[a]] + ahead
+                for k, child in self.go[b].items():
+                    if k in self.go[a]:
+                        todo.append((self.go[a][k], child))
+                    else:
+                        self.go[a][k] = child
+
+        def gaps(rest, ahead, m: int, others: list, n):
+            """How far some states' profiles are from one profile, and whether chance explains it."""
+            known, held = np.array([x for x, _ in others]), np.array([x for _, x in others])
+            apart = known / n[:, None] - rest / m
+            classes = np.abs(held / n[:, None] - ahead / m)
+            cells = max(1, int(((held > 0) | (ahead > 0)).any(0).sum()))
+            chance = math.sqrt(0.5 * math.log(2 * cells / self.alpha)) * (n ** -0.5 + m ** -0.5)
+            lengths = np.abs(np.cumsum(apart, axis=1)).max(1) <= self.length_bound * np.sqrt(1 / n + 1 / m)
+            return np.abs(apart).sum(1) + classes.sum(1) / WINDOW, lengths & (classes.max(1) <= chance)
+
+        while True:
+            r = next((r for r in red if any(c not in place for c in self.go[r].values())), None)
+            if r is None:
+                break
+            # the most frequent new child first takes in those of its sisters that are compatible with it
+            new = sorted({c for c in self.go[r].values() if c not in place}, key=lambda c: (-len(self.passes[c]), c))
+            child = new[0]
+            for sister in new[1:]:
+                rest, ahead = self.profile(self.passes[sister])
+                n = np.array([len(self.passes[child])])
+                if gaps(rest, ahead, len(self.passes[sister]), [self.profile(self.passes[child])], n)[1][0]:
+                    fold(child, sister)
+                    self.go[r] = {k: child if c == sister else c for k, c in self.go[r].items()}
+            rest, ahead = self.profile(self.passes[child])
+            n = np.array([len(self.passes[q]) for q in red])
+            far, fits = gaps(rest, ahead, len(self.passes[child]), list(zip(rests, classes)), n)
+            if fits.any():
+                target = red[int(np.where(fits, far, np.inf).argmin())]
+                self.go[r] = {k: target if c == child else c for k, c in self.go[r].items()}
+                fold(target, child)
+            else:
+                place[child] = len(red)
+                red.append(child)
+                rests.append(rest)
+                classes.append(ahead)
+        out = []
+        for q in red:
+            steps: dict[int, int] = {}
+            ends = 0
+            for i, j in self.passes[q]:
+                if j == self.sizes[i]:
+                    ends += 1
                 else:
-                    go[a][k] = [child, count]
-
-    red = [0]
-    while True:
-        blue = [(r, k) for r in red for k in sorted(go[r]) if go[r][k][0] not in red]
-        if not blue:
-            break
-        r, k = blue[0]
-        child = go[r][k][0]
-        target = next((q for q in red if compatible(q, child)), None)
-        if target is None:
-            red.append(child)
-        else:
-            go[r][k][0] = target
-            fold(target, child)
-    place = {q: i for i, q in enumerate(red)}
-    return [(seen[q], ends[q], {k: (place[c], n) for k, (c, n) in go[q].items()}) for q in red]
+                    k = int(self.codes[i, j])
+                    steps[k] = steps.get(k, 0) + 1
+            out.append((len(self.passes[q]), ends, {KINDS_OF_CLASS[k]: (place[self.go[q][k]], n) for k, n in sorted(steps.items())}))
+        return out
+
+
+def learn(strings: list[str], alpha: float = ALPHA) -> dict:
+    """Strings -> automaton: ``states`` with visits, ends and ``class -> (next state, count)``, state 0 first; the
+    ``shares`` of the classes in all of it; the number ``n`` of strings."""
+    states = Learner(strings, alpha).run()
+    total = sum(c for _, _, go in states for _, c in go.values())
+    seen = {k: sum(go[k][1] for _, _, go in states if k in go) for k in CLASS_SIZE}
+    shares = {k: (seen[k] / total if seen[k] else NEVER) if total else NEVER for k in CLASS_SIZE}
+    return {"states": states, "shares": shares, "n": len(strings)}
+
 
+def log_likelihood(automaton: dict, text: str, part: bool = False) -> float:
+    """Minus infinity for a string that ends, or goes on, where no learnt string does.
 
-def log_likelihood(automaton: list, text: str) -> float:
+    With ``part`` the string may be cut short or go on: only the classes up to there count."""
     at, out = 0, 0.0
+    states, shares = automaton["states"], automaton["shares"]
     for c in text:
         k = CLASSES[c]
-        seen, _, go = automaton[at]
-        if k in go:
-            nxt, n = go[k]
-            out += math.log(n / seen)
-            at = nxt
-        else:
-            out += UNSEEN
-        out -= math.log(CLASS_SIZE[k])
-    seen, ends, _ = automaton[at]
-    return out + (math.log(ends / seen) if ends else UNSEEN)
+        seen, _, go = states[at]
+        if not go:
+            return out if part else -math.inf
+        nxt, n = go.get(k) or (max(go.values(), key=lambda x: x[1])[0], 0)
+        out += math.log((n + SHARED * shares[k]) / (seen + SHARED)) - math.log(CLASS_SIZE[k])
+        at = nxt
+    seen, ends, _ = states[at]
+    if part:
+        return out
+    return out + math.log(ends / (seen + SHARED)) if ends else -math.inf
 
 
 def background(text: str) -> float:
-    """Log likelihood under class counts that start even and follow the string itself (Krichevsky-Trofimov)."""
-    counts, out = dict.fromkeys(CLASS_SIZE, 0.5), 0.0
+    """Log likelihood under class counts that start even and follow the string itself (Krichevsky-Trofimov).
+
+    Its length has the probability 1 / (length * (length + 1)), which sums to 1 over all lengths."""
+    counts, out = dict.fromkeys(CLASS_SIZE, 0.5), -math.log(len(text) * (len(text) + 1))
     total = 0.5 * len(counts)
     for c in text:
         k = CLASSES[c]
@@ -182,25 +251,35 @@ def background(text: str) -> float:
     return out
 
 
-def best_kind(model: dict, text: str) -> tuple[float, str]:
+def best_kind(model: dict, text: str, part: bool = False) -> tuple[float, str]:
     """The log likelihood under the most likely learnt kind, and the kind."""
-    return max((log_likelihood(a, text), k) for k, a in sorted(model["kinds"].items()))
+    return max((log_likelihood(a, text, part), k) for k, a in sorted(model["kinds"].items()))
+
+
+def plain_likelihood(model: dict, text: str) -> float:
+    """Log likelihood as an ordinary token: their automaton and ``background``, mixed by the strings learnt from."""
+    alone = background(text)
+    if not model["plain"]:
+        return alone
+    n = model["plain"]["n"]
+    learnt = log_likelihood(model["plain"], text) + math.log(n / (n + DOUBT))
+    alone += math.log(DOUBT / (n + DOUBT))
+    high, low = max(learnt, alone), min(learnt, alone)
+    return high + math.log1p(math.exp(low - high))
 
 
 def ordinary(model: dict, text: str) -> bool:
-    """No learnt kind explains the string."""
-    if model["plain"]:
-        return best_kind(model, text)[0] <= log_likelihood(model["plain"], text)
-    return best_kind(model, text)[0] <= background(text) - MARGIN
+    """No learnt kind explains the string, nor a string that it is a cut or longer form of (these are neither)."""
+    return best_kind(model, text, part=True)[0] <= plain_likelihood(model, text) - (0.0 if model["plain"] else MARGIN)
 
 
 def verdict(model: dict, text: str) -> tuple[str | None, float]:
-    """The most likely learnt kind and its log odds against ordinary tokens; None below ``LOG_ODDS``."""
+    """The most likely learnt kind and its log odds against ordinary tokens; None below what the kind asks for."""
     if not model["kinds"]:
         return None, 0.0
     seen, kind = best_kind(model, text)
-    odds = seen - (log_likelihood(model["plain"], text) if model["plain"] else background(text))
-    return (kind if odds >= LOG_ODDS else None), odds
+    odds = seen - plain_likelihood(model, text)
+    return (kind if odds >= LOG_ODDS * (1 + DOUBT / model["kinds"][kind]["n"]) else None), odds
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -222,7 +301,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
 def fit(scanned: DataFrame, learn_max: int = LEARN_MAX) -> dict:
     """Automata of the labelled kinds and of ordinary tokens, from a scan; ``learn_max`` strings of each at most."""
-    got = scanned.select(F.explode("labelled").alias("x")).select("x.kind", "x.text").distinct()
+    got = (scanned.select(F.explode("labelled").alias("x")).select("x.kind", F.regexp_replace("x.text", "[.]+$", "").alias("text"))
+           .where(F.length("text").between(1, LEARN_LENGTH)).distinct())
     rows = None
     for kind in KINDS:
         part = sample(got.where(F.col("kind") == kind), learn_max)
@@ -230,23 +310,21 @@ def fit(scanned: DataFrame, learn_max: int = LEARN_MAX) -> dict:
     strings: dict[str, list[str]] = {}
     for r in rows.collect():
         strings.setdefault(r.kind, []).append(r.text)
-    model = {"plain": None, "kinds": {k: learn(v) for k, v in strings.items() if len(v) >= LEARN_MIN},
-             "least": CANDIDATE_MIN}
+    model = {"plain": None, "kinds": {k: learn(v) for k, v in strings.items()}, "least": CANDIDATE_MIN}
     if not model["kinds"]:
         return model
-    shortest = got.where(F.col("kind").isin(list(model["kinds"]))).agg(F.min(F.length("text"))).first()[0]
-    model["least"] = min(CANDIDATE_MIN, shortest)
-    runs = scanned.select(F.explode("candidates").alias("text"))
+    shortest = got.agg(F.min(F.length("text"))).first()[0]
+    model["least"] = max(VALUE_MIN, min(CANDIDATE_MIN, shortest))
+    runs = scanned.select(F.explode("candidates").alias("text")).where(F.length("text") <= LEARN_LENGTH)
     others = stored(runs.where(F.length("text") >= model["least"]).distinct())
     short = None
     for _ in range(1 + ROUNDS):
         rest = [r.text for r in sample(unexplained(others, model), learn_max).collect()]
-        if len(rest) < LEARN_MIN:      # too few ordinary strings are that long: the shorter ones too
+        if len(rest) < learn_max:      # the shorter ones too
             short = short or stored(runs.where(F.length("text") < model["least"]).distinct())
             rest += [r.text for r in sample(unexplained(short, model), learn_max - len(rest)).collect()]
-        if len(rest) < LEARN_MIN:
-            break
-        model = model | {"plain": learn(rest)}
+        if rest:
+            model = model | {"plain": learn(rest)}
     return model
 
 

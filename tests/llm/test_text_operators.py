@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -301,13 +302,48 @@ def test_credentials_beside_other_letters_are_scored(spark, make_docs):
     assert secrets.redact(docs).where("doc_id = 900").first().text == "密钥是[REDACTED]请保存"
 
 
-def test_automaton_merges_compatible_states():
+def test_automaton_keeps_positions_of_a_fixed_length():
     rng = random.Random(7)
-    strings = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
-    automaton = secrets.learn(strings)
-    assert len(automaton) < 30
-    seen = secrets.log_likelihood(automaton, "".join(rng.choices("0123456789abcdef", k=40)))
-    assert seen > secrets.log_likelihood(automaton, "thourendonouingingthourendonouinginging.")
+    hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    for n in (12, 40, 300):
+        automaton = secrets.learn([hexes(40) for _ in range(n)])
+        assert len(automaton["states"]) == 41          # one state a position
+        seen = lambda x: secrets.log_likelihood(automaton, x)  # noqa: E731,B023
+        assert all(seen(hexes(40)) > -math.inf for _ in range(50))
+        assert all(seen(hexes(k)) == -math.inf for k in (16, 39, 41, 80))
+
+
+def test_automaton_merges_where_nothing_differs():
+    """Free lengths: positions are alike, so states merge, and all lengths in the range are accepted."""
+    rng = random.Random(8)
+    automaton = secrets.learn(["ab_" + "".join(rng.choices("0123456789", k=min(40, 1 + int(rng.expovariate(0.2))))) for _ in range(400)])
+    assert 4 <= len(automaton["states"]) < 20
+    assert all(secrets.log_likelihood(automaton, "xy_" + "7" * k) > -math.inf for k in range(1, 13))
+    assert secrets.log_likelihood(automaton, "_xy777") < secrets.log_likelihood(automaton, "xy_777") - 5
+
+
+ORDINARY = ["4111111111111111", "5500005555555559", "3f2b8c1e-9d4a-4f6b-8a7c-1e2d3f4a5b6c", "2024-01-15T10:30:00", "2024-01-15-10.30",
+            "Donaudampfschifffahrtsgesellschaft", "internationalization", "www.example.com/some/path", "ab-cd-ef-gh-ij-kl-mn",
+            "1234567890", "v1.2.3-beta.4", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a_long_variable_name", "+49-170-1234567"]
+
+
+@pytest.mark.parametrize("n", [11, 40, 200])
+@pytest.mark.parametrize("shape", ["hex40", "ghp", "sk"])
+def test_planted_formats_are_found_and_ordinary_tokens_are_not(spark, make_docs, shape, n):
+    """Recall of unlabelled credentials of a learnt format: 0.9 at least; no card number, UUID, date or long word."""
+    rng = random.Random(n)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda letters, k: "".join(rng.choices(letters, k=k))
+    key = {"hex40": lambda: pick("0123456789ABCDEF", 40), "ghp": lambda: "ghp_" + pick(alnum, 36),
+           "sk": lambda: f"sk-{pick('0123456789', 4)}-{pick('abcdefghijklmnopqrstuvwxyz', 20)}"}[shape]
+    word = lambda: "".join(rng.choices(["tion", "ing", "ver", "lich", "ment", "ar", "es"], k=rng.randrange(2, 9)))
+    texts = [(i, f"api_key: {key()} and {word()} or {word()}.") for i in range(n)]
+    texts += [(1000 + i, f"{word()} {rng.choice(ORDINARY)} {word()} {pick('0123456789', 16)}.") for i in range(150)]
+    planted = [(2000 + i, f"{word()} {key()}. {word()}") for i in range(50)]
+    cut = [(3000 + i, f"{word()} {key()[:-1]} {word()} {key()}7 {word()}") for i in range(3)]
+    got = {r.doc_id: r for r in secrets.report(make_docs(texts + planted + cut)).collect()}
+    assert sum(got[i].n_format == 1 for i, _ in planted) >= 45
+    assert not any(got[i].n_format for i, _ in texts + cut)
 
 
 def test_redaction(spark, make_docs, edge_texts):
