@@ -1,8 +1,10 @@
 """Quality rules: word counts, repetition, and bands of zstandard ratios over whole texts and fixed chunks.
 
 The ratio is compressed bytes over bytes. Repetitive text falls below its band, incompressible text above. Short texts
-compress worse, so the limits depend on the length (``BANDS``); a text also fails if more than ``CHUNK_SHARE`` of its
-chunks of ``CHUNK_BYTES`` (the last one keeps what is left over) are outside ``CHUNK_BAND``.
+compress worse, so the limits depend on the length: ``BANDS`` has them at some lengths, and between these they follow the
+logarithm of the length. Texts of more than one chunk are also cut into chunks of ``CHUNK_BYTES`` and a shorter last one;
+each chunk has the band of its own length, and a text fails if more than ``CHUNK_SHARE`` of its bytes lie in chunks
+outside their bands.
 
 Defined results: a null text counts as empty; a text with under 20 words fails the base rule, whatever its ratio; rows
 come one for one, repeated or null ids included; an empty table gives an empty result. Only id and text are read.
@@ -10,17 +12,21 @@ come one for one, repeated or null ids included; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanecast.llm.common import map_rows, word_pieces
 
 LEVEL = 3
-#: (bytes up to, lowest ratio, highest ratio); no limit on texts where a frame header outweighs the content.
-BANDS = ((128, 0.0, 9.0), (256, 0.30, 1.30), (1024, 0.28, 0.90), (4096, 0.25, 0.80), (16384, 0.22, 0.75),
-         (float("inf"), 0.20, 0.70))
+#: (bytes, lowest ratio, highest ratio). Measured on labelled good prose of four languages: the 0.1 % quantile of each
+#: length less 5 %, the 99.9 % quantile plus 8 %. Random letters and digits lie at 0.91, 0.81, 0.76, 0.74, 0.73 and 0.72
+#: from 256 to 8192 bytes. Shorter texts than the first length have no limits: the frame outweighs them.
+BANDS = ((128, 0.66, 1.01), (256, 0.605, 0.865), (512, 0.52, 0.742), (1024, 0.475, 0.643), (2048, 0.45, 0.593),
+         (4096, 0.425, 0.55), (8192, 0.405, 0.50), (16384, 0.394, 0.476), (32768, 0.382, 0.468), (65536, 0.375, 0.465),
+         (1 << 20, 0.33, 0.465))
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.20, 0.80)
 CHUNK_SHARE = 0.25
 # Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -49,24 +55,40 @@ def repeated_words(ids, window: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
-def ratios(data: bytes) -> tuple[float, float]:
-    """The ratio of the whole text, and the share of its chunks outside ``CHUNK_BAND`` (0 and 0 if empty)."""
+def limits(n_bytes: int) -> tuple[float, float]:
+    """Lowest and highest ratio of a text of that length."""
+    if n_bytes < BANDS[0][0]:
+        return 0.0, math.inf
+    for (a, low, high), (b, low_b, high_b) in zip(BANDS, BANDS[1:]):
+        if n_bytes < b:
+            part = math.log(n_bytes / a) / math.log(b / a)
+            return low + part * (low_b - low), high + part * (high_b - high)
+    return BANDS[-1][1:]
+
+
+def ratios(data: bytes) -> tuple[float, float, bool]:
+    """The ratio of the whole text, the share of its bytes in chunks outside their bands, and whether both pass."""
     import zstandard
 
     if not data:
-        return 0.0, 0.0
+        return 0.0, 0.0, True
     c = zstandard.ZstdCompressor(level=LEVEL)
+
+    def inside(part: bytes, ratio: float) -> bool:
+        low, high = limits(len(part))
+        return low <= ratio <= high
+
     whole = len(c.compress(data)) / len(data)
-    chunks = len(data) // CHUNK_BYTES
     bad = 0
-    for i in range(chunks):
-        part = data[i * CHUNK_BYTES:] if i == chunks - 1 else data[i * CHUNK_BYTES:(i + 1) * CHUNK_BYTES]
-        bad += not CHUNK_BAND[0] <= len(c.compress(part)) / len(part) <= CHUNK_BAND[1]
-    return whole, bad / chunks if chunks else 0.0
+    if len(data) > CHUNK_BYTES:
+        for i in range(0, len(data), CHUNK_BYTES):
+            part = data[i:i + CHUNK_BYTES]
+            bad += 0 if inside(part, len(c.compress(part)) / len(part)) else len(part)
+    return whole, bad / len(data), inside(data, whole) and bad <= CHUNK_SHARE * len(data)
 
 
 def measure(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratio, bad_chunks of one text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratio, bad_chunks, in_bands of one text."""
     import numpy as np
 
     text = text or ""
@@ -85,17 +107,10 @@ def measure(text: str | None) -> tuple:
 def apply(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: the counts, ``ratio``, ``bad_chunks``, ``base_failed`` and ``kept``."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    out = map_rows(df.select(F.col(text).alias("_text"), "doc_id"),
-                   lambda t, i: (i, len((t or "").encode("utf-8", "surrogatepass")), *measure(t)),
-                   f"doc_id {kind}, n_bytes bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
-                   "n_dup_lines bigint, n_repeat_words bigint, ratio double, bad_chunks double")
-    low, high = F.lit(BANDS[-1][1]), F.lit(BANDS[-1][2])
-    for upto, lo, hi in reversed(BANDS[:-1]):
-        low = F.when(F.col("n_bytes") < upto, lo).otherwise(low)
-        high = F.when(F.col("n_bytes") < upto, hi).otherwise(high)
+    out = map_rows(df.select(F.col(text).alias("_text"), "doc_id"), lambda t, i: (i, *measure(t)),
+                   f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+                   "n_repeat_words bigint, ratio double, bad_chunks double, in_bands boolean")
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio",
-                      "bad_chunks", failed.alias("base_failed"),
-                      (~failed & F.col("ratio").between(low, high) & (F.col("bad_chunks") <= CHUNK_SHARE))
-                      .alias("kept"))
+                      "bad_chunks", failed.alias("base_failed"), (~failed & F.col("in_bands")).alias("kept"))

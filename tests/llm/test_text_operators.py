@@ -1,4 +1,5 @@
 import hashlib
+import base64
 import math
 import random
 import re
@@ -45,22 +46,59 @@ def test_base_counts(spark, make_docs, edge_texts):
     assert quality_rules.apply(make_docs([])).count() == 0
 
 
+def prose(rng, n_bytes):
+    """Words of syllables with a few frequent short ones, in sentences."""
+    syllables = ("tion ing er an re ment le ou de in st ar che ri ble ent on ver ap ock um fly ght sk wor ple tur va que ish "
+                 "ob ki ny zed cu mon str ew ha lo pi ta ru fe go").split()
+    out, size = [], 0
+    while size < n_bytes:
+        w = rng.choice(["the", "of", "and", "to", "in", "a"]) if rng.random() < 0.35 else "".join(rng.choices(syllables, k=rng.randrange(1, 5)))
+        w += "." if rng.random() < 0.08 else ""
+        out.append(w)
+        size += len(w) + 1
+    return " ".join(out)[:n_bytes]
+
+
+def noise(rng, n_bytes, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    out = ""
+    while len(out) < n_bytes:
+        out += "".join(rng.choices(letters, k=rng.randrange(3, 10))) + " "
+    return out[:n_bytes]
+
+
 def test_bands(spark, make_docs):
+    """Incompressible and repetitive texts that pass the base rule are rejected at every length, prose is kept."""
     rng = random.Random(2)
-    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(800))
-    cycle = "".join(f"{chr(97 + i % 26)}{i % 7} " for i in range(3000))
-    noise = " ".join(rng.randbytes(30).hex() + chr(0x4E00 + rng.randrange(9000)) for _ in range(9))
-    got = {r.doc_id: r for r in quality_rules.apply(make_docs([(1, prose), (2, cycle), (3, noise)])).collect()}
-    assert got[1].kept and not got[2].kept
-    assert got[2].ratio < 0.05 and got[2].bad_chunks == 1.0
-    data = prose.encode()
-    assert got[1].ratio == len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data)
+    good = [(i, prose(rng, n)) for i, n in enumerate([300, 600, 1200, 2500, 5000, 9000, 20_000, 60_000])]
+    bad = [noise(rng, n) for n in (430, 600, 1200, 2500, 5000, 11_152, 45_000)]
+    bad += [noise(rng, n, "0123456789abcdef") for n in (9000, 30_000)]
+    bad += [base64.b64encode(rng.randbytes(n)).decode().replace("A", " ") for n in (900, 3000, 20_000)]
+    part = prose(rng, 400)
+    bad += ["".join(f"{w}{'-' * (i % 3)} " for i, w in enumerate((part * k).split())) for k in (20, 60)]          # loops
+    bad += [prose(rng, 10_000) + " " + noise(rng, 10_000), noise(rng, 3000) + " " + prose(rng, 4000)]           # half noise
+    docs = good + [(100 + i, t) for i, t in enumerate(bad)]
+    got = {r.doc_id: r for r in quality_rules.apply(make_docs(docs)).collect()}
+    assert [i for i, _ in good if not got[i].kept] == []
+    assert [(i, got[i].ratio) for i, _ in docs[len(good):] if got[i].base_failed or got[i].kept] == [
+        (i, got[i].ratio) for i, _ in docs[len(good):] if got[i].base_failed]
+    assert sum(not got[i].base_failed for i, _ in docs[len(good):]) >= 14
+    data = good[4][1].encode()
+    assert got[4].ratio == len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data)
+
+
+def test_limits_follow_the_length():
+    assert quality_rules.limits(127) == (0.0, math.inf) and quality_rules.limits(512) == (0.52, 0.742)
+    assert quality_rules.limits(5 << 20) == quality_rules.BANDS[-1][1:]
+    lows, highs = zip(*(quality_rules.limits(n) for n in range(128, 3 << 20, 997)))
+    assert list(lows) == sorted(lows, reverse=True) and list(highs) == sorted(highs, reverse=True)
 
 
 def test_ratios_cover_the_last_part():
-    data = bytes(8192) + random.Random(1).randbytes(4000)
-    assert quality_rules.ratios(data)[1] == 0.5  # two chunks: zeros, and zeros with the random rest
-    assert quality_rules.ratios(b"") == (0.0, 0.0)
+    rng = random.Random(1)
+    whole, bad, ok = quality_rules.ratios(prose(rng, 8192).encode() + rng.randbytes(4000))
+    assert bad == 4000 / 12192 and not ok          # two chunks of prose, and the rest as a chunk of its own
+    assert quality_rules.ratios(prose(rng, 8192).encode() + rng.randbytes(1000))[1] == 1000 / 9192
+    assert quality_rules.ratios(b"") == (0.0, 0.0, True)
 
 
 # ---- 3: sharding
