@@ -8,7 +8,10 @@ heavy ones to set against heavy groups and light ones to even out the rest. Item
 the next level as they are (at most 128 per shard), and one task differences the last ``TASK_ITEMS`` at most.
 
 A group with more bytes than a whole shard's fair share cannot stay whole without breaking the balance. Only such
-groups (fewer than there are shards) are dealt by row into pieces of a quarter of the fair share.
+groups (fewer than there are shards) are dealt by row into pieces of a quarter of the fair share, by a hash of the id.
+
+Groups are numbered by a hash of their text, so the result follows from the rows alone, whatever their order and
+partitions. Groups that the hash takes for one stay together.
 
 Defined results: a null text counts as empty (size 1) and is grouped with empty ones; every row gets one slot, repeated
 rows and repeated or null ids included; an empty table gives an empty result. Only the id and text columns are read.
@@ -107,9 +110,9 @@ def deal(items: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard(df: DataFrame, text: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` (law ``bytes``)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = stored(df.select("doc_id", F.monotonically_increasing_id().alias("uid"),
-                            F.unhex(F.sha2(body, 256)).alias("digest"),
-                            (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")))
+    rows = stored(df.select("doc_id", F.unhex(F.sha2(body, 256)).alias("digest"),
+                            (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+                  .withColumn("row", F.xxhash64("doc_id", "digest")))
     totals = rows.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
     share = (totals.s or 0) / shards
     whole = materialize(rows.groupBy("digest").agg(F.sum("size").alias("bytes")))
@@ -117,20 +120,21 @@ def shard(df: DataFrame, text: str = "text", shards: int = SHARDS) -> DataFrame:
     heavy = whole.where(F.col("bytes") > share).select(
         "digest", F.ceil(F.col("bytes") / F.lit(max(share / PIECES_PER_SHARE, 1.0))).cast("int").alias("pieces"))
     rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn(
-        "piece", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
+        "piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
     pieces = (rows.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest", "piece")
               .agg(F.sum("size").alias("bytes")))
     groups = stored(whole.where(F.col("bytes") <= share).select("digest", F.lit(0).alias("piece"), "bytes")
-                    .union(pieces).withColumn("item", F.monotonically_increasing_id()))
-    to = groups.join(deal(groups.select("item", "bytes"), shards), "item").select("digest", "piece", "shard")
+                    .union(pieces).withColumn("item", F.xxhash64("digest", "piece").bitwiseAND(F.lit((1 << 62) - 1))))
+    items = materialize(groups.groupBy("item").agg(F.sum("bytes").alias("bytes")))
+    to = groups.join(deal(items, shards), "item").select("digest", "piece", "shard")
     chunks = max(1, math.ceil(totals.n / SLOT_ROWS))
     placed = stored(rows.join(to, ["digest", "piece"])
-                    .select("doc_id", "uid", "size", "text_crc32", "shard",
-                            F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(chunks)).alias("chunk")))
+                    .select("doc_id", "digest", "size", "text_crc32", "shard",
+                            F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).alias("chunk")))
     before = (Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = (placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
                .select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    order = Window.partitionBy("shard", "chunk").orderBy("doc_id", "uid")
+    order = Window.partitionBy("shard", "chunk").orderBy("doc_id", "digest")
     return (placed.withColumn("at", F.row_number().over(order)).join(offsets, ["shard", "chunk"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
                     (F.col("before") + F.col("at") - 1).cast("long").alias("slot"),

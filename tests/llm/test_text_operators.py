@@ -103,6 +103,37 @@ def test_ratios_cover_the_last_part():
 
 # ---- 3: sharding
 
+def textbook_loads(sizes, ways):
+    """Karmarkar-Karp on loads alone: the two partials of largest spread are combined, oppositely ordered."""
+    partials = [sorted([x] + [0] * (ways - 1), reverse=True) for x in sizes]
+    while len(partials) > 1:
+        partials.sort(key=lambda p: p[0] - p[-1], reverse=True)          # stable: the older first
+        a, b = partials[:2]
+        partials = partials[2:] + [sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)]
+    return partials[0] if partials else [0] * ways
+
+
+@pytest.mark.parametrize("ways", [2, 3, 16])
+def test_differencing_is_the_textbook_one(ways):
+    rng = random.Random(ways)
+    for n in (0, 1, 2, 5, 40, 150):
+        sizes = [rng.choice([1, 7, 100, rng.randrange(1, 5000)]) for _ in range(n)]
+        slots = sharding.differencing(sizes, ways)
+        loads = [sum(x for x, s in zip(sizes, slots) if s == k) for k in range(ways)]
+        want = textbook_loads(sizes, ways)
+        assert sorted(loads, reverse=True) == want and len(slots) == n
+
+
+def test_shards_do_not_depend_on_partitions(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_ITEMS", 1200)
+    monkeypatch.setattr(sharding, "LARGE", 4)
+    rng = random.Random(5)
+    texts = [(i, "y" * rng.randrange(300) + str(i % 1900)) for i in range(2500)] + [(i + 9000, "heavy " * 40) for i in range(600)]
+    docs = make_docs(texts)
+    rows = lambda d: sorted(map(tuple, sharding.shard(d).select("doc_id", "shard", "slot").collect()))
+    assert rows(docs) == rows(docs.repartition(7)) == rows(docs.orderBy(F.rand(3)).coalesce(2))
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_shards(spark, make_docs, edge_texts, monkeypatch, small):
     if small:
