@@ -7,9 +7,12 @@ so joining through them would be quadratic. The minimum allows longer entries: o
 fingerprint). Pairs that meet in an entry tally their equal positional bytes; those below the minimum go, the rest
 are verified by their differing bits.
 
-Entries with more than ``ENTRY_PAIRS_MAX`` fingerprints never emit their pairs. They are linked exactly in linear
-work: each fingerprint names itself and its neighbours at one bit within the four bytes outside the entry; those
-that name the same value are at most two bits apart, and a star over them (33 at most) links them all.
+An entry with more than ``ENTRY_PAIRS_MAX`` fingerprints is split by two more byte positions: two of its fingerprints
+that link share two at least of the four positions outside it, so they meet in an entry of six equal bytes, which is the
+guaranteed minimum itself. What is still above the limit then holds fingerprints that differ in two bytes only; it is
+linked exactly in linear work: each fingerprint names itself and its neighbours at one bit within those two bytes; those
+that name the same value are at most two bits apart, and a star over them (17 at most) links them all. ``entry_rows``
+counts what goes each way.
 
 Defined results: a null or blank text has fingerprint 0 and links like any other; equal fingerprints are linked;
 repeated rows and repeated ids give one row each; a null id stays null and never becomes a component id unless the
@@ -32,7 +35,7 @@ SEED = 42
 #: Largest distance of a link, and the positional bytes that such a pair shares at least.
 MAX_BITS = 2
 LEAST_BYTES = 8 - MAX_BITS
-#: Fingerprints in one index entry up to which pairs are tallied; larger entries take the linear exact way.
+#: Fingerprints in one index entry up to which pairs are tallied; larger entries are split, see above.
 ENTRY_PAIRS_MAX = 64
 
 
@@ -79,31 +82,66 @@ def _pair_masks() -> list[int]:
     return [(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a, b in combinations(range(4), 2)]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` values -> links ``(u, v)`` that join the same fingerprints as all pairs up to two bits do."""
-    masks = _pair_masks()
-    entries = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("b"))
-        for k, m in enumerate(masks)])).alias("e")).select("fp", "e.k", "e.b")
-    sizes = materialize(entries.groupBy("k", "b").agg(F.count("*").alias("n")).where("n > 1"))
-    live = entries.join(sizes, ["k", "b"])
-    cold = live.where(F.col("n") <= ENTRY_PAIRS_MAX)
-    x, y = cold.select("k", "b", F.col("fp").alias("u")), cold.select("k", "b", F.col("fp").alias("v"))
+def _split_masks(mask: int) -> list[int]:
+    """For each split of an entry: its bits and those of two more byte positions."""
+    rest = [p for p in range(8) if not mask >> 8 * p & 1]
+    return [mask | (0xFF << 8 * a) | (0xFF << 8 * b) for a, b in combinations(rest, 2)]
+
+
+def _entries(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """``k, j, b, fp``: the entries of each ``(k, fp)``, one for each of ``masks[k]``, that hold other fingerprints too."""
+    at = F.array(*[F.array(*[F.lit(_signed(m)) for m in of_k]) for of_k in masks])
+    all_of = rows.select("k", "fp", F.posexplode(F.element_at(at, F.col("k") + 1)).alias("j", "m")).select(
+        "k", "j", F.col("fp").bitwiseAND(F.col("m")).alias("b"), "fp")
+    sizes = materialize(all_of.groupBy("k", "j", "b").agg(F.count("*").alias("n")).where("n > 1"))
+    return all_of.join(sizes, ["k", "j", "b"])
+
+
+def _tallied(entries: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """Links ``(u, v)`` among the fingerprints of each entry: shared bytes tallied, then bits verified."""
+    x, y = (entries.select("k", "j", "b", F.col("fp").alias(c)) for c in "uv")
     diff = F.col("u").bitwiseXOR(F.col("v"))
     tally = sum((diff.bitwiseAND(F.lit(_signed(0xFF << 8 * p))) == 0).cast("int") for p in range(8))
-    first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(k)) for k, m in enumerate(masks)])
-    pairs = (x.join(y, ["k", "b"]).where("u < v").where(F.col("k") == first)  # each pair in one entry only
-             .where(tally >= LEAST_BYTES).where(F.bit_count(diff) <= MAX_BITS).select("u", "v"))
-    hot = live.where(F.col("n") > ENTRY_PAIRS_MAX)
-    near = F.array(*[F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)))
-                                            for i in range(BITS) if not m >> i & 1]) for m in masks])
-    named = hot.select("k", "fp", F.explode(F.element_at(near, F.col("k") + 1)).alias("name"))
-    # all that name one value are within one bit of it, so within two of each other: 33 fingerprints at most
-    stars = (named.groupBy("k", "name").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("all"))
+    at = F.array(*[F.array(*[F.lit(_signed(m)) for m in of_k]) for of_k in masks])
+    # each pair in the first of the entries that it shares
+    first = F.array_position(F.transform(F.element_at(at, F.col("k") + 1), lambda m: diff.bitwiseAND(m) == 0), True) - 1
+    return (x.join(y, ["k", "j", "b"]).where("u < v").where(F.col("j") == first)
+            .where(tally >= LEAST_BYTES).where(F.bit_count(diff) <= MAX_BITS).select("u", "v"))
+
+
+def _index(fps: DataFrame) -> tuple[DataFrame, list[list[int]], DataFrame, list[list[int]]]:
+    """The entries of four bytes with their masks, and of those above the limit the entries of six bytes with theirs."""
+    masks = _pair_masks()
+    entries = _entries(fps.select(F.lit(0).alias("k"), "fp"), [masks])
+    splits = [_split_masks(m) for m in masks]
+    hot = entries.where(F.col("n") > ENTRY_PAIRS_MAX).select(F.col("j").alias("k"), "fp")
+    return entries, [masks], _entries(hot, splits), splits
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Distinct ``fp`` values -> links ``(u, v)`` that join the same fingerprints as all pairs up to two bits do."""
+    entries, masks, split, splits = _index(fps)
+    pairs = (_tallied(entries.where(F.col("n") <= ENTRY_PAIRS_MAX), masks)
+             .union(_tallied(split.where(F.col("n") <= ENTRY_PAIRS_MAX), splits)))
+    flips = F.array(*[F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1])
+                                for m in of_k]) for of_k in splits])
+    own = F.element_at(F.element_at(flips, F.col("k") + 1), F.col("j") + 1)
+    named = (split.where(F.col("n") > ENTRY_PAIRS_MAX).select("k", "j", "fp", F.explode(own).alias("flip"))
+             .select("k", "j", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name")))
+    # all that name one value are within one bit of it, so within two of each other: 17 fingerprints at most
+    stars = (named.groupBy("k", "j", "name").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("all"))
              .where(F.size("all") > 1).select("u", F.explode("all").alias("v")).where("u <> v"))
     return pairs.union(stars).distinct()
 
 
+def entry_rows(fps: DataFrame) -> DataFrame:
+    """``way, entries, rows`` of distinct ``fp`` values: tallied, split and tallied, or named."""
+    entries, _, split, _ = _index(fps)
+    rows = (entries.where(F.col("n") <= ENTRY_PAIRS_MAX).select(F.lit("tallied").alias("way"), "n")
+            .union(split.select(F.when(F.col("n") <= ENTRY_PAIRS_MAX, "split").otherwise("named").alias("way"), "n")))
+    return rows.groupBy("way").agg(F.round(F.sum(1 / F.col("n"))).cast("long").alias("entries"), F.count("*").alias("rows"))
+
+
 def components(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     """``(order, fp)`` rows -> ``(fp, component_id)``, one row per fingerprint; the id is the smallest ``order`` value."""
     fps = materialize(rows.groupBy("fp").agg(F.min(order).alias("low")))
