@@ -20,7 +20,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanecast import constants as K
@@ -71,15 +71,26 @@ def split_random(df: DataFrame, id_col: str = "BookingID", test_share: float = 0
     return df.withColumn("is_test", hash_unit(id_col, seed) < F.lit(test_share))
 
 
+#: Hex digits of the hash that name a bucket of E7: 65,536 buckets, each ordered on its own.
+BUCKET_DIGITS = 4
+
+
 def stratified_folds(df: DataFrame, label: str, k: int = 5, id_col: str = "BookingID", seed: int = 42) -> DataFrame:
     """fold = (position within the label in hash order) mod k, so every fold holds the label ratio.
 
-    The label has two values, so a plain window per label would be two tasks; the chunked
-    scan spreads each label over range chunks.
+    The first digits of the hash cut a label's rows into buckets.  A row's position is the rows of the label's earlier
+    buckets (a prefix sum over at most 65,536 counts per label) plus its place in its own bucket.  So nothing orders all
+    rows of a label; ``df`` is read twice, for the counts and for the places.
     """
-    keyed = df.withColumn("_h", hash_text(id_col, seed))
-    scanned = chunked_scan(keyed, [label], [F.col("_h").asc(), F.col(id_col).asc_nulls_last()])
-    return scanned.withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_pos", "_h")
+    missing = F.col(label).isNull()
+    keyed = (df.withColumn("_h", hash_text(id_col, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+             .withColumn("_l", F.struct(missing, F.when(~missing, F.col(label).cast("string")).otherwise(""))))
+    counts = keyed.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_l", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = Window.partitionBy("_l", "_b").orderBy("_h", F.col(id_col).asc_nulls_last())
+    placed = keyed.withColumn("_at", F.row_number().over(place) - 1).join(before, ["_l", "_b"])
+    return placed.select(*df.columns, F.pmod(F.col("_before") + F.col("_at"), F.lit(k)).cast("int").alias("fold"))
 
 
 def split_stratified(df: DataFrame, label: str, id_col: str = "BookingID", seed: int = 42) -> DataFrame:

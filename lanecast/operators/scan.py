@@ -16,15 +16,15 @@ several chunks.  Range chunks are contiguous, so at most one key crosses each ch
 boundary and that table never exceeds 2 x chunks rows (chunks <= shuffle partitions): it is
 broadcast on that bound.
 
-``exact_quantiles_multi`` aggregates to (column, value, count) and finds the values at the
-interpolation ranks with an ordered prefix count over the distinct values (one bounded
-window, or this chunked scan when the distinct table is large), so no task or driver ever
-holds all values.
+``exact_quantiles_multi`` narrows each quantile down to a small band of values by counting around
+approximate pivots, and orders only the values of that band, so no value outside it is shuffled and
+no task or driver ever holds all values.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from lanecast.session import materialize, stage_table
 
 SMALL_DISTINCT = 1_000_000   # distinct values one task may order (a few MB)
+BAND_ROWS = 250_000          # rows of a band of values that are counted one by one
+PIVOT_ACCURACY = 10_000      # of the approximate percentiles that narrow a band
 HOT_ROWS = 250_000           # rows of one key that one task may order
 ROWS_PER_CHUNK = 250_000     # rows of a range chunk in the scan of the keys beyond that
 
@@ -140,62 +142,117 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float |
     return exact_quantiles_multi(df, {column: qs})[column]
 
 
-def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles (the 'linear' rule) of several columns in one pass.
+@dataclass(frozen=True)
+class _Band:
+    """The values of a column from ``low`` to ``high`` that hold a pair of ranks: ``below`` lie under, ``n`` within."""
+
+    column: str
+    h: float                # (n - 1) q: between the two ranks
+    low: float
+    high: float
+    below: int
+    n: int
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.h), math.ceil(self.h)
+
+    def holds(self, v: Column) -> Column:
+        return (v >= F.lit(self.low)) & (v <= F.lit(self.high))
+
+
+def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles ``c0``, ``c1``, ...; NaN becomes NULL."""
+    values = [F.col(c).cast("double") for c in columns]
+    return df.select(*[F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(values)])
+
+
+def _narrowed(values: DataFrame, at: dict[str, str], bands: list[_Band], most: int) -> list[_Band]:
+    """Each band of more than ``most`` rows cut to the part between two pivots that holds its ranks.
+
+    Two aggregations over the columns, without a shuffle of values: the pivots are approximate percentiles just below
+    and above the ranks; then the rows under and between them are counted, so the ranks' place stays exact.
+    """
+    wide = [b for b in bands if b.n > most and b.low < b.high]
+    slack = 2.0 / PIVOT_ACCURACY
+    ask = []
+    for b in wide:
+        v = F.col(at[b.column])
+        lo, hi = ((r - b.below) / max(b.n - 1, 1) for r in b.ranks)
+        ask.append(F.percentile_approx(F.when(b.holds(v), v), [max(0.0, lo - slack), min(1.0, hi + slack)], PIVOT_ACCURACY))
+    pivots = values.agg(*[x.alias(f"p{i}") for i, x in enumerate(ask)]).first()
+    count = []
+    for b, (p, q) in zip(wide, pivots):
+        v = F.col(at[b.column])
+        count += [F.count_if((v >= F.lit(b.low)) & (v < F.lit(p))), F.count_if((v >= F.lit(p)) & (v <= F.lit(q)))]
+    counted = values.agg(*[x.alias(f"n{i}") for i, x in enumerate(count)]).first()
+    cut = {}
+    for i, (b, (p, q)) in enumerate(zip(wide, pivots)):
+        under, within = counted[2 * i:2 * i + 2]
+        first, last = b.ranks
+        if b.below + under <= first and last < b.below + under + within and within < b.n:
+            cut[id(b)] = replace(b, low=p, high=q, below=b.below + under, n=within)
+    return [cut.get(id(b), b) for b in bands]
+
+
+def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *, band_rows: int = BAND_ROWS
+                          ) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles (the 'linear' rule) of several columns by range narrowing.
 
     value(q) = v[i] + (v[j] - v[i]) * (h - i) with h = (n - 1) q, i = floor(h), j = ceil(h),
-    over the non-NULL, non-NaN values of each column.  Work: one aggregation to
-    (column, value, count), then an ordered prefix count per column: a single window
-    per column when every distinct table has at most ``SMALL_DISTINCT`` rows (checked),
-    otherwise the chunked scan.  Only the values around each requested rank reach the driver.
+    over the non-NULL, non-NaN values of each column.  Each quantile starts with the band of all values of its column.
+    Bands above ``band_rows`` rows are narrowed (see ``_narrowed``), each time to about 4 / ``PIVOT_ACCURACY`` of their
+    rows, until they are small or their ends are equal.  Only the values of the last bands are counted one by one:
+    (band, value, count), then an ordered prefix count, in one window or, where ties keep a band wide, in the chunked
+    scan.  Only the values around each requested rank reach the driver.
     The result also holds ``"_counts"``: the number of non-NULL values per column.
     """
     cols = list(spec)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    vals = df.select(F.explode(pairs).alias("x")).select("x.i", "x.v").where(
-        F.col("v").isNotNull() & ~F.isnan(F.col("v")))
-    counts = vals.groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).persist()
-    try:
-        stats = {r["i"]: (r["n"], r["d"]) for r in
-                 counts.groupBy("i").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-        plans, ranks = {}, {}
-        for i, c in enumerate(cols):
-            total = stats.get(i, (0, 0))[0]
-            if not total:
-                continue
-            plans[i] = []
-            for q in spec[c]:
-                h = (total - 1) * q
-                lo, hi = math.floor(h), math.ceil(h)
-                ranks.setdefault(i, set()).update((lo, hi))
-                plans[i].append((h, lo, hi))
-        if ranks:
-            if max(d for _, d in stats.values()) <= SMALL_DISTINCT:
-                # bounded per column (checked above): one ordered window per column
-                w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-                scanned = counts.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
-            else:
-                scanned = chunked_scan(counts, ["i"], [F.col("v").asc()], sums={"below": "c"})
-            wanted = F.create_map(*[x for i, rs in ranks.items()
-                                    for x in (F.lit(i), F.array(*[F.lit(r) for r in sorted(rs)]))])
-            hits = scanned.where(F.exists(F.coalesce(wanted[F.col("i")], F.array().cast("array<long>")),
-                                          lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))) \
-                .select("i", "v", "below", "c").collect()
+    at = {c: f"c{i}" for i, c in enumerate(cols)}
+    values = _numbers(df, cols)
+    stats = values.agg(*[x for c in at.values() for x in (F.count(c), F.min(c), F.max(c))]).first()
+    totals = {c: stats[3 * i:3 * i + 3] for i, c in enumerate(cols)}
+    bands = [_Band(c, (totals[c][0] - 1) * q, totals[c][1], totals[c][2], 0, totals[c][0])
+             for c in cols if totals[c][0] for q in dict.fromkeys(spec[c])]
+    while True:
+        before, bands = bands, bands if all(b.n <= band_rows or b.low == b.high for b in bands) else \
+            _narrowed(values, at, bands, band_rows)
+        if bands == before:
+            break
+    found: dict[tuple[str, float], dict[int, float]] = {}
+    open_bands = []
+    for b in bands:
+        if b.low == b.high:
+            found[b.column, b.h] = dict.fromkeys(b.ranks, b.low)
+        else:
+            open_bands.append(b)
+    if open_bands:
+        held = F.array(*[F.when(b.holds(F.col(at[b.column])), F.struct(F.lit(i).alias("i"), F.col(at[b.column]).alias("v")))
+                         for i, b in enumerate(open_bands)])
+        counts = (values.select(F.explode(F.array_compact(held)).alias("x")).select("x.i", "x.v")
+                  .groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")))
+        if max(b.n for b in open_bands) <= max(band_rows, SMALL_DISTINCT):
+            # bounded per band: one ordered window per band
+            w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+            scanned = counts.withColumn("under", F.coalesce(F.sum("c").over(w), F.lit(0)))
         else:
-            hits = []
-    finally:
-        counts.unpersist()
-    out = {"_counts": {c: stats.get(i, (0, 0))[0] for i, c in enumerate(cols)}}
-    for i, c in enumerate(cols):
-        if i not in plans:
-            out[c] = [None for _ in spec[c]]
-            continue
-        rows = [r for r in hits if r["i"] == i]
-        at = {}
-        for r_ in ranks[i]:
-            for row in rows:
-                if row["below"] <= r_ < row["below"] + row["c"]:
-                    at[r_] = row["v"]
-                    break
-        out[c] = [at[lo] if lo == hi else at[lo] + (at[hi] - at[lo]) * (h - lo) for h, lo, hi in plans[i]]
+            scanned = chunked_scan(counts, ["i"], [F.col("v").asc()], sums={"under": "c"})
+        wanted = F.create_map(*[x for i, b in enumerate(open_bands)
+                                for x in (F.lit(i), F.array(*[F.lit(r - b.below) for r in sorted(set(b.ranks))]))])
+        hits = scanned.where(F.exists(wanted[F.col("i")], lambda r: (r >= F.col("under")) & (r < F.col("under") + F.col("c"))))
+        for r in hits.select("i", "v", "under", "c").collect():
+            b = open_bands[r["i"]]
+            for rank in b.ranks:
+                if r["under"] <= rank - b.below < r["under"] + r["c"]:
+                    found.setdefault((b.column, b.h), {})[rank] = r["v"]
+    out: dict = {"_counts": {c: totals[c][0] for c in cols}}
+    for c in cols:
+        out[c] = []
+        for q in spec[c]:
+            if not totals[c][0]:
+                out[c].append(None)
+                continue
+            h = (totals[c][0] - 1) * q
+            lo, hi = (found[c, h][r] for r in (math.floor(h), math.ceil(h)))
+            out[c].append(lo if math.floor(h) == math.ceil(h) else lo + (hi - lo) * (h - math.floor(h)))
     return out

@@ -75,3 +75,38 @@ def test_exact_quantiles_match_numpy_linear(spark, monkeypatch, small):
 def test_exact_quantiles_empty(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert SC.exact_quantiles(df, "v", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("band_rows", [1, 40, 10**9])
+def test_quantiles_by_narrowing_match_numpy(spark, band_rows):
+    """Many rounds of narrowing, ties, constants, heavy ends, NaN, NULL, infinities, one value and no value."""
+    rng = random.Random(3)
+    n = 3000
+    nan = float("nan")
+    cols = {"u": [rng.random() for _ in range(n)], "ties": [float(rng.randrange(4)) for _ in range(n)],
+            "same": [7.5] * n, "heavy": [0.0] * (n - 3) + [1.0, 2.0, 1e9], "exp": [rng.expovariate(1) ** 5 for _ in range(n)],
+            "gaps": [None if i % 3 == 0 else nan if i % 3 == 1 else float(i) for i in range(n)],
+            "inf": [float("inf") if i % 50 == 0 else -float(i) for i in range(n)], "one": [3.0] + [None] * (n - 1), "none": [None] * n}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(5)
+    qs = [0.0, 0.001, 0.25, 0.5, 0.8, 0.9, 0.9999, 1.0]
+    got = SC.exact_quantiles_multi(df, {c: qs for c in cols}, band_rows=band_rows)
+    for c, vals in cols.items():
+        vals = [v for v in vals if v is not None and v == v]
+        assert got["_counts"][c] == len(vals)
+        if not vals:
+            assert got[c] == [None] * len(qs)
+        elif c == "inf":          # numpy interpolates infinities to NaN: compare away from them
+            assert got[c][2:6] == pytest.approx(list(np.quantile(vals, qs[2:6])))
+        else:
+            assert got[c] == pytest.approx(list(np.quantile(vals, qs)), rel=1e-12)
+
+
+def test_narrowing_orders_small_bands_only(spark, monkeypatch):
+    """Of 200,000 values, no more than the bands' rows are counted one by one."""
+    seen = []
+    narrowed = SC._narrowed
+    monkeypatch.setattr(SC, "_narrowed", lambda *a: seen.append(narrowed(*a)) or seen[-1])
+    df = spark.range(200_000).select(F.rand(4).alias("x"))
+    got = SC.exact_quantiles_multi(df, {"x": [0.2, 0.8]}, band_rows=1000)
+    assert len(seen) <= 2 and all(b.n <= 1000 for b in seen[-1])
+    assert got["x"] == pytest.approx(list(df.agg(F.percentile("x", [0.2, 0.8])).first()[0]), rel=1e-12)
