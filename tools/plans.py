@@ -45,7 +45,7 @@ def main():
     feats = _feat(spark, sf).export()
     sections.append(("D5 lane KB (partial + final hash aggregate over the checkpointed feature table)", L.lane_kb(feats)))
     kb, g = _kb(spark, sf)
-    sections.append(("J18 quotes (broadcast lane context and gazetteer; requests not shuffled)",
+    sections.append(("J18 quotes (stored lane index; context joined back on the pair; broadcast gazetteer)",
                      Q.flat_quotes(_quotes(spark, sf))))
     print("# Physical plans of the key stages\n")
     print(f"Generated by `python tools/plans.py {sf}` (AQE initial plans; `#ids` removed).\n")
