@@ -7,18 +7,21 @@ if a bin has the same smallest hash in both (bands of one row), so the collision
 ``1 - (1 - J) ** b`` for the Jaccard similarity J and the b filled bins of the piece. Pieces of up to ``SHORT`` shingles
 have windows of one shingle, so every document that holds a shingle of their sketch collides.
 
-The window sketches are never written out in full. A window can only collide through a hash that is in some piece's
-sketch, so the shingles of a document are first joined with the targets' shingles; the window minimum is then checked
-for the hits alone. The result is that of the full sketch join, from one scan of the texts, which are not shuffled.
-Candidates are verified by exact containment of shingle texts in the whole document.
-
-The targets' side of that join is broadcast in blocks of ``BLOCK_SHINGLES`` shingles at most (a target stays in one
-block), so more targets mean more scans, never a larger broadcast.
+Retrieval reads the sketches alone. A window can only collide through a hash that is in some piece's sketch, so the
+shingles of a document are joined with those entries and the window minimum is checked for the hits; this is the full
+sketch join, from one scan of the texts, without writing window sketches out or shuffling texts. It gives pairs of a
+document and a target. Only the retrieved documents are then read again, for all their shingles, and a pair is kept by
+the exact containment of shingle texts in the whole document.
+
+Both joins broadcast fixed-size rows in blocks of ``BLOCK_ENTRIES`` hashes, cut by hash: a target may lie in several
+blocks, so neither many targets nor a very long one make a larger broadcast, only more passes. The keys of the
+retrieved documents go to the planner's join by the size of their stored table.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ BINS = 64
 CONTAINMENT = 0.8
 #: Up to so many shingles, ``CONTAINMENT`` asks for all of them: every sketch entry is in a document that has the piece.
 SHORT = 4
-#: Shingles of the targets that are broadcast at a time (about 20 MB).
-BLOCK_SHINGLES = 200_000
+#: Hashes that are broadcast at a time (with their window lengths, a few dozens at most: under 50 MB).
+BLOCK_ENTRIES = 250_000
 #: Fixed: what counts as between words, in the lower-cased text.
 BETWEEN = "[^\\p{L}\\p{N}]+"
 
@@ -86,12 +89,21 @@ def sketches(shingles: DataFrame, growth: float) -> DataFrame:
     return low.join(classes, ["target", "piece"]).select("target", "piece", "h", "length", "step")
 
 
-def _collisions(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """``(doc_id, k1, k2, gram, h, length)``: document shingles that targets have, and the window lengths at which
-    one is the smallest of its bin in some window (null: at none)."""
+def _blocks(hashes: DataFrame) -> list[DataFrame]:
+    """``hashes``, one row for each ``h``, in parts of about ``BLOCK_ENTRIES`` rows."""
+    n = max(1, math.ceil(hashes.count() / BLOCK_ENTRIES))
+    return [hashes.where(F.pmod(F.xxhash64("h"), F.lit(n)) == i) for i in range(n)]
+
+
+def _at_entries(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The shingle positions of ``rows`` whose hash is in ``hashes``, with its other columns."""
+    return _positions(rows).withColumn("h", _hash(F.col("words"), F.col("at"))).join(F.broadcast(hashes), "h")
+
+
+def _collisions(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(doc_id, k1, k2, h, length)``: sketch entries that are the smallest of their bin in some window of a document,
+    and the lengths of those windows. ``entries`` has ``h, windows``."""
     at, h = F.col("at"), F.col("h")
-    hits = (_positions(rows).withColumn("h", _hash(F.col("words"), at)).join(F.broadcast(grams), "h")
-            .where(F.col("gram") == _gram(F.col("words"), at)))
 
     def smaller(p):
         other = _hash(F.col("words"), p)
@@ -107,10 +119,18 @@ def _collisions(rows: DataFrame, grams: DataFrame) -> DataFrame:
         high = F.least(F.floor(at / w.step), F.floor((F.col("right") - w.length) / w.step))
         return low <= high
 
-    some = F.size("windows") > 0
-    return (hits.withColumns({"left": F.when(some, left), "right": F.when(some, right)})
-            .select("doc_id", "k1", "k2", "gram", "h",
-                    F.explode_outer(F.when(some, F.filter("windows", collides)).getField("length")).alias("length")))
+    return (_at_entries(rows, entries).withColumns({"left": left, "right": right})
+            .select("doc_id", "k1", "k2", "h", F.explode(F.filter("windows", collides).getField("length")).alias("length")))
+
+
+def retrieve(docs: DataFrame, pieces: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, k1, k2, target)``: documents and targets whose sketches collide, stored; ``pieces`` as in ``search``."""
+    rows = docs.select("doc_id", *row_keys(F.col(text), F.col("doc_id")), words_of(F.col(text)).alias("words"))
+    entries = materialize(pieces.groupBy("h").agg(F.collect_set(F.struct("length", "step")).alias("windows")))
+    owners = pieces.select("target", "h", "length").distinct()
+    pairs = [stored(_collisions(rows, block).distinct().join(owners, ["h", "length"])
+                    .select("doc_id", "k1", "k2", "target").distinct()) for block in _blocks(entries)]
+    return pairs[0] if len(pairs) == 1 else reduce(DataFrame.union, pairs).distinct()
 
 
 def search(docs: DataFrame, shingles: DataFrame, pieces: DataFrame, text: str = "text",
@@ -119,24 +139,18 @@ def search(docs: DataFrame, shingles: DataFrame, pieces: DataFrame, text: str =
 
     ``shingles(target, gram, h)`` comes from ``target_shingles`` and ``pieces`` from ``sketches``; both are stored.
     """
-    rows = docs.select("doc_id", *row_keys(F.col(text), F.col("doc_id")), words_of(F.col(text)).alias("words"))
-    blocks = max(1, math.ceil(shingles.count() / BLOCK_SHINGLES))
-    block = F.pmod(F.xxhash64("target"), F.lit(blocks))
-    out = None
-    for i in range(blocks):
-        own, own_pieces = shingles.where(block == i), pieces.where(block == i)
-        windows = own_pieces.groupBy("h").agg(F.collect_set(F.struct("length", "step")).alias("w"))
-        grams = (own.select("gram", "h").distinct().join(windows, "h", "left")
-                 .select("gram", "h", F.coalesce("w", F.array().cast("array<struct<length:int,step:int>>"))
-                         .alias("windows")))
-        hits = stored(_collisions(rows, materialize(grams)).distinct())
-        pairs = (hits.where("length IS NOT NULL").join(own_pieces.select("target", "h", "length"), ["h", "length"])
-                 .select("doc_id", "k1", "k2", "target").distinct())
-        shared = (pairs.join(own.select("target", "gram"), "target")
-                  .join(hits.select("k1", "k2", "gram"), ["k1", "k2", "gram"], "left_semi")
-                  .groupBy("doc_id", "k1", "k2", "target").agg(F.count("*").alias("shared")))
-        sizes = own.groupBy("target").agg(F.count("*").alias("shingles"))
-        found = (shared.join(sizes, "target").where(F.col("shared") >= F.lit(containment) * F.col("shingles"))
-                 .select("doc_id", "k1", "k2", "target", "shingles", "shared"))
-        out = found if out is None else out.union(found)
-    return out
+    pairs = retrieve(docs, pieces, text)
+    found = stored(pairs.select("k1", "k2").distinct())
+    own = shingles.join(pairs.select("target").distinct(), "target", "left_semi")
+    wanted = materialize(own.select("h").distinct())
+    k1, k2 = row_keys(F.col(text), F.col("doc_id"))
+    rows = (docs.select(F.col(text).alias("text"), k1, k2).join(found, ["k1", "k2"], "left_semi")
+            .select("k1", "k2", words_of(F.col("text")).alias("words")))
+    hits = [stored(_at_entries(rows, block).select("k1", "k2", _gram(F.col("words"), F.col("at")).alias("gram")).distinct())
+            for block in _blocks(wanted)]
+    shared = (pairs.join(own.select("target", "gram"), "target")
+              .join(reduce(DataFrame.union, hits), ["k1", "k2", "gram"], "left_semi")
+              .groupBy("doc_id", "k1", "k2", "target").agg(F.count("*").alias("shared")))
+    sizes = own.groupBy("target").agg(F.count("*").alias("shingles"))
+    return (shared.join(sizes, "target").where(F.col("shared") >= F.lit(containment) * F.col("shingles"))
+            .select("doc_id", "k1", "k2", "target", "shingles", "shared"))

@@ -45,9 +45,9 @@ def planted():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [200_000, 50])
+@pytest.mark.parametrize("block", [250_000, 50])
 def test_items_in_documents(spark, make_docs, planted, monkeypatch, block):
-    monkeypatch.setattr(shingle_search, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(shingle_search, "BLOCK_ENTRIES", block)
     docs, items = planted
     known = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminated(make_docs(docs, clash=True), known).collect()
@@ -83,6 +83,58 @@ def test_rows_with_items_go(spark, make_docs, planted):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.fixture(scope="module")
+def scattered():
+    """Items of 9 to 300 words whose shingles stand far apart in 1,500 documents: parts of an item in any order between
+    other words, so that about 80 % of its shingles are there; more items share one part, one item is very long."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 8)))
+    say = lambda n: [word() for _ in range(n)]
+    items = [(k, say(n)) for k, n in enumerate([9, 12, 16, 20, 25, 31, 40, 55, 80, 120, 200, 300] * 5)]
+    items.append((99, say(4000)))
+    docs = []
+    for i in range(1500):
+        w = items[i % 61][1]
+        parts = max(1, min(len(w) // 25, 12))
+        drop = int(0.2 * (len(w) - 4)) - 4 * (parts - 1)   # each border between two parts loses four shingles
+        w = w[max(0, drop - rng.randrange(2)):]
+        cuts = [len(w) * j // parts for j in range(parts + 1)]
+        order = rng.sample(range(parts), parts)
+        text = say(rng.randrange(20, 200))
+        for j in order:
+            text += w[cuts[j]:cuts[j + 1]] + say(rng.randrange(20, 200))
+        docs.append((i, " ".join(text)))
+    return docs, [(k, " ".join(w)) for k, w in items]
+
+
+def test_recall_of_scattered_shingles(spark, make_docs, scattered):
+    """Retrieval by sketches alone against exact containment, where shared shingles lie windows apart."""
+    docs, items = scattered
+    own = {k: grams(x) for k, x in items}
+    want = set()
+    for i, t in docs:
+        held = grams(t)
+        want |= {(i, k) for k, g in own.items() if len(g & held) >= 0.8 * len(g)}
+    shares = [len(own[k] & grams(docs[i][1])) / len(own[k]) for i, k in sorted(want)]
+    assert len(want) > 500 and sum(x < 0.9 for x in shares) > 400
+    known = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(make_docs(docs), known).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_only_retrieved_documents_are_read_for_all_shingles(spark, make_docs, scattered, monkeypatch):
+    """The first join holds sketch entries alone, the second the retrieved documents alone."""
+    docs, items = scattered
+    seen = []
+    at = shingle_search._at_entries
+    monkeypatch.setattr(shingle_search, "_at_entries", lambda r, h: seen.append((r.count(), h.count())) or at(r, h))
+    others = [(5000 + i, f"no item stands here number {i} of them") for i in range(300)]
+    known = spark.createDataFrame([x for x in items if x[0] == 99], "item_id long, text string")
+    assert decontaminate.contaminated(make_docs(docs + others), known).count() >= 20
+    (all_docs, entries), (retrieved, wanted) = seen
+    assert all_docs == 1800 and entries <= shingle_search.BINS and retrieved < 60 and wanted == 3996
+
+
 def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = make_docs([(1, "some words of a document here")])
