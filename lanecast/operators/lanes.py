@@ -18,8 +18,7 @@ def lane_order(mode: str = "vehicle"):
     ``vehicle`` (default, the reference's behaviour): the vehicle-then-start sort, so
     earlier means earlier vehicles.  ``time``: start time first, the sound alternative.
     """
-    v, s, b = (F.col("vehicle_no").asc_nulls_last(), F.col("trip_start_date").asc_nulls_last(),
-               F.col("BookingID").asc_nulls_last())
+    v, s, b = "vehicle_no", "trip_start_date", "BookingID"
     return [s, v, b] if mode == "time" else [v, s, b]
 
 

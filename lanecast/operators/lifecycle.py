@@ -11,7 +11,7 @@ from lanecast.operators.scan import exact_quantiles, ordered_scan
 
 def vehicle_order():
     """Order within a vehicle: trip start (NULLs last), then BookingID as tie-break."""
-    return [F.col("trip_start_date").asc_nulls_last(), F.col("BookingID").asc_nulls_last()]
+    return ["trip_start_date", "BookingID"]
 
 
 def add_delay_hours(df: DataFrame) -> DataFrame:

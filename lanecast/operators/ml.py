@@ -390,7 +390,7 @@ def exact_auc(df: DataFrame, label: str, score: str) -> float | None:
            .where(F.col("s").isNotNull() & F.col("y").isNotNull())
            .groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"),
                              F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg")))
-    scanned = chunked_scan(per, [], [F.col("s").asc()], sums={"neg_below": "neg"})
+    scanned = chunked_scan(stage_table(per, "scores"), [], ["s"], sums={"neg_below": "neg"})
     r = scanned.agg(F.sum(F.col("pos").cast("double") * (F.col("neg_below").cast("double") + F.lit(0.5) * F.col("neg")))
                     .alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     if not r["P"] or not r["N"]:

@@ -20,8 +20,7 @@ def time_sort_position(df: DataFrame) -> DataFrame:
     """Replace ``sort_position`` by the position in (start, vehicle, BookingID) order (NULL starts last),
     computed with the chunked scan (no single-partition sort)."""
     from lanecast.operators.scan import chunked_scan
-    order = [F.col("trip_start_date").asc_nulls_last(), F.col("vehicle_no").asc_nulls_last(),
-             F.col("BookingID").asc_nulls_last()]
+    order = ["trip_start_date", "vehicle_no", "BookingID"]
     return chunked_scan(df.drop("sort_position"), [], order).withColumnRenamed("_pos", "sort_position")
 
 

@@ -7,14 +7,14 @@ after one hash exchange; only keys beyond that (found by one count per key) go t
 ``chunked_scan`` computes, for every row, aggregates over the *earlier* rows of its key
 (``ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING``), its 0-based position and the
 next row's values (``lead``).  A plain ``Window.partitionBy(key)`` sends a hot key to a
-single task; here the rows are first range-partitioned on (key, order), so a hot key is
-spread over consecutive range chunks (the chunked frame is persisted or checkpointed
-once, so every reader sees the same chunk ids).  Each chunk runs an ordinary window, and the
-carry-in of a chunk (totals of the earlier chunks of the same key, first row of the
-next chunk) comes from a table with one row per (key, chunk) for keys that span
-several chunks.  Range chunks are contiguous, so at most one key crosses each chunk
-boundary and that table never exceeds 2 x chunks rows (chunks <= shuffle partitions): it is
-broadcast on that bound.
+single task; here a stored table of range bounds over (key, order), drawn from a sample, cuts the
+rows into contiguous chunks, and a row's chunk id follows from comparing it with the bounds.  Any
+pass, and any recomputation after a loss, therefore gives a row the same chunk, so the rows are
+shuffled once, into the windows of their chunks, and need not be stored.  The carry-in of a chunk
+(totals of the earlier chunks of the same key, first row of the next chunk) comes from a
+map-side combined table with one row per (key, chunk) for keys that span several chunks.  Range
+chunks are contiguous, so at most one key crosses each bound and that table never exceeds
+2 x chunks rows (``MAX_CHUNKS`` chunks at most): it is broadcast on that bound.
 
 ``exact_quantiles_multi`` narrows each quantile down to a small band of values by counting around
 approximate pivots, and orders only the values of that band, so no value outside it is shuffled and
@@ -36,6 +36,8 @@ BAND_ROWS = 250_000          # rows of a band of values that are counted one by
 PIVOT_ACCURACY = 10_000      # of the approximate percentiles that narrow a band
 HOT_ROWS = 250_000           # rows of one key that one task may order
 ROWS_PER_CHUNK = 250_000     # rows of a range chunk in the scan of the keys beyond that
+MAX_CHUNKS = 4_096           # beyond that many chunks they get longer, and a task's sort spills
+SAMPLE_PER_CHUNK = 100       # rows drawn per chunk for the range bounds
 
 
 def _key_column(keys: list[str]) -> Column:
@@ -45,8 +47,14 @@ def _key_column(keys: list[str]) -> Column:
     return F.struct(*[x for k in keys for x in (F.col(k).isNull(), F.coalesce(F.col(k).cast("string"), F.lit("")))])
 
 
-def _running(df: DataFrame, w, counts: dict, sums: dict, leads: list, prefix: str = "") -> DataFrame:
-    """``df`` with position, running counts and sums and the next row over the window ``w``."""
+def _ascending(order: list[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
+def _running(df: DataFrame, keys: list[str], order: list[str], counts: dict, sums: dict, leads: list,
+             prefix: str = "") -> DataFrame:
+    """``df`` with position, running counts and sums and the next row in the windows of ``keys``."""
+    w = Window.partitionBy(*keys).orderBy(*_ascending(order))
     wp = w.rowsBetween(Window.unboundedPreceding, -1)
     sel = [F.col("*"), (F.row_number().over(w) - 1).alias(f"{prefix or '_'}pos")]
     sel += [F.count(c).over(wp).alias(f"{prefix}{name}") for name, c in counts.items()]
@@ -56,12 +64,12 @@ def _running(df: DataFrame, w, counts: dict, sums: dict, leads: list, prefix: st
     return df.select(*sel)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[Column], *, counts: dict[str, str] | None = None,
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, counts: dict[str, str] | None = None,
                  sums: dict[str, str] | None = None, leads: list[str] | None = None, global_position: bool = False,
                  hot_rows: int = HOT_ROWS, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """The columns of ``chunked_scan`` (which see), splitting only keys of more than ``hot_rows`` rows.
 
-    ``df`` is read twice, so it should be stored: once to count the rows per key, once for the scan.
+    ``df`` is read several times, so it should be stored: to count the rows per key, to draw the bounds and for the scan.
     """
     counts, sums, leads = counts or {}, sums or {}, leads or []
     base = df.withColumn("_key", _key_column(keys))
@@ -70,50 +78,94 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[Column], *, counts:
     n_hot = hot.agg(F.sum("_n")).first()[0] or 0
     cold = base.join(hot.select("_key"), "_key", "left_anti") if n_hot else base
     names = [*df.columns, "_key", "_pos", *counts, *sums, *(["_next"] if leads else [])]
-    out = _running(cold, Window.partitionBy("_key").orderBy(*order), counts, sums, leads).select(*names)
+    out = _running(cold, ["_key"], order, counts, sums, leads).select(*names)
     if n_hot:
         rows = base.join(hot.select("_key"), "_key", "left_semi")
-        split = chunked_scan(rows, keys, order, counts=counts, sums=sums, leads=leads,
-                             chunks=max(1, -(-n_hot // rows_per_chunk)), key="_key")
+        split = chunked_scan(rows, keys, order, counts=counts, sums=sums, leads=leads, rows=n_hot,
+                             rows_per_chunk=rows_per_chunk, key="_key")
         out = out.unionByName(split.select(*names))
     if not global_position:
         return out.drop("_key")
     # rows of all earlier keys: one prefix sum over the table of keys
-    before = chunked_scan(sizes, [], [F.col("_key").asc()], sums={"_before": "_n"}).select("_key", "_before")
+    before = chunked_scan(sizes, [], ["_key"], sums={"_before": "_n"}).select("_key", "_before")
     return (out.join(before, "_key").withColumn("_gpos", F.col("_before") + F.col("_pos")).drop("_key", "_before"))
 
 
-def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
+def _range_bounds(df: DataFrame, at: Column, chunks: int, rows: int) -> DataFrame:
+    """One stored row ``(firsts, groups)``: ``chunks - 1`` ascending values of ``at`` in groups of equal length, and the
+    first of each.
+
+    The values are those at even ranks of a sample of ``SAMPLE_PER_CHUNK`` rows a chunk, so the row is bounded by
+    ``MAX_CHUNKS``.  Groups of about the root of the number of bounds keep the search for a row's chunk short.
+    """
+    share = min(1.0, SAMPLE_PER_CHUNK * chunks / max(rows, 1))
+    drawn = df.select(at.alias("at"))
+    drawn = (drawn.sample(share, seed=17) if share < 1 else drawn).agg(F.sort_array(F.collect_list("at")).alias("s"))
+    width = _group_width(chunks)
+
+    def group(g):
+        places = F.sequence(g * width + 1, F.least((g + 1) * width, F.lit(chunks - 1)))
+        return F.transform(places, lambda i: F.get("s", F.floor(i * F.size("s") / chunks).cast("int")))
+
+    groups = drawn.select(F.transform(F.sequence(F.lit(0), F.lit((chunks - 2) // width)), group).alias("groups"))
+    return materialize(groups.select(F.transform("groups", lambda g: g[0]).alias("firsts"), "groups"))
+
+
+def _group_width(chunks: int) -> int:
+    return math.isqrt(chunks - 1) + 1
+
+
+def _with_chunk(df: DataFrame, at: Column, bounds: DataFrame, chunks: int) -> DataFrame:
+    """``df`` with ``_chunk``, the number of bounds that ``at`` has reached: first of the firsts, then in one group.
+
+    The bounds are scalar subqueries of the stored row.  They and ``at`` are named once each, so that over stored
+    columns all of this is one projection and the bounds are not copied into rows.
+    """
+    def chunk(x):
+        reached = lambda values: F.size(F.filter(values, lambda b: b <= x))
+        return F.transform(F.array(reached(F.col("_firsts")) - 1), lambda g: F.when(g < 0, 0).otherwise(
+            g * _group_width(chunks) + reached(F.get("_groups", g))))[0]
+
+    given = {"_firsts": bounds.select("firsts").scalar(), "_groups": bounds.select("groups").scalar()}
+    return df.withColumns(given).withColumn("_chunk", F.transform(F.array(at), chunk)[0]).drop(*given)
+
+
+def chunked_scan(df: DataFrame, keys: list[str], order: list[str], *,
                  counts: dict[str, str] | None = None, sums: dict[str, str] | None = None,
-                 leads: list[str] | None = None, chunks: int | None = None, key: str | None = None) -> DataFrame:
+                 leads: list[str] | None = None, rows: int | None = None, rows_per_chunk: int = ROWS_PER_CHUNK,
+                 key: str | None = None) -> DataFrame:
     """Add running 'earlier rows' aggregates per key.
 
     Output columns: ``_pos`` (0-based position within key), one column per entry of
     ``counts`` (non-NULL count over earlier rows) and ``sums`` (sum over earlier rows,
     0 when there are none) and ``_next`` (struct of ``leads`` from the next row of the key,
-    NULL for the last row).  ``order`` must be a total order within the key.  ``key`` names a
+    NULL for the last row).  ``order`` names columns, ascending with NULLs last, that must be a total order
+    within the key.  ``rows`` is the number of rows, counted where it is not given.  ``key`` names a
     column that holds the key already; it is kept.
 
-    The chunked frame is stored once, as the chunk summary and the final join both read it and
-    the range bounds are sampled per execution.
+    ``df`` is read once for the bounds, once for the chunk summary and once for the windows, so it should be stored.
     """
     counts, sums, leads = counts or {}, sums or {}, leads or []
-    base = df.withColumn("_k", F.col(key) if key else _key_column(keys))
-    # Without an explicit count the range shuffle is sized by the planner and AQE may merge
-    # adjacent ranges; merged ranges stay contiguous, so partition ids remain valid chunk ids.
-    sort = [F.col("_k").asc(), *order]
-    ranged = base.repartitionByRange(chunks, *sort) if chunks else base.repartitionByRange(*sort)
-    ranged = ranged.withColumn("_chunk", F.spark_partition_id())
-    w = Window.partitionBy("_k", "_chunk").orderBy(*order)
-    local = stage_table(_running(ranged, w, counts, sums, leads, "_l_"), "chunked")
+    own = F.col(key) if key else _key_column(keys)
+    base = df.withColumn("_k", own)
+    rows = df.count() if rows is None else rows
+    chunks = min(max(1, -(-rows // rows_per_chunk)), MAX_CHUNKS)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    if chunks == 1:
+        found = _running(base, ["_k"], order, counts, sums, leads)
+        return found.select(*names, "_pos", *counts, *sums, *(["_next"] if leads else []))
+    at = F.struct(own.alias("k"), *[x for i, c in enumerate(order)
+                                            for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+    base = _with_chunk(base, at, _range_bounds(base, at, chunks, rows), chunks)
+    local = _running(base, ["_k", "_chunk"], order, counts, sums, leads, "_l_")
 
     # one row per (key, chunk): sizes, totals and the first row of the chunk
     aggs = [F.count(F.lit(1)).alias("_cn")]
     aggs += [F.count(c).alias(f"_ct_{name}") for name, c in counts.items()]
     aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(f"_ct_{name}") for name, c in sums.items()]
     if leads:
-        aggs.append(F.min_by(F.struct(*leads), F.col("_l_pos")).alias("_cfirst"))
-    summ = local.groupBy("_k", "_chunk").agg(*aggs)
+        aggs.append(F.min_by(F.struct(*leads), at).alias("_cfirst"))
+    summ = base.groupBy("_k", "_chunk").agg(*aggs)
 
     wk = Window.partitionBy("_k").orderBy("_chunk")
     wkp = wk.rowsBetween(Window.unboundedPreceding, -1)
@@ -125,10 +177,10 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[Column], *,
     if leads:
         osel.append(F.lead("_cfirst").over(wk).alias("_o_next"))
     # bounded by 2 x chunks rows (see module docstring)
-    offsets = F.broadcast(spanning.select(*osel))
+    offsets = F.broadcast(materialize(spanning.select(*osel)))
 
     out = local.join(offsets, ["_k", "_chunk"], "left")
-    fin = [F.col(f"`{c}`") for c in df.columns]
+    fin = names
     fin.append((F.col("_l_pos") + F.coalesce(F.col("_o_pos"), F.lit(0))).alias("_pos"))
     for name in list(counts) + list(sums):
         fin.append((F.col(f"_l_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0))).alias(name))
@@ -236,7 +288,7 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *, band_r
             w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
             scanned = counts.withColumn("under", F.coalesce(F.sum("c").over(w), F.lit(0)))
         else:
-            scanned = chunked_scan(counts, ["i"], [F.col("v").asc()], sums={"under": "c"})
+            scanned = chunked_scan(stage_table(counts, "counts"), ["i"], ["v"], sums={"under": "c"})
         wanted = F.create_map(*[x for i, b in enumerate(open_bands)
                                 for x in (F.lit(i), F.array(*[F.lit(r - b.below) for r in sorted(set(b.ranks))]))])
         hits = scanned.where(F.exists(wanted[F.col("i")], lambda r: (r >= F.col("under")) & (r < F.col("under") + F.col("c"))))

@@ -19,12 +19,15 @@ def _hot_frame(spark, n=3000, seed=5):
     return spark.createDataFrame(rows, "k string, t int, b string, f int")
 
 
-def _order():
-    return [F.col("t").asc_nulls_last(), F.col("b").asc_nulls_last()]
+ORDER = ["t", "b"]
+
+
+def _sort():
+    return [F.col(c).asc_nulls_last() for c in ORDER]
 
 
 def _plain(df, keys=("k",)):
-    w = Window.partitionBy(*keys).orderBy(*_order())
+    w = Window.partitionBy(*keys).orderBy(*_sort())
     wp = w.rowsBetween(Window.unboundedPreceding, -1)
     return df.select("*", (F.row_number().over(w) - 1).alias("_pos"), F.count("b").over(wp).alias("nb"),
                      F.coalesce(F.sum("f").over(wp), F.lit(0)).alias("sf"), F.lead(F.struct("t", "f")).over(w).alias("_next"))
@@ -37,16 +40,36 @@ RUN = dict(counts={"nb": "b"}, sums={"sf": "f"}, leads=["t", "f"])
 def test_chunked_scan_equals_plain_window(spark):
     df = _hot_frame(spark)
     want = sorted(_plain(df).select(*COLS).collect())
-    for chunks in (3, 7, 16):
-        assert sorted(SC.chunked_scan(df, ["k"], _order(), chunks=chunks, **RUN).select(*COLS).collect()) == want, chunks
+    for chunk in (3000, 1000, 430, 190):
+        assert sorted(SC.chunked_scan(df, ["k"], ORDER, rows_per_chunk=chunk, **RUN).select(*COLS).collect()) == want, chunk
+
+
+def test_chunks_follow_from_the_rows_alone(spark):
+    """Bounds cut even chunks; a row's chunk is the same under any partitioning, and the rows are shuffled once."""
+    df = spark.range(60_000).select(F.lit("HOT").alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("int").alias("t"),
+                                    F.col("id").cast("string").alias("b"), F.lit(1).alias("f"))
+    at = F.struct(F.col("k"), F.col("t"))
+    for chunks in (2, 3, 10, 37):
+        bounds = SC._range_bounds(df, at, chunks, 60_000)
+        of = lambda x: SC._with_chunk(x, at, bounds, chunks).select("b", "t", F.col("_chunk").alias("c"))
+        one = of(df)
+        assert one.exceptAll(of(df.repartition(13))).count() == 0
+        sizes = {r.c: r["count"] for r in one.groupBy("c").count().collect()}
+        assert sorted(sizes) == list(range(chunks)) and max(sizes.values()) < 2 * 60_000 / chunks
+        spans = one.groupBy("c").agg(F.min("t"), F.max("t")).orderBy("c").collect()
+        assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+    out = SC.chunked_scan(df, ["k"], ORDER, rows_per_chunk=5000, sums={"sf": "f"})
+    assert out.where("_pos <> sf").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "NestedLoop" not in plan
 
 
 @pytest.mark.parametrize("hot_rows", [10**6, 500, 20])
 def test_ordered_scan_equals_plain_window_and_sort_rank(spark, hot_rows):
     df = _hot_frame(spark, 1200)
-    out = SC.ordered_scan(df, ["k"], _order(), global_position=True, hot_rows=hot_rows, rows_per_chunk=90, **RUN)
+    out = SC.ordered_scan(df, ["k"], ORDER, global_position=True, hot_rows=hot_rows, rows_per_chunk=90, **RUN)
     assert sorted(out.select(*COLS).collect()) == sorted(_plain(df).select(*COLS).collect())
-    rank = df.withColumn("r", F.row_number().over(Window.orderBy(F.col("k").asc_nulls_last(), *_order())) - 1)
+    rank = df.withColumn("r", F.row_number().over(Window.orderBy(F.col("k").asc_nulls_last(), *_sort())) - 1)
     assert dict(out.select("b", "_gpos").collect()) == dict(rank.select("b", "r").collect())
     assert out.columns == [*df.columns, "_pos", "nb", "sf", "_next", "_gpos"]
 
@@ -55,7 +78,7 @@ def test_null_keys_and_separators_are_keys_of_their_own(spark):
     rows = [(None, "a"), ("\U0010ffff", "a"), ("", "a"), ("x\x01y", "z"), ("x", "y\x01z"), ("x", None), (None, None)]
     df = spark.createDataFrame([(a, b, i % 2, f"b{i}", 1) for i, (a, b) in enumerate(rows * 2)],
                                "k string, k2 string, t int, b string, f int")
-    got = SC.ordered_scan(df, ["k", "k2"], _order(), hot_rows=1, rows_per_chunk=3, **RUN)
+    got = SC.ordered_scan(df, ["k", "k2"], ORDER, hot_rows=1, rows_per_chunk=3, **RUN)
     assert sorted(got.select(*COLS).collect()) == sorted(_plain(df, ("k", "k2")).select(*COLS).collect())
 
 
