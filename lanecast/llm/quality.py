@@ -3,8 +3,9 @@
 1. Every text becomes ``len(STATS)`` numbers (one Arrow pass over the whole table, stored once as Parquet).
 2. Statistics are standardised by the means and deviations of the labelled training rows (one aggregate).
 3. ``FEATURES`` random cosines approximate a Gaussian kernel of width ``WIDTH`` on them.
-4. Each partition of the fitting rows sums its normal equations; the sums are added by row of the matrix in Spark,
-   so the driver gets one (FEATURES + 1) x (FEATURES + 2) matrix, whatever the number of rows or partitions.
+4. Each partition of the fitting rows sums its normal equations; Spark adds the sums cell by cell in aggregates that
+   hold one row of the matrix, so no task holds the partials of all partitions, and the driver gets one
+   (FEATURES + 1) x (FEATURES + 2) matrix, whatever the number of rows or partitions.
 5. Isotonic calibration: the ridge scores of the calibration rows are counted on a grid of ``1 / GRID`` and pooled
    (the driver gets at most 3 * GRID + 1 counts); the score is the line through the pooled points.
 
@@ -88,7 +89,7 @@ def pool(points: list[tuple[float, float, float]]) -> tuple[list[float], list[fl
 
 
 def _normal_equations(rows: DataFrame, mean: list, sd: list):
-    """Sums of z zT and z y over ``rows(x, y)``: one partial per partition, added by matrix row."""
+    """Sums of z zT and z y over ``rows(x, y)``: one partial per partition, added cell by cell."""
     import numpy as np
 
     def partial(batches):
@@ -103,13 +104,8 @@ def _normal_equations(rows: DataFrame, mean: list, sd: list):
         if total is not None:
             yield pd.DataFrame({"i": range(len(total)), "a": list(total)})
 
-    def add(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"i": [key[0]], "a": [np.sum(np.stack(pdf.a.to_numpy()), axis=0)]})
-
     got = (rows.mapInPandas(partial, "i int, a array<double>").groupBy("i")
-           .applyInPandas(add, "i int, a array<double>").collect())
+           .agg(F.array(*[F.sum(F.col("a")[j]) for j in range(FEATURES + 2)]).alias("a")).collect())
     return np.array([r.a for r in sorted(got, key=lambda r: r.i)])
 
 
