@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from lanecast.llm.common import map_rows
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens kept by a worker; beyond that the cache starts anew.
-CACHE = 300_000
+#: Bytes of pre-tokens and ids that a worker keeps between texts (about 300,000 words); beyond that it starts anew.
+CACHE_BYTES = 32 << 20
 #: From this character on the pre-token pattern is left to the tokenizers library.
 LIBRARY_FROM = 0x558
 LIBRARY_ONLY = re.compile(f"[{chr(LIBRARY_FROM)}-\U0010ffff]")
@@ -109,6 +110,7 @@ class Codec:
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(back[c] for c in token)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         if LIBRARY_ONLY.search(text):
@@ -123,14 +125,17 @@ class Codec:
             return list(map(self.cache.__getitem__, pieces))
         except KeyError:
             pass
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         new = list(set(pieces).difference(self.cache))
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[piece] = np.array(e.ids, "<u4").tobytes()
-        return list(map(self.cache.__getitem__, pieces))
+                self.cache[piece] = ids = np.array(e.ids, "<u4").tobytes()
+                self.held += sys.getsizeof(piece) + sys.getsizeof(ids)
+        known = list(map(self.cache.__getitem__, pieces))
+        if self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.held = 0
+        return known
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""

@@ -3,6 +3,7 @@ import base64
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -207,6 +208,15 @@ def test_ids_offsets_and_decoding(spark, make_docs, edge_texts, reference_encode
     assert bpe.round_trip(make_docs([])).count() == 0
 
 
+def test_pre_token_cache_is_bounded_by_bytes(monkeypatch, reference_encoder):
+    c = bpe.Codec(bpe.vocabulary_path())
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5_000)
+    for i in range(40):
+        text = f"w{i} same words {'ab' * 500 if i % 4 == 0 else i * 7} \u00e9"
+        assert np.frombuffer(c.encode(text), "<u4").tolist() == reference_encoder.encode_ordinary(text)
+        assert sum(map(sys.getsizeof, [*c.cache, *c.cache.values()])) == c.held <= 5_000
+
+
 def test_every_code_point_splits_as_the_library_does(reference_encoder):
     coder = bpe.codec(bpe.vocabulary_path())
     for low in range(0, 0x20000, 16):
