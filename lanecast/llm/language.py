@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text is cut at ASCII white space into segments (longer ones at every ``SEGMENT`` bytes). Forward and backward GRUs
-read each segment byte by byte from a zero state, and a softmax over both states labels every byte position with a
-language. The document's probabilities are the means of its positions' probabilities, so every byte of the whole text
+A text is cut at ASCII white space into segments (longer ones into parts of at most ``SEGMENT`` bytes, between
+characters). Forward and backward GRUs read each segment byte by byte from a zero state, and a softmax over both states
+labels every byte position with a language. The document's probabilities are the means of its positions' probabilities, so every byte of the whole text
 counts. Equal segments of a batch of documents are labelled once and counted as often as they occur.
 
 Training uses backpropagation through time and Adam, on the driver, on a bounded sample: about ``DOCS_PER_LANGUAGE``
@@ -39,13 +39,17 @@ POSITIONS = 1 << 18
 
 
 def segments(data: bytes) -> list[bytes]:
-    """White-space separated parts of at most ``SEGMENT`` bytes."""
+    """White-space separated parts of at most ``SEGMENT`` bytes, cut between characters."""
     out = []
     for w in data.split():
-        if len(w) <= SEGMENT:
-            out.append(w)
-        else:
-            out += [w[i:i + SEGMENT] for i in range(0, len(w), SEGMENT)]
+        at = 0
+        while at + SEGMENT < len(w):
+            end = at + SEGMENT
+            while w[end] & 0xC0 == 0x80:  # three times at most: the next byte would be inside a character
+                end -= 1
+            out.append(w[at:end])
+            at = end
+        out.append(w[at:])
     return out
 
 

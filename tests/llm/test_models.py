@@ -64,6 +64,16 @@ def test_pooling_counts_every_position():
         assert np.allclose(p, want, atol=1e-5)
 
 
+def test_segments_are_cut_between_characters():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choices("ax\u00e9\u0416\u6f22\U0001f600", k=rng.randrange(1, 120)))
+        parts = language.segments(text.encode())
+        assert b"".join(parts) == text.encode() and max(map(len, parts)) <= language.SEGMENT
+        assert "".join(p.decode() for p in parts) == text
+        assert all(len(p) > language.SEGMENT - 4 for p in parts[:-1])
+
+
 def test_language_edges(spark, make_docs, edge_texts):
     got = language.detect(make_docs(edge_texts, clash=True)).collect()
     assert len(got) == len(edge_texts)
