@@ -22,11 +22,16 @@ PIECE_BYTES = 1 << 20
 
 #: Rows of an Arrow batch between the JVM and Python; texts are long, so the default of 10,000 makes large batches.
 BATCH_ROWS = "1024"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; from now on the session's Arrow batches hold ``BATCH_ROWS`` rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the folder; unless the session sets the rows of its Arrow batches, they hold ``BATCH_ROWS`` now on.
+
+    Spark reads this setting when a query runs, so it cannot be given per operator.
+    """
+    if spark.conf.get(ARROW_ROWS, "0") == "0":
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
