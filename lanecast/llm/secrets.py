@@ -23,7 +23,7 @@
 
 The texts are scanned again for the scores: storing every run of six characters would copy most of each text.
 
-``LEARN_MAX`` bounds only the labelled sample; every text and every candidate is scanned and scored.
+``LEARN_MAX`` bounds what each automaton learns from; every text is scanned and every candidate scored.
 
 Defined results: a null text counts as empty; rows come one for one, repeated or null ids included; texts without a
 span have empty lists. Only the id and text columns are read; ``redact`` keeps all columns.
@@ -319,10 +319,10 @@ def fit(scanned: DataFrame, learn_max: int = LEARN_MAX) -> dict:
     others = stored(runs.where(F.length("text") >= model["least"]).distinct())
     short = None
     for _ in range(1 + ROUNDS):
-        rest = [r.text for r in sample(unexplained(others, model), learn_max).collect()]
+        rest = [r.text for r in unexplained(others, model, learn_max).collect()]
         if len(rest) < learn_max:      # the shorter ones too
             short = short or stored(runs.where(F.length("text") < model["least"]).distinct())
-            rest += [r.text for r in sample(unexplained(short, model), learn_max - len(rest)).collect()]
+            rest += [r.text for r in unexplained(short, model, learn_max - len(rest)).collect()]
         if rest:
             model = model | {"plain": learn(rest)}
     return model
@@ -332,12 +332,26 @@ def sample(strings: DataFrame, n: int) -> DataFrame:
     return strings.orderBy(F.xxhash64("text"), "text").limit(n)
 
 
-def unexplained(strings: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``text`` that no learnt kind explains."""
-    def row(t):
-        return t, ordinary(model, t)
+def unexplained(strings: DataFrame, model: dict, n: int) -> DataFrame:
+    """The ``n`` rows of ``text`` of smallest hash that no learnt kind explains.
+
+    A task hands on its own ``n`` smallest. It does not score a string above ``n`` that it already has, as such a
+    string is not among the smallest.
+    """
+    def run(batches):
+        import pyarrow as pa
 
-    return map_rows(strings, row, "text string, plain boolean").where("plain").select("text")
+        least: list[tuple[int, str]] = []
+        for b in batches:
+            new = zip(b.column("h").to_pylist(), b.column("text").to_pylist())
+            full = len(least) == n
+            least += [x for x in new if not (full and x > least[-1]) and ordinary(model, x[1])]
+            least = sorted(least)[:n]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in least], pa.int64()),
+                                          pa.array([t for _, t in least], pa.string())], names=["h", "text"])
+
+    hashed = strings.select(F.xxhash64("text").alias("h"), "text")
+    return hashed.mapInArrow(run, "h bigint, text string").orderBy("h", "text").limit(n).select("text")
 
 
 def all_spans(model: dict, text: str, known: dict) -> tuple[list, list[tuple[str, int, int]]]:

@@ -425,6 +425,20 @@ def test_planted_formats_are_found_and_ordinary_tokens_are_not(spark, make_docs,
     assert not any(got[i].n_format for i, _ in texts + cut)
 
 
+def test_unexplained_strings_of_smallest_hash(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(60)]
+    model = {"plain": None, "kinds": {"hex": secrets.learn(keys[:40])}, "least": 16}
+    words = ["".join(rng.choices("ghijklmnopqrs-", k=rng.randrange(6, 30))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in keys + words], "text string").repartition(5)
+    hashed = sorted((r.h, r.text) for r in rows.select(F.xxhash64("text").alias("h"), "text").collect())
+    want = [t for _, t in hashed if secrets.ordinary(model, t)]
+    assert 3000 <= len(want) < 3060
+    for n in (1, 50, 5000):
+        assert [r.text for r in secrets.unexplained(rows, model, n).collect()] == want[:n]
+    assert secrets.unexplained(rows.limit(0), model, 5).count() == 0
+
+
 def test_redaction(spark, make_docs, edge_texts):
     docs = make_docs([*edge_texts, (9, "a token=abcdefgh b 0123456789abcdef01234567 c")], clash=True)
     got = secrets.redact(docs)
