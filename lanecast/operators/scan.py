@@ -92,42 +92,32 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, counts: di
 
 
 def _range_bounds(df: DataFrame, at: Column, chunks: int, rows: int) -> DataFrame:
-    """One stored row ``(firsts, groups)``: ``chunks - 1`` ascending values of ``at`` in groups of equal length, and the
-    first of each.
+    """One stored row with ``bounds``: ``chunks - 1`` ascending values of ``at``.
 
     The values are those at even ranks of a sample of ``SAMPLE_PER_CHUNK`` rows a chunk, so the row is bounded by
-    ``MAX_CHUNKS``.  Groups of about the root of the number of bounds keep the search for a row's chunk short.
+    ``MAX_CHUNKS``.
     """
     share = min(1.0, SAMPLE_PER_CHUNK * chunks / max(rows, 1))
     drawn = df.select(at.alias("at"))
     drawn = (drawn.sample(share, seed=17) if share < 1 else drawn).agg(F.sort_array(F.collect_list("at")).alias("s"))
-    width = _group_width(chunks)
-
-    def group(g):
-        places = F.sequence(g * width + 1, F.least((g + 1) * width, F.lit(chunks - 1)))
-        return F.transform(places, lambda i: F.get("s", F.floor(i * F.size("s") / chunks).cast("int")))
-
-    groups = drawn.select(F.transform(F.sequence(F.lit(0), F.lit((chunks - 2) // width)), group).alias("groups"))
-    return materialize(groups.select(F.transform("groups", lambda g: g[0]).alias("firsts"), "groups"))
-
-
-def _group_width(chunks: int) -> int:
-    return math.isqrt(chunks - 1) + 1
+    place = lambda i: F.get("s", F.floor(i * F.size("s") / chunks).cast("int"))
+    return materialize(drawn.select(F.transform(F.sequence(F.lit(1), F.lit(chunks - 1)), place).alias("bounds")))
 
 
 def _with_chunk(df: DataFrame, at: Column, bounds: DataFrame, chunks: int) -> DataFrame:
-    """``df`` with ``_chunk``, the number of bounds that ``at`` has reached: first of the firsts, then in one group.
+    """``df`` with ``_chunk``, the number of bounds that ``at`` has reached, by a binary search.
 
-    The bounds are scalar subqueries of the stored row.  They and ``at`` are named once each, so that over stored
-    columns all of this is one projection and the bounds are not copied into rows.
+    Each halving is a projection of its own, so at most 12 bounds are compared with a row, all in compiled code (a filter
+    over the array compares them one by one in interpreted code).  The bounds are a scalar subquery of the stored row and
+    are not copied into rows.  Past the last bound ``get`` gives NULL, which counts as not reached.
     """
-    def chunk(x):
-        reached = lambda values: F.size(F.filter(values, lambda b: b <= x))
-        return F.transform(F.array(reached(F.col("_firsts")) - 1), lambda g: F.when(g < 0, 0).otherwise(
-            g * _group_width(chunks) + reached(F.get("_groups", g))))[0]
-
-    given = {"_firsts": bounds.select("firsts").scalar(), "_groups": bounds.select("groups").scalar()}
-    return df.withColumns(given).withColumn("_chunk", F.transform(F.array(at), chunk)[0]).drop(*given)
+    out = df.withColumns({"_bounds": bounds.select("bounds").scalar(), "_at": at, "_chunk": F.lit(0)})
+    step = 1 << max(chunks - 1, 1).bit_length() - 1
+    while step:
+        reached = F.get("_bounds", F.col("_chunk") + F.lit(step - 1)) <= F.col("_at")
+        out = out.withColumn("_chunk", F.col("_chunk") + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
+        step >>= 1
+    return out.drop("_bounds", "_at")
 
 
 def chunked_scan(df: DataFrame, keys: list[str], order: list[str], *,

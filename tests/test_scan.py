@@ -133,3 +133,17 @@ def test_narrowing_orders_small_bands_only(spark, monkeypatch):
     got = SC.exact_quantiles_multi(df, {"x": [0.2, 0.8]}, band_rows=1000)
     assert len(seen) <= 2 and all(b.n <= 1000 for b in seen[-1])
     assert got["x"] == pytest.approx(list(df.agg(F.percentile("x", [0.2, 0.8])).first()[0]), rel=1e-12)
+
+
+def test_a_chunk_is_found_by_binary_search(spark):
+    """Each bound count up to 70, NULL and tied values: the chunk is the number of bounds reached; none is filtered."""
+    df = spark.createDataFrame([(None if i % 11 == 0 else i // 3, f"b{i:03d}") for i in range(400)], "t int, b string")
+    at = F.struct(F.col("t").isNull().alias("n"), F.col("t").alias("v"), F.col("b").alias("w"))
+    for chunks in (2, 3, 4, 5, 8, 9, 33, 70):
+        bounds = SC._range_bounds(df, at, chunks, 400)
+        cuts = sorted((b.n, b.v or 0, b.w) for b in bounds.first()["bounds"])
+        got = SC._with_chunk(df, at, bounds, chunks)
+        for r in got.collect():
+            assert r["_chunk"] == sum(c <= (r.t is None, r.t or 0, r.b) for c in cuts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "_at" not in got.columns and "_bounds" not in got.columns
