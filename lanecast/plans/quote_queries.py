@@ -37,16 +37,21 @@ def _index(spark: SparkSession, sf_dir: str):
     return memo(spark, ("lane-index", sf_dir), lambda: stored_index(*_kb(spark, sf_dir)))
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests, stored once: the lane lookup reads them for the distinct pairs and for the join back."""
+    return memo(spark, ("requests", sf_dir), lambda: stage_table(requests_view(spark, sf_dir), "requests"))
+
+
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The priced requests, stored once for the queries that each show some of their columns."""
     def build():
-        return stage_table(Q.quote_requests(requests_view(spark, sf_dir), _index(spark, sf_dir), None, Q.given_scores(),
+        return stage_table(Q.quote_requests(_requests(spark, sf_dir), _index(spark, sf_dir), None, Q.given_scores(),
                                             road_view(spark, sf_dir))[0], "quotes")
     return memo(spark, ("quotes", sf_dir), build)
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, _ = Q.prepare_requests(requests_view(spark, sf_dir), _index(spark, sf_dir), None, road_view(spark, sf_dir))
+    req, _ = Q.prepare_requests(_requests(spark, sf_dir), _index(spark, sf_dir), None, road_view(spark, sf_dir))
     return req
 
 

@@ -56,9 +56,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Stage boundary as Parquet in the shared checkpoint folder: later passes read only the columns they need."""
+    """Stage boundary as Parquet (zstd) in the shared checkpoint folder: later passes read only the columns they need."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -116,3 +116,17 @@ def test_write_quote_documents(spark, tmpdir_path):
     assert back["G1"].final_price == 76619
     assert back["G4"].pricing.feasibility.note.startswith("Price raised to survival floor Rs 91,756")
     assert back["G3"].addons.breakdown.extra_rope.amount == 150
+
+
+def test_quote_documents_are_compressed_json_lines(spark, tmpdir_path):
+    """The documents repeat their field names: on disk they take a fraction of their text, and every line comes back."""
+    p = os.path.join(tmpdir_path, "quotes")
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("request_id"), F.struct(
+        F.lit("Trip covers driver survival earnings.").alias("note"), F.rand(1).alias("p_min")).alias("pricing"))
+    text = rows.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    RQ.write_quotes(rows, p)
+    size = sum(os.path.getsize(os.path.join(p, f)) for f in os.listdir(p) if f.startswith("part-"))
+    assert size < text / 3
+    assert spark.read.schema(rows.schema).json(p).exceptAll(rows).count() == 0
+    assert sorted(r.value for r in spark.read.text(p).collect()) == sorted(
+        r[0] for r in rows.select(F.to_json(F.struct("*"))).collect())
