@@ -129,11 +129,16 @@ def q_h4(spark, sf_dir):
 
 # --- D: scalar aggregates -------------------------------------------------------------------
 
+def _delay_hours(spark, sf_dir):
+    """The delay hours of all trips, stored, as a quantile reads them several times."""
+    return stage_table(V.add_delay_hours(TR.load_trips(spark, sf_dir)).select("delay_hours"), "delay-hours")
+
+
 @register("D1_delay_threshold", [("delay_threshold", "d")],
           lambda s: _from_features(s, src="(SELECT thr AS delay_threshold FROM f_s1)"))
 def q_d1(spark, sf_dir):
     """Exact linear-interpolated 0.80 quantile of delay hours over all trips."""
-    base = V.add_delay_hours(TR.load_trips(spark, sf_dir))
+    base = _delay_hours(spark, sf_dir)
     return _one_row(spark, {"delay_threshold": V.delay_threshold(base, 0.80)}, {"delay_threshold": "double"})
 
 
@@ -149,7 +154,7 @@ def q_d2(spark, sf_dir):
           lambda s: _from_features(s, src="(SELECT med AS distance_median FROM f_s1)"))
 def q_d3(spark, sf_dir):
     """D3: median of the known distances (used to impute the missing ones)."""
-    base = TR.load_trips(spark, sf_dir)
+    base = stage_table(TR.load_trips(spark, sf_dir).select("TRANSPORTATION_DISTANCE_IN_KM"), "distances")
     return _one_row(spark, {"distance_median": V.distance_median(base)}, {"distance_median": "double"})
 
 
@@ -157,7 +162,7 @@ def q_d3(spark, sf_dir):
           lambda s: _from_features(s, src="(SELECT flag_mean FROM f_s2)"))
 def q_d4(spark, sf_dir):
     """Global mean of the delay flag (default rate of a vehicle's first trip)."""
-    base = V.add_delay_hours(TR.load_trips(spark, sf_dir))
+    base = _delay_hours(spark, sf_dir)
     thr = V.delay_threshold(base, 0.80)
     return V.add_delay_flag(base, thr).agg(F.avg("delay_flag").alias("flag_mean"))
 

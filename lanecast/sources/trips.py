@@ -127,14 +127,16 @@ def trips_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     place = (nation.join(region, nation.n_regionkey == region.r_regionkey)
              .select("n_nationkey", "r_name", F.concat_ws(", ", "n_name", "r_name", F.lit("India")).alias("place")))
-    sp = supp.join(place, supp.s_nationkey == F.col("n_nationkey")) \
-        .select("s_suppkey", F.col("place").alias("o_place"), F.col("r_name").alias("o_region"))
-    cp = cust.join(place, cust.c_nationkey == F.col("n_nationkey")) \
-        .select("c_custkey", F.col("place").alias("d_place"), F.col("r_name").alias("d_region"))
-
-    df = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-          .join(sp, li.l_suppkey == sp.s_suppkey)
-          .join(cp, F.col("o_custkey") == cp.c_custkey))
+    o_place = F.broadcast(place.toDF("_on", "o_region", "o_place"))       # the nations: a fixed dimension
+    d_place = F.broadcast(place.toDF("_dn", "d_region", "d_place"))
+
+    # customers meet the orders before the wider line items do, and the place names come last, so that no name is
+    # shuffled; the merge join deals the line items over all tasks at every size, as one file may be one task
+    placed = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "o_orderpriority", "c_nationkey")
+    df = (li.join(placed.hint("merge"), li.l_orderkey == placed.o_orderkey)
+          .join(supp, li.l_suppkey == supp.s_suppkey)
+          .join(o_place, F.col("s_nationkey") == F.col("_on"))
+          .join(d_place, F.col("c_nationkey") == F.col("_dn")))
 
     start = F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 3)
     end = start + F.make_dt_interval(hours=F.ceil(F.col("l_extendedprice") / 5000).cast("int"))
