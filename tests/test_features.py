@@ -128,3 +128,31 @@ def test_many_small_chunks_equal_plain_windows(spark, small):
     cols = ["BookingID", "next_origin", "next_start_time", "driver_delay_rate", "route_count", "lane_prior_bookings",
             "route_risk_raw", "sort_position", "is_train", "efficiency_score"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+
+
+def test_scans_carry_no_column_that_follows_from_the_row(spark, monkeypatch):
+    """Neither the shuffles nor the stored scan hold derived columns or the key beside its columns."""
+    from lanecast.plans import features as FT
+    from lanecast.sources.trips import load_trips
+    stored = []
+    stage = FT.stage_table
+    monkeypatch.setattr(FT, "stage_table", lambda df, name: stored.append((name, df)) or stage(df, name))
+    df, _ = FT.prepare(FT.stage_table(load_trips(spark, "/root/testdata/sf0.001"), "trips"))
+    out = FT.scans(df)
+    (name, scanned), = [x for x in stored if x[0] != "trips"]
+    assert name == "scanned-trips" and not set(FT.V.ROW_FEATURES) & set(scanned.columns)
+    assert set(FT.V.ROW_FEATURES) < set(out.columns) and "lane_maturity" in out.columns and "idle_loss_raw" in out.columns
+
+
+def test_place_names_are_not_shuffled_with_the_line_items(spark):
+    """The names join last, by broadcast: no exchange of the trips view holds a concatenated place."""
+    from lanecast.sources.trips import trips_view
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = trips_view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    at = max(i for i, line in enumerate(plan.splitlines()) if "BroadcastHashJoin" in line)
+    assert not any("BroadcastHashJoin" in x for x in plan[plan.index("Exchange hashpartitioning"):].splitlines())
+    assert at < min(i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line)

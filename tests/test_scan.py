@@ -147,3 +147,13 @@ def test_a_chunk_is_found_by_binary_search(spark):
             assert r["_chunk"] == sum(c <= (r.t is None, r.t or 0, r.b) for c in cuts)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "lambda" not in plan and "_at" not in got.columns and "_bounds" not in got.columns
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 20])
+def test_counts_may_come_from_other_stored_rows(spark, hot_rows):
+    """A scan over the result of another scan: the keys are counted in the stored rows, whether or not one is hot."""
+    df = _hot_frame(spark, 1200)
+    first = SC.ordered_scan(df, ["f"], ["t", "b"], sums={"flags": "f"}).withColumnRenamed("_pos", "at")
+    out = SC.ordered_scan(first, ["k"], ORDER, global_position=True, hot_rows=hot_rows, rows_per_chunk=90, counted=df, **RUN)
+    assert sorted(out.select(*COLS).collect()) == sorted(_plain(df).select(*COLS).collect())
+    assert out.where("at IS NULL OR _gpos IS NULL").isEmpty()
