@@ -21,7 +21,8 @@ def geocoder_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                                              "l_discount", "l_tax")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
-    df = li.join(p, li.l_partkey == p.p_partkey)
+    # a merge join deals the line items over all tasks at every size, as one file may be one task
+    df = li.join(p.hint("merge"), li.l_partkey == p.p_partkey)
     words = F.split("p_name", " ")
     w1 = words[0]
 
