@@ -109,17 +109,19 @@ def resolve_pairs(pairs: DataFrame, index: LaneIndex) -> DataFrame:
 
 
 def lookup_lane(requests: DataFrame, kb: DataFrame | LaneIndex, global_row: DataFrame | None = None, *,
-                origin: str = "origin", destination: str = "destination") -> DataFrame:
+                origin: str = "origin", destination: str = "destination", names: DataFrame | None = None) -> DataFrame:
     """C1 exact key, C2 first KB lane (key order) containing both names, C3 global averages.
 
     Adds ``lane_match`` (exact / contains / global) and the five lane-context columns.  The three tiers are resolved
     once per distinct (origin key, destination key) pair, and the resolved pairs are joined back to the requests in one
     equi-join.  ``kb`` is a stored index, or the knowledge base (one row per (ok, dk)) with its ``global_row``, whose
-    index is then stored or found.  A request without one of the names gets the global row.
+    index is then stored or found.  A request without one of the names gets the global row.  ``names`` are the rows
+    that the distinct pairs come from, where a plainer plan than that of ``requests`` has the same names.
     """
     index = kb if isinstance(kb, LaneIndex) else stored_index(kb, global_row)
-    req = requests.withColumn("_ok", E.place_key(origin)).withColumn("_dk", E.place_key(destination))
-    pairs = req.select(F.col("_ok").alias("ok"), F.col("_dk").alias("dk")).where(
+    ok, dk = E.place_key(origin), E.place_key(destination)
+    req = requests.withColumn("_ok", ok).withColumn("_dk", dk)
+    pairs = (requests if names is None else names).select(ok.alias("ok"), dk.alias("dk")).where(
         F.col("ok").isNotNull() & F.col("dk").isNotNull()).distinct()
     ctx = resolve_pairs(pairs, index).withColumnRenamed("ok", "_ok").withColumnRenamed("dk", "_dk")
     out = req.join(ctx, ["_ok", "_dk"], "left").drop("_ok", "_dk")

@@ -3,7 +3,7 @@
 Rounding follows Python's ``round`` (exact binary half-even, ``py_round``), as the service did.
 
 Every value is a column expression over one request row; the only joins are the
-broadcast gazetteer (fixed 81 rows) and the optional road-distance table.
+broadcast gazetteer (fixed 81 rows) and the optional road-distance table (of the gazetteer's pairs: broadcast, too).
 """
 
 from __future__ import annotations
@@ -42,34 +42,61 @@ def add_city_coords(df: DataFrame, spark) -> DataFrame:
     return out.join(o, "_oc", "left").join(d, "_dc", "left").drop("_oc", "_dc")
 
 
-def _road(df: DataFrame, road: DataFrame | None, prefix: str, lat1, lon1, lat2, lon2) -> DataFrame:
-    """Optional road km for a coordinate pair (rounded to 4 decimals).
+COORDS = ("lat1", "lon1", "lat2", "lon2")
+
+
+def _road_km(road: DataFrame, keys: list[str], name: str, pairs: DataFrame | None = None) -> DataFrame:
+    """The known road km by rounded coordinates, of ``pairs`` (few ``keys``) only where they are given.
 
     A km of 0, NULL or NaN counts as missing; of several known values for one pair the smallest is taken.
     """
-    name = f"{prefix}_road_km"
+    r = road.select(*[F.round(c(x), 4).alias(k) for k, x in zip(keys, COORDS)],
+                    F.nullif(E.not_nan(c("km")), F.lit(0.0)).alias(name)).where(c(name).isNotNull())
+    if pairs is not None:
+        r = r.join(F.broadcast(pairs), keys)
+    return r.groupBy(*keys).agg(F.min(name).alias(name))
+
+
+def add_request_road(df: DataFrame, road: DataFrame | None) -> DataFrame:
+    """``req_road_km``, the road km (if known) of the request's own coordinates, rounded to 4 decimals.
+
+    Only rows with all four coordinates are shuffled for it; ``df`` is read twice.
+    """
+    name = "req_road_km"
+    none = F.lit(None).cast("double").alias(name)
+    if road is None:
+        return df.select("*", none)
+    own = [c(x) for x in ("origin_lat", "origin_lon", "dest_lat", "dest_lon")]
+    known = own[0].isNotNull() & own[1].isNotNull() & own[2].isNotNull() & own[3].isNotNull()
+    keys = [f"_req{i}" for i in range(4)]
+    keyed = df.where(known).withColumns({k: F.round(x, 4) for k, x in zip(keys, own)})
+    found = keyed.join(_road_km(road, keys, name), keys, "left").select(*df.columns, name)
+    return found.unionAll(df.where(~known).select(*df.columns, none))
+
+
+def add_gazetteer_road(df: DataFrame, spark, road: DataFrame | None) -> DataFrame:
+    """``gaz_road_km``, the road km (if known) between the gazetteer's coordinates of both ends.
+
+    The gazetteer is fixed, so at most 81 x 81 pairs of the road table matter; they are broadcast.
+    """
+    name = "gaz_road_km"
     if road is None:
         return df.withColumn(name, F.lit(None).cast("double"))
-    keys = [f"_{prefix}{i}" for i in range(4)]
-    r = road.select(*[F.round(c(x), 4).alias(k) for k, x in zip(keys, ("lat1", "lon1", "lat2", "lon2"))],
-                    F.nullif(E.not_nan(c("km")), F.lit(0.0)).alias(name))
-    r = r.where(c(name).isNotNull()).groupBy(*keys).agg(F.min(name).alias(name))
-    keyed = df.withColumns({k: F.round(c(x), 4) for k, x in zip(keys, (lat1, lon1, lat2, lon2))})
-    known = c(keys[0]).isNotNull() & c(keys[1]).isNotNull() & c(keys[2]).isNotNull() & c(keys[3]).isNotNull()
-    # rows without coordinates would all meet in one join key: they get a spread key that matches nothing
-    salt = F.when(~known, F.concat(F.lit("none-"), F.pmod(F.xxhash64("request_id"), F.lit(1024)).cast("string")))
-    keyed = keyed.withColumn("_salt", F.coalesce(salt, F.lit(""))).withColumns(
-        {k: F.coalesce(c(k), F.lit(0.0)) for k in keys})
-    r = r.withColumn("_salt", F.lit(""))
-    return keyed.join(r, ["_salt", *keys], "left").drop("_salt", *keys)
+    keys = [f"_gaz{i}" for i in range(4)]
+    at = gazetteer(spark).select(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
+    pairs = at.toDF(*keys[:2]).crossJoin(F.broadcast(at.toDF(*keys[2:])))
+    city = [c(x) for x in ("o_city_lat", "o_city_lon", "d_city_lat", "d_city_lon")]
+    keyed = df.withColumns({k: F.round(x, 4) for k, x in zip(keys, city)})
+    return keyed.join(F.broadcast(_road_km(road, keys, name, pairs)), keys, "left").drop(*keys)
 
 
 def add_distance(df: DataFrame, spark, road: DataFrame | None = None) -> DataFrame:
     """Request coordinates + road table, then gazetteer (road table, else haversine x 1.32),
-    then the lane average if positive, then 500 km; rounded to 1 digit with the method name."""
-    out = add_city_coords(df, spark)
-    out = _road(out, road, "req", "origin_lat", "origin_lon", "dest_lat", "dest_lon")
-    out = _road(out, road, "gaz", "o_city_lat", "o_city_lon", "d_city_lat", "d_city_lon")
+    then the lane average if positive, then 500 km; rounded to 1 digit with the method name.
+
+    Rows that have their ``req_road_km`` already keep it."""
+    out = df if "req_road_km" in df.columns else add_request_road(df, road)
+    out = add_gazetteer_road(add_city_coords(out, spark), spark, road)
     has_req = (c("origin_lat").isNotNull() & c("origin_lon").isNotNull()
                & c("dest_lat").isNotNull() & c("dest_lon").isNotNull())
     has_gaz = c("o_city_lat").isNotNull() & c("d_city_lat").isNotNull()

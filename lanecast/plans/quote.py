@@ -3,7 +3,8 @@
 Plan: validation and normalisation are row-local.  The lane context is resolved once per distinct (origin, destination)
 pair through the stored lane index (exact key; else the pair's shortest posting list, whose lanes are checked in place;
 else the global row) and joined back on the pair.  Where one pair has a large share of the requests, AQE splits that
-join's request side.  The gazetteer join is broadcast (fixed size); everything after that is per-row column expressions.
+join's request side.  Requests with coordinates of their own are shuffled once more, for their road distance.  The
+gazetteer joins are broadcast (fixed size); everything after that is per-row column expressions.
 """
 
 from __future__ import annotations
@@ -31,16 +32,18 @@ def given_scores(p_col: str = "p_delay", eff_col: str = "eff") -> Scorer:
 
 def prepare_requests(requests: DataFrame, kb: DataFrame | L.LaneIndex, kb_global: DataFrame | None = None, road: DataFrame | None = None,
                      clamp: bool = False) -> tuple[DataFrame, DataFrame]:
-    """B4, B5, (B6), temporal, lane context and distance: everything before the model."""
+    """B4, B5, (B6), lane context, distance and temporal: everything before the model.
+
+    ``requests`` are read several times.  The lanes are looked up for the valid requests as they come, so that the
+    distinct names do not wait for the road join; what follows from a row alone is added after the last shuffle."""
     valid, rejected = R.validate_requests(requests)
-    req = R.normalize_requests(valid)
+    req = R.normalize_requests(P.add_request_road(valid, road))
     if clamp:
         req = R.clamp_weight(req)
-    req = req.withColumn("trip_day", R.parse_trip_date("trip_date"))
-    req = P.add_temporal(req)
-    req = L.lookup_lane(req, kb, kb_global)
+    req = L.lookup_lane(req, kb, kb_global, names=valid)
     req = P.add_distance(req, requests.sparkSession, road)
-    return req, rejected
+    req = req.withColumn("trip_day", R.parse_trip_date("trip_date"))
+    return P.add_temporal(req), rejected
 
 
 def price(scored: DataFrame) -> DataFrame:

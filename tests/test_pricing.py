@@ -98,6 +98,33 @@ def test_road_table_takes_precedence(spark):
     assert out == {"R": (1400.0, "osrm"), "Z": (1420.0, "osrm")}
 
 
+def test_road_joins_shuffle_rows_with_coordinates_only(spark):
+    """A request is shuffled for its own coordinates at most; the gazetteer's pairs of the road table are broadcast."""
+    xy = "origin_lat double, origin_lon double, dest_lat double, dest_lon double"
+    rows = [("own", "Delhi", "Mumbai", 10.0, 1.0, 2.0, 3.0, 4.0), ("own", "Delhi", "Mumbai", 10.0, 1.0, 2.0, 3.0, 4.0),
+            (None, "Delhi", "Mumbai", 10.0, None, 2.0, 3.0, 4.0), ("far", "Nowhere", "Delhi", 10.0, 5.0, 5.0, 5.0, None),
+            ("nan", "Pune", "Delhi", 10.0, float("nan"), 2.0, 3.0, 4.0), ("x", "Delhi", "Mumbai", 10.0, 0.0, -0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, f"request_id string, origin string, destination string, avg_dist_km double, {xy}")
+    road = spark.createDataFrame([(1.00004, 2.0, 3.0, 4.0, 50.0), (1.0, 2.0, 3.0, 4.0, 40.0), (1.0, 2.0, 3.0, 4.0, None),
+                                  (28.6139, 77.2090, 19.0760, 72.8777, 1420.0), (0.0, 0.0, 0.0, 0.0, 7.0),
+                                  (float("nan"), 2.0, 3.0, 4.0, 9.0), (None, 2.0, 3.0, 4.0, 3.0)],
+                                 "lat1 double, lon1 double, lat2 double, lon2 double, km double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.add_distance(df, spark, road)
+        got = [(r.request_id, r.req_road_km, r.gaz_road_km) for r in out.collect()]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got, key=str) == sorted([("own", 40.0, 1420.0), ("own", 40.0, 1420.0), (None, None, 1420.0), ("far", None, None),
+                                           ("nan", 9.0, None), ("x", 7.0, 1420.0)], key=str)
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    plain = [line for line in joins if "broadcast" not in line]
+    assert len(plain) == 1 and "_req0" in plain[0]
+    below = plan[plan.index(plain[0]):]
+    assert "isnotnull(origin_lat" in below[:below.index("Aggregate")]
+
+
 def test_quote_document_contract(spark):
     """The nested quote document keeps the service's response layout (field names and nesting)."""
     df = P.add_temporal(spark.createDataFrame(GOLDEN, SCHEMA))
