@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -175,6 +176,39 @@ def test_fold_models_grow_all_trees(spark):
     assert [m.getNumTrees for m in models] == [800, 800] and K.RISK_MODEL[0] == 800
 
 
+def test_classifier_and_fold_models_are_fitted_side_by_side(spark, monkeypatch):
+    """Where a query or the stack needs the classifier and the fold models, neither waits for the other."""
+    from lanecast.plans import cache
+    from lanecast.plans import ml_queries as MQ
+    from lanecast.plans import training as TP
+    meet = threading.Barrier(2, timeout=20)
+    metrics = {"accuracy": 0.5, "auc": 0.6, "brier": 0.2, "brier_warning": False, "r2": 0.1, "rmse": 0.3}
+
+    def classifier(folded, *rest):
+        meet.wait()
+        return TP.ClassifierFit("clf", folded, metrics)
+
+    def oof(df, *rest, **options):
+        meet.wait()
+        return df, [0.4, 0.6]
+
+    monkeypatch.setattr(TP, "fit_classifier", classifier)
+    monkeypatch.setattr(TP, "fit_regressor", lambda rows, *rest: TP.RegressorFit("reg", rows, metrics, rows))
+    monkeypatch.setattr(TP, "folded_rows", lambda rows, *rest: rows)
+    monkeypatch.setattr(M, "oof_probability", oof)
+    rows = spark.createDataFrame([("b", 1)], "BookingID string, month int")
+    monkeypatch.setattr(MQ, "_folded", lambda *a: rows)
+    try:
+        stack = MQ._stack(spark, SF_SMALL)
+        assert (stack.classifier, stack.regressor, stack.base_features) == ("clf", "reg", TP.select_features(rows))
+        cache.clear()
+        assert list(MQ.q_k6(spark, SF_SMALL).first()) == pytest.approx([0.5, 0.1, 0.6, 0.5, 0.2])
+    finally:
+        cache.clear()
+    whole = TP.train_stack(rows)
+    assert (whole.stack.classifier, whole.stack.regressor) == ("clf", "reg") and whole.metrics["auc_cv_mean"] == pytest.approx(0.5)
+
+
 def test_older_stack(spark, feats):
     from lanecast.plans.training import train_stack_80
     assert (M.RISK_500.trees, M.RISK_500.depth, M.RISK_500.lr, M.PRICING_1000.trees) == (500, 6, 0.05, 1000)
