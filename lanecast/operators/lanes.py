@@ -70,13 +70,18 @@ KB_MEASURES = ["lane_popularity", "route_risk", "driver_delay_rate"]
 
 
 def lane_kb(features: DataFrame) -> DataFrame:
-    """Per (origin key, destination key) means and trip count (partial + final hash aggregate)."""
-    return (features.select(E.city_key("Origin_Location").alias("ok"), E.city_key("Destination_Location").alias("dk"),
-                            *KB_MEASURES, "TRANSPORTATION_DISTANCE_IN_KM")
+    """Per (origin key, destination key) means and trip count.
+
+    The trips are summed up by their place names first, so that a name is cut into its key once and not once a trip.
+    """
+    means = {**{m: m for m in KB_MEASURES}, "avg_dist_km": "TRANSPORTATION_DISTANCE_IN_KM"}
+    named = features.groupBy(*LANE_KEYS).agg(
+        F.count(F.lit(1)).alias("trip_count"), *[F.sum(F.col(m).cast("double")).alias(f"sum_{name}") for name, m in means.items()],
+        *[F.count(m).alias(f"n_{name}") for name, m in means.items()])
+    mean = {name: F.try_divide(F.sum(f"sum_{name}"), F.sum(f"n_{name}")).alias(name) for name in means}
+    return (named.withColumns({"ok": E.city_key("Origin_Location"), "dk": E.city_key("Destination_Location")})
             .groupBy("ok", "dk")
-            .agg(*[F.avg(m).alias(m) for m in KB_MEASURES],
-                 F.count(F.lit(1)).alias("trip_count"),
-                 F.avg("TRANSPORTATION_DISTANCE_IN_KM").alias("avg_dist_km")))
+            .agg(*[mean[m] for m in KB_MEASURES], F.sum("trip_count").alias("trip_count"), mean["avg_dist_km"]))
 
 
 def lane_kb_global(features: DataFrame) -> DataFrame:

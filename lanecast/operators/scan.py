@@ -16,6 +16,10 @@ map-side combined table with one row per (key, chunk) for keys that span several
 chunks are contiguous, so at most one key crosses each bound and that table never exceeds
 2 x chunks rows (``MAX_CHUNKS`` chunks at most): it is broadcast on that bound.
 
+``range_rows`` serves several scans whose orders agree with one order of all rows: the first one shuffles the rows to
+contiguous ranges of that order, and each scan given these ``Ranges`` runs in the windows of (range, key).  What a key
+brings into a range comes from a map-side combined table with one row per (range, key), read from the stored rows.
+
 ``exact_quantiles_multi`` narrows each quantile down to a small band of values by counting around
 approximate pivots, and orders only the values of that band, so no value outside it is shuffled and
 no task or driver ever holds all values.
@@ -29,7 +33,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanecast.session import materialize, stage_table
+from lanecast.session import materialize, shuffle_partitions, stage_table
 
 SMALL_DISTINCT = 1_000_000   # distinct values one task may order (a few MB)
 BAND_ROWS = 250_000          # rows of a band of values that are counted one by one
@@ -38,6 +42,8 @@ HOT_ROWS = 250_000           # rows of one key that one task may order
 ROWS_PER_CHUNK = 250_000     # rows of a range chunk in the scan of the keys beyond that
 MAX_CHUNKS = 4_096           # beyond that many chunks they get longer, and a task's sort spills
 SAMPLE_PER_CHUNK = 100       # rows drawn per chunk for the range bounds
+RANGE_ROWS = 20_000          # rows of a range at least, where ranges are cut finer to keep all tasks busy
+RANGE = "_range"             # column with the range of a dealt row
 
 
 def _key_column(keys: list[str]) -> Column:
@@ -51,6 +57,11 @@ def _ascending(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
+def _place(order: list[str]) -> list[Column]:
+    """Fields ``n0, v0, n1, v1, ...`` whose struct order is that of ``_ascending``."""
+    return [x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))]
+
+
 def _running(df: DataFrame, keys: list, order: list[str], counts: dict, sums: dict, leads: list,
              prefix: str = "") -> DataFrame:
     """``df`` with position, running counts and sums and the next row in the windows of ``keys``."""
@@ -67,14 +78,17 @@ def _running(df: DataFrame, keys: list, order: list[str], counts: dict, sums: di
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, counts: dict[str, str] | None = None,
                  sums: dict[str, str] | None = None, leads: list[str] | None = None, global_position: bool = False,
                  hot_rows: int = HOT_ROWS, rows_per_chunk: int = ROWS_PER_CHUNK,
-                 counted: DataFrame | None = None) -> DataFrame:
+                 counted: DataFrame | None = None, ranges: Ranges | None = None) -> DataFrame:
     """The columns of ``chunked_scan`` (which see), splitting only keys of more than ``hot_rows`` rows.
 
     ``df`` is read several times, so it should be stored: to count the rows per key, to draw the bounds and for the scan.
     ``counted`` names stored rows with the same keys: the counts come from them, so ``df`` is read once and need not be
     stored; where a key is hot, it is stored here.
+    ``ranges`` are those of ``df`` (see ``range_rows``): every key is split by range, and no option matters.
     """
     counts, sums, leads = counts or {}, sums or {}, leads or []
+    if ranges is not None:
+        return _range_scan(df, keys, order, ranges, counts, sums, leads, global_position)
     sizes = materialize((df if counted is None else counted).groupBy(_key_column(keys).alias("_key"))
                         .agg(F.count(F.lit(1)).alias("_n")))
     hot = sizes.where(F.col("_n") > hot_rows)
@@ -153,8 +167,7 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], *,
     if chunks == 1:
         found = _running(base, ["_k"], order, counts, sums, leads)
         return found.select(*names, "_pos", *counts, *sums, *(["_next"] if leads else []))
-    at = F.struct(own.alias("k"), *[x for i, c in enumerate(order)
-                                            for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+    at = F.struct(own.alias("k"), *_place(order))
     base = _with_chunk(base, at, _range_bounds(base, at, chunks, rows), chunks)
     local = _running(base, ["_k", "_chunk"], order, counts, sums, leads, "_l_")
 
@@ -188,6 +201,119 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], *,
     return out.select(*fin)
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """``n`` contiguous ranges of ``order`` over the rows of ``stored``; the ``bounds`` between them are one stored row."""
+
+    order: list[str]
+    stored: DataFrame
+    bounds: DataFrame
+    n: int
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """``df`` with the range of each row."""
+        at = F.struct(*_place(self.order))
+        return _with_chunk(df, at, self.bounds, self.n).withColumnRenamed("_chunk", RANGE)
+
+
+def range_rows(df: DataFrame, order: list[str], columns: list[str], *, rows_per_chunk: int | None = None,
+               ) -> tuple[DataFrame, Ranges]:
+    """``columns`` of the stored ``df`` with the contiguous range of ``order`` (ascending, NULLs last) of each row.
+
+    For ``ordered_scan``, whose first scan shuffles the rows by range; the next ones leave them there.  A scan fits the
+    ranges where the rows of its key come in the order of the ranges, as they do if its order is ``order`` or if its keys
+    and its order together are.  Rows with equal ``order`` columns share a range.  A range has about ``rows_per_chunk``
+    rows; by default ``ROWS_PER_CHUNK``, or fewer where that leaves tasks idle.
+    """
+    rows = df.count()
+    chunks = -(-rows // (rows_per_chunk or ROWS_PER_CHUNK))
+    if rows_per_chunk is None:
+        chunks = max(chunks, min(4 * shuffle_partitions(df.sparkSession), rows // RANGE_ROWS))
+    chunks = min(max(1, chunks), MAX_CHUNKS)
+    at = F.struct(*_place(order))
+    ranges = Ranges(order, df, _range_bounds(df, at, chunks, rows), chunks)
+    return ranges.of(df).select(*[F.col(f"`{c}`") for c in columns], RANGE), ranges
+
+
+def _range_scan(df: DataFrame, keys: list[str], order: list[str], ranges: Ranges, counts: dict, sums: dict, leads: list,
+                global_position: bool) -> DataFrame:
+    """``ordered_scan`` over rows with a range: windows of (range, key), and what the key brings along from other ranges."""
+    if ranges.order == [*keys, *order]:
+        return _leading_scan(df, keys, order, ranges, counts, sums, leads, global_position)
+    if leads or global_position:
+        raise ValueError("the next row and the global position need keys that lead the order of the ranges")
+    return _crossing_scan(df, keys, order, ranges, counts, sums)
+
+
+def _crossing_scan(df: DataFrame, keys: list[str], order: list[str], ranges: Ranges, counts: dict, sums: dict) -> DataFrame:
+    """A scan of keys that lie in any number of ranges: the totals of a key's earlier ranges are rows of their own.
+
+    They are shuffled with the rows and come first in the window of their (range, key), so no join moves the rows again.
+    """
+    n = {"_pos": F.lit(1).cast("long"), **{name: F.col(c).isNotNull().cast("long") for name, c in counts.items()},
+         **{name: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for name, c in sums.items()}}
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.of(ranges.stored).groupBy(RANGE, *keys).agg(*[F.sum(x).alias(name) for name, x in n.items()])
+    carry = (totals.select(RANGE, *keys, F.struct(*[F.sum(name).over(earlier).alias(name) for name in n]).alias("_carry"))
+             .where(F.col("_carry._pos").isNotNull()))
+    kinds = ", ".join(f"{name}: bigint" for name in n)
+    rows = (df.withColumn("_carry", F.lit(None).cast(f"struct<{kinds}>"))
+            .unionByName(carry, allowMissingColumns=True).repartition(RANGE))
+    w = Window.partitionBy(RANGE, *keys).orderBy(F.col("_carry").isNull(), *_ascending(order))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = rows.select(*[F.col(f"`{c}`") for c in df.columns], "_carry", *[
+        F.coalesce(F.sum(F.coalesce(F.col(f"_carry.{name}"), x)).over(before), F.lit(0)).alias(name) for name, x in n.items()])
+    return scanned.where(F.col("_carry").isNull()).drop("_carry")
+
+
+def _leading_scan(df: DataFrame, keys: list[str], order: list[str], ranges: Ranges, counts: dict, sums: dict, leads: list,
+                  global_position: bool) -> DataFrame:
+    """A scan of keys that lead the order of the ranges: only a key with a bound among its rows lies in several.
+
+    Those are two ranges a bound at most, so the table of their totals and first rows is broadcast on that bound.
+    """
+    same = lambda left, right: [left[k].eqNullSafe(right[k]) for k in keys]
+    cut = ranges.bounds.select(F.explode("bounds").alias("b"))
+    cut = cut.select(*[F.col(f"b.v{i}").alias(k) for i, k in enumerate(keys)]).distinct()
+    aggs = [F.count(F.lit(1)).alias("_c__pos")]
+    aggs += [F.count(c).alias(f"_c_{name}") for name, c in counts.items()]
+    aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(f"_c_{name}") for name, c in sums.items()]
+    if leads:
+        aggs.append(F.min_by(F.struct(*leads), F.struct(*_place(ranges.order))).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy(RANGE)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(f"_c_{name}").over(earlier).alias(f"_o_{name}") for name in ("_pos", *counts, *sums)]
+    if leads:
+        carried.append(F.lead("_first").over(w).alias("_o__next"))
+    split = ranges.stored.join(F.broadcast(cut), same(ranges.stored, cut), "left_semi")
+    carry = F.broadcast(stage_table(ranges.of(split).groupBy(RANGE, *keys).agg(*aggs).select(RANGE, *keys, *carried), "carry"))
+
+    # a NULL key is a key of its own; its flag goes before it, so that one sort serves the place in the range, too
+    flags = [f"_n{i}" for i in range(len(keys))]
+    flagged = [x for pair in zip(flags, keys) for x in pair]
+    base = df.withColumns({f: F.col(k).isNull() for f, k in zip(flags, keys)})
+    # the widest window first: the rows lie by range for the others, too
+    place = Window.partitionBy(RANGE).orderBy(*flagged, *_ascending(order))
+    base = base.withColumn("_place", F.row_number().over(place) - 1)
+    local = _running(base, [RANGE, *flagged], order, counts, sums, leads, "_l_")
+    met = local[RANGE] == carry[RANGE]
+    for c in same(local, carry):
+        met = met & c
+    out = local.join(carry, met, "left").drop(carry[RANGE], *[carry[k] for k in keys])
+    fin = [F.col(f"`{c}`") for c in df.columns]
+    fin += [(F.col(held) + F.coalesce(F.col(f"_o_{name}"), F.lit(0))).alias(name)
+            for name, held in {"_pos": "_l_pos", **{x: f"_l_{x}" for x in (*counts, *sums)}}.items()]
+    if leads:
+        fin.append(F.coalesce("_l_next", "_o__next").alias("_next"))
+    if not global_position:
+        return out.select(*fin)
+    sizes = ranges.of(ranges.stored).groupBy(RANGE).agg(F.count(F.lit(1)).alias("_cn"))         # one row a range
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage_table(sizes.select(RANGE, F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_start")), "starts")
+    fin.append((F.col("_start") + F.col("_place")).alias("_gpos"))
+    return out.join(F.broadcast(starts), RANGE).select(*fin)
+
+
 def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
     """Linear-interpolated quantiles of the non-NULL values of one column (see ``exact_quantiles_multi``)."""
     return exact_quantiles_multi(df, {column: qs})[column]

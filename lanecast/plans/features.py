@@ -19,7 +19,7 @@ from lanecast.operators import lanes as L
 from lanecast.operators import lifecycle as V
 from lanecast.operators import scaling as S
 from lanecast.operators import scores as SC
-from lanecast.operators.scan import exact_quantiles_multi
+from lanecast.operators.scan import RANGE, exact_quantiles_multi, range_rows
 from lanecast.session import stage_table
 
 EXPORT_81 = (
@@ -96,12 +96,21 @@ def prepare(trips: DataFrame, profile: Profile = PROFILE_81) -> tuple[DataFrame,
 def scans(df: DataFrame, profile: Profile = PROFILE_81, **options) -> DataFrame:
     """Lane scan (E3-E5), then vehicle scan (E1, E2 inputs, sort position), the trip links and the lane features.
 
-    The scans need nothing of each other.  The lane scan's three counts are narrower than the vehicle scan's next trip,
-    so it goes first.  The scanned rows are stored; what follows from the columns of a row alone is added by every
-    reader, so neither the shuffles nor the stored table carry it.
+    The scans need nothing of each other.  Where 'earlier' in a lane means the sort of all trips (the default), the trips
+    are shuffled once, to ranges of that sort, and both scans run there; else each scan shuffles them, the lane scan
+    first, as its three counts are narrower than the vehicle scan's next trip.  The scanned rows are stored; what follows
+    from the columns of a row alone is added by every reader, so neither the shuffles nor the stored table carry it.
     """
-    lane = L.lane_scan(df.drop(*V.ROW_FEATURES), mode=profile.lane_order, **options)
-    scanned = stage_table(V.vehicle_scan(lane, counted=df, **options), "scanned-trips")
+    base = df.drop(*V.ROW_FEATURES)
+    order = ["vehicle_no", *V.vehicle_order()]
+    if L.lane_order(profile.lane_order) == order:       # both scans fit one order of all trips: one shuffle
+        ranged, ranges = range_rows(df, order, base.columns, rows_per_chunk=options.get("rows_per_chunk"))
+        lane = L.lane_scan(ranged, mode=profile.lane_order, ranges=ranges)
+        vehicle = V.vehicle_scan(lane, ranges=ranges).drop(RANGE)
+    else:
+        lane = L.lane_scan(base, mode=profile.lane_order, **options)
+        vehicle = V.vehicle_scan(lane, counted=df, **options)
+    scanned = stage_table(vehicle, "scanned-trips")
     veh = V.add_trip_links(V.add_row_features(scanned))
     return L.add_lane_features(veh, profile.popularity, profile.popularity_rate, profile.risk_k)
 
@@ -109,7 +118,7 @@ def scans(df: DataFrame, profile: Profile = PROFILE_81, **options) -> DataFrame:
 def build_features(trips: DataFrame, profile: Profile = PROFILE_81, **options) -> FeatureBuild:
     """I22 (profile 8.1) / I19 (profile 7.2.5): raw trips -> feature table.
 
-    ``options`` go to ``ordered_scan`` (``hot_rows``, ``rows_per_chunk``).
+    ``options`` are those of the scans (``hot_rows``, ``rows_per_chunk``).
     """
     df, scalars = prepare(stage_table(trips, "trips"), profile)
     staged = scans(df, profile, **options)

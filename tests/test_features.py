@@ -156,3 +156,33 @@ def test_place_names_are_not_shuffled_with_the_line_items(spark):
     at = max(i for i, line in enumerate(plan.splitlines()) if "BroadcastHashJoin" in line)
     assert not any("BroadcastHashJoin" in x for x in plan[plan.index("Exchange hashpartitioning"):].splitlines())
     assert at < min(i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line)
+
+
+def test_both_scans_share_one_shuffle_of_the_trips(spark, small, monkeypatch):
+    """The stored scan has one exchange of whole trips, also where lanes and vehicles are split, and no join moves them."""
+    from lanecast.plans import features as FT
+    stored = {}
+    stage = FT.stage_table
+    monkeypatch.setattr(FT, "stage_table", lambda df, name: stored.update({name: df}) or stage(df, name))
+    build_features(_trips(spark, small), hot_rows=3, rows_per_chunk=7)
+    plan = stored["scanned-trips"]._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    at = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    assert "_range" in lines[at[0]] and "REPARTITION_BY_COL" in lines[at[0]]
+    # the others are the totals by (range, lane), below that one
+    assert not any("vehicle_no" in lines[i] or "BookingID" in lines[i] for i in at)
+    assert sum("Window" in x for x in lines[:at[0]]) >= 3
+
+
+def test_lane_names_are_keyed_once_a_lane(spark):
+    """The trips are summed up by their names before a name is cut into its key; means skip NULL."""
+    from lanecast.operators.lanes import lane_kb
+    rows = [("A, North, India", "B, South", 1.0, 2.0, 0.5, 10.0), (" x, north , India", "C,south", 3.0, None, 0.5, 30.0),
+            ("A, North, India", "B, South", 5.0, None, 1.0, None), (None, "B, South", None, None, 0.0, 5.0)]
+    df = spark.createDataFrame(rows, "Origin_Location string, Destination_Location string, lane_popularity double, "
+                                     "route_risk double, driver_delay_rate double, TRANSPORTATION_DISTANCE_IN_KM double")
+    kb = lane_kb(df)
+    assert sorted(map(tuple, kb.collect())) == [("nan", "south", None, None, 0.0, 1, 5.0),
+                                                ("north", "south", 3.0, 2.0, 2 / 3, 3, 20.0)]
+    plan = kb._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan[plan.rindex("HashAggregate"):]

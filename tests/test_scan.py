@@ -157,3 +157,28 @@ def test_counts_may_come_from_other_stored_rows(spark, hot_rows):
     out = SC.ordered_scan(first, ["k"], ORDER, global_position=True, hot_rows=hot_rows, rows_per_chunk=90, counted=df, **RUN)
     assert sorted(out.select(*COLS).collect()) == sorted(_plain(df).select(*COLS).collect())
     assert out.where("at IS NULL OR _gpos IS NULL").isEmpty()
+
+
+@pytest.mark.parametrize("rows_per_chunk", [None, 400, 90, 7])
+def test_scans_over_ranges_equal_plain_windows(spark, rows_per_chunk):
+    """Two scans of one dealing: keys that lie in any range, then those that lead the order, with NULLs and a hot key."""
+    df = _hot_frame(spark, 1200).withColumn("lane", F.when(F.crc32("b") % 7 > 0, F.crc32("b") % 7))
+    order = ["k", *ORDER]
+    rows, ranges = SC.range_rows(df, order, df.columns, rows_per_chunk=rows_per_chunk)
+    lane = SC.ordered_scan(rows, ["lane"], order, counts={"lb": "b", "lt": "t"}, sums={"lf": "f"}, ranges=ranges)
+    lane = lane.withColumnRenamed("_pos", "at")
+    out = SC.ordered_scan(lane, ["k"], ORDER, global_position=True, ranges=ranges, **RUN)
+    assert sorted(out.select(*COLS).collect()) == sorted(_plain(df).select(*COLS).collect())
+    by_order = [F.col(c).asc_nulls_last() for c in order]
+    w = Window.partitionBy("lane").orderBy(*by_order)
+    wp = w.rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.select("b", F.row_number().over(w) - 1, F.count("b").over(wp), F.count("t").over(wp),
+                      F.coalesce(F.sum("f").over(wp), F.lit(0)), F.row_number().over(Window.orderBy(*by_order)) - 1)
+    assert sorted(out.select("b", "at", "lb", "lt", "lf", "_gpos").collect()) == sorted(plain.collect())
+
+
+def test_the_next_row_needs_keys_that_lead_the_ranges(spark):
+    df = _hot_frame(spark, 50)
+    rows, ranges = SC.range_rows(df, ["k", *ORDER], df.columns)
+    with pytest.raises(ValueError, match="lead the order"):
+        SC.ordered_scan(rows, ["f"], ["k", *ORDER], leads=["b"], ranges=ranges)
