@@ -156,3 +156,24 @@ def test_quote_document_contract(spark):
     assert names(pricing["feasibility"].dataType) == ["c_survival", "is_feasible", "recommended", "status", "note"]
     assert names(schema["addons"].dataType) == ["selected", "breakdown", "total"]
     assert schema["final_price"].dataType.typeName() == "long"
+
+
+def test_quotes_are_stored_before_what_follows_from_a_row(spark, monkeypatch):
+    """The quote queries store the joined requests only; each prices them for its own columns, without another join."""
+    from lanecast.plans import cache
+    from lanecast.plans import quote_queries as QQ
+    stored = {}
+    stage = QQ.stage_table
+    monkeypatch.setattr(QQ, "stage_table", lambda df, name: stored.update({name: df}) or stage(df, name))
+    monkeypatch.setattr(cache, "_MEMO", {})
+    quotes = QQ._quotes(spark, "/root/testdata/sf0.001")
+    assert {"requests", "valid-requests", "located-requests"} == set(stored)
+    located = stored["located-requests"].columns
+    assert {"lane_match", "trip_count", "distance_km", "distance_method"} < set(located)
+    assert not {"month", "p_return", "floor", "addon_breakdown", "final_price"} & set(located)
+    assert {"month", "p_return", "floor", "addon_breakdown", "final_price"} < set(quotes.columns)
+    plan = quotes.select("request_id", "p_min")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "addons" not in plan
+    checked = stored["located-requests"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Field required" not in checked              # the rules of B4 run once, for the stored valid requests
+    assert quotes.count() == stored["valid-requests"].count() == quotes.select("request_id").distinct().count()
