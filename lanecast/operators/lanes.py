@@ -69,16 +69,26 @@ def add_lane_features(df: DataFrame, popularity: str = "exp", rate: float = 0.02
 KB_MEASURES = ["lane_popularity", "route_risk", "driver_delay_rate"]
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """``x`` as the nearest single-precision value and the rest: sums of the first are exact, so that a mean hardly depends
+    on the order of its rows."""
+    small = F.abs(x) < F.lit(1e38)
+    high = F.when(small, x.cast("float").cast("double")).otherwise(x)
+    return high, F.when(small, x - high).otherwise(F.lit(0.0))
+
+
 def lane_kb(features: DataFrame) -> DataFrame:
     """Per (origin key, destination key) means and trip count.
 
     The trips are summed up by their place names first, so that a name is cut into its key once and not once a trip.
     """
     means = {**{m: m for m in KB_MEASURES}, "avg_dist_km": "TRANSPORTATION_DISTANCE_IN_KM"}
-    named = features.groupBy(*LANE_KEYS).agg(
-        F.count(F.lit(1)).alias("trip_count"), *[F.sum(F.col(m).cast("double")).alias(f"sum_{name}") for name, m in means.items()],
-        *[F.count(m).alias(f"n_{name}") for name, m in means.items()])
-    mean = {name: F.try_divide(F.sum(f"sum_{name}"), F.sum(f"n_{name}")).alias(name) for name in means}
+    parts = [F.count(F.lit(1)).alias("trip_count")]
+    for name, column in means.items():
+        high, low = _halves(F.col(column).cast("double"))
+        parts += [F.sum(high).alias(f"high_{name}"), F.sum(low).alias(f"low_{name}"), F.count(column).alias(f"n_{name}")]
+    named = features.select(*LANE_KEYS, *means.values()).groupBy(*LANE_KEYS).agg(*parts)
+    mean = {name: F.try_divide(F.sum(f"high_{name}") + F.sum(f"low_{name}"), F.sum(f"n_{name}")).alias(name) for name in means}
     return (named.withColumns({"ok": E.city_key("Origin_Location"), "dk": E.city_key("Destination_Location")})
             .groupBy("ok", "dk")
             .agg(*[mean[m] for m in KB_MEASURES], F.sum("trip_count").alias("trip_count"), mean["avg_dist_km"]))

@@ -186,3 +186,18 @@ def test_lane_names_are_keyed_once_a_lane(spark):
                                                 ("north", "south", 3.0, 2.0, 2 / 3, 3, 20.0)]
     plan = kb._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan[plan.rindex("HashAggregate"):]
+
+
+def test_lane_means_do_not_depend_on_the_order_of_the_trips(spark):
+    import random
+    from lanecast.operators.lanes import lane_kb
+    rnd = random.Random(2)
+    km = [rnd.randrange(1, 10_000_000) / 10_000 for _ in range(3000)]
+    want = {f"o{k}": math.fsum(km[k::7]) / len(km[k::7]) for k in range(7)}
+    for order in (list(range(3000)), rnd.sample(range(3000), 3000)):
+        df = spark.createDataFrame([(f"x, o{i % 7}", "x, d", km[i], None, float("inf"), km[i]) for i in order],
+                                   "Origin_Location string, Destination_Location string, lane_popularity double, "
+                                   "route_risk double, driver_delay_rate double, TRANSPORTATION_DISTANCE_IN_KM double")
+        got = lane_kb(df.repartition(11)).collect()
+        assert {r.ok: r.avg_dist_km for r in got} == want == {r.ok: r.lane_popularity for r in got}
+        assert all(r.route_risk is None and r.driver_delay_rate == float("inf") for r in got)
